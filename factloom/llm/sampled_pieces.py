@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .dart_minhash import _GOLD, _unit, mix
 from .shared import text_of
@@ -267,7 +268,7 @@ def encode(docs: DataFrame, path: str | None = None, seed: int = SEED, sharpness
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded with the column decoded, the text of its pieces."""
     path = path or model_path()
-    schema = encoded.schema.add("decoded", "string")
+    schema = StructType([*encoded.schema.fields, StructField("decoded", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
