@@ -10,11 +10,11 @@ about K (ln K + SLACK) are kept are made, so a signature costs one exponential f
 darts it needs, not K hashes for each element.
 
 BANDS bands of ROWS coordinates make buckets (at similarity 0.8 a pair shares none with probability 3e-6).  Documents
-with equal shingle sets are one node first.  In a bucket every member is compared with a leader, the member that
-meets the most others over all its bands; members that are not similar to it stay open, and later rounds take 1, 2, 4,
-... leaders of them until none is open, compared with all members of other components.  So no pairs of a group are
-listed, and a family of copies of one text is linked through it.  Every comparison is the exact Jaccard similarity of
-whole texts.  Components of the links are the classes.
+with equal shingle sets are one node first.  In a bucket every member is compared with a leader, the member that meets
+the most others over all its bands, so a family of copies of one text is linked through it without listing its pairs.
+Members that are not similar to their leader can still be similar to another member; where a bucket's members are not
+in one component afterwards, a prefix join over their shingles finds the pairs that can be, and leaves none out.
+Every comparison is the exact Jaccard similarity of whole texts.  Components of the links are the classes.
 
 Cases: null text is empty; a text of 1 to 4 words is one shingle; a text without words is alone in its class; a null
 doc_id sorts after others; rows that share a doc_id but not the text are separate rows; repeated rows share a class;
@@ -41,6 +41,10 @@ BANDS = 32
 ROWS = 5
 K = BANDS * ROWS
 SLACK = 3.0
+#: Whole numbers that doubles miss by rounding count as reached.
+TINY = 1e-9
+#: Most numbers of documents (8 bytes each) that are broadcast; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 4_000_000
 
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -169,6 +173,8 @@ def signatures(docs: DataFrame, weighting: str = "set", bands: int = BANDS, rows
 def _sets_of(docs: DataFrame, wanted: DataFrame, weighting: str) -> DataFrame:
     """digest, own (sorted shingles; in bags the k-th copy of a shingle is an element of its own) of the wanted nodes (digest, rep)."""
     ids = wanted.select(F.col("rep").alias("_rep")).distinct()
+    if wanted.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     some = some.join(ids, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi").select(word_hashes(F.col("text")).alias("words"))
 
@@ -186,25 +192,44 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, weighting: str) -> DataFrame:
                     sets.append(own.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "own"])
 
-    return some.mapInArrow(expand, "digest binary, own array<long>").groupBy("digest").agg(F.first("own").alias("own"))
+    found = some.mapInArrow(expand, "digest binary, own array<long>").dropDuplicates(["digest"])
+    return found.join(wanted.select("digest"), "digest", "left_semi")
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float, weighting: str) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Of pairs (a, b) of nodes, those whose sets are similar."""
-    size = nodes.select("digest", "rep", "n_shingles")
-    pairs = pairs.join(size.toDF("a", "a_rep", "a_n"), "a").join(size.toDF("b", "b_rep", "b_n"), "b")
-    if weighting == "set":  # sizes too far apart can't be similar
-        pairs = pairs.where(F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n"))
-    pairs = materialize(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("digest"), F.col("a_rep").alias("rep")).union(pairs.select("b", "b_rep")).distinct()
-    sets = materialize(_sets_of(docs, ends, weighting).join(ends.select("digest"), "digest", "left_semi"), "sets")
-    met = pairs.select("a", "b").join(sets.toDF("a", "a_own"), "a").join(sets.toDF("b", "b_own"), "b")
+    met = pairs.join(sets.toDF("a", "a_own"), "a").join(sets.toDF("b", "b_own"), "b")
     common = F.size(F.array_intersect("a_own", "b_own"))
-    return met.where(common >= least * (F.size("a_own") + F.size("b_own") - common)).select("a", "b")
-
-
-def links_and_nodes(docs: DataFrame, least: float = LEAST, weighting: str = "set") -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """rows (signatures), nodes (distinct shingle sets: digest, rep, size, n_shingles) and the components of their links (node, comp), or None."""
+    return met.where(common >= least * (F.size("a_own") + F.size("b_own") - common) - TINY).select("a", "b")
+
+
+def _by_prefix(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of nodes (node, comp) of different components that can be similar: no similar pair is left out.
+
+    Shingles are ordered by how many of the nodes have them, the rarest first.  Two sets of similarity s share at
+    least 2 s / (1 + s) of the smaller and s of the larger, so the first shingle that they share stands among the
+    first (1 - 2 s / (1 + s)) n + 1 of the smaller and the first (1 - s) n + 1 of the larger, and at most the rest of
+    either from there on is shared.  A text that differs from a whole family in shingles of its own meets none of it.
+    """
+    own = nodes.join(sets.withColumnRenamed("digest", "node"), "node").select("node", "comp", F.size("own").alias("n"), F.explode("own").alias("shingle"))
+    often = own.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    order = F.sort_array(F.collect_list(F.struct("df", "shingle")))
+    ranked = own.join(often, "shingle").groupBy("node", "comp", "n").agg(order.alias("shared"))
+    first = F.col("n") - F.size("shared")  # shingles that no other node has come before
+    at = ranked.select("node", "comp", "n", F.posexplode("shared").alias("i", "s"), first.alias("alone"))
+    at = materialize(at.select("node", "comp", "n", (F.col("alone") + F.col("i")).alias("at"), F.col("s.shingle").alias("shingle")).where(F.col("at") <= (1 - least) * F.col("n") + TINY), "prefixes")
+    share = least / (1 + least)
+    small = at.where(F.col("at") <= (1 - 2 * share) * F.col("n") + TINY).toDF("a", "a_comp", "a_n", "a_at", "shingle")
+    large = at.toDF("b", "b_comp", "b_n", "b_at", "shingle")
+    ordered = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b")))
+    rest = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    can = ordered & (F.col("a_comp") != F.col("b_comp")) & (F.col("a_n") >= least * F.col("b_n") - TINY) & (rest >= share * (F.col("a_n") + F.col("b_n")) - TINY)
+    met = small.join(large.withColumnRenamed("shingle", "b_shingle"), (F.col("shingle") == F.col("b_shingle")) & can)
+    return met.select("a", "b").distinct()
+
+
+def links_and_nodes(docs: DataFrame, least: float = LEAST, weighting: str = "set") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows (signatures), nodes (distinct shingle sets: digest, rep, size, n_shingles) and the components of their links (node, comp)."""
     rows = materialize(signatures(docs, weighting), "signatures")
     nodes = rows.where("digest is not null").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")
@@ -214,48 +239,29 @@ def links_and_nodes(docs: DataFrame, least: float = LEAST, weighting: str = "set
     shared = every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = every.join(shared, "bucket")
     fame = members.groupBy("node").agg(F.sum("n").alias("fame"))
-    members = materialize(members.select("bucket", "node").join(fame, "node"), "members")
+    members = materialize(members.join(fame, "node"), "members")
+    known = fame.select(F.col("node").alias("digest")).join(nodes.select("digest", "rep"), "digest")
+    sets = materialize(_sets_of(docs, materialize(known, "known"), weighting), "sets")
 
-    links = comp = settled = None
+    # first every member with its bucket's leader
     leaders = members.groupBy("bucket").agg(F.max_by("node", F.struct("fame", "node")).alias("leader"))
-    several = 1
-    while True:
-        leaders = materialize(leaders, "leaders")
-        compared = members.select("bucket", "node").join(leaders, "bucket").where("node != leader")
-        if comp is not None:  # members of one component have nothing left to find
-            own, other = comp.toDF("node", "node_comp"), comp.toDF("leader", "leader_comp")
-            compared = compared.join(own, "node", "left").join(other, "leader", "left")
-            compared = compared.where(F.coalesce("node_comp", "node") != F.coalesce("leader_comp", "leader"))
-        pairs = compared.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        found = materialize(_similar(pairs, nodes, docs, least, weighting), "links")
-        links = found if links is None else links.union(found)
-        if found.limit(1).count():
-            comp = components(links)
-        both = links.select(F.col("a").alias("node"), F.col("b").alias("leader")).union(links.select("b", "a"))
-        now = leaders.select("bucket", F.col("leader").alias("node")).union(
-            members.select("bucket", "node").join(leaders, "bucket").join(both, ["node", "leader"], "left_semi").select("bucket", "node")
-        )
-        settled = now if settled is None else settled.union(now)
-        settled = materialize(settled.distinct(), "settled")
-        still = members.join(settled, ["bucket", "node"], "left_anti")
-        if comp is not None:  # a bucket is closed when all its members are in one component
-            label = F.coalesce("comp", "node")
-            spread = members.join(comp, "node", "left").groupBy("bucket").agg((F.min(label) != F.max(label)).alias("open")).where("open")
-            still = still.join(spread, "bucket", "left_semi")
-        still = materialize(still, "open")
-        if not still.limit(1).count():
-            return rows, nodes, comp
-        number = still.groupBy("bucket").agg(F.count("*").alias("n_open"), F.max_by("node", F.struct("fame", "node")).alias("first"))
-        drawn = F.pmod(F.xxhash64("node", F.lit(several)), F.lit(1 << 20)) / (1 << 20)
-        leaders = still.join(number, "bucket").where((F.col("node") == F.col("first")) | (drawn * F.col("n_open") < several)).select("bucket", F.col("node").alias("leader"))
-        several *= 2
+    led = materialize(members.select("bucket", "node", "n").join(leaders, "bucket").where("node != leader"), "led")
+    links = materialize(_similar(led.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), sets, least), "links")
+    comp = components(links)
+    # then, of buckets of three and more whose members are not yet in one component, the members of different components
+    label = F.coalesce("comp", "node")
+    split = members.where("n > 2").select("bucket", "node").join(comp, "node", "left").select("bucket", "node", label.alias("comp"))
+    spread = split.groupBy("bucket").agg((F.min("comp") != F.max("comp")).alias("open")).where("open")
+    still = split.join(spread, "bucket", "left_semi").select("node", "comp").distinct()
+    more = materialize(_similar(_by_prefix(materialize(still, "open"), sets, least), sets, least), "links")
+    if more.limit(1).count():
+        comp = components(links.union(more))
+    return rows, nodes, comp
 
 
 def near_dedup(docs: DataFrame, least: float = LEAST, weighting: str = "set") -> DataFrame:
     """One row for each row of docs: doc_id, text_hash, n_shingles, class_id (smallest doc_id of the class), class_size, kept."""
     rows, nodes, comp = links_and_nodes(docs, least, weighting)
-    if comp is None:
-        comp = nodes.select(F.col("digest").alias("node"), F.col("digest").alias("comp")).limit(0)
     classed = nodes.select("digest", "rep", "size").join(comp.withColumnRenamed("node", "digest"), "digest", "left")
     linked = classed.where("comp is not null")
     whole = linked.groupBy("comp").agg(F.min("rep").alias("class_id"), F.sum("size").alias("class_size"), F.min(F.struct(F.col("rep").isNull(), "rep", "digest")).alias("first"))
