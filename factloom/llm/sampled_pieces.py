@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -34,8 +35,8 @@ from .shared import text_of
 
 SHARPNESS = 2.0
 SEED = 1
-#: Bytes of texts handled at once in a task.
-BATCH = 8 << 20
+#: Bytes of texts, or of decoded texts, handled at once in a task; a batch holds at least one whole text.
+BATCH = 1 << 20
 _SPACE = 32
 #: Spreads the hashes of short windows over the high bits.
 _SPREAD = np.uint64(0xBF58476D1CE4E5B9)
@@ -232,7 +233,7 @@ def sample(vocab: Vocabulary, texts: list[bytes], keys: np.ndarray, seed: int =
 
 
 def _portions(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about BATCH bytes."""
+    """Runs of rows whose sizes add up to about BATCH."""
     a, total = 0, 0
     for i, n in enumerate(sizes):
         if total and total + n > BATCH:
@@ -248,43 +249,60 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32()))
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, seed: int, sharpness: float) -> Iterator[pa.RecordBatch]:
+    """doc_id, text, pieces and ids_crc32 of batches of doc_id and text."""
+    vocab = vocabulary(path, sharpness)
+    for b in batches:
+        text = b.column("text").cast(pa.binary())
+        keys = b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+        for a, z in _portions(pc.binary_length(text).to_numpy(zero_copy_only=False)):
+            ids = sample(vocab, text[a:z].to_pylist(), keys[a:z], seed)
+            crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id")[a:z], b.column("text")[a:z], _lists(ids), pa.array(crc, pa.int64())], names=["doc_id", "text", "pieces", "ids_crc32"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """batches with the column decoded, the text of the column pieces."""
+    vocab = vocabulary(path)
+    for b in batches:
+        counts = b.column("pieces").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ids = b.column("pieces").flatten().to_numpy(zero_copy_only=False)
+        first = np.concatenate([[0], np.cumsum(counts)])
+        total = np.concatenate([[0], np.cumsum(vocab.length[ids])])[first]
+        for a, z in _portions(np.diff(total)):
+            buf = vocab.decode(ids[first[a] : first[z]]).tobytes()
+            ends = total[a : z + 1] - total[a]
+            text = pa.array([buf[m:n] for m, n in zip(ends[:-1], ends[1:], strict=True)], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*b.slice(a, z - a).columns, text], names=[*b.schema.names, "decoded"])
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+
+
 def encode(docs: DataFrame, path: str | None = None, seed: int = SEED, sharpness: float = SHARPNESS) -> DataFrame:
     """doc_id, text, pieces (ids) and ids_crc32 (of little-endian unsigned 32-bit ids) for every row of docs."""
     path = path or model_path()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path, sharpness)
-        for b in batches:
-            text = b.column("text").cast(pa.binary())
-            keys = b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-            for a, z in _portions(np.diff(np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + len(text) + 1])):
-                ids = sample(vocab, text[a:z].to_pylist(), keys[a:z], seed)
-                crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[a:z], b.column("text")[a:z], _lists(ids), pa.array(crc, pa.int64())], names=["doc_id", "text", "pieces", "ids_crc32"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, text string, pieces array<int>, ids_crc32 long")
+    return _keyed(docs).mapInArrow(lambda batches: _encoded(batches, path, seed, sharpness), "doc_id long, text string, pieces array<int>, ids_crc32 long")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded with the column decoded, the text of its pieces."""
     path = path or model_path()
     schema = StructType([*encoded.schema.fields, StructField("decoded", StringType())])
+    return encoded.mapInArrow(lambda batches: _decoded(batches, path), schema)
+
+
+def pieces_query(docs: DataFrame, path: str | None = None, seed: int = SEED, sharpness: float = SHARPNESS) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32 and whether decoding gives the text back, for every row.
+
+    Encoding and decoding run in one Python worker, so that neither texts nor pieces travel back to the JVM.
+    """
+    path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
-        for b in batches:
-            pieces = b.column("pieces")
-            ids = pieces.flatten().to_numpy(zero_copy_only=False)
-            sizes = np.bincount(np.repeat(np.arange(len(pieces)), pieces.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), weights=vocab.length[ids], minlength=len(pieces)).astype(np.int64)
-            buf = vocab.decode(ids).tobytes()
-            ends = np.cumsum(sizes)
-            text = pa.array([buf[e - n : e] for e, n in zip(ends, sizes, strict=True)], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, text], names=[*b.schema.names, "decoded"])
-
-    return encoded.mapInArrow(run, schema)
-
-
-def pieces_query(docs: DataFrame) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 and whether decoding gives the text back, for every row."""
-    done = decode(encode(docs))
-    return done.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "ids_crc32", (F.col("decoded") == F.col("text")).alias("lossless"))
+        for b in _decoded(_encoded(batches, path, seed, sharpness), path):
+            n = b.column("pieces").value_lengths().cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, b.column("ids_crc32"), pc.equal(b.column("decoded"), b.column("text"))], names=["doc_id", "n_pieces", "ids_crc32", "lossless"])
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean")

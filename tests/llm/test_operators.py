@@ -159,6 +159,8 @@ def test_sampled_pieces_round_trip(name, request):
     assert all(again[r["doc_id"], r["text"]] == r["pieces"] for r in done)
     for r in done:
         assert r["ids_crc32"] == zlib.crc32(np.array(r["pieces"], "<u4").tobytes())
+    told = sampled_pieces.pieces_query(docs).collect()
+    assert Counter(tuple(r) for r in told) == Counter((r["doc_id"], len(r["pieces"]), r["ids_crc32"], True) for r in done)
 
 
 def test_sampling_follows_the_lattice():
