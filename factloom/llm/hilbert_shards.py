@@ -6,7 +6,7 @@ their cell on the Hilbert curve and the order is cut into runs; neighbours on th
 dimension, so the files of a shard span little of each and can be skipped by their column statistics.
 
 The law that holds is ``rows``: shard sizes differ by at most one row.  Rows are dealt by range over (curve index,
-checksum, doc_id), so a cell that holds a third of all rows is spread over tasks and equal texts stay together where
+checksum, doc_id), so a cell that holds a third of all rows is spread over tasks and equal texts of one cell stay together where
 the law lets them.  Ranks need no global window: the sorted rows are written to the shared folder and a row's rank is
 the number of rows in earlier files plus its place in its own file.
 
