@@ -43,8 +43,6 @@ ISLANDS = 2
 EPOCHS = 2
 POPULATION = 4
 OFFSPRING = 12
-#: Words whose ids a worker remembers.
-REMEMBERED = 700_000
 _ODD = re.compile(r"\s\s")
 
 
@@ -70,24 +68,12 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in self.special}
-        encode = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-        class Words(dict):
-            def __missing__(self, word: str) -> bytes:
-                ids = encode(" " + word)
-                packed = struct.pack(f"<{len(ids)}I", *ids)
-                if len(self) < REMEMBERED:
-                    self[word] = packed
-                return packed
-
-        self.word = Words().__getitem__
-        self.first = lambda word: struct.pack(f"<{len(ids := encode(word))}I", *ids)
+        self.ordinary = tiktoken.Encoding("ids", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> bytes:
         if _ODD.search(text) or any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        first, *rest = text.split(" ")
-        return self.first(first) + b"".join(map(self.word, rest))
+        return np.array(self.ordinary(text), dtype="<u4").tobytes()
 
 
 @lru_cache(maxsize=1)
