@@ -43,6 +43,8 @@ K = BANDS * ROWS
 SLACK = 3.0
 #: Whole numbers that doubles miss by rounding count as reached.
 TINY = 1e-9
+#: Rows whose shingles a task makes at once, so that what a worker holds does not follow the size of Arrow's batches.
+ROWS_AT_ONCE = 256
 #: Most numbers of documents (8 bytes each) that are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 4_000_000
 
@@ -131,6 +133,12 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _portions(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _digest(own: np.ndarray, counts: np.ndarray | None) -> bytes:
     h = hashlib.blake2b(own.tobytes(), digest_size=16)
     if counts is not None:
@@ -145,7 +153,7 @@ def signatures(docs: DataFrame, weighting: str = "set", bands: int = BANDS, rows
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
-        for b in batches:
+        for b in _portions(batches):
             n, digests, keys = [], [], []
             for own, counts in shingle_sets(b.column("words")):
                 bag = counts if weighting == "tf" else None
@@ -179,7 +187,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, weighting: str) -> DataFrame:
     some = some.join(ids, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi").select(word_hashes(F.col("text")).alias("words"))
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _portions(batches):
             digests, sets = [], []
             for own, counts in shingle_sets(b.column("words")):
                 if len(own):
