@@ -62,3 +62,25 @@ def verbatim(docs: DataFrame, passages: DataFrame, doc_id: str, passage_id: str,
     anchors = F.array_union(runs, F.transform("_d", lambda w: F.xxhash64(w)))
     met = d.select(doc_id, "squashed", F.explode(anchors).alias("_anchor")).join(p.select(passage_id, "passage", F.xxhash64(first).alias("_anchor")), "_anchor")
     return met.where(F.contains("squashed", "passage")).select(doc_id, passage_id).distinct()
+
+
+def label_then_code(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """asked (label, code) with tier and found, an id of known (id, label, code).
+
+    An equal label decides (tier LABEL, the smallest id); else a code that one row alone has (CODE); a code of several
+    is AMBIGUOUS and finds none.  known is reduced to a row for each label and each code before it is joined.
+    """
+    by_label = known.groupBy("label").agg(F.min("id").alias("_by_label"))
+    by_code = known.groupBy("code").agg(F.min("id").alias("_by_code"), F.count("*").alias("_n"))
+    tier = F.when(F.col("_by_label").isNotNull(), "LABEL").when(F.col("_n") == 1, "CODE").when(F.col("_n") > 1, "AMBIGUOUS").otherwise("NONE")
+    found = F.when(tier == "LABEL", F.col("_by_label")).when(tier == "CODE", F.col("_by_code"))
+    met = asked.join(by_label, "label", "left").join(by_code, "code", "left")
+    return met.select(*asked.columns, tier.alias("tier"), found.alias("found"))
+
+
+def most_specific(asked: DataFrame, rules: DataFrame) -> DataFrame:
+    """asked (category, post) with the rule that fits best: of its own post, else of no post (blank), else its category's first."""
+    own = rules.where("post != ''").groupBy("category", "post").agg(F.min("rule").alias("_own"))
+    rest = rules.groupBy("category").agg(F.min(F.when(F.col("post") == "", F.col("rule"))).alias("_general"), F.min("rule").alias("_first"))
+    met = asked.join(own, ["category", "post"], "left").join(rest, "category", "left")
+    return met.select(*asked.columns, F.coalesce("_own", "_general", "_first").alias("rule"))
