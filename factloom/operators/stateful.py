@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def fold(df: DataFrame, key: str, order: list[str], make: Callable[[], Callable[..., object]], inputs: list[str], out: str, kind: str) -> DataFrame:
+def fold(df: DataFrame, key: str, order: list[str | Column], make: Callable[[], Callable[..., object]], inputs: list[str], out: str, kind: str) -> DataFrame:
     """df with a column that a step function, made anew for each key, returns row by row in that order.
 
     Rows of a key stand together and sorted in one partition and are read in batches, so a key may be of any length:
@@ -71,6 +71,50 @@ def token_bucket(capacity: float, per: int) -> Callable[[], Callable[[int], bool
     return make
 
 
+def budget(most: int) -> Callable[[], Callable[[float], bool | None]]:
+    """Takes a size if it fits into what is left; one that does not fit is passed over and takes nothing, a null size too."""
+
+    def make() -> Callable[[float], bool | None]:
+        used = 0
+
+        def step(size: float) -> bool | None:
+            nonlocal used
+            if pd.isna(size):
+                return None
+            if used + size > most:
+                return False
+            used += int(size)
+            return True
+
+        return step
+
+    return make
+
+
+def batches(most: int, limit: int | None = None) -> Callable[[], Callable[[float], int | None]]:
+    """The number of a size's batch: a batch closes when the next would not fit; over the budget but within the limit
+    (the budget, if none is given) a size has a batch of its own, over the limit it is -1; a null size has none."""
+    sent = most if limit is None else limit
+
+    def make() -> Callable[[float], int | None]:
+        used, n, batch = 0, 0, 0
+
+        def step(size: float) -> int | None:
+            nonlocal used, n, batch
+            if pd.isna(size):
+                return None
+            if size > sent:
+                return -1
+            if n and used + size > most:
+                used, n, batch = 0, 0, batch + 1
+            used, n = used + int(size), n + 1
+            return batch
+
+        return step
+
+    return make
+
+
 def within_budget(sizes: Column, budget: int) -> Column:
     """For an array of sizes, which are taken in order: one that does not fit is passed over and takes nothing."""
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("taken"))
@@ -82,14 +126,16 @@ def within_budget(sizes: Column, budget: int) -> Column:
     return F.aggregate(F.transform(sizes, lambda s: s.cast("long")), start, step, lambda acc: acc["taken"])
 
 
-def in_batches(sizes: Column, budget: int) -> Column:
-    """For an array of sizes, the number of each one's batch: a batch closes when the next would not fit; oversized are -1."""
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
+def in_batches(sizes: Column, budget: int, limit: int | None = None) -> Column:
+    """For an array of sizes, the number of each one's batch: a batch closes when the next would not fit; over the budget
+    but within the limit (the budget, if none is given) a size has a batch of its own, over the limit it is -1."""
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
 
     def step(acc: Column, size: Column) -> Column:
-        over, fits = size > budget, acc["used"] + size <= budget
+        over, fits = size > (budget if limit is None else limit), (acc["n"] == 0) | (acc["used"] + size <= budget)
         batch = F.when(over | fits, acc["batch"]).otherwise(acc["batch"] + 1)
         used = F.when(over, acc["used"]).when(fits, acc["used"] + size).otherwise(size)
-        return F.struct(used.alias("used"), batch.alias("batch"), F.concat(acc["out"], F.array(F.when(over, -1).otherwise(batch))).alias("out"))
+        n = F.when(over, acc["n"]).when(fits, acc["n"] + 1).otherwise(1)
+        return F.struct(used.alias("used"), n.alias("n"), batch.alias("batch"), F.concat(acc["out"], F.array(F.when(over, -1).otherwise(batch))).alias("out"))
 
     return F.aggregate(F.transform(sizes, lambda s: s.cast("long")), start, step, lambda acc: acc["out"])

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from factloom.functions.dates import micros
 from factloom.functions.text import figures
-from factloom.operators import snapshots as S
 from factloom.operators import stateful
 
 from .registry import query, table
@@ -69,30 +68,24 @@ def k3_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 NEWEST = "n AS (SELECT event_id, user_id, CAST(round(value) AS BIGINT) AS size, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events QUALIFY i <= 50)"
 
 
-def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest 50 events of each user (the bound that a user's list has) as arrays in order."""
-    size = F.round("value").cast("long")
-    top = S.newest(_events(spark, sf_dir), ["user_id"], [F.desc("at"), F.desc("event_id")], 50)
-    own = F.sort_array(F.collect_list(F.struct("rank", "event_id", size.alias("size"))))
-    return top.groupBy("user_id").agg(own.alias("own")).withColumn("sizes", F.transform("own", lambda x: x["size"]))
+def _newest_first(spark: SparkSession, sf_dir: str, make, out: str, kind: str) -> DataFrame:
+    """user_id, event_id and what a fold over all events of each user says, newest first; the SQL's cut at 50 is not made."""
+    e = _events(spark, sf_dir).select("event_id", "user_id", "at", F.round("value").cast("long").alias("size"))
+    return stateful.fold(e, "user_id", [F.desc("at"), F.desc("event_id")], make, ["size"], out, kind).select("user_id", "event_id", out)
 
 
 @query(f"""WITH RECURSIVE {NEWEST}, f AS (SELECT user_id, i, event_id, CASE WHEN size <= 100 THEN size ELSE 0 END AS used, size <= 100 AS taken FROM n WHERE i = 1
 UNION ALL SELECT n.user_id, n.i, n.event_id, f.used + CASE WHEN f.used + n.size <= 100 THEN n.size ELSE 0 END, f.used + n.size <= 100 FROM f JOIN n ON n.user_id = f.user_id AND n.i = f.i + 1)
 SELECT user_id, event_id, taken FROM f""")
 def n7_within_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = stateful.within_budget(F.col("sizes"), 100)
-    at = _lists(spark, sf_dir).select("user_id", F.explode(F.arrays_zip("own", taken.alias("taken"))).alias("x"))
-    return at.select("user_id", "x.own.event_id", "x.taken")
+    return _newest_first(spark, sf_dir, stateful.budget(100), "taken", "boolean")
 
 
 @query(f"""WITH RECURSIVE {NEWEST}, f AS (SELECT user_id, i, event_id, CASE WHEN size > 60 THEN 0 ELSE size END AS used, 0 AS batch, size > 60 AS over FROM n WHERE i = 1
 UNION ALL SELECT n.user_id, n.i, n.event_id, CASE WHEN n.size > 60 THEN f.used WHEN f.used + n.size <= 60 THEN f.used + n.size ELSE n.size END, CASE WHEN n.size > 60 OR f.used + n.size <= 60 THEN f.batch ELSE f.batch + 1 END, n.size > 60
 FROM f JOIN n ON n.user_id = f.user_id AND n.i = f.i + 1) SELECT user_id, event_id, CAST(CASE WHEN over THEN -1 ELSE batch END AS INTEGER) AS batch FROM f""")
 def w24_sync_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch = stateful.in_batches(F.col("sizes"), 60)
-    at = _lists(spark, sf_dir).select("user_id", F.explode(F.arrays_zip("own", batch.alias("batch"))).alias("x"))
-    return at.select("user_id", "x.own.event_id", "x.batch")
+    return _newest_first(spark, sf_dir, stateful.batches(60), "batch", "int")
 
 
 @query("""WITH s AS (SELECT conv_id, turn, role, list_distinct(regexp_extract_all(regexp_replace(coalesce(text, ''), '([0-9]),([0-9])', '\\1\\2', 'g'), '[0-9]+')) AS figs FROM conversations),
