@@ -1,6 +1,6 @@
 """From raw documents to packed training sequences, in five stages that each apply one corpus operator.
 
-1. language: documents without letters, or whose language scores too low, go.
+1. language: documents without letters, or that belong to none of the languages learned, go.
 2. exact_dedup: of equal texts one row stays.
 3. near_dedup: of each class of near duplicates one document stays.
 4. pii: personal data are replaced by their kinds; no document goes.

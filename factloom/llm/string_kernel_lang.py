@@ -4,8 +4,16 @@ A text is the set of its 1- to 3-grams of letters (case folded, everything else
 hashed slots.  The kernel of two texts is the number of slots they share over the geometric mean of their numbers.
 LANDMARKS training texts, the same number of each language, span the Nyström approximation: a text's features are its
 kernel values with them, times the inverse root of their own kernel matrix.  One ridge regression for each language
-against the rest gives its score.  Scoring multiplies a batch's bits, at the slots that any landmark has, by the
-landmarks' bits, and the result by one matrix that holds the inverse root and the regressions.
+against the rest decides which language it is.  That multiplies a batch's bits, at the slots that any landmark has, by
+the landmarks' bits, and the result by one matrix that holds the inverse root and the regressions.
+
+The regressions only compare languages, so the score, which says whether a text is of any learned language at all, is
+another measure: the share of the text's slots that the training texts of a language hit.  It is compared with the
+language's own bound, the share that all but LEFT_OUT of its different training texts reach when each is left out of
+its language (for short texts less, by two standard deviations of a share): LEAST_SCORE at the bound, 0 and 1 for none
+and all of the slots.  The score is the best of the predicted and all bounded languages, so it does not depend on how
+many there are.  A language with fewer than ENOUGH different training texts has no bound, and what is predicted as it
+is never rejected.
 
 Training reads only text and lang, of labelled rows that are not held out: at most PER_LANGUAGE of each language (a
 documented bound), those with the smallest hash of doc_id; their bits go to the driver.  Everything else covers all
@@ -38,8 +46,11 @@ PER_LANGUAGE = 200
 RIDGE = 1e-2
 FOLDS = 5
 UNKNOWN = "und"
-#: The pipeline rejects a document whose best language scores less: a text that belongs to none of those learned.
+#: The pipeline rejects a document that scores less: a text that belongs to none of the languages learned.
 LEAST_SCORE = 0.3
+#: The share of a language's own training texts below its bound, and how many different ones a bound takes.
+LEFT_OUT = 0.01
+ENOUGH = 20
 
 
 @lru_cache(maxsize=1)
@@ -70,13 +81,30 @@ def presence(text: str) -> np.ndarray | None:
 
 @dataclass
 class Model:
-    """Languages, the slots that count, landmark bits there, their norms, and landmark kernel values to scores (last row: constants)."""
+    """Languages, the slots that count, landmark bits there, their norms, and landmark kernel values to scores (last row: constants).
+
+    For each slot, whether each language's training texts hit it; each language's bound, NaN for none.
+    """
 
     languages: list[str]
     slots: np.ndarray
     landmarks: np.ndarray
     norms: np.ndarray
     weights: np.ndarray
+    hit: np.ndarray
+    bounds: np.ndarray
+
+    def belongs(self, bits: np.ndarray, best: int) -> float:
+        """How surely a text with these bits, predicted as the language best, is of a learned language: the score."""
+        n = np.count_nonzero(bits)
+        share = self.hit[bits].sum(axis=0) / n
+        usual = np.minimum(self.bounds, 0.95)
+        bound = np.maximum(self.bounds - 2 * np.sqrt(usual * (1 - usual) / n), 0)
+        bound = np.where(np.arange(len(bound)) == best, np.nan_to_num(bound), bound)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            above = LEAST_SCORE + (1 - LEAST_SCORE) * np.where(bound < 1, (share - bound) / (1 - bound), 1.0)
+            score = np.where(share >= bound, above, LEAST_SCORE * share / bound)
+        return float(np.nanmax(score))
 
     def scores(self, bits: np.ndarray, norms: np.ndarray) -> np.ndarray:
         """bits: rows of presence at self.slots; norms: roots of how many slots each whole text hits."""
@@ -127,7 +155,14 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, per_language: int = PER_LAN
     bias = np.hstack([features, np.ones((len(got), 1))])
     solved = np.linalg.solve(bias.T @ bias + ridge * len(got) / 100 * np.diag([1.0] * features.shape[1] + [1e-9]), bias.T @ target)
     weights = np.vstack([root @ solved[:-1], solved[-1:]])
-    return Model(languages, slots, own, norms[first].astype(np.float32), weights.astype(np.float32))
+    hit, bounds = np.zeros((SLOTS, len(languages)), np.uint8), np.full(len(languages), np.nan)
+    for i, lang in enumerate(languages):
+        of = bits[(got["lang"] == lang).to_numpy() & ~got.duplicated(["lang", "bits"]).to_numpy()]
+        texts = of.sum(axis=0)
+        hit[:, i] = texts > 0
+        if len(of) >= ENOUGH:
+            bounds[i] = np.quantile(of @ (texts > 1).astype(np.float32) / of.sum(axis=1), LEFT_OUT)
+    return Model(languages, slots, own, norms[first].astype(np.float32), weights.astype(np.float32), hit, bounds)
 
 
 ROWS_AT_ONCE = 256
@@ -150,20 +185,26 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             return pd.DataFrame({"lang_pred": lang, "score": score})
         names = np.array(m.languages, dtype=object)
         for at in range(0, len(text), ROWS_AT_ONCE):
-            rows, bits, norms = [], [], []
+            rows, hits, bits, norms = [], [], [], []
             for i, t in enumerate(text.iloc[at : at + ROWS_AT_ONCE]):
                 if t and (hit := presence(t)) is not None:
-                    rows.append(at + i), bits.append(hit[m.slots]), norms.append(np.sqrt(hit.sum()))
+                    rows.append(at + i), hits.append(np.packbits(hit)), bits.append(hit[m.slots]), norms.append(np.sqrt(hit.sum()))
             if rows:
                 got = m.scores(np.array(bits), np.array(norms, np.float32))
                 best = got.argmax(axis=1)
                 lang[rows] = names[best]
-                score[rows] = np.clip((1 + got[np.arange(len(rows)), best]) / 2, 0.0, 1.0)
+                score[rows] = [m.belongs(np.unpackbits(hit).view(bool), b) for hit, b in zip(hits, best, strict=True)]
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
     return docs.withColumn("p", judge(F.col("text").cast("string")))
 
 
 def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs whose language is known with at least that score, with all their columns."""
-    return predict(docs, fit(docs)).where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= least)).drop("p")
+    """The rows of docs whose language is known with at least that score, with all their columns.
+
+    Where there is nothing to learn from, all rows with letters stay.
+    """
+    model = fit(docs)
+    if model is None:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    return predict(docs, model).where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= least)).drop("p")
