@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from factloom.functions import dates as D
 from factloom.functions import logic as L
 from factloom.functions import text as T
+from factloom.operators import cues, ladders
 from factloom.operators import joins as J
-from factloom.operators import ladders
 
 from .registry import query, table
 
@@ -134,14 +134,9 @@ _CUE_ROWS = ", ".join(f"('{f}', {i}, '{c}', '{t}')" for i, (f, c, t) in enumerat
 SELECT doc_id, field, cue, CAST(pos AS INTEGER) AS pos, CAST(round(least(0.95, 0.4 + CASE WHEN kind IN ('DATE', 'URL', 'INTEGER') THEN 0.2 ELSE 0 END + CASE WHEN contains(cue, ' ') THEN 0.1 ELSE 0 END), 2) AS DOUBLE) AS confidence
 FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, field ORDER BY ord) = 1""")
 def x4_cue_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = F.lower("text")
-    made = []
-    for ord_, (field, cue, kind) in enumerate(CUES):
-        sure = min(0.95, 0.4 + 0.2 * (kind in ("DATE", "URL", "INTEGER")) + 0.1 * (" " in cue))
-        made.append(F.struct(F.lit(field).alias("field"), F.lit(ord_).alias("ord"), F.lit(cue).alias("cue"), F.instr(low, cue).alias("pos"), F.lit(round(sure, 2)).alias("confidence")))
-    hits = F.filter(F.array(*made), lambda h: h["pos"] > 0)
-    first = F.filter(hits, lambda h: ~F.exists(hits, lambda g: (g["field"] == h["field"]) & (g["ord"] < h["ord"])))
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(first).alias("h")).select("doc_id", "h.field", "h.cue", "h.pos", "h.confidence")
+    """Typed facts with values, of the 18 fields and of those in CUES; the SQL says only where the cues of CUES stand."""
+    own = {(field, kind): tuple(c for f, c, _ in CUES if f == field) for field, _, kind in CUES}
+    return cues.typed_facts(table(spark, sf_dir, "documents"), cues.FIELDS + tuple((*of, c) for of, c in own.items()))
 
 
 @query("""SELECT doc_id, CAST(greatest(1, 1 + ceil((length(coalesce(text, '')) - 320) / 160.0)) AS BIGINT) AS n_windows FROM documents""")

@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from factloom.llm import string_kernel_lang
-from factloom.operators import stateful
+from factloom.operators import cues, stateful
 from factloom.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +66,25 @@ def test_language_rejects_what_was_not_learned(spark):
             assert len(ids(other) & kept) <= 0.05 * other.count()
     unlabelled = planted.union(spark.createDataFrame([(1, "12 34", None)], docs.schema))
     assert string_kernel_lang.keep_known(unlabelled).count() == len(foreign)
+
+
+def test_facts_have_values(spark):
+    texts = [
+        "call us, license, http and last date unknown.",
+        "Total vacancies: 1,250 posts. Last date to apply is 31st March 2026; closing date 1/4/26.",
+        "The exam is held on 31/02/2025 or May 5, 2025. Official website below.\n" + "x " * 200 + "see https://a.example.org/x.",
+        "Last date soon, closing date 05-06-2027" + " y" * 150,
+        "last date" + " z" * 120 + " closing date 07.08.2027",
+        "vacancy" + " w" * 120 + " 12",
+        None,
+    ]
+    got = cues.typed_facts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["field"], r["value"], r["cue"], r["confidence"]) for r in got} == {
+        (1, "vacancies", "1250", "vacanc(?:y|ies)", 0.6), (1, "application_last_date", "2026-04-01", "last date", 0.7),
+        (2, "exam_date", "2025-05-05", "held on", 0.7), (2, "official_website", "https://a.example.org/x", "official website", 0.7),
+        (3, "application_last_date", "2027-06-05", "last date", 0.7), (4, "application_last_date", "2027-08-07", "closing date", 0.7),
+    }
+    assert all(r["value"] and r["raw_value"] in r["evidence"] for r in got if r["value_type"] != "URL") and all(len(r["evidence"]) <= 200 for r in got)
+    assert len(cues.FIELDS) == 18
+    out = QUERIES["x4_cue_facts"].run(spark, SF)
+    assert "value" in out.columns and out.count() > 0 and out.where("value IS NULL").count() == 0
