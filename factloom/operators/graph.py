@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from factloom.functions import urls as U
 
@@ -40,8 +44,20 @@ def ancestors(tree: DataFrame, depth: int) -> DataFrame:
     return out.select("node", F.element_at("path", 1).alias("root"), (F.size("path") - 1).alias("level"), F.array_join("path", "/").alias("path"))
 
 
+#: An anchor up to its href and the value in double quotes, single quotes or none, as the reference reads it.
+_HREF = r"""(?i)<a[\s/][^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
+
+
+@F.pandas_udf(StringType())
+def _unescape(c: pd.Series) -> pd.Series:
+    return c.map(lambda s: html.unescape(s).strip())
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """page_id, pos, href and the absolute, normalised target of every anchor, in page order."""
-    hrefs = F.regexp_extract_all("html", F.lit(r'<a\s[^>]*?href="([^"]*)"'), F.lit(1))
-    at = pages.select("page_id", "url", F.posexplode(hrefs).alias("pos", "href"))
+    """page_id, pos, href and the absolute, normalised target of every anchor with an href, in page order.
+
+    Any letter case, blanks at the equals sign, either quotes or none; entities in the value are resolved.
+    """
+    found = F.transform(F.regexp_extract_all("html", F.lit(_HREF), F.lit(0)), lambda a: F.concat(*[F.regexp_extract(a, _HREF, i) for i in (1, 2, 3)]))
+    at = pages.select("page_id", "url", F.posexplode(found).alias("pos", "raw")).withColumn("href", _unescape("raw"))
     return at.select("page_id", "url", "pos", "href", U.normalise(U.resolve(F.col("href"), F.col("url"))).alias("target"))

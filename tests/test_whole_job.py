@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from factloom.llm import string_kernel_lang
-from factloom.operators import cues, stateful
+from factloom.operators import cues, graph, stateful
 from factloom.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -88,3 +88,11 @@ def test_facts_have_values(spark):
     assert len(cues.FIELDS) == 18
     out = QUERIES["x4_cue_facts"].run(spark, SF)
     assert "value" in out.columns and out.count() > 0 and out.where("value IS NULL").count() == 0
+
+
+def test_links_as_pages_write_them(spark):
+    html = """<a href='one'>1</a> <A HREF="/two?a=1&amp;b=2">2</A> <a class=x href ="three">3</a> <a href=/four>4</a> <a
+    title="it's" href = 'five&#x2f;&eacute;'>5</a> <a name="none">none</a> <abbr href="no">x</abbr> <a href="">6</a> <a id=i's href=" seven ">7</a> <a href="mailto:a@b">8</a>"""
+    got = graph.page_links(spark.createDataFrame([(1, "https://h.example.org/d/p", html), (2, "https://h.example.org/", None)], "page_id long, url string, html string")).orderBy("pos").collect()
+    assert [r["href"] for r in got] == ["one", "/two?a=1&b=2", "three", "/four", "five/é", "", "seven", "mailto:a@b"]
+    assert got[1]["target"] == "https://h.example.org/two?a=1&b=2" and got[0]["target"] == "https://h.example.org/d/one"
