@@ -90,7 +90,7 @@ def x17_overlay_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("props", "$.k").cast("long").alias("k"), F.col("event_id").alias("seq"), "value",
         F.when(kind == "click", "ADD").when(kind == "view", "AMEND").when(kind == "purchase", "SUPERSEDE").otherwise("RETIRE").alias("kind"), (F.col("value") > 5).alias("active"),
     )
-    base = table(spark, sf_dir, "part").where("p_partkey % 2 = 0 AND p_partkey < 100").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("value"))
+    base = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("value"))
     return ladders.apply_overlays(base, o, "k")
 
 

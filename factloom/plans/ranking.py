@@ -62,7 +62,8 @@ def j19_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
 t AS (SELECT b AS n, sum(direct * affinity * {DAMPING}) AS moved FROM d JOIN aff ON a = d.n WHERE affinity > {LEAST_AFFINITY} GROUP BY 1)
 SELECT n_nationkey, round(CAST(CASE WHEN direct IS NULL THEN least(coalesce(moved, 0), {CAP} * top) ELSE direct + coalesce(moved, 0) END AS DOUBLE), 4) AS score FROM nation LEFT JOIN d ON d.n = n_nationkey LEFT JOIN t ON t.n = n_nationkey, m""")
 def a15_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    direct = table(spark, sf_dir, "customer").where("c_acctbal > 9000 AND c_nationkey % 2 = 0").groupBy(F.col("c_nationkey").alias("n")).agg(F.count("*").cast("double").alias("direct"))
+    even = F.col("c_nationkey") - F.col("c_nationkey") % 2  # customers count for even nations, so that odd ones have no direct score
+    direct = table(spark, sf_dir, "customer").groupBy(even.alias("n")).agg(F.count("*").cast("double").alias("direct"))
     moved = direct.join(affinity(_items(spark, sf_dir)), F.col("n") == F.col("a")).groupBy(F.col("b").alias("n")).agg(F.sum(F.col("direct") * F.col("affinity") * DAMPING).alias("moved"))
     top = direct.agg(F.max("direct").alias("top"))
     met = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_nationkey").alias("n")).join(direct, "n", "left").join(moved, "n", "left").crossJoin(F.broadcast(top))
