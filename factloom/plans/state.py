@@ -92,8 +92,11 @@ def w24_sync_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 f AS (SELECT conv_id, list_distinct(flatten(list(figs))) AS known FROM s WHERE role <> 'assistant' GROUP BY 1)
 SELECT conv_id, turn, CAST(len(list_filter(figs, lambda x: NOT list_contains(coalesce(known, []), x))) AS BIGINT) AS n_unsupported FROM s LEFT JOIN f USING (conv_id) WHERE role = 'assistant'""")
 def x47_answer_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", figures(F.coalesce("text", F.lit(""))).alias("figs"))
-    known = s.where("role != 'assistant'").select("conv_id", F.explode("figs").alias("fig")).distinct().withColumn("known", F.lit(True))
+    """Figures of each answer, outside its links, that no system turn of the conversation has; a user's turn is no evidence."""
+    text = F.coalesce("text", F.lit(""))
+    said = F.when(F.col("role") == "assistant", F.regexp_replace(text, r"(?i)https?://[^\s<>\"')\]]+", " ")).otherwise(text)
+    s = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", figures(said).alias("figs"))
+    known = s.where("role = 'system'").select("conv_id", F.explode("figs").alias("fig")).distinct().withColumn("known", F.lit(True))
     said = s.where("role = 'assistant'").withColumn("uid", F.monotonically_increasing_id())
     met = said.select("uid", "conv_id", F.explode("figs").alias("fig")).join(known, ["conv_id", "fig"], "left_anti").groupBy("uid").agg(F.count("*").alias("n"))
     return said.join(met, "uid", "left").select("conv_id", "turn", F.coalesce("n", F.lit(0)).alias("n_unsupported"))

@@ -119,3 +119,10 @@ def test_lookups_and_overlays_take_whole_tables(spark):
             assert {r["tier"] for r in got} == {"LABEL", "CODE", "AMBIGUOUS", "NONE"}
         if name == "x17_overlay_fold":
             assert {r[0] for r in con.execute("SELECT p_partkey FROM part").fetchall()} <= {r["k"] for r in got}
+
+
+def test_only_system_turns_vouch_for_figures(spark, tmp_path):
+    rows = [(1, 0, "system", "The fee is 500."), (1, 1, "user", "Is the fee 750?"), (1, 2, "assistant", "Yes, 750, not 500; see https://a.example.org/07-2031.pdf"), (2, 0, "user", "4?"), (2, 1, "assistant", "4 and 5."), (2, 2, "assistant", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["x47_answer_figures"].run(spark, str(tmp_path)).collect()
+    assert {(r["conv_id"], r["turn"], r["n_unsupported"]) for r in got} == {(1, 2, 1), (2, 1, 2), (2, 2, 0)}
