@@ -13,7 +13,8 @@ into query blocks of QUERY_BLOCK rows and each data block is joined with each qu
 
 Cases: null vectors and vectors with a null or non-finite component take no part, as query or candidate; vectors of
 another length than the query's are no candidates; ties go to the smaller id, also within thousands of equal vectors;
-repeated ids are separate candidates and a query leaves out every row of its own id; an empty table gives no rows.
+repeated ids are separate candidates and a query leaves out every row of its own id; a repeated query id has k rows for
+each of its rows; a null id is a candidate, at ties the smallest, and never a query; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,14 +33,15 @@ QUERY_EVERY = 50
 BLOCK = 4096
 QUERY_BLOCK = 1024
 FIRST_DEPTH = 0.125
+NO_ID = -(1 << 63)  # stands for a null id while ids are whole numbers of numpy
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, x (whole numbers as doubles) and dim, of the vectors that take part."""
     x = F.transform(F.col(vec_col), lambda v: F.floor(v.cast("double") * SCALE).cast("double"))
     finite = F.forall(F.col(vec_col), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    kept = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & finite)
-    return kept.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"), F.size(vec_col).alias("dim"))
+    kept = vectors.where(F.col(vec_col).isNotNull() & finite)
+    return kept.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("vec_id"), x.alias("x"), F.size(vec_col).alias("dim"))
 
 
 def nra_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -95,7 +97,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, block: int =
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-n // every // query_block))
     uid = F.xxhash64("vec_id", "x", F.monotonically_increasing_id())
     data = rows.withColumn("block", F.pmod(uid, F.lit(blocks)).cast("int"))
-    asked = rows.where(F.col("vec_id") % every == 0).withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int"))
+    asked = rows.where((F.col("vec_id") != NO_ID) & (F.col("vec_id") % every == 0)).withColumn("q_row", F.monotonically_increasing_id()).withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int"))
     data = data.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
@@ -103,14 +105,14 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, block: int =
         found = []
         for dim in sorted(set(left["dim"]) & set(right["dim"])):
             c, q = left[left["dim"] == dim], right[right["dim"] == dim]
-            ids, qids = c["vec_id"].to_numpy(), q["vec_id"].to_numpy()
+            ids, qids, q_rows = c["vec_id"].to_numpy(), q["vec_id"].to_numpy(), q["q_row"].to_numpy()
             cx, qx = np.stack(c["x"].to_list()).reshape(len(c), dim), np.stack(q["x"].to_list()).reshape(len(q), dim)
             for at in range(0, len(q), 128):
-                for query, (near, score) in zip(qids[at : at + 128], nra_block(ids, cx, qids[at : at + 128], qx[at : at + 128], k), strict=True):
-                    found.append(pd.DataFrame({"query_id": query, "vec_id": near, "score": score.astype(np.int64)}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+                for q_row, query, (near, score) in zip(q_rows[at : at + 128], qids[at : at + 128], nra_block(ids, cx, qids[at : at + 128], qx[at : at + 128], k), strict=True):
+                    found.append(pd.DataFrame({"q_row": q_row, "query_id": query, "vec_id": near, "score": score.astype(np.int64)}))
+        return pd.concat(found) if found else pd.DataFrame({"q_row": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
 
     pairs = ["block", "q_block", "dim"]
-    best = data.groupBy("block", "q_block").cogroup(asked.groupBy("block", "q_block")).applyInPandas(search, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = data.groupBy("block", "q_block").cogroup(asked.groupBy("block", "q_block")).applyInPandas(search, "q_row long, query_id long, vec_id long, score long")
+    w = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 from pyspark.sql import functions as F
 
-from factloom.llm import string_kernel_lang
+from factloom.llm import string_kernel_lang, topk_nra
 from factloom.operators import cues, graph, stateful
 from factloom.plans.catalog import QUERIES
 
@@ -126,3 +126,11 @@ def test_only_system_turns_vouch_for_figures(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = QUERIES["x47_answer_figures"].run(spark, str(tmp_path)).collect()
     assert {(r["conv_id"], r["turn"], r["n_unsupported"]) for r in got} == {(1, 2, 1), (2, 1, 2), (2, 2, 0)}
+
+
+def test_each_query_row_has_its_own_neighbours(spark):
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [0.0, 1.0]), (None, [9.0, 0.5]), *[(i, [float(i), 8.0 - i]) for i in range(1, 9)]]
+    got = topk_nra.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=3).collect()
+    by = sorted((r["query_id"], r["rank"], -1 if r["vec_id"] is None else r["vec_id"]) for r in got)
+    want = [(50, rank, i) for own in ([-1, 8, 7, 6, 5], [-1, 8, 7, 6, 5], [1, 2, 3, 4, 5]) for rank, i in enumerate(own, 1)]
+    assert by == sorted(want)
