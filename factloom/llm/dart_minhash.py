@@ -1,7 +1,7 @@
 """Operator 2, near-duplicate detection with DartMinHash signatures.
 
-A document is the set of its five-word shingles, or with weighting="tf" the bag of them.  For every element, hashed
-darts fall on its weight axis, cut into the regions [0, 1), [1, 2), [2, 4), ..., as a Poisson process in rank: the gaps
+A document is the bag of its five-word shingles: a shingle weighs as often as it occurs (with weighting="set" once).
+Similarity is the weighted Jaccard of bags, common weight over joint weight.  For every element, hashed darts fall on its weight axis, cut into the regions [0, 1), [1, 2), [2, 4), ..., as a Poisson process in rank: the gaps
 between a region's darts are exponential with the region's length as rate, all taken from the element's hash, so any
 two documents throw the same darts at an element they share.  A document keeps the darts below its element's weight,
 each dart belongs to one of K coordinates, and the earliest dart of each coordinate is the signature.  Two signatures
@@ -10,15 +10,16 @@ about K (ln K + SLACK) are kept are made, so a signature costs one exponential f
 darts it needs, not K hashes for each element.
 
 BANDS bands of ROWS coordinates make buckets (at similarity 0.8 a pair shares none with probability 3e-6).  Documents
-with equal shingle sets are one node first.  In a bucket every member is compared with a leader, the member that meets
+with equal bags are one node first.  In a bucket every member is compared with a leader, the member that meets
 the most others over all its bands, so a family of copies of one text is linked through it without listing its pairs.
 Members that are not similar to their leader can still be similar to another member; where a bucket's members are not
 in one component afterwards, a prefix join over their shingles finds the pairs that can be, and leaves none out.
-Every comparison is the exact Jaccard similarity of whole texts.  Components of the links are the classes.
+Every comparison is the exact (weighted) Jaccard similarity of whole texts.  Components of the links are the classes.
 
 Cases: null text is empty; a text of 1 to 4 words is one shingle; a text without words is alone in its class; a null
-doc_id sorts after others; rows that share a doc_id but not the text are separate rows; repeated rows share a class;
-an empty table gives none; other columns of any name are ignored.
+doc_id sorts after others; rows that share a doc_id but not the text are separate rows; repeated rows share a class; of
+every class exactly one row is kept, that with the smallest doc_id, also where ids repeat; an empty table gives none;
+other columns of any name are ignored, and keep_one() returns them as they are.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize, text_of
+from .shared import discard, materialize, only_kept, text_of, whole_text
 
 SHINGLE = 5
 LEAST = 0.8
@@ -45,8 +46,8 @@ SLACK = 3.0
 TINY = 1e-9
 #: Rows whose shingles a task makes at once, so that what a worker holds does not follow the size of Arrow's batches.
 ROWS_AT_ONCE = 256
-#: Most numbers of documents (8 bytes each) that are broadcast; beyond it they are joined by a shuffle.
-BROADCAST_ROWS = 4_000_000
+#: By shingle counts; "set" counts each shingle once.
+WEIGHTING = "tf"
 
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -66,6 +67,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def dart_signature(elements: np.ndarray, weights: np.ndarray | None = None, k: int = K) -> np.ndarray:
     """k coordinates (64-bit numbers) of a weighted set: distinct 64-bit element hashes, and weights (1 each if None)."""
+    if weights is not None and len(weights) and weights.max() <= 1:
+        weights = None  # one region each, and all of it
     with np.errstate(over="ignore"):
         if weights is None:
             seed, start, length, weight, total = mix(elements), None, np.ones(len(elements)), None, float(len(elements))
@@ -146,10 +149,10 @@ def _digest(own: np.ndarray, counts: np.ndarray | None) -> bytes:
     return h.digest()
 
 
-def signatures(docs: DataFrame, weighting: str = "set", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, text_hash, n_shingles, digest of the shingles (null if none) and the band keys."""
+def signatures(docs: DataFrame, weighting: str = WEIGHTING, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, text_hash, text_check, n_shingles, digest of the shingles (null if none) and the band keys."""
     text = text_of()
-    schema = "doc_id long, text_hash long, n_shingles int, digest binary, bands array<long>"
+    schema = "doc_id long, text_hash long, text_check long, n_shingles int, digest binary, bands array<long>"
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
@@ -171,18 +174,16 @@ def signatures(docs: DataFrame, weighting: str = "set", bands: int = BANDS, rows
             ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), lists],
-                names=["doc_id", "text_hash", "n_shingles", "digest", "bands"],
+                [b.column("doc_id"), b.column("text_hash"), b.column("text_check"), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), lists],
+                names=["doc_id", "text_hash", "text_check", "n_shingles", "digest", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), word_hashes(text).alias("words")).mapInArrow(sign, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *whole_text(), word_hashes(text).alias("words")).mapInArrow(sign, schema)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, weighting: str) -> DataFrame:
     """digest, own (sorted shingles; in bags the k-th copy of a shingle is an element of its own) of the wanted nodes (digest, rep)."""
     ids = wanted.select(F.col("rep").alias("_rep")).distinct()
-    if wanted.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     some = some.join(ids, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi").select(word_hashes(F.col("text")).alias("words"))
 
@@ -236,56 +237,61 @@ def _by_prefix(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
-def links_and_nodes(docs: DataFrame, least: float = LEAST, weighting: str = "set") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """rows (signatures), nodes (distinct shingle sets: digest, rep, size, n_shingles) and the components of their links (node, comp)."""
-    rows = materialize(signatures(docs, weighting), "signatures")
-    nodes = rows.where("digest is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")
-    )
-    nodes = materialize(nodes, "nodes")
+def links_and_nodes(docs: DataFrame, least: float = LEAST, weighting: str = WEIGHTING) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows (signatures), nodes (distinct shingle bags: digest, first, rep, size, bands) and the components of their links (node, comp)."""
+    rows = materialize(signatures(docs, weighting).withColumn("uid", F.monotonically_increasing_id()), "signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "uid"))
+    nodes = rows.where("digest is not null").groupBy("digest").agg(first.alias("first"), F.count("*").alias("size"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes.withColumn("rep", F.col("first.doc_id")), "nodes")
     every = nodes.select(F.col("digest").alias("node"), F.explode("bands").alias("bucket"))
     shared = every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = every.join(shared, "bucket")
     fame = members.groupBy("node").agg(F.sum("n").alias("fame"))
     members = materialize(members.join(fame, "node"), "members")
-    known = fame.select(F.col("node").alias("digest")).join(nodes.select("digest", "rep"), "digest")
-    sets = materialize(_sets_of(docs, materialize(known, "known"), weighting), "sets")
+    known = members.select(F.col("node").alias("digest")).distinct().join(nodes.select("digest", "rep"), "digest")
+    known = materialize(known, "known")
+    sets = materialize(_sets_of(docs, known, weighting), "sets")
+    discard(known)
 
     # first every member with its bucket's leader
     leaders = members.groupBy("bucket").agg(F.max_by("node", F.struct("fame", "node")).alias("leader"))
-    led = materialize(members.select("bucket", "node", "n").join(leaders, "bucket").where("node != leader"), "led")
+    led = members.select("bucket", "node", "n").join(leaders, "bucket").where("node != leader")
     links = materialize(_similar(led.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), sets, least), "links")
     comp = components(links)
     # then, of buckets of three and more whose members are not yet in one component, the members of different components
     label = F.coalesce("comp", "node")
     split = members.where("n > 2").select("bucket", "node").join(comp, "node", "left").select("bucket", "node", label.alias("comp"))
     spread = split.groupBy("bucket").agg((F.min("comp") != F.max("comp")).alias("open")).where("open")
-    still = split.join(spread, "bucket", "left_semi").select("node", "comp").distinct()
-    more = materialize(_similar(_by_prefix(materialize(still, "open"), sets, least), sets, least), "links")
+    still = materialize(split.join(spread, "bucket", "left_semi").select("node", "comp").distinct(), "open")
+    discard(members)
+    more = materialize(_similar(_by_prefix(still, sets, least), sets, least), "links")
+    discard(sets)
     if more.limit(1).count():
         comp = components(links.union(more))
     return rows, nodes, comp
 
 
-def near_dedup(docs: DataFrame, least: float = LEAST, weighting: str = "set") -> DataFrame:
-    """One row for each row of docs: doc_id, text_hash, n_shingles, class_id (smallest doc_id of the class), class_size, kept."""
+def _judged(docs: DataFrame, least: float, weighting: str) -> DataFrame:
     rows, nodes, comp = links_and_nodes(docs, least, weighting)
-    classed = nodes.select("digest", "rep", "size").join(comp.withColumnRenamed("node", "digest"), "digest", "left")
+    classed = nodes.select("digest", "first", "size").join(comp.withColumnRenamed("node", "digest"), "digest", "left")
     linked = classed.where("comp is not null")
-    whole = linked.groupBy("comp").agg(F.min("rep").alias("class_id"), F.sum("size").alias("class_size"), F.min(F.struct(F.col("rep").isNull(), "rep", "digest")).alias("first"))
-    special = linked.join(whole, "comp").select("digest", "class_id", "class_size", F.col("first.digest").alias("first"))
-    special = special.union(classed.where("comp is null and size > 1").select("digest", F.col("rep").alias("class_id"), F.col("size").alias("class_size"), F.col("digest").alias("first")))
+    whole = linked.groupBy("comp").agg(F.sum("size").alias("class_size"), F.min("first").alias("first"))
+    special = linked.select("digest", "comp").join(whole, "comp").select("digest", "class_size", "first")
+    special = special.union(classed.where("comp is null and size > 1").select("digest", F.col("size").alias("class_size"), "first"))
     own = F.col("class_size").isNull()
     return rows.drop("bands").join(special, "digest", "left").select(
-        "doc_id", "text_hash", "n_shingles",
-        F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "doc_id", "text_hash", "text_check", "n_shingles",
+        F.when(own, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        (own | (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("first")))).alias("kept"),
+        (own | (F.col("uid") == F.col("first.uid"))).alias("kept"),
     )
 
 
-def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
+def near_dedup(docs: DataFrame, least: float = LEAST, weighting: str = WEIGHTING) -> DataFrame:
+    """One row for each row of docs: doc_id, text_hash, n_shingles, class_id (smallest doc_id of the class), class_size, kept."""
+    return _judged(docs, least, weighting).drop("text_check")
+
+
+def keep_one(docs: DataFrame, least: float = LEAST, weighting: str = WEIGHTING) -> DataFrame:
     """The rows of docs without those whose class has another that stays, with all their columns."""
-    gone = near_dedup(docs, least).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text_of()) == F.col("_gone_hash"))
-    return docs.join(gone, same, "left_anti")
+    return only_kept(docs, _judged(docs, least, weighting))

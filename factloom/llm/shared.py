@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +14,19 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_stages"
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset a local session (one process) gets a folder of its own; on a cluster it is refused, since
+    executors would write to their own disks.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    own = tempfile.mkdtemp(prefix="stages-")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -49,8 +62,8 @@ def _remove() -> None:
     for spark, path in _written:
         try:
             _delete(spark, path)
-        except Exception:  # the session has ended: its folder goes with the cluster's clean-up
-            return
+        except Exception:  # noqa: S112  the session has ended, or this one is gone: the others are still tried
+            continue
 
 
 def text_of(column: str = "text") -> Column:
@@ -61,3 +74,31 @@ def text_of(column: str = "text") -> Column:
 def input_partitions(df: DataFrame) -> int:
     """Partitions for a shuffle of rows derived from df, as the session says."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def whole_text(column: Column | str = "text") -> list[Column]:
+    """Two 64-bit hashes that tell a whole text from any other."""
+    text = text_of(column) if isinstance(column, str) else F.coalesce(column.cast("string"), F.lit(""))
+    return [F.xxhash64(text).alias("text_hash"), F.xxhash64(text, F.lit("check")).alias("text_check")]
+
+
+def only_kept(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that judged (doc_id, text_hash, text_check, kept) keeps, with all their columns, whatever their names.
+
+    A row is known by its id and whole text.  Only the narrow table of what goes is joined with docs.  Of rows with
+    one id and one text of which judged keeps one, exactly one stays: they are rare, and read again only if they occur.
+    """
+    names = ["doc_id", "text_hash", "text_check"]
+    told = judged.groupBy(*names).agg(F.count("*").alias("n"), F.max("kept").alias("any"))
+    told = materialize(told.where("n > 1 or not any"), "verdicts")
+
+    def same(other: DataFrame):
+        mine = [docs[id_col].cast("long"), *whole_text(docs[text_col])]
+        return mine[0].eqNullSafe(other["doc_id"]) & (mine[1] == other["text_hash"]) & (mine[2] == other["text_check"])
+
+    rest = docs.join(told, same(told), "left_anti")
+    again = told.where("any")
+    if not again.limit(1).count():
+        return rest
+    some = docs.join(again, same(again), "left_semi").select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), *whole_text(text_col))
+    return rest.unionByName(some.dropDuplicates(names).select("row.*"))

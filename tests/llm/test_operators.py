@@ -70,17 +70,44 @@ def test_exact_dedup(name, request):
             want[i, best[0], len(own), kept, sha] += 1
     got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact_dedup.exact_dedup(docs).collect())
     assert got == want
-    assert exact_dedup.keep_one(docs).count() == len(groups)
+    stay = Counter(min(own, key=lambda r: (-len(r[1]), last(r[0]))) for own in groups.values())
+    kept = exact_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert Counter((i, t or "") for i, t in pairs(kept)) == stay
+
+
+def test_exact_dedup_keeps_the_contracts_row_and_every_column(spark):
+    rows = [(5, "x", 1, "s"), (5, " x  ", 2, "s"), (5, " x  ", 2, "s"), (6, None, 3, None), (6, "", 3, None), (None, "y", 4, "s"), (None, "y", 4, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept long, _sha string")
+    for parts in (1, 7):
+        got = exact_dedup.keep_one(docs.repartition(parts))
+        assert got.columns == docs.columns
+        assert Counter((r[0], r[1] or "", r[2], r[3]) for r in got.collect()) == Counter([(5, " x  ", 2, "s"), (6, "", 3, None), (None, "y", 4, "s")])
+
+
+def test_as_many_rounds_as_runs_take(spark):
+    assert [exact_dedup.rounds_for(n) for n in (0, 1, 2, 16, 17, 256, 257, 100_000)] == [1, 1, 1, 1, 2, 2, 3, 5]
+    rows = [(i, f"t{i % 40}", "en", "s", 1, "u", "d", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, FIELDS).repartition(9)
+    for fan_in in (2, 3, 16):
+        out = exact_dedup.exact_dedup(docs, fan_in=fan_in).collect()
+        assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in out} == {(i, i % 40, 10) for i in range(400)}
+    merged = exact_dedup.tree_merge(exact_dedup.fingerprints(docs).selectExpr("*", "monotonically_increasing_id() AS uid", "spark_partition_id() AS run"), 3)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in plan and "HashAggregate(keys=[run" not in plan
 
 
 def shingles(text):
     words = [w for w in re.split(r"[^\w]+|_", (text or "").lower()) if w]
-    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+    return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
 
 
-def classes_of(rows):
+def classes_of(rows, weighting="tf"):
     """Components of the pairs of rows at similarity 0.8 or more, as sets of row numbers."""
     sets = [shingles(t) for _, t in rows]
+    if weighting == "set":
+        sets = [Counter(set(s)) for s in sets]
+    sizes = [s.total() for s in sets]
     parent = list(range(len(rows)))
 
     def root(i):
@@ -90,31 +117,47 @@ def classes_of(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            common = len(sets[i] & sets[j])
-            if sets[i] and common and common >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
-                parent[root(i)] = root(j)
+            if min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j]) - 1e-9 and sizes[i]:
+                common = (sets[i] & sets[j]).total()
+                if common and common >= 0.8 * (sizes[i] + sizes[j] - common) - 1e-9:
+                    parent[root(i)] = root(j)
     out = defaultdict(set)
     for i in range(len(rows)):
         out[root(i)].add(i)
     return list(out.values())
 
 
+@pytest.mark.parametrize("weighting", ["tf", "set"])
 @pytest.mark.parametrize("name", ["hard", "small", "empty"])
-def test_near_dedup(name, request):
+def test_near_dedup(name, weighting, request):
     docs = request.getfixturevalue(name)
     rows = pairs(docs)
-    want = Counter()
-    for own in classes_of(rows):
+    want, stay, classes = Counter(), Counter(), classes_of(rows, weighting)
+    for own in classes:
         ids = [rows[i][0] for i in own]
         low = min((i for i in ids if i is not None), default=None)
+        stay[low] += 1
         for i in ids:
             want[i, low, len(own)] += 1
-    out = dart_minhash.near_dedup(docs).collect()
+    out = dart_minhash.near_dedup(docs, weighting=weighting).collect()
     assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in out) == want
-    for cls, n in Counter(r["class_id"] for r in out if r["kept"]).items():
-        assert n == sum(1 for own in classes_of(rows) if min((rows[i][0] for i in own if rows[i][0] is not None), default=None) == cls) or name == "hard"
-    kept = {r["doc_id"] for r in dart_minhash.keep_one(docs).select("doc_id").collect()}
-    assert {r["doc_id"] for r in out if r["kept"]} == kept
+    assert Counter(r["doc_id"] for r in out if r["kept"]) == stay
+    kept = dart_minhash.keep_one(docs, weighting=weighting)
+    assert kept.columns == docs.columns
+    assert Counter(r["doc_id"] for r in kept.select("doc_id").collect()) == stay
+
+
+def test_weights_decide_and_one_row_of_a_class_stays(spark):
+    once = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, once), (7, once + " more"), (8, once), (9, once.upper()), (7, once), (20, f"{once} {once}"), (21, f"{once} {once} {once} {once}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 5):
+        out = dart_minhash.near_dedup(docs.repartition(parts)).collect()
+        assert sorted((r["doc_id"], r["class_id"]) for r in out) == [(7, 7), (7, 7), (7, 7), (8, 7), (9, 7), (20, 20), (21, 21)]
+        assert sorted(r["doc_id"] for r in out if r["kept"]) == [7, 20, 21]
+        by_set = dart_minhash.near_dedup(docs.repartition(parts), weighting="set").collect()
+        assert {r["class_id"] for r in by_set if r["doc_id"] in (20, 21)} == {7}
+        assert sorted(r["doc_id"] for r in dart_minhash.keep_one(docs.repartition(parts)).collect()) == [7, 20, 21]
 
 
 def test_dart_signatures_estimate_weighted_similarity():
