@@ -1,16 +1,24 @@
 """Operator 7, exact top-k search by aggregation of sorted lists without random access (NRA).
 
-Vectors are dealt into blocks by hash.  In a block every dimension has its components as a sorted list, read from the
-top for queries with a positive weight there and from the bottom for negative ones.  All queries of a query block
-read in step, to doubling depths: what is read adds to a row's lower bound (its missing terms are at least the least
-value of the list), and its upper bound is that with the value at the reading position for every list that has not
-shown it.  A query stops when the k-th best lower bound is not below the upper bound of any other row; the scores of
-the rows that still can qualify are then resolved.  Reads for many queries at once are matrix products of the
-components read so far, so the bounds cost no Python loop over entries.
+Vectors are dealt into blocks by hash, and a block's rows into leaves of about LEAF rows that lie close together (the
+rows are halved again and again along the component that varies most).  In a leaf every dimension has its components
+as a sorted list, read from the top for queries with a positive weight there and from the bottom for negative ones.
+
+A query visits the leaves in the order of their upper bounds, which the heads of a leaf's lists give before anything
+is read, and ends at the first leaf whose bound is below its k-th best score so far.  In a leaf, all queries that
+visit it read in step, to doubling depths: what is read adds to a row's lower bound (its missing terms are at least
+the last value of the list), and its upper bound is that with the value at the reading position for every list that
+has not shown it.  A query stops reading when no row outside a few can reach its k-th best lower bound (k rows so far,
+over all leaves): RESOLVE times k rows at most can then still qualify, and their final scores are resolved by reading
+the rest of their entries.  Reads for many queries at once are matrix products of the components read so far, so the
+bounds cost no Python loop over entries.  search_block() tells how many entries were read of how many.
 
 The k best of each block meet by query: k rows for each block and query.  Queries are a stated set; they are dealt
 into query blocks of QUERY_BLOCK rows and each data block is joined with each query block, never row with row.
 
+Scores are whole numbers without rounding: where products could pass 2**53, blocks are searched in Python's whole
+numbers, slower but exact.  Scores outside a long's range are ranked by their true value and reported as its limit.
+
 Cases: null vectors and vectors with a null or non-finite component take no part, as query or candidate; vectors of
 another length than the query's are no candidates; ties go to the smaller id, also within thousands of equal vectors;
 repeated ids are separate candidates and a query leaves out every row of its own id; a repeated query id has k rows for
@@ -31,88 +39,152 @@ SCALE = 256
 K = 5
 QUERY_EVERY = 50
 BLOCK = 4096
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 8192
+LEAF = 256
 FIRST_DEPTH = 0.125
-NO_ID = -(1 << 63)  # stands for a null id while ids are whole numbers of numpy
+RESOLVE = 4
+QUERIES_AT_ONCE = 1024
+EXACT = float(1 << 53)
+LONG = (-(1 << 63), (1 << 63) - 1)
+NO_ID = LONG[0]  # stands for a null id while ids are whole numbers of numpy
+#: Digits that hold any product of finite doubles.
+DIGITS = 1400
 
 
-def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """vec_id, x (whole numbers as doubles) and dim, of the vectors that take part."""
-    x = F.transform(F.col(vec_col), lambda v: F.floor(v.cast("double") * SCALE).cast("double"))
+def taking_part(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """vec_id, x (doubles) and dim, of the vectors that take part."""
     finite = F.forall(F.col(vec_col), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     kept = vectors.where(F.col(vec_col).isNotNull() & finite)
+    x = F.transform(F.col(vec_col), lambda v: v.cast("double"))
     return kept.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("vec_id"), x.alias("x"), F.size(vec_col).alias("dim"))
 
 
-def nra_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each query the (ids, scores) of its k best rows of the block, ties to the smaller id."""
+def quantised(x: np.ndarray, exact: bool = False) -> np.ndarray:
+    """floor(256 x) of doubles: doubles, or with exact Python's whole numbers."""
+    if not exact:
+        return np.floor(x * SCALE)
+    out = np.empty(x.shape, dtype=object)
+    out.flat = [int(v) * SCALE if abs(v) >= EXACT else int(np.floor(v * SCALE)) for v in x.flat]
+    return out
+
+
+def leaves_of(x: np.ndarray, leaf: int = LEAF) -> list[np.ndarray]:
+    """Row numbers of x in parts of at most leaf rows that lie close together."""
+    near, done, todo = np.clip(x.astype(float), -1e100, 1e100), [], [np.arange(len(x))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= leaf or not x.shape[1]:
+            done += [rows[a : a + leaf] for a in range(0, len(rows), leaf)]
+            continue
+        own = near[rows]
+        widest = own[:, int(own.std(axis=0).argmax())]
+        half = np.argsort(widest, kind="stable")
+        todo += [rows[half[: len(rows) // 2]], rows[half[len(rows) // 2 :]]]
+    return done
+
+
+def nra_leaf(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, reached: np.ndarray) -> tuple[list[list[tuple]], int]:
+    """For each query the (-score, id) of the rows of a leaf that can be among its k best, and how many entries were read.
+
+    reached: each query's k-th best score elsewhere (minus infinity if it has fewer).  ids ascend.
+    """
     n, dims = x.shape
-    keep = np.lexsort((ids,))
-    ids, x = ids[keep], x[keep]
+    number = object if x.dtype == object else float
     order = np.argsort(x, axis=0, kind="stable")
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
     lists = np.take_along_axis(x, order, axis=0)  # ascending, one list a column
     up, down = np.maximum(q, 0), np.minimum(q, 0)
-    floor = up @ lists[0] + down @ lists[-1] if dims else np.zeros(len(q))
-    out: list = [None] * len(q)
-    left = np.arange(len(q))
-    depth = max(1, int(n * FIRST_DEPTH))
-    low = np.zeros((len(q), n))
-    high = np.zeros((len(q), n))
-    done = 0
+    out: list = [[] for _ in range(len(q))]
+    left, entries = np.arange(len(q)), 0
+    low = np.zeros((len(q), n), dtype=number)
+    done, depth = 0, max(1, int(n * FIRST_DEPTH))
     while len(left):
         depth = min(depth, n)
-        for weight, seen_from in ((up, n - 1 - rank), (down, rank)):
-            new = np.where((seen_from >= done) & (seen_from < depth), x, 0.0)
-            w = weight[left]
-            low += w @ new.T
-            # the missing terms' least and greatest values, by what each list has still to show
-            unseen = (seen_from >= depth).astype(float)
-            top, bottom = (lists[n - depth], lists[0]) if weight is up else (lists[depth - 1], lists[-1])
-            if weight is up:
-                high, least = (w * top) @ unseen.T, (w * bottom) @ unseen.T
-            else:
-                high, least = high + (w * top) @ unseen.T, least + (w * bottom) @ unseen.T
-        upper, lower = low + high, low + least
+        most = least = 0
+        sides = ((up[left], n - 1 - rank, lists[n - depth], lists[0]), (down[left], rank, lists[depth - 1], lists[-1]))
+        for w, seen_from, next_one, end in sides:
+            new = np.where((seen_from >= done) & (seen_from < depth), x, 0)
+            low = low + w @ new.T
+            unseen = (seen_from >= depth).astype(number).T
+            most, least = most + (w * next_one) @ unseen, least + (w * end) @ unseen
+        upper, lower = low + most, low + least
         own = qids[left][:, None] == ids[None, :]
-        lower[own] = -np.inf
-        upper[own] = -np.inf
-        kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(left), -np.inf)
+        lower[own] = upper[own] = -np.inf
+        kth = reached[left]
+        if n >= k:
+            kth = np.maximum(kth, np.sort(lower, axis=1)[:, n - k])
         can = (upper >= kth[:, None]) & ~own
-        ready = (can.sum(axis=1) <= 4 * k) if depth < n else np.ones(len(left), bool)
+        ready = (can.sum(axis=1) <= RESOLVE * k) if depth < n else np.ones(len(left), bool)
         for i in np.flatnonzero(ready):
+            entries += depth * dims
             rows = np.flatnonzero(can[i])
-            score = x[rows] @ q[left[i]]
-            best = np.lexsort((ids[rows], -score))[:k]
-            out[left[i]] = (ids[rows][best], score[best])
+            if len(rows):
+                entries += (n > depth) * dims * len(rows)
+                score = x[rows] @ q[left[i]] if dims else np.zeros(len(rows))
+                out[left[i]] = sorted(zip((-score).tolist(), ids[rows].tolist(), strict=True))[:k]
         left, low, done, depth = left[~ready], low[~ready], depth, depth * 2
-    return out
+    return out, entries
+
+
+def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int = K, leaf: int = LEAF) -> tuple[list[list[tuple]], int, int]:
+    """For each query the (-score, id) of its k best rows of the block; entries read, and entries that there are to read."""
+    keep = np.argsort(ids, kind="stable")
+    ids, x = ids[keep], x[keep]
+    parts = [np.sort(p) for p in leaves_of(x, leaf)]
+    up, down = np.maximum(q, 0), np.minimum(q, 0)
+    bound = np.stack([up @ x[p].max(axis=0) + down @ x[p].min(axis=0) for p in parts], axis=1)
+    visits = np.argsort(-bound, axis=1, kind="stable")
+    reached = np.full(len(q), -np.inf, dtype=x.dtype)
+    best: list[list[tuple]] = [[] for _ in range(len(q))]
+    entries, live = 0, np.arange(len(q))
+    for turn in range(len(parts)):
+        live = live[bound[live, visits[live, turn]] >= reached[live]]
+        for p in np.unique(visits[live, turn]):
+            who = live[visits[live, turn] == p]
+            found, read = nra_leaf(ids[parts[p]], x[parts[p]], qids[who], q[who], k, reached[who])
+            entries += read
+            for i, new in zip(who.tolist(), found, strict=True):
+                if new:
+                    best[i] = sorted(best[i] + new)[:k]
+                    if len(best[i]) == k:
+                        reached[i] = -best[i][-1][0]
+    return best, entries, len(q) * x.size
 
 
-def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, block: int = BLOCK, query_block: int = QUERY_BLOCK, leaf: int = LEAF) -> DataFrame:
     """query_id, rank, vec_id, score: the k greatest inner products of each query row with all other rows."""
-    rows = quantised(vectors)
+    rows = taking_part(vectors)
     n = rows.count()
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-n // every // query_block))
     uid = F.xxhash64("vec_id", "x", F.monotonically_increasing_id())
     data = rows.withColumn("block", F.pmod(uid, F.lit(blocks)).cast("int"))
-    asked = rows.where((F.col("vec_id") != NO_ID) & (F.col("vec_id") % every == 0)).withColumn("q_row", F.monotonically_increasing_id()).withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int"))
+    asked = rows.where((F.col("vec_id") != NO_ID) & (F.col("vec_id") % every == 0)).withColumn("q_row", F.monotonically_increasing_id()).withColumn("q_block", F.pmod(F.xxhash64("vec_id", "q_row"), F.lit(query_blocks)).cast("int"))
     data = data.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
+    def found(c: pd.DataFrame, q: pd.DataFrame, dim: int) -> Iterator[tuple]:
+        ids, cx = c["vec_id"].to_numpy(), np.stack(c["x"].to_list()).reshape(len(c), dim)
+        top = np.abs(cx).max(initial=0) * SCALE + 1
+        for at in range(0, len(q), QUERIES_AT_ONCE):
+            some = q.iloc[at : at + QUERIES_AT_ONCE]
+            qx = np.stack(some["x"].to_list()).reshape(len(some), dim)
+            with np.errstate(over="ignore"):
+                exact = bool(top * (np.abs(qx).max(initial=0) * SCALE + 1) * max(dim, 1) >= EXACT)
+            best, _, _ = search_block(ids, quantised(cx, exact), some["vec_id"].to_numpy(), quantised(qx, exact), k, leaf)
+            for q_row, query, near in zip(some["q_row"], some["vec_id"], best, strict=True):
+                for minus, i in near:
+                    score = -int(minus)
+                    beyond = "" if LONG[0] <= score <= LONG[1] else f"{score % 10**DIGITS:0{DIGITS}d}"
+                    yield q_row, query, i, min(max(score, LONG[0]), LONG[1]), beyond
+
     def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        out = []
         for dim in sorted(set(left["dim"]) & set(right["dim"])):
-            c, q = left[left["dim"] == dim], right[right["dim"] == dim]
-            ids, qids, q_rows = c["vec_id"].to_numpy(), q["vec_id"].to_numpy(), q["q_row"].to_numpy()
-            cx, qx = np.stack(c["x"].to_list()).reshape(len(c), dim), np.stack(q["x"].to_list()).reshape(len(q), dim)
-            for at in range(0, len(q), 128):
-                for q_row, query, (near, score) in zip(q_rows[at : at + 128], qids[at : at + 128], nra_block(ids, cx, qids[at : at + 128], qx[at : at + 128], k), strict=True):
-                    found.append(pd.DataFrame({"q_row": q_row, "query_id": query, "vec_id": near, "score": score.astype(np.int64)}))
-        return pd.concat(found) if found else pd.DataFrame({"q_row": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
-
-    pairs = ["block", "q_block", "dim"]
-    best = data.groupBy("block", "q_block").cogroup(asked.groupBy("block", "q_block")).applyInPandas(search, "q_row long, query_id long, vec_id long, score long")
-    w = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
+            out += found(left[left["dim"] == dim], right[right["dim"] == dim], dim)
+        told = pd.DataFrame(out, columns=["q_row", "query_id", "vec_id", "score", "beyond"])
+        return told.astype({"q_row": "int64", "query_id": "int64", "vec_id": "int64", "score": "int64"})
+
+    best = data.groupBy("block", "q_block").cogroup(asked.groupBy("block", "q_block")).applyInPandas(search, "q_row long, query_id long, vec_id long, score long, beyond string")
+    w = Window.partitionBy("q_row").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")

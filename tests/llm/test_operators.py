@@ -274,6 +274,34 @@ def test_shards(name, request):
         assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(counts[s]))
     order = [r["hilbert"] for r in sorted(out, key=lambda r: (r["shard"], r["slot"]))]
     assert order == sorted(order)
+    # equal texts follow each other: a group lies in one shard unless the end of a run cuts it
+    at = {}
+    for n, r in enumerate(sorted(out, key=lambda r: (r["shard"], r["slot"]))):
+        at.setdefault((r["size"], r["text_crc32"]), []).append(n)
+    for places in at.values():
+        assert places[-1] - places[0] == len(places) - 1
+
+
+def test_shards_order_whole_strings_and_prune(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, f"{i:05d}" + "x" * int(r.integers(1, 4000)), "en" if i % 3 else "de", f"https://www.example.com/a/very/long/common/start/{int(r.integers(0, 400)):03d}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(6)
+    out = {x["doc_id"]: x["shard"] for x in hilbert_shards.shard(docs).collect()}
+    # a query for one tenth of the sources, sizes or ids finds none of its rows in many of the shards
+    for key in (lambda x: x[3], lambda x: len(x[1]), lambda x: x[0]):
+        values = sorted(key(x) for x in rows)
+        low, high = values[0], values[599]
+        reach = {}
+        for x in rows:
+            a, b = reach.get(out[x[0]], (key(x), key(x)))
+            reach[out[x[0]]] = min(a, key(x)), max(b, key(x))
+        assert sum(a <= high and b >= low for a, b in reach.values()) <= 16
+    narrow = docs.select("lang", "source")
+    cuts = hilbert_shards.string_cuts(narrow, ["lang", "source"], 16)
+    assert cuts["lang"] == ["de", "en"] and len(cuts["source"]) == 16
+    inside = np.diff([0] + [sum(x[3] <= c for x in rows) for c in cuts["source"]])
+    assert inside.max() < 2.0 * 6000 / 16
+    assert hilbert_shards._written_order("part-100000-ab-c001.snappy.parquet") > hilbert_shards._written_order("part-99999-ab-c000.snappy.parquet")
 
 
 def test_hilbert_neighbours_are_adjacent_cells():
@@ -286,12 +314,13 @@ def test_hilbert_neighbours_are_adjacent_cells():
 
 
 def nearest(rows, k=5):
-    good = [(i, np.floor(256 * np.array(v, dtype=float))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    out = set()
+    whole = lambda v: [int(x) * 256 if abs(x) >= 2**53 else int(np.floor(256 * x)) for x in v]
+    good = [(i, whole(v)) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = Counter()
     for q, x in good:
-        if q % 50 == 0:
-            found = sorted((-int(x @ y), i) for i, y in good if i != q and len(y) == len(x))[:k]
-            out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(found)}
+        if q is not None and q % 50 == 0:
+            found = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i is not None, i) for i, y in good if i != q and len(y) == len(x))[:k]
+            out.update((q, n + 1, i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for n, (s, _, i) in enumerate(found))
     return out
 
 
@@ -300,14 +329,41 @@ def test_top_k(spark):
     rows = [(i, r.normal(size=6).round(2).tolist()) for i in range(400)]
     rows += [(400 + i, rows[0][1]) for i in range(60)]
     rows += [(1000, None), (1050, [None] * 6), (1100, [float("nan")] * 6), (1150, [float("inf")] * 6), (1151, [0.0] * 6), (1200, [1.0, 2.0]), (1201, [0.5, 0.5]), (1250, [])]
+    rows += [(None, rows[0][1]), (None, rows[3][1]), (300, rows[7][1])]  # no id is a candidate; a repeated query id asks twice
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, block int, q_block string")
     rows = [(x["vec_id"], x["embedding"]) for x in df.collect()]
-    for block, query_block in ((4096, 1024), (64, 4)):
-        got = {tuple(x) for x in topk_nra.top_k(df, block=block, query_block=query_block).collect()}
+    for block, query_block, leaf in ((4096, 1024, 256), (64, 4, 16)):
+        got = Counter(tuple(x) for x in topk_nra.top_k(df, block=block, query_block=query_block, leaf=leaf).collect())
         assert got == nearest(rows)
     assert topk_nra.top_k(df.where("false")).count() == 0
 
 
+def test_top_k_of_huge_numbers(spark):
+    """Products beyond 2**53, and scores beyond a long, are ranked by their true values."""
+    rows = [(0, [3e38, 1.0]), (1, [1e30, 2.0]), (2, [1e20, 5.0]), (3, [1.0, 1.0]), (4, [-1e30, 2.0]), (5, [-1e38, 2.0]), (50, [2.0**40, 3.0]), (6, [2.0**40 + 2**20, 1.0]), (7, [-1e300, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (4096, 2):
+        assert Counter(tuple(x) for x in topk_nra.top_k(df, block=block, k=9).collect()) == nearest(rows, 9)
+
+
+def test_top_k_stops_early():
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(24, 32)) * 8
+    x = topk_nra.quantised(centres[r.integers(0, 24, 4096)] + r.normal(size=(4096, 32)) / 8)
+    ids, q = np.arange(4096), x[::50]
+    best, entries, every = topk_nra.search_block(ids, x, ids[::50], q)
+    for i, found in enumerate(best):
+        score = x @ q[i]
+        score[50 * i] = -np.inf
+        assert [-s for s, _ in found] == sorted(score, reverse=True)[:5]
+    assert entries < 0.3 * every
+    # one leaf alone: the bounds close before the lists end where few rows stand out
+    tail = np.floor(256 * r.pareto(1.5, size=(4096, 4)))
+    found, entries, every = topk_nra.search_block(ids, tail, ids[:40] + 10_000, np.ones((40, 4)), leaf=4096)
+    assert [-s for s, _ in found[0]] == sorted(tail.sum(axis=1), reverse=True)[:5]
+    assert entries < 0.7 * every
+
+
 def base_by_regex(text):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
