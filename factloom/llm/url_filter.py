@@ -1,31 +1,39 @@
-"""Operator 5, URL filters: a cascade of Bloom filters that is exact over the corpus's complete key universe.
+"""Operator 5, URL filters: cascades of Bloom filters that are exact over the corpus's complete key universe.
 
-A key is a host suffix and a path prefix that ends in ``/``.  The universe is every key that any URL of the corpus
-has.  Level 0 of a list's cascade encodes the listed keys; level 1 the keys of the universe that level 0 wrongly
-passes; level 2 the listed keys that level 1 wrongly passes, and so on until no key is passed wrongly.  A key's
-membership is then told by the parity of the first level that rejects it, for every key of the universe without error,
-and URLs are judged without a join.
+A key is a host suffix and a path prefix that ends in ``/``.  Level 0 of a list's cascade encodes the listed keys;
+level 1 the keys of the universe that level 0 wrongly passes; level 2 the listed keys that level 1 wrongly passes, and
+so on until no key is passed wrongly.  A key's membership is then told by the parity of the first level that rejects
+it, for every key of the universe without error, and URLs are judged without a join.
+
+There are three cascades: one of the hosts that rules name, over all host suffixes of the corpus, and one of the keys
+of each verdict, over all keys of the corpus whose host the first passes.  So a URL has as many keys as its path has
+parts for each of its suffixes that a rule names, and not for each of its suffixes.  Keys are 128-bit hashes made by a
+running hash over the labels and parts, so time and memory follow a URL's length.
 
 Building: each level is one pass over the surviving keys; a task sets bits in its own array and sends the words that
-are not zero, which are combined by bitwise or.  Only bit arrays reach the driver, never keys.  Their total size is
-checked against MAX_BYTES before they are broadcast; beyond it, the same membership comes from a join on the key.
+are not zero, which are combined by bitwise or.  Only bit arrays reach the driver, never keys.  Rules are dealt by
+hash into as many parts as it takes that the arrays of one part stay under MAX_BYTES; a part's arrays are broadcast
+for one pass over the URLs and freed, so no list is too long and there is no other way for long ones.
 
 Cases: a null url, or one without ``://``, has empty host and path, no rule and the default verdict; an empty path
-fits no rule (rules' paths start with ``/``); a key on both lists is allowed; repeated rows are judged row by row;
-other columns of any name are ignored; empty tables and empty lists give empty cascades.
+fits no rule (rules' paths start with ``/``); the longest key wins, of equally long ones that with the longer host; a
+key on both lists is allowed; repeated rows are judged row by row; other columns of any name are ignored; empty tables
+and empty lists give empty cascades.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
 #: The rules that the contract fixes: (key, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -33,8 +41,10 @@ DEFAULT = "allow"
 BITS_PER_KEY = 10
 HASHES = 4
 LEAST_BITS = 512
+#: Most bytes of bit arrays that are broadcast at once.
 MAX_BYTES = 256 << 20
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def host_of(url: Column) -> Column:
@@ -45,24 +55,39 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def keys_of(host: Column, path: Column) -> Column:
-    """All keys of a URL, the longest first."""
-    labels, parts = F.split(host, r"\."), F.split(path, "/")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.when(
-        F.size(parts) > 1,
-        F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))),
-    ).otherwise(F.array().cast("array<string>"))
-    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    ranked = F.transform(keys, lambda k: F.struct((-F.length(k)).alias("n"), k.alias("key")))
-    return F.transform(F.array_sort(ranked), lambda r: r["key"])
+def _running(parts: list[str], salt: bytes) -> np.ndarray:
+    """Two 64-bit hashes of parts[:1], parts[:2], ... as rows."""
+    h, out = hashlib.blake2b(salt, digest_size=16), []
+    for p in parts:
+        h.update(p.encode("utf-8", "surrogatepass") + b"\0")
+        out.append(h.digest())
+    return np.frombuffer(b"".join(out), dtype="<u8").reshape(-1, 2)
+
+
+def host_suffixes(host: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and lengths of all suffixes of the host that begin at a label, the shortest first."""
+    labels = host.split(".")[::-1]
+    return _running(labels, b"host"), np.cumsum([len(x) + 1 for x in labels]) - 1
+
+
+def path_prefixes(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and lengths of all prefixes of the path that end in a slash, the shortest first."""
+    parts = path.split("/")[:-1]
+    return _running(parts, b"path"), np.cumsum([len(x) + 1 for x in parts], dtype=np.int64)
+
+
+def joined(host: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """The hashes of keys from those of their hosts and paths."""
+    with np.errstate(over="ignore"):
+        x = (host ^ (path * _ODD + (path >> np.uint64(29)))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(31))
 
 
 def _positions(h1: np.ndarray, h2: np.ndarray, level: int, bits: int) -> np.ndarray:
     """HASHES bit positions of each key; every level mixes anew."""
     a, b = h1.astype(np.uint64), h2.astype(np.uint64)
     with np.errstate(over="ignore"):
-        b = (b ^ np.uint64(level + 1) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        b = (b ^ np.uint64(level + 1) * _ODD) | np.uint64(1)
         a = a ^ (b >> np.uint64(17)) * np.uint64(0xBF58476D1CE4E5B9)
         steps = a[:, None] + b[:, None] * np.arange(1, HASHES + 1, dtype=np.uint64)[None, :]
         steps ^= steps >> np.uint64(31)
@@ -77,16 +102,16 @@ class Cascade:
 
     levels: list[np.ndarray]
 
-    def passes(self, level: int, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    def passes(self, level: int, keys: np.ndarray) -> np.ndarray:
         words = self.levels[level]
-        at = _positions(h1, h2, level, len(words) * 64)
+        at = _positions(keys[:, 0], keys[:, 1], level, len(words) * 64)
         return ((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
 
-    def listed(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """Whether each key of the universe is listed."""
-        first = np.full(len(h1), len(self.levels))
+    def listed(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key (rows of two hashes) of the universe is listed."""
+        first = np.full(len(keys), len(self.levels))
         for level in range(len(self.levels) - 1, -1, -1):
-            first[~self.passes(level, h1, h2)] = level
+            first[~self.passes(level, keys)] = level
         return first % 2 == 1
 
     @property
@@ -94,93 +119,160 @@ class Cascade:
         return sum(x.nbytes for x in self.levels)
 
 
-def hashed(key: str | Column) -> tuple[Column, Column]:
-    return F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit("second")).alias("h2")
+def _hashes(b: pd.DataFrame) -> np.ndarray:
+    return b[["h1", "h2"]].to_numpy(dtype=np.int64).view(np.uint64)
+
 
+def _frame(keys: np.ndarray, **more: object) -> pd.DataFrame:
+    return pd.DataFrame({"h1": keys[:, 0].astype(np.int64), "h2": keys[:, 1].astype(np.int64), **more})
 
-def build_cascade(universe: DataFrame, listed: DataFrame, max_bytes: int = MAX_BYTES) -> Cascade | None:
-    """The cascade of the keys in listed over the keys in universe (both: key), or None if it would be over max_bytes."""
-    marked = listed.select("key").distinct().withColumn("in_list", F.lit(True))
-    every = universe.select("key").distinct().join(marked, "key", "full")
-    alive = materialize(every.select(*hashed("key"), F.coalesce("in_list", F.lit(False)).alias("in_list")), "keys")
+
+def build_cascade(keys: DataFrame, listed: str) -> Cascade:
+    """The cascade of the keys (h1, h2) for which the boolean column ``listed`` holds, over all the keys."""
+    spark, alive, first = keys.sparkSession, keys.select("h1", "h2", F.col(listed).alias("in_list")), True
     levels: list[np.ndarray] = []
     while True:
         level, encodes = len(levels), len(levels) % 2 == 0
-        n = alive.where(F.col("in_list") == encodes).count()
+        some = alive.where(F.col("in_list") == encodes)
+        n = some.count()
         if not n:
+            if not first:
+                discard(alive)
             return Cascade(levels)
         words = max(LEAST_BITS, n * BITS_PER_KEY) // 64 + 1
-        if sum(x.nbytes for x in levels) + 8 * words > max_bytes:
-            return None
 
         def set_bits(batches: Iterator[pd.DataFrame], level: int = level, words: int = words) -> Iterator[pd.DataFrame]:
             own = np.zeros(words, dtype=np.uint64)
             for b in batches:
-                at = _positions(b["h1"].to_numpy(), b["h2"].to_numpy(), level, words * 64).ravel()
+                h = _hashes(b)
+                at = _positions(h[:, 0], h[:, 1], level, words * 64).ravel()
                 np.bitwise_or.at(own, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
             full = np.flatnonzero(own)
             yield pd.DataFrame({"at": full, "word": own[full].astype(np.int64)})
 
-        parts = alive.where(F.col("in_list") == encodes).select("h1", "h2").mapInPandas(set_bits, "at long, word long")
+        parts = some.select("h1", "h2").mapInPandas(set_bits, "at long, word long")
         got = parts.groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
         array = np.zeros(words, dtype=np.uint64)
         array[got["at"].to_numpy(dtype=np.int64)] = got["word"].to_numpy(dtype=np.int64).astype(np.uint64)
         levels.append(array)
-        told = alive.sparkSession.sparkContext.broadcast(Cascade(list(levels)))
+        told = spark.sparkContext.broadcast(Cascade([array]))
+        skip = level
 
-        def survive(batches: Iterator[pd.DataFrame], level: int = level, encodes: bool = encodes, told=told) -> Iterator[pd.DataFrame]:
+        def survive(batches: Iterator[pd.DataFrame], level: int = skip, encodes: bool = encodes, told=told) -> Iterator[pd.DataFrame]:
             # what the level encodes, and of the rest what it passes wrongly
+            only = told.value.levels[0]
             for b in batches:
-                yield b[(b["in_list"] == encodes) | told.value.passes(level, b["h1"].to_numpy(), b["h2"].to_numpy())]
+                h = _hashes(b)
+                at = _positions(h[:, 0], h[:, 1], level, len(only) * 64)
+                passed = ((only[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
+                yield b[(b["in_list"] == encodes).to_numpy() | passed]
+
+        old, alive = alive, materialize(alive.mapInPandas(survive, "h1 long, h2 long, in_list boolean"), "keys")
+        told.destroy()
+        if not first:
+            discard(old)
+        first = False
+
+
+def hashed_rules(rules: DataFrame) -> DataFrame:
+    """key, verdict, the hashes of its host (g1, g2) and of the whole key (h1, h2) of each rule."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            split = [k.partition("/") for k in b["key"]]
+            hosts = [host_suffixes(h)[0][-1] for h, _, _ in split]
+            keys = [joined(h, path_prefixes("/" + p)[0][-1]) for h, (_, _, p) in zip(hosts, split, strict=True)]
+            hosts, keys = (np.array(x, dtype=np.uint64).reshape(-1, 2) for x in (hosts, keys))
+            yield _frame(keys, g1=hosts[:, 0].astype(np.int64), g2=hosts[:, 1].astype(np.int64), verdict=b["verdict"].to_numpy())
 
-        alive = materialize(alive.mapInPandas(survive, alive.schema), "keys")
+    return rules.where(F.col("key").like("%/")).mapInPandas(run, "h1 long, h2 long, g1 long, g2 long, verdict string")
+
+
+def _marked(universe: DataFrame, rules: DataFrame, names: list[str], verdicts: bool) -> DataFrame:
+    """The distinct keys of the universe and of rules, with what lists they are on."""
+    flags = [F.lit(False).alias("block"), F.lit(False).alias("allow")]
+    own = [(F.col("verdict") == v).alias(v) if verdicts else F.lit(True).alias(v) for v in ("block", "allow")]
+    every = universe.select("h1", "h2", *flags).unionByName(rules.select(F.col(names[0]).alias("h1"), F.col(names[1]).alias("h2"), *own))
+    return materialize(every.groupBy("h1", "h2").agg(F.max("block").alias("block"), F.max("allow").alias("allow")), "keys")
+
+
+def _host_universe(urls: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for h in b["host"].unique():
+                yield _frame(host_suffixes(h)[0])
+
+    return urls.select("host").mapInPandas(run, "h1 long, h2 long").distinct()
+
+
+def _keys_of(host: str, path: str, hosts: Cascade, every: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of a URL whose host a rule names: hashes, lengths, and lengths of their hosts."""
+    suffixes, long = every or host_suffixes(host)
+    named = hosts.listed(suffixes)
+    if not named.any() or not path:
+        return np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    prefixes, deep = path_prefixes(path)
+    keys = joined(suffixes[named][:, None, :], prefixes[None, :, :]).reshape(-1, 2)
+    return keys, (long[named][:, None] + deep[None, :]).ravel(), np.repeat(long[named], len(deep))
+
+
+def _judge(told: Broadcast) -> Callable[..., Column]:
+    """The better of what is known of a URL and the longest key that the cascades list."""
+
+    @F.pandas_udf("n int, h int, verdict string")
+    def judge(host: pd.Series, path: pd.Series, best: pd.DataFrame) -> pd.DataFrame:
+        found, hit = told.value, []
+        for h, p in zip(host, path, strict=True):
+            keys, n, of_host = _keys_of(h, p, found["hosts"])
+            allow, block = found["allow"].listed(keys), found["block"].listed(keys)
+            at = np.flatnonzero(allow | block)
+            i = max(at, key=lambda i: (n[i], of_host[i]), default=None)
+            hit.append((0, 0, None) if i is None else (int(n[i]), int(of_host[i]), "allow" if allow[i] else "block"))
+        new = pd.DataFrame(hit, columns=["n", "h", "verdict"])
+        old = best.reset_index(drop=True)
+        # of equal keys that allows (a key on both lists is in one part or, told twice, in two)
+        better = (new["n"] > old["n"]) | ((new["n"] == old["n"]) & ((new["h"] > old["h"]) | ((new["h"] == old["h"]) & (new["verdict"] == "allow"))))
+        return new.where(better, old).astype({"n": "int32", "h": "int32"})
+
+    return judge
 
 
 def url_filter(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, max_bytes: int = MAX_BYTES) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages.  rules: key (host and path that ends in /), verdict."""
-    url = F.col("url").cast("string")
-    rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path")).withColumn("keys", keys_of(F.col("host"), F.col("path")))
-    universe = rows.select(F.explode("keys").alias("key"))
-    cascades = {v: build_cascade(universe, rules.where(F.col("verdict") == v), max_bytes) for v in ("block", "allow")}
-    if any(c is None for c in cascades.values()):
-        return _by_join(rows, rules, default)
-    told = pages.sparkSession.sparkContext.broadcast(cascades)
-
-    @F.pandas_udf("at int, verdict string")
-    def judge(h1: pd.Series, h2: pd.Series) -> pd.DataFrame:
-        sizes = h1.map(len).to_numpy()
-        a = np.concatenate([*h1, np.array([], dtype=np.int64)]).astype(np.int64)
-        b = np.concatenate([*h2, np.array([], dtype=np.int64)]).astype(np.int64)
-        allow, block = (told.value[v].listed(a, b) if len(a) else np.zeros(0, bool) for v in ("allow", "block"))
-        hit = np.flatnonzero(allow | block)
-        row = np.repeat(np.arange(len(sizes)), sizes)[hit]
-        row, first = np.unique(row, return_index=True)
-        start = np.concatenate([[0], np.cumsum(sizes)])[row]
-        at, verdict = np.full(len(sizes), -1), np.full(len(sizes), None, dtype=object)
-        at[row] = hit[first] - start
-        verdict[row] = np.where(allow[hit[first]], "allow", "block")
-        return pd.DataFrame({"at": at, "verdict": verdict})
-
-    h1 = F.transform("keys", lambda k: F.xxhash64(k))
-    h2 = F.transform("keys", lambda k: F.xxhash64(k, F.lit("second")))
-    judged = rows.withColumn("j", judge(h1, h2))
-    return judged.select(
+    spark, url = pages.sparkSession, F.col("url").cast("string")
+    best = F.struct(F.lit(0).alias("n"), F.lit(0).alias("h"), F.lit(None).cast("string").alias("verdict"))
+    rows = materialize(pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), best.alias("best")), "urls")
+    told_rules = materialize(hashed_rules(rules), "rules")
+    # each listed key costs its bits in two lists and a host's, and what the levels after the first add, under a third
+    parts = max(1, -(-told_rules.count() * BITS_PER_KEY * 4 // (8 * max_bytes)))
+    universe = materialize(_host_universe(rows), "suffixes")
+    for part in range(parts):
+        own = told_rules.where(F.pmod(F.xxhash64("g1", "g2", "h1", "h2"), F.lit(parts)) == part)
+        suffixes = _marked(universe, own, ["g1", "g2"], False)
+        hosts = build_cascade(suffixes, "block")
+        discard(suffixes)
+        named = spark.sparkContext.broadcast(hosts)
+
+        def every_key(batches: Iterator[pd.DataFrame], named=named) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for h, p in b[["host", "path"]].drop_duplicates().itertuples(index=False):
+                    yield _frame(_keys_of(h, p, named.value)[0])
+
+        keys = _marked(rows.select("host", "path").mapInPandas(every_key, "h1 long, h2 long"), own, ["h1", "h2"], True)
+        cascades = {"hosts": hosts, "allow": build_cascade(keys, "allow"), "block": build_cascade(keys, "block")}
+        discard(keys)
+        told = spark.sparkContext.broadcast(cascades)
+
+        judged = rows.withColumn("best", _judge(told)("host", "path", "best"))
+        rows = materialize(judged, "urls") if part < parts - 1 else judged
+    h, n = F.col("best.h"), F.col("best.n")
+    rule = F.concat(F.right("host", h), F.left("path", n - h))
+    return rows.select(
         "page_id", "host", "path",
-        F.when(F.col("j.at") >= 0, F.get("keys", F.col("j.at"))).alias("rule"),
-        F.coalesce("j.verdict", F.lit(default)).alias("verdict"),
+        F.when(F.col("best.verdict").isNotNull(), rule).alias("rule"),
+        F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
     )
 
 
-def _by_join(rows: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The same, where the lists are too large for arrays on every executor: a join on the key."""
-    rows = materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "urls")
-    one = rules.groupBy("key").agg(F.min("verdict").alias("rule_verdict"))
-    met = rows.select("uid", F.explode("keys").alias("key")).join(one, "key")
-    best = met.groupBy("uid").agg(F.max_by(F.struct("key", "rule_verdict"), F.length("key")).alias("best"))
-    return rows.join(best, "uid", "left").select(
-        "page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict")
-    )
-
-
 def rule_table(spark: SparkSession, rules: tuple = RULES) -> DataFrame:
     return spark.createDataFrame(list(rules), "key string, verdict string")

@@ -245,19 +245,27 @@ def test_url_filter(spark):
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls + small)], "page_id long, url string, keys string")
     rules = url_filter.rule_table(spark)
     want = {i: judged(u, url_filter.RULES) for i, u in enumerate(urls + small)}
-    for limit in (url_filter.MAX_BYTES, 1):
+    for limit in (url_filter.MAX_BYTES, 10):  # in one part, and in two
         got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.url_filter(pages, rules, max_bytes=limit).collect()}
         assert got == want
     assert url_filter.url_filter(pages.where("false"), rules).count() == 0
+    assert {r["verdict"] for r in url_filter.url_filter(pages, rules.where("false")).collect()} == {"allow"}
+
+
+def test_url_filter_on_long_urls_and_ties(spark):
+    own = (*url_filter.RULES, ("b.c/", "block"), ("a.b.c/", "allow"), ("b.c/x/", "block"), ("z/", "block"), ("z/", "allow"), ("a/", "block"), ("a/a/a/a/", "allow"))
+    urls = ["http://a.b.c/x/", "http://a.b.c/y", "http://z/q", "http://q.net" + "/p" * 25_000, "http://" + "a." * 20_000 + "a" + "/a" * 30_000, "http://a.org/fr/" + "y" * 100_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.url_filter(pages, url_filter.rule_table(spark, own)).select("page_id", "rule", "verdict").collect()}
+    assert got == {0: ("a.b.c/", "allow"), 1: ("a.b.c/", "allow"), 2: ("z/", "allow"), 3: ("net/", "block"), 4: ("a/a/a/a/", "allow"), 5: ("org/fr/", "allow")}
 
 
 def test_cascade_is_exact_over_its_universe(spark):
-    keys = [f"host{i}.example/p{i % 13}/" for i in range(20_000)]
-    universe = spark.createDataFrame([(k,) for k in keys], "key string")
-    listed = spark.createDataFrame([(k,) for k in keys[::9]], "key string")
-    cascade = url_filter.build_cascade(universe, listed)
-    rows = universe.select("key", *url_filter.hashed("key")).toPandas()
-    assert set(rows["key"][cascade.listed(rows["h1"].to_numpy(), rows["h2"].to_numpy())]) == set(keys[::9])
+    r = np.random.default_rng(4)
+    keys = r.integers(0, 1 << 63, size=(20_000, 2))
+    table = spark.createDataFrame([(int(a), int(b), i % 9 == 0) for i, (a, b) in enumerate(keys)], "h1 long, h2 long, block boolean")
+    cascade = url_filter.build_cascade(table, "block")
+    assert (cascade.listed(keys.astype(np.uint64)) == (np.arange(20_000) % 9 == 0)).all()
     assert len(cascade.levels) > 1
 
 
