@@ -1,21 +1,22 @@
 r"""Operator 8, personal data by a linear-chain conditional random field over word-shape features.
 
-The field labels white-space tokens with O or B-/I- of email, ip, card and phone.  A token's features are its shape
-(letters, digits and signs, runs collapsed), its shape with digit runs counted, how many digits it has, and the
-kinds of the tokens beside it.  It is trained on the driver from TRAINING_ROWS rows of a small labelled table that
-training_table() writes out from sentence frames, by gradient ascent on the conditional likelihood.
+The field labels tokens with O or B-/I- of email, ip, card and phone.  Tokens are runs of the characters that a span
+can hold, ``[A-Za-z0-9._%+@()-]``, so a span is found between any other signs and in texts without blanks; what else
+stands between two tokens, white space aside, is a token of its own.  A token's features are its shape (letters, digits
+and signs, runs collapsed), its shape with digit runs counted, how many digits it has, and the kinds of the tokens
+beside it, all read from the whole token.  The field is trained on the driver from TRAINING_ROWS rows of a small
+labelled table that training_table() writes out from sentence frames, by gradient ascent on the conditional likelihood.
 
-Decoding is Viterbi in numpy, for all sequences of a batch at once.  A token without digit, ``@`` or ``+`` has the one
-feature ``plain``, and its weight for O is kept so high over the others that no best path gives it another label
-(more than twice the range of the transition weights); so the chain falls apart there, and only runs of other tokens,
-with O on both sides, need to be decoded.  That is exact for whole texts.
+A token without digit, ``@`` or ``+`` is plain, and plain tokens have the one label O: that is part of the model, in
+training as in decoding.  So the chain falls apart there, and only runs of other tokens, with O on both sides, need to
+be decoded.  Decoding is Viterbi in numpy, for all runs of a batch at once, and exact for whole texts.
 
 Base spans come from the fixed patterns and always stay; a span of the field is added where it overlaps no other and
 its digits or signs can be what it is called.
 
-Cases: null text is empty; texts without digits or signs have no spans; very long texts, tokens and runs of digits are
-searched in linear time; repeated rows are judged row by row; an empty table gives none; other columns of any name are
-ignored.
+Cases: null text is empty; texts without digits or signs have no spans; very long texts, tokens and runs of digits or
+of address characters are searched in linear time; repeated rows are judged row by row; an empty table gives none;
+other columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -36,17 +37,17 @@ from .shared import text_of
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-TRAINING_ROWS = 330
+TRAINING_ROWS = 495
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+#: An address is a run of LOCAL characters, the sign, and this.
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 #: A match that begins inside a run of digits would begin at its start as well.
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SIGN = re.compile(r"[0-9@+]")
-_GAP = re.compile(r"\s")
+TOKEN = re.compile(r"[A-Za-z0-9._%+@()-]+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_NOT_ADDRESS = re.compile(r"[^A-Za-z0-9._%+@-]")
 
 
 def luhn(digits: str) -> bool:
@@ -66,13 +67,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     at, done = text.find("@"), 0
     while at >= 0:
-        # the run of address characters around the sign holds every match that the sign can be part of
+        # a match has one sign, so what stands before an earlier sign, or in an earlier match, is not part of it
         start = at
         while start > done and text[start - 1] in _LOCAL:
             start -= 1
-        stop = _NOT_ADDRESS.search(text, at)
-        done = stop.start() if stop else len(text)
-        out += [("email", m.start(), m.end()) for m in EMAIL.finditer(text, start, done)]
+        done = at + 1
+        if start < at and (domain := DOMAIN.match(text, at + 1)):
+            done = domain.end()
+            out.append(("email", start, done))
         at = text.find("@", done)
     if not _SIGN.search(text):
         return out
@@ -90,33 +92,40 @@ def _octet(part: str) -> bool:
     return len(part) <= 3 and int(part or 0) <= 255
 
 
-def tokens_of(text: str) -> list[tuple[int, int]]:
-    """The white-space tokens that have a digit, ``@`` or ``+``."""
-    out, at = [], 0
-    while m := _SIGN.search(text, at):
-        start = m.start()
-        while start > at and not text[start - 1].isspace():
-            start -= 1
-        stop = _GAP.search(text, m.end())
-        at = stop.start() if stop else len(text)
-        out.append((start, at))
-    return out
+def runs_of(text: str) -> Iterator[list[tuple[int, int]]]:
+    """The runs of tokens that are not plain: their places."""
+    run: list[tuple[int, int]] = []
+    for m in TOKEN.finditer(text):
+        if run and not text[run[-1][1] : m.start()].isspace():
+            yield run
+            run = []
+        if _SIGN.search(text, m.start(), m.end()):
+            run.append(m.span())
+        elif run:
+            yield run
+            run = []
+    if run:
+        yield run
 
 
-_RUNS = re.compile(r"([A-Z]+)|([a-z]+)|([0-9]+)|(\w)\4*|(.)\5*", re.S)
+_RUNS = re.compile(r"([A-Za-z]+)|([0-9]+)|(.)\3*", re.S)
 
 
-@lru_cache(maxsize=200_000)
 def shapes(token: str) -> tuple[str, ...]:
     """The token's own features."""
-    core = token.strip(".,;:!?\"'")[:64]
+    return _shapes(token) if len(token) <= 64 else _shapes.__wrapped__(token)
+
+
+@lru_cache(maxsize=100_000)
+def _shapes(token: str) -> tuple[str, ...]:
+    core = token.strip(".")
     fine, coarse, digits = [], [], 0
     for m in _RUNS.finditer(core):
-        if m[1] or m[2] or m[4]:
+        if m[1]:
             fine.append("x"), coarse.append("x")
-        elif m[3]:
-            digits += len(m[3])
-            fine.append(f"d{min(len(m[3]), 20)}"), coarse.append("d")
+        elif m[2]:
+            digits += len(m[2])
+            fine.append(f"d{min(len(m[2]), 20)}"), coarse.append("d")
         else:
             fine.append(m[0][:1]), coarse.append(m[0][:1])
     more = digits if digits < 13 else 16 if len(core) < 20 else 20
@@ -130,7 +139,10 @@ def kind_of(token: str) -> str:
     if "@" in token:
         return "at"
     first = token[:1]
-    return ("plus" if first == "+" else "open" if first == "(" else "digit" if first.isdigit() else "other") + str(min(len(_digits(token[:24])), 8))
+    return ("plus" if first == "+" else "open" if first == "(" else "digit" if first.isdigit() else "other") + str(min(len(_digits(token)), 8))
+
+
+FEATURES = 6
 
 
 @dataclass
@@ -142,12 +154,12 @@ class Field:
     transitions: np.ndarray
 
     def rows(self, tokens: list[str], before: str, after: str) -> list[list[int]]:
-        """Feature numbers of each token; the last row of weights stands for features never seen."""
+        """Feature numbers of each token; the last row of weights stands for features never seen, and for plain tokens."""
         kinds = [before, *map(kind_of, tokens), after]
         out = []
         for i, t in enumerate(tokens):
-            own = ("plain",) if kinds[i + 1] == "plain" else (*shapes(t), "left " + kinds[i], "right " + kinds[i + 2])
-            out.append([self.index.get(f, len(self.index)) for f in own] + [len(self.index)] * (6 - len(own)))
+            own = () if kinds[i + 1] == "plain" else (*shapes(t), "left " + kinds[i], "right " + kinds[i + 2])
+            out.append([self.index.get(f, len(self.index)) for f in own] + [len(self.index)] * (FEATURES - len(own)))
         return out
 
     def decode(self, sequences: list[list[list[int]]]) -> list[np.ndarray]:
@@ -198,7 +210,7 @@ def training_table(rows: int = TRAINING_ROWS, seed: int = 7) -> list[tuple[str,
         "email": lambda: r.choice([f"{word()}.{word()}@{word()}.example.com", f"{word()}{number(2)}@{word()}.org", f"{word()}.{number(2)}@{word()}{number(1)}.example.com", f"{word()}+{word()}@{word()}.net", f"{word()}@{word()}"]),
         "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
         "card": card,
-        "phone": lambda: r.choice([f"+1 ({number(3)}) 555-{number(4)}", f"({number(3)}) 555-{number(4)}", f"+49 30 {number(4)} {number(4)}", f"+44 20 {number(4)} {number(4)}", f"+1-{number(3)}-555-{number(4)}", f"{number(3)}-555-{number(4)}"]),
+        "phone": lambda: r.choice([f"+1 ({number(3)}) 555-{number(4)}", f"({number(3)}) {number(3)}-{number(4)}", f"({number(3)}){number(3)}-{number(4)}", f"+49 30 {number(4)} {number(4)}", f"+44 20 {number(4)} {number(4)}", f"+1-{number(3)}-555-{number(4)}", f"{number(3)}-{number(3)}-{number(4)}", f"0{number(3)}-{number(3)}-{number(4)}", f"{number(3)}.{number(3)}.{number(4)}"]),
         "bad": lambda: r.choice([number(3), number(4), number(6), number(8), number(25), f"{number(2)}.{number(2)}.{number(4)}", f"{number(1)}.{number(2)}", f"{number(4)}-{number(2)}-{number(2)}", f"{number(2)}:{number(2)}", f"{number(3)},{number(3)}", f"{word()}{number(3)}", f"{number(4)} {number(4)}", f"{number(2)}/{number(2)}/{number(4)}", f"{number(3)} {number(3)} {number(3)}"]),
     }
     out = []
@@ -215,71 +227,94 @@ def training_table(rows: int = TRAINING_ROWS, seed: int = 7) -> list[tuple[str,
     return out
 
 
-def train(table: list[tuple[str, list[tuple[str, int, int]]]], steps: int = 150, rate: float = 0.5, decay: float = 1e-3) -> Field:
-    """The field with the greatest penalised conditional likelihood of the table (bounded: its rows all go to the driver)."""
+#: What a label costs that a plain token cannot have.
+NEVER = -1e9
+
+
+@dataclass
+class Labelled:
+    """A labelled table as arrays (rows x longest row): feature numbers, labels, which are tokens, which are plain."""
+
+    x: np.ndarray
+    y: np.ndarray
+    mask: np.ndarray
+    plain: np.ndarray
+
+
+def prepare(table: list[tuple[str, list[tuple[str, int, int]]]]) -> tuple[Field, Labelled]:
+    """The field without weights that knows the table's features, and the table as arrays."""
     sequences, answers = [], []
     for text, spans in table:
-        places = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
-        labels = []
-        for a, b in places:
-            hit = next((s for s in spans if s[1] < b and a < s[2]), None)
-            labels.append(LABELS.index(f"{'B' if hit and a <= hit[1] else 'I'}-{hit[0]}") if hit else 0)
-        sequences.append([text[a:b] for a, b in places]), answers.append(labels)
-    names = {"plain"}
+        tokens, labels, end = [], [], 0
+        for m in TOKEN.finditer(text):
+            if text[end : m.start()].strip():
+                tokens.append(""), labels.append(0)  # other signs are a plain token
+            a, b = m.span()
+            hit = next((s for s in spans if s[1] < b and a < s[2]), None) if kind_of(m[0]) != "plain" else None
+            tokens.append(m[0]), labels.append(LABELS.index(f"{'B' if hit and a <= hit[1] else 'I'}-{hit[0]}") if hit else 0)
+            end = b
+        sequences.append(tokens), answers.append(labels)
+    names = set()
     for tokens in sequences:
         kinds = ["plain", *map(kind_of, tokens), "plain"]
         for i, t in enumerate(tokens):
             if kinds[i + 1] != "plain":
                 names |= {*shapes(t), "left " + kinds[i], "right " + kinds[i + 2]}
     index = {f: i for i, f in enumerate(sorted(names))}
-    n_labels, none = len(LABELS), len(index)
-    field = Field(index, np.zeros((none + 1, n_labels)), np.zeros((n_labels, n_labels)))
-    longest = max(map(len, sequences))
-    x = np.full((len(table), longest, 6), none)
-    y = np.zeros((len(table), longest), int)
-    mask = np.zeros((len(table), longest), bool)
+    field = Field(index, np.zeros((len(index) + 1, len(LABELS))), np.zeros((len(LABELS), len(LABELS))))
+    shape = (len(table), max(map(len, sequences)))
+    data = Labelled(np.full((*shape, FEATURES), len(index)), np.zeros(shape, int), np.zeros(shape, bool), np.zeros(shape, bool))
     for i, (tokens, labels) in enumerate(zip(sequences, answers, strict=True)):
-        x[i, : len(tokens)] = field.rows(tokens, "plain", "plain")
-        y[i, : len(tokens)], mask[i, : len(tokens)] = labels, True
-    gold_w, gold_t = np.zeros_like(field.weights), np.zeros_like(field.transitions)
-    one = np.eye(n_labels)[y] * mask[..., None]
-    for f in range(6):
-        np.add.at(gold_w, x[..., f], one)
-    before = np.concatenate([np.zeros((len(table), 1), int), y[:, :-1]], axis=1)
-    np.add.at(gold_t, (before[mask], y[mask]), 1)
+        n = len(tokens)
+        data.x[i, :n] = field.rows(tokens, "plain", "plain")
+        data.y[i, :n], data.mask[i, :n], data.plain[i, :n] = labels, True, [kind_of(t) == "plain" for t in tokens]
+    return field, data
+
+
+def likelihood(field: Field, data: Labelled) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean log likelihood of the labels given the tokens, and its gradient by weights and transitions."""
+    x, y, mask, move = data.x, data.y, data.mask, field.transitions
+    rows, (n, longest), labels = np.arange(len(x)), mask.shape, len(LABELS)
     ends = mask.sum(axis=1) - 1
-    np.add.at(gold_t, (y[np.arange(len(table)), ends], 0), 1)
-    sum_w, sum_t = np.full_like(gold_w, 1e-8), np.full_like(gold_t, 1e-8)
-    rows = np.arange(len(table))
+    score = field.weights[x].sum(axis=2)
+    score[..., 1:][data.plain] = NEVER
+    alpha = np.zeros((n, longest, labels))
+    alpha[:, 0] = move[0] + score[:, 0]
+    for t in range(1, longest):
+        alpha[:, t] = np.logaddexp.reduce(alpha[:, t - 1, :, None] + move, axis=1) + score[:, t]
+    beta = np.broadcast_to(move[:, 0], alpha.shape).copy()
+    for t in range(longest - 2, -1, -1):
+        inner = np.logaddexp.reduce(move + (score[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2)
+        beta[:, t] = np.where((t < ends)[:, None], inner, beta[:, t])
+    total = np.logaddexp.reduce(alpha[rows, ends] + move[:, 0], axis=1)
+    before = np.concatenate([np.zeros((n, 1), int), y[:, :-1]], axis=1)
+    gold = (np.take_along_axis(score, y[..., None], 2)[..., 0] + move[before, y])[mask].sum() + move[y[rows, ends], 0].sum()
+    by_weight, by_move = np.zeros_like(field.weights), np.zeros_like(move)
+    p = np.exp(alpha + beta - total[:, None, None]) * mask[..., None]
+    over = np.eye(labels)[y] * mask[..., None] - p
+    for f in range(FEATURES):
+        np.add.at(by_weight, x[..., f], over)
+    np.add.at(by_move, (before[mask], y[mask]), 1)
+    np.add.at(by_move, (y[rows, ends], 0), 1)
+    by_move[0] -= p[:, 0].sum(axis=0)
+    by_move[:, 0] -= p[rows, ends].sum(axis=0)
+    for t in range(1, longest):
+        pair = alpha[:, t - 1, :, None] + move + (score[:, t] + beta[:, t])[:, None, :] - total[:, None, None]
+        by_move -= (np.exp(pair) * mask[:, t, None, None]).sum(axis=0)
+    by_weight[-1] = 0.0  # stands for no feature
+    return (gold - total.sum()) / n, by_weight / n, by_move / n
+
+
+def train(table: list[tuple[str, list[tuple[str, int, int]]]], steps: int = 150, rate: float = 0.5, decay: float = 1e-3) -> Field:
+    """The field with the greatest penalised conditional likelihood of the table (bounded: its rows all go to the driver)."""
+    field, data = prepare(table)
+    seen = [np.full_like(field.weights, 1e-8), np.full_like(field.transitions, 1e-8)]
     for _ in range(steps):
-        score, move = field.weights[x].sum(axis=2), field.transitions
-        alpha = np.zeros((len(table), longest, n_labels))
-        alpha[:, 0] = move[0] + score[:, 0]
-        for t in range(1, longest):
-            alpha[:, t] = np.logaddexp.reduce(alpha[:, t - 1, :, None] + move, axis=1) + score[:, t]
-        beta = np.broadcast_to(move[:, 0], alpha.shape).copy()
-        for t in range(longest - 2, -1, -1):
-            inner = np.logaddexp.reduce(move + (score[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2)
-            beta[:, t] = np.where((t < ends)[:, None], inner, beta[:, t])
-        total = np.logaddexp.reduce(alpha[rows, ends] + move[:, 0], axis=1)
-        p = np.exp(alpha + beta - total[:, None, None]) * mask[..., None]
-        want_w, want_t = np.zeros_like(gold_w), np.zeros_like(gold_t)
-        for f in range(6):
-            np.add.at(want_w, x[..., f], p)
-        want_t[0] += p[:, 0].sum(axis=0)
-        want_t[:, 0] += p[rows, ends].sum(axis=0)
-        for t in range(1, longest):
-            pair = alpha[:, t - 1, :, None] + move + (score[:, t] + beta[:, t])[:, None, :] - total[:, None, None]
-            want_t += (np.exp(pair) * mask[:, t, None, None]).sum(axis=0)
-        for value, gold, want, seen in ((field.weights, gold_w, want_w, sum_w), (field.transitions, gold_t, want_t, sum_t)):
-            step = (gold - want) / len(table) - decay * value
-            seen += step**2
-            value += rate * step / np.sqrt(seen)
-    field.weights[none] = 0.0
-    # a plain token is O on every best path
-    least = 2 * np.ptp(field.transitions) + 1.0
-    plain = field.weights[index["plain"]]
-    plain[0] = max(plain[0], plain[1:].max() + least)
+        _, *steepest = likelihood(field, data)
+        for value, step, squares in zip((field.weights, field.transitions), steepest, seen, strict=True):
+            step = step - decay * value
+            squares += step**2
+            value += rate * step / np.sqrt(squares)
     return field
 
 
@@ -298,14 +333,9 @@ def field_spans(field: Field, texts: list[str]) -> list[list[tuple[str, int, int
     """The field's spans of each text."""
     sequences, owners = [], []
     for i, text in enumerate(texts):
-        run: list[tuple[int, int]] = []
-        for place in [*tokens_of(text), None]:
-            if run and (place is None or text[run[-1][1] : place[0]].strip()):
-                sequences.append(field.rows([text[a:b] for a, b in run], "plain", "plain"))
-                owners.append((i, run))
-                run = []
-            if place is not None:
-                run.append(place)
+        for run in runs_of(text):
+            sequences.append(field.rows([text[a:b] for a, b in run], "plain", "plain"))
+            owners.append((i, run))
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     for (i, run), labels in zip(owners, field.decode(sequences), strict=True):
         t = 0
