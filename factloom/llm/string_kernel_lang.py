@@ -15,18 +15,20 @@ and all of the slots.  The score is the best of the predicted and all bounded la
 many there are.  A language with fewer than ENOUGH different training texts has no bound, and what is predicted as it
 is never rejected.
 
-Training reads only text and lang, of labelled rows that are not held out: at most PER_LANGUAGE of each language (a
-documented bound), those with the smallest hash of doc_id; their bits go to the driver.  Everything else covers all
-rows and whole texts.
+Training reads only text and lang, of labelled rows that are not held out: at most PER_LANGUAGE different texts of each
+language, and ROWS_IN_ALL of all together (documented bounds), those with the smallest hash of text and lang, so every
+language has one at least; where there are more than LANGUAGES, the ones with the most rows are learned.  Each language
+has a landmark at least.  The texts' bits go to the driver.  Everything else covers all rows and whole texts.
 
 Cases: null text and texts without letters are ``und`` with score 0, also where there is nothing to learn from; null
 lang is never learned; a null doc_id counts as held out; one-language tables give that language; repeated rows get the
-same answer; an empty table gives none; other columns of any name are ignored.
+same answer and are one text to learn from, whatever their ids; an empty table gives none; other columns of any name
+are ignored, and keep_known() returns them as they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -43,6 +45,8 @@ SLOTS = 1 << SLOT_BITS
 GRAMS = (1, 2, 3)
 LANDMARKS = 128
 PER_LANGUAGE = 200
+LANGUAGES = 128
+ROWS_IN_ALL = 12_800
 RIDGE = 1e-2
 FOLDS = 5
 UNKNOWN = "und"
@@ -51,6 +55,7 @@ LEAST_SCORE = 0.3
 #: The share of a language's own training texts below its bound, and how many different ones a bound takes.
 LEFT_OUT = 0.01
 ENOUGH = 20
+ROWS_AT_ONCE = 256
 
 
 @lru_cache(maxsize=1)
@@ -116,16 +121,21 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
 
 
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """text and lang of at most per_language rows of each language, those with the smallest hash of doc_id."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    # a first cut by hash, so that ranking meets a bounded number of rows of each language
-    cut = F.lit(False)
-    for lang, n in counts.items():
-        cut = cut | ((F.col("lang") == lang) & (share < 3 * per_language / n))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    return known.where(cut).withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("text", "lang", "_rank")
+    """text, lang and rank of at most per_language different texts of each language, those with the smallest hash."""
+    known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("text", "lang", F.xxhash64("text", "lang").alias("hash"))
+    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    languages = [r["lang"] for r in most.collect()]  # at most LANGUAGES
+    each = min(per_language, max(1, ROWS_IN_ALL // max(1, len(languages))))
+    # hashes are ranked first, with a limit on the map side as well; then only the few texts that they name are read
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    hashes = known.where(F.col("lang").isin(languages)).select("lang", "hash").distinct()
+    chosen = hashes.withColumn("rank", rank).where(F.col("rank") <= each)
+    return known.join(F.broadcast(chosen), ["lang", "hash"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))  # at most ROWS_IN_ALL rows
+
+
+def _unpacked(packed: list[bytes], slots: np.ndarray | slice = slice(None)) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1), axis=1)[:, slots].astype(np.float32)
 
 
 def fit(docs: DataFrame, landmarks: int = LANDMARKS, per_language: int = PER_LANGUAGE, ridge: float = RIDGE) -> Model | None:
@@ -134,19 +144,34 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, per_language: int = PER_LAN
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             bits = [presence(t) for t in b["text"]]
-            yield pd.DataFrame({"lang": b["lang"], "rank": b["_rank"], "bits": [None if x is None else np.packbits(x).tobytes() for x in bits]})
+            yield pd.DataFrame({"lang": b["lang"], "rank": b["rank"], "bits": [None if x is None else np.packbits(x).tobytes() for x in bits]})
 
     got = training_rows(docs, per_language).mapInPandas(pack, "lang string, rank long, bits binary").toPandas().dropna(subset=["bits"])
-    if got.empty:
-        return None
-    got = got.sort_values(["rank", "lang"], kind="stable")
-    bits = np.unpackbits(np.frombuffer(b"".join(got["bits"]), np.uint8).reshape(len(got), -1), axis=1).astype(np.float32)
-    languages = sorted(got["lang"].unique())
-    norms = np.sqrt(bits.sum(axis=1))
-    first = np.arange(min(landmarks, len(got)))  # ranks alternate between the languages
-    slots = np.flatnonzero(bits[first].any(axis=0))
-    own = bits[first][:, slots]
-    kernel = bits[:, slots] @ own.T / norms[:, None] / norms[first][None, :]
+    return solve(got, landmarks, ridge) if len(got) else None
+
+
+def solve(got: pd.DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """The model of training texts: lang, rank, bits (packed).  Whole bits are unpacked for a portion of them at a time."""
+    got = got.sort_values(["rank", "lang"], kind="stable").reset_index(drop=True)
+    packed, languages = got["bits"].tolist(), sorted(got["lang"].unique())
+    # ranks alternate between the languages, but every language's first text leads
+    lead = got.groupby("lang", sort=False).cumcount().to_numpy()
+    first = np.argsort(lead > 0, kind="stable")[: min(max(landmarks, len(languages)), len(got))]
+    own = _unpacked([packed[i] for i in first])
+    slots = np.flatnonzero(own.any(axis=0))
+    own = own[:, slots]
+    hit, texts = np.zeros((SLOTS, len(languages)), np.uint8), np.zeros((len(languages), SLOTS))
+    kernel, norms = np.zeros((len(got), len(first)), np.float32), np.zeros(len(got))
+    different = ~got.duplicated(["lang", "bits"]).to_numpy()
+    of = np.array([languages.index(x) for x in got["lang"]])
+    for at in range(0, len(got), ROWS_AT_ONCE):
+        part = slice(at, at + ROWS_AT_ONCE)
+        bits = _unpacked(packed[part])
+        norms[part] = np.sqrt(bits.sum(axis=1))
+        kernel[part] = bits[:, slots] @ own.T
+        np.add.at(texts, of[part][different[part]], bits[different[part]])
+    hit[:] = (texts > 0).T
+    kernel = kernel / norms[:, None] / norms[first][None, :]
     values, vectors = np.linalg.eigh(kernel[first].astype(float))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
@@ -155,30 +180,28 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, per_language: int = PER_LAN
     bias = np.hstack([features, np.ones((len(got), 1))])
     solved = np.linalg.solve(bias.T @ bias + ridge * len(got) / 100 * np.diag([1.0] * features.shape[1] + [1e-9]), bias.T @ target)
     weights = np.vstack([root @ solved[:-1], solved[-1:]])
-    hit, bounds = np.zeros((SLOTS, len(languages)), np.uint8), np.full(len(languages), np.nan)
-    for i, lang in enumerate(languages):
-        of = bits[(got["lang"] == lang).to_numpy() & ~got.duplicated(["lang", "bits"]).to_numpy()]
-        texts = of.sum(axis=0)
-        hit[:, i] = texts > 0
-        if len(of) >= ENOUGH:
-            bounds[i] = np.quantile(of @ (texts > 1).astype(np.float32) / of.sum(axis=1), LEFT_OUT)
+    bounds = np.full(len(languages), np.nan)
+    for i in range(len(languages)):
+        rows = np.flatnonzero((of == i) & different)
+        if len(rows) >= ENOUGH:
+            twice = np.flatnonzero(texts[i] > 1)
+            shares = [_unpacked([packed[r] for r in rows[at : at + ROWS_AT_ONCE]], twice).sum(axis=1) for at in range(0, len(rows), ROWS_AT_ONCE)]
+            bounds[i] = np.quantile(np.concatenate(shares) / norms[rows] ** 2, LEFT_OUT)
     return Model(languages, slots, own, norms[first].astype(np.float32), weights.astype(np.float32), hit, bounds)
 
 
-ROWS_AT_ONCE = 256
-
-
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row of docs; the model is learned from docs if none is given."""
-    return predict(docs, model or fit(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "p.lang_pred", "p.score")
+    told = judge(docs, model or fit(docs))
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), told(F.col("text").cast("string")).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with the column p: lang_pred and score."""
+def judge(docs: DataFrame, model: Model | None) -> Callable[[Column], Column]:
+    """A function of a text column: lang_pred and score."""
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
-    def judge(text: pd.Series) -> pd.DataFrame:
+    def predict(text: pd.Series) -> pd.DataFrame:
         m = told.value
         lang, score = np.full(len(text), UNKNOWN, dtype=object), np.zeros(len(text))
         if m is None:
@@ -196,7 +219,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 score[rows] = [m.belongs(np.unpackbits(hit).view(bool), b) for hit, b in zip(hits, best, strict=True)]
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
-    return docs.withColumn("p", judge(F.col("text").cast("string")))
+    return predict
 
 
 def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
@@ -207,4 +230,5 @@ def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     model = fit(docs)
     if model is None:
         return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
-    return predict(docs, model).where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= least)).drop("p")
+    told = docs.select(F.struct("*").alias("row"), judge(docs, model)(F.col("text").cast("string")).alias("told"))
+    return told.where((F.col("told.lang_pred") != UNKNOWN) & (F.col("told.score") >= least)).select("row.*")

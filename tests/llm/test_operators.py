@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from factloom.llm import best_fit_packing, dart_minhash, exact_dedup, hilbert_shards, license_scan, pii_crf, sampled_pieces, string_kernel_lang, topk_nra, url_filter
@@ -518,3 +519,47 @@ def test_language(name, request):
         truth = {r["doc_id"]: r["lang"] for r in rows if r["lang"]}
         judged = [truth[r["doc_id"]] == r["lang_pred"] for r in out if r["held_out"] and r["doc_id"] in truth and r["doc_id"] not in none]
         assert np.mean(judged) > 0.85
+
+
+def test_language_is_learned_whatever_the_ids(spark):
+    """Rows of one id, and a language of few or repeated rows, are learned from all the same."""
+    r = np.random.default_rng(3)
+    words = {"en": "the of and to in is was with from they house water", "fr": "le la des et une est dans pour avec maison eau ils"}
+    say = lambda lang: " ".join(r.choice(words[lang].split(), 12))
+    rows = [(1, say("en"), "en", "a") for _ in range(300)] + [(1, say("fr"), "fr", "a") for _ in range(900)] + [(1, "unas palabras que son siempre las mismas", "es", "b")] * 700 + [(2, None, "en", "a"), (None, "the house", "de", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, p string")
+    model = string_kernel_lang.fit(docs)
+    assert model.languages == ["en", "es", "fr"]
+    out = string_kernel_lang.identify(docs, model)
+    assert out.where("lang_pred != 'und'").count() == len(rows) - 1
+    assert Counter(r["lang_pred"] for r in out.collect())["es"] == 700
+    kept = string_kernel_lang.keep_known(docs)
+    assert kept.columns == docs.columns and kept.select("p").distinct().count() == 2
+    assert string_kernel_lang.fit(docs.where("false")) is None and string_kernel_lang.keep_known(docs.where("false")).count() == 0
+
+
+def grams(text):
+    out = ["".join(c if c.isalpha() else " " for c in text.lower())]
+    padded = " " + re.sub(" +", " ", out[0]) .strip(" ") + " "
+    return {padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1)}
+
+
+def test_kernel_and_regression_against_plain_ones(small):
+    """The kernel of hashed slots is that of the n-grams; with all texts as landmarks the model is kernel ridge regression."""
+    rows = [(r["lang"], r["text"]) for r in small.where("lang IS NOT NULL AND length(text) < 3000 AND text rlike '[a-z]'").select("lang", "text").distinct().limit(60).collect()]
+    bits = [string_kernel_lang.presence(t) for _, t in rows]
+    plain = np.array([[len(grams(a) & grams(b)) / np.sqrt(len(grams(a)) * len(grams(b))) for _, b in rows] for _, a in rows])
+    hashed = np.array([[(a & b).sum() / np.sqrt(a.sum() * b.sum()) for b in bits] for a in bits])
+    assert np.abs(plain - hashed).max() < 0.05  # some n-grams share a slot
+    table = pd.DataFrame({"lang": [x for x, _ in rows], "rank": np.arange(len(rows)), "bits": [np.packbits(b).tobytes() for b in bits]}).drop_duplicates("bits").reset_index(drop=True)
+    model = string_kernel_lang.solve(table, landmarks=len(table))
+    own = np.array([np.unpackbits(np.frombuffer(b, np.uint8)) for b in table["bits"]]).astype(float)
+    norms = np.sqrt(own.sum(axis=1))
+    kernel = own @ own.T / np.outer(norms, norms)
+    target = np.where(table["lang"].to_numpy()[:, None] == np.array(model.languages)[None, :], 1.0, -1.0)
+    # ridge with a free constant, solved in the dual: (K + r I) a + b = y with the a summing to nothing
+    n, penalty = len(table), string_kernel_lang.RIDGE * len(table) / 100
+    system = np.block([[kernel + penalty * np.eye(n), np.ones((n, 1))], [np.ones((1, n)), np.zeros((1, 1))]])
+    solved = np.linalg.solve(system, np.vstack([target, np.zeros((1, len(model.languages)))]))
+    want = kernel @ solved[:-1] + solved[-1]
+    assert np.abs(model.scores(own[:, model.slots], norms.astype(np.float32)) - want).max() < 2e-2
