@@ -5,14 +5,19 @@ sequence.  Full pieces are sequences of their own.  The others are dealt at rand
 and every block is packed by ISLANDS islands.  An island's chromosomes are packings, their genes whole bins.  A
 crossover injects well-filled bins of one parent into the other, drops the bins that hold a duplicate and puts their
 displaced pieces back by best fit, largest first; a mutation breaks up the emptiest bins.  After each epoch the elite
-of an island also migrates to the next one.  The best packing of each block stays; on average it leaves part of one
-sequence a block unused, a share that shrinks with BLOCK and not with the input.
+of an island also migrates to the next one.  Fewer bins are better, then bins of greater summed squares, so that the
+room left over gathers in few bins.  A search ends early only at a packing that no other beats: the fewest bins that
+can be, all but one full.
+
+Blocks are then packed together: the open bins of all blocks (less than OPEN full) are dealt, bin by bin, into new
+blocks and packed again by the same search, which begins with the bins as they are and so never needs more.  This goes
+on while it leaves less than half of the pieces to pack, until one block is left, so what is left over does not grow
+with the number of blocks.
 
 Nothing but the numbers of a block's pieces meets in one task.  Texts are read once; only piece numbers are shuffled.
 
-Token ids are those of the tokenizers file.  A text's words recur, and a single space between two other characters is
-always a cut of the file's splitting pattern, so ids are kept for space-separated words; texts with other runs of white
-space, or with the strings of special tokens, are encoded whole by the library.
+Token ids are those of the tokenizers file.  Texts with runs of white space, or with the strings of special tokens, are
+encoded by that library; others by a faster library from the same merges, which gives the same ids (tested).
 
 Cases: null text is empty and is the end id alone; a null doc_id is kept; repeated rows are packed one by one; a text
 of any length is read whole; an empty table gives none; other columns of any name are ignored.
@@ -26,6 +31,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -34,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, text_of
+from .shared import discard, materialize, text_of
 
 SEQUENCE = 2048
 END = 0
@@ -42,7 +48,9 @@ BLOCK = 4096
 ISLANDS = 2
 EPOCHS = 2
 POPULATION = 4
-OFFSPRING = 12
+OFFSPRING = 10
+#: A bin less full than this share of a sequence is packed again with those of other blocks.
+OPEN = 0.97
 _ODD = re.compile(r"\s\s")
 
 
@@ -174,71 +182,122 @@ def mutate(p: Packing, sizes: list[int], room: int, r: random.Random) -> Packing
     return best_fit(sorted(displaced + list(some), key=lambda i: -sizes[i]), sizes, bins, loads, room)
 
 
-def evolve(sizes: list[int], room: int, seed: int, elites: list[Packing], population: int = POPULATION, offspring: int = OFFSPRING) -> Packing:
-    """The best packing that an island finds from the elites it was sent, or from best fit where there are none."""
-    r = random.Random(seed)
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    people = elites or [best_fit(order, sizes, [], [], room)]
+def is_best(p: Packing, least: int, room: int) -> bool:
+    """Whether no packing beats p: as few bins as can be, and all but one of them full."""
+    return len(p[0]) == least and sum(load < room for load in p[1]) <= 1
+
+
+@dataclass
+class Search:
+    """What an island did: offspring made, and how many of them took a place among its packings."""
+
+    crossovers: int = 0
+    mutations: int = 0
+    taken: int = 0
+
+
+def evolve(sizes: list[int], room: int, seed: int, elites: list[Packing], population: int = POPULATION, offspring: int = OFFSPRING, did: Search | None = None) -> Packing:
+    """The best packing that an island finds from the elites it was sent and best fit."""
+    r, did = random.Random(seed), did or Search()
     least = -(-sum(sizes) // room)
-    while len(people) < population:
+    people = [*elites]
+    if not elites or len(elites) < population:
+        people.append(best_fit(sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), sizes, [], [], room))
+    while len(people) < population and not any(is_best(p, least, room) for p in people):
         loose = sorted(range(len(sizes)), key=lambda i: -sizes[i] * r.uniform(0.8, 1.0))
         people.append(best_fit(loose, sizes, [], [], room))
     people.sort(key=quality, reverse=True)
     for _ in range(offspring):
-        if len(people[0][0]) == least:
+        if len(people) < 2 or is_best(people[0], least, room):
             break
         a, b = sorted(r.sample(range(len(people)), 2))
-        child = crossover(people[a], people[b], sizes, room, r) if r.random() < 0.7 else mutate(people[a], sizes, room, r)
+        if r.random() < 0.7:
+            did.crossovers += 1
+            child = crossover(people[a], people[b], sizes, room, r)
+        else:
+            did.mutations += 1
+            child = mutate(people[a], sizes, room, r)
         if quality(child) > quality(people[-1]):
+            did.taken += 1
             people[-1] = child
             people.sort(key=quality, reverse=True)
     return people[0]
 
 
 def pack_sizes(items: DataFrame, room: int, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
-    """uid, block, bin, offset of items (block, uid, length): each block packed by islands that exchange their elites."""
-    schema = "block long, island int, uid long, length long, bin long, offset long, n_bins long, squares long"
+    """uid, length, block, bin, offset, load (of the bin), offspring (made by the busiest island of the block) of items (block, uid, length, was).
+
+    was: the bin that an item is in so far, null where it is in none.  Each block is packed by islands that exchange
+    their elites.
+    """
+    schema = "block long, island int, uid long, length long, was long, bin long, offset long, load long, n_bins long, squares long, offspring long"
+
+    def held_in(column: pd.Series, sizes: list[int]) -> Packing:
+        number = pd.factorize(column)[0].tolist()
+        bins: list[list[int]] = [[] for _ in range(max(number, default=-1) + 1)]
+        for i, b in enumerate(number):
+            bins[b].append(i)
+        return bins, [sum(sizes[i] for i in b) for b in bins]
 
     def epoch(nth: int):
         def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-            block, island = int(key[0]), int(key[1])
+            block, island, did = int(key[0]), int(key[1]), Search()
             g = g.sort_values(["source", "uid"], kind="stable")
             own = g[g["source"] == g["source"].iloc[0]]
             uid, sizes = own["uid"].to_numpy(), own["length"].tolist()
-            elites = []
             if nth:
-                for _, sent in g.groupby("source", sort=True):
-                    bins: list[list[int]] = [[] for _ in range(int(sent["bin"].max()) + 1)]
-                    for i, b in enumerate(sent["bin"].tolist()):
-                        bins[b].append(i)
-                    elites.append((bins, [sum(sizes[i] for i in b) for b in bins]))
-            bins, loads = evolve(sizes, room, block * 1_000_003 + island * 1009 + nth, elites)
-            place, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+                elites = [held_in(sent["bin"], sizes) for _, sent in g.groupby("source", sort=True)]
+            else:
+                elites = [held_in(own["was"], sizes)] if own["was"].notna().all() else []
+            bins, loads = evolve(sizes, room, block * 1_000_003 + island * 1009 + nth, elites, did=did)
+            place, offset, load = (np.zeros(len(sizes), np.int64) for _ in range(3))
             for b, held in enumerate(bins):
                 at = 0
                 for i in sorted(held):
-                    place[i], offset[i] = b, at
+                    place[i], offset[i], load[i] = b, at, loads[b]
                     at += sizes[i]
-            return pd.DataFrame({"block": block, "island": island, "uid": uid, "length": sizes, "bin": place, "offset": offset, "n_bins": len(bins), "squares": sum(x * x for x in loads)})
+            made = did.crossovers + did.mutations
+            told = {"block": block, "island": island, "uid": uid, "length": sizes, "was": own["was"].to_numpy(), "bin": place, "offset": offset, "load": load}
+            return pd.DataFrame(told | {"n_bins": len(bins), "squares": sum(x * x for x in loads), "offspring": made + (int(own["offspring"].iloc[0]) if nth else 0)})
 
         return run
 
-    start = items.select("block", "uid", "length", F.lit(0).cast("long").alias("bin"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
+    start = items.select("block", "uid", "length", "was", F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("offspring"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
     now = materialize(start.withColumn("source", F.col("island")).groupBy("block", "island").applyInPandas(epoch(0), schema), "epoch")
     for nth in range(1, epochs):
-        sent = now.select("block", "uid", "length", "bin", F.col("island").alias("source"), F.explode(F.array("island", (F.col("island") + 1) % islands)).alias("island"))
-        now = materialize(sent.distinct().groupBy("block", "island").applyInPandas(epoch(nth), schema), "epoch")
-    best = now.groupBy("block").agg(F.min(F.struct("n_bins", (-F.col("squares")).alias("rest"), "island")).alias("best"))
-    return now.join(best.select("block", F.col("best.island").alias("island")), ["block", "island"]).select("uid", "block", "bin", "offset")
+        sent = now.select("block", "uid", "length", "was", "bin", "offspring", F.col("island").alias("source"), F.explode(F.array("island", (F.col("island") + 1) % islands)).alias("island"))
+        before, now = now, materialize(sent.distinct().groupBy("block", "island").applyInPandas(epoch(nth), schema), "epoch")
+        discard(before)
+    best = now.groupBy("block").agg(F.min(F.struct("n_bins", (-F.col("squares")).alias("rest"), "island")).alias("best"), F.max("offspring").alias("made"))
+    told = now.drop("offspring").join(best.select("block", F.col("best.island").alias("island"), "made"), ["block", "island"])
+    return told.select("uid", "length", "block", "bin", "offset", "load", F.col("made").alias("offspring"))
+
+
+def pack_all(items: DataFrame, room: int, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+    """uid, level, block, bin, offset of items (uid, length): blocks packed, then their open bins together, level by level."""
+    n, level, done = items.count(), 0, None
+    dealt, was = F.xxhash64("uid"), F.lit(None).cast("long")
+    while True:
+        blocks = max(1, round(n / block))
+        placed = materialize(pack_sizes(items.select(F.pmod(dealt, F.lit(blocks)).cast("long").alias("block"), "uid", "length", was.alias("was")), room, islands, epochs), "packed")
+        opened = placed.where(F.col("load") < OPEN * room)
+        more = 0 if blocks == 1 else opened.count()
+        again = 0 < more < n / 2
+        kept = (placed.where(F.col("load") >= OPEN * room) if again else placed).select("uid", F.lit(level).alias("level"), "block", "bin", "offset")
+        done = kept if done is None else done.unionByName(kept)
+        if not again:
+            return done
+        # bins are dealt whole, and come as the packing to begin with
+        bin_number = F.col("block") * (1 << 31) + F.col("bin")
+        items, n, level, dealt, was = opened.select("uid", "length", bin_number.alias("from")), more, level + 1, F.xxhash64("from"), F.col("from")
 
 
 def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, block: int = BLOCK) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece."""
     every = materialize(pieces(docs, path, sequence).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     short = every.where(F.col("length") < sequence)
-    blocks = max(1, round(short.count() / block))
-    items = short.select(F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("long").alias("block"), "uid", "length")
-    placed = pack_sizes(items, sequence)
+    placed = pack_all(short.select("uid", "length"), sequence, block)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     own = every.where(F.col("length") == sequence).select(*names, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return short.join(placed, "uid").select(*names, (F.col("block") * (1 << 31) + F.col("bin")).alias("sequence_id"), "offset").unionByName(own)
+    number = F.col("level").cast("long") * (1 << 58) + F.col("block") * (1 << 20) + F.col("bin")
+    return short.join(placed, "uid").select(*names, number.alias("sequence_id"), "offset").unionByName(own)

@@ -12,6 +12,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from factloom.llm import best_fit_packing, dart_minhash, exact_dedup, hilbert_shards, license_scan, pii_crf, sampled_pieces, string_kernel_lang, topk_nra, url_filter
 
@@ -501,6 +503,57 @@ def test_packing(name, request):
         assert len(places) <= least + 2
 
 
+def thirds(n, seed):
+    """Pieces of about a third: the fullest bin that can take a piece is often the wrong one."""
+    r = np.random.default_rng(seed)
+    cut = np.sort(r.integers(560, 780, size=(n // 3, 2)), axis=1)
+    return [int(x) for a, b in cut for x in (a, b, 2048 - a - b)]
+
+
+def test_offspring_pack_better_than_best_fit():
+    fewer = 0
+    for seed in range(4):
+        sizes = thirds(600, seed)
+        order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+        alone = best_fit_packing.best_fit(order, sizes, [], [], 2048)
+        did = best_fit_packing.Search()
+        bins, loads = best_fit_packing.evolve(sizes, 2048, seed, [], offspring=60, did=did)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+        assert loads == [sum(sizes[i] for i in b) for b in bins] and max(loads) <= 2048
+        assert did.crossovers > 0 and did.mutations > 0 and did.taken > 0
+        assert best_fit_packing.quality((bins, loads)) > best_fit_packing.quality(alone)
+        fewer += len(alone[0]) - len(bins)
+    assert fewer > 0
+
+
+def test_blocks_are_packed_together(spark):
+    """The open bins of all blocks are packed again, so what is left over does not grow with the blocks."""
+    r = np.random.default_rng(8)
+    sizes = [int(x) for x in r.integers(20, 400, 3000)]
+    items = spark.createDataFrame(list(enumerate(sizes)), "uid long, length long")
+    room, least = 2048, -(-sum(sizes) // 2048)
+    got = best_fit_packing.pack_all(items, room, block=100).collect()
+    assert sorted(x["uid"] for x in got) == list(range(3000))
+    loads = Counter()
+    for x in got:
+        loads[x["level"], x["block"], x["bin"]] += sizes[x["uid"]]
+    assert max(loads.values()) <= room
+    assert len(loads) <= least + 2 and max(x["level"] for x in got) >= 1
+    one = best_fit_packing.pack_sizes(items.selectExpr("uid % 30 AS block", "uid", "length", "CAST(NULL AS LONG) AS was"), room)
+    assert len(loads) < one.select("block", "bin").distinct().count()
+    tight = [(i, i % 2, s) for i, s in enumerate(thirds(300, 1) + thirds(300, 2))]
+    told = best_fit_packing.pack_sizes(spark.createDataFrame(tight, "uid long, block long, length long").selectExpr("*", "CAST(NULL AS LONG) AS was"), room)
+    assert {x["block"]: x["offspring"] for x in told.collect()} == {0: 20, 1: 20}
+
+
+@given(st.text(max_size=200) | st.text(alphabet=" \n\tab'sS1é漢🙂<|endoftext|>", max_size=60))
+@settings(max_examples=600, deadline=None)
+def test_ids_are_those_of_the_tokenizers_library(text):
+    encode = best_fit_packing.encoder(best_fit_packing.tokenizer_path())
+    text = text.encode("utf-8", "replace").decode()
+    assert np.frombuffer(encode(text), "<u4").tolist() == encode.whole.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("name", ["hard", "small", "empty"])
 def test_language(name, request):
     docs = request.getfixturevalue(name)
