@@ -1,17 +1,24 @@
 r"""Operator 3, license scans by diagonal voting, in DataFrame functions only.
 
 Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of the text with A-Z lower-cased.  The hash of every rolling word
-bigram of every document is joined to the bigram positions of the templates (a fixed table of a few dozen rows, so
-it is broadcast) and each meeting is confirmed on the two words themselves.  A meeting votes for the diagonal
+bigram of every document is joined to the bigram positions of the templates (a fixed table of a few thousand rows, so
+it is broadcast).  A meeting with a base phrase is confirmed on its two words, one with a notice or licence on the GRAM
+words that stand there, so words that any text has beside each other do not count.  A meeting votes for the diagonal
 ``position in document - position in template``.  A diagonal that has every vote of its template is a verbatim span:
-that is how base phrases are found, all places of them.  For the longer notices, diagonals of one template that lie
-within MERGE words of each other are merged (words were put in or left out), and the merged span is verified by the
-share of the template's bigrams that it holds, each counted once.
+that is how base phrases are found, all places of them.
+
+For notices and whole licences, diagonals of one template that lie within MERGE words of each other are neighbours
+(words were put in or left out).  A chain of neighbours is cut into tiles of DRIFT diagonals, twice, the second time
+half a tile on, so a copy whose words moved by up to half of DRIFT lies in one tile, and no tile lets words drift
+further.  The votes of a tile are one span: at most the template and DRIFT words long, in the template's order but for
+DRIFT words.  It is verified by the share of the template's places that it holds, each counted once: LEAST_SHARE or
+more, and all of them where a template has no more than SHORT.  Spans that overlap are readings of one place, by whatever
+template: those with the greatest share stay.
 
 Votes are aggregated by (document, template, diagonal), so a phrase that all documents hold makes no hot group.
 
 Cases: null or empty texts and texts without words have n_words 0 and empty labels; overlapping places all count;
-repeated rows are judged row by row; other columns of any name are ignored.
+repeated rows are judged row by row; other columns of any name are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -20,39 +27,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .license_texts import LICENSES
 from .shared import materialize, text_of
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrases that the contract fixes.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-
-#: The wording of well-known public licences' notices; labels by their usual short names.
-NOTICES = {
-    "released under the mit license": "mit",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
-    "licensed under the apache license version 2 0": "apache",
-    "this work is licensed under the gnu general public license version 3": "gpl",
-    "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
-    "this source code form is subject to the terms of the mozilla public license": "mpl",
-    "this work is licensed under a creative commons attribution": "cc-by",
-    "permission to use copy modify and or distribute this software for any purpose with or without fee": "isc",
-}
+#: Words that confirm a meeting with a notice or licence.
+GRAM = 3
 MERGE = 3
-LEAST_SHARE = 0.75
+DRIFT = 24
+LEAST_SHARE = 0.6
+SHORT = 12
 
 
 #: Every document also meets this mark once, which carries its number of words: one pass over the texts does all.
 SELF = -1
 
 
-def templates(spark: SparkSession, base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES) -> DataFrame:
-    """A row for each bigram position of each template, and the mark that every document meets."""
-    rows = [(SELF, None, False, 0, 0, None, None)]
-    for number, (phrase, label, fixed) in enumerate([(p, n, True) for p, n in base.items()] + [(p, n, False) for p, n in notices.items()]):
-        words = phrase.split(" ")
-        rows += [(number, label, fixed, len(words), at, words[at], words[at + 1]) for at in range(len(words) - 1)]
-    marks = spark.createDataFrame(rows, "template int, label string, fixed boolean, t_len int, t_pos int, w1 string, w2 string")
+def templates(spark: SparkSession, base: dict[str, str] = BASE, notices: tuple[tuple[str, str], ...] = LICENSES) -> DataFrame:
+    """A row for each place of each template (the words that stand there, null beyond a base phrase's two), and the mark that every document meets."""
+    rows = [(SELF, None, False, 0, 0, None, None, None)]
+    every = [(p, n, True, 2) for p, n in base.items()] + [(p, n, False, GRAM) for n, p in notices]
+    for number, (phrase, label, fixed, gram) in enumerate(every):
+        words = phrase.lower().split()
+        for at in range(len(words) - gram + 1):
+            rows.append((number, label, fixed, len(words) - gram + 1, at, words[at], words[at + 1], None if fixed else words[at + 2]))
+    marks = spark.createDataFrame(rows, "template int, label string, fixed boolean, places int, t_pos int, w1 string, w2 string, w3 string")
     return marks.withColumn("t_hash", F.when(F.col("template") == SELF, F.lit(SELF).cast("long")).otherwise(F.xxhash64("w1", "w2")))
 
 
@@ -60,9 +62,10 @@ def votes(rows: DataFrame, marks: DataFrame) -> DataFrame:
     """Of rows with uid, doc_id and words: a row for each (uid, template, diagonal) with its votes' template positions and places."""
     grams = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1)))
     at = rows.select("uid", "doc_id", "words", F.posexplode(F.concat(grams, F.array(F.lit(SELF).cast("long")))).alias("pos", "gram"))
-    same = (F.get("words", F.col("pos")) == F.col("w1")) & (F.get("words", F.col("pos") + 1) == F.col("w2"))
+    stands = lambda i, w: F.get("words", F.col("pos") + i) == F.col(w)
+    same = stands(0, "w1") & stands(1, "w2") & (F.col("w3").isNull() | stands(2, "w3"))
     met = at.join(F.broadcast(marks), (F.col("gram") == F.col("t_hash")) & (same | ((F.col("template") == SELF) & (F.col("pos") == F.size("words")))))
-    return met.groupBy("uid", "template", "label", "fixed", "t_len", (F.col("pos") - F.col("t_pos")).cast("long").alias("diagonal")).agg(
+    return met.groupBy("uid", "template", "label", "fixed", "places", (F.col("pos") - F.col("t_pos")).cast("long").alias("diagonal")).agg(
         F.first("doc_id").alias("doc_id"),
         F.collect_set("t_pos").alias("t_set"),
         F.min("pos").cast("long").alias("first_pos"),
@@ -71,13 +74,22 @@ def votes(rows: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def merged(diagonals: DataFrame) -> DataFrame:
-    """Spans of the longer notices: neighbouring diagonals of one document and template joined, verified by share."""
+    """Verified spans of notices and licences: neighbouring diagonals of one document and template joined in tiles."""
     w = Window.partitionBy("uid", "template").orderBy("diagonal")
     new = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > MERGE, F.lit(True))
-    spans = diagonals.withColumn("band", F.sum(new.cast("long")).over(w)).groupBy("uid", "template", "label", "t_len", "band").agg(
-        F.array_distinct(F.flatten(F.collect_list("t_set"))).alias("t_set"), F.min("first_pos").alias("span_first"), (F.max("last_pos") + 1).alias("span_last")
+    chains = diagonals.withColumn("chain", F.sum(new.cast("long")).over(w))
+    first = F.min("diagonal").over(Window.partitionBy("uid", "template", "chain"))
+    tiles = chains.withColumn("shift", F.explode(F.array(F.lit(0), F.lit(DRIFT // 2)))).withColumn("tile", F.floor((F.col("diagonal") - first + F.col("shift")) / DRIFT))
+    spans = tiles.groupBy("uid", "template", "label", "places", "chain", "shift", "tile").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("t_set")))).alias("held"), F.min("first_pos").alias("span_first"), (F.max("last_pos") + GRAM - 1).alias("span_last")
     )
-    return spans.withColumn("share", F.size("t_set") / (F.col("t_len") - 1)).where(F.col("share") >= LEAST_SHARE)
+    least = F.when(F.col("places") <= SHORT, 1.0).otherwise(LEAST_SHARE)
+    good = spans.withColumn("share", F.col("held") / F.col("places")).where(F.col("share") >= least).select("uid", "label", "span_first", "span_last", "share").distinct()
+    along = Window.partitionBy("uid").orderBy("span_first", "span_last", "label", "share")
+    ended = F.max("span_last").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    placed = good.withColumn("place", F.sum(F.coalesce(F.col("span_first") > ended, F.lit(True)).cast("long")).over(along))
+    most = F.max("share").over(Window.partitionBy("uid", "place"))
+    return placed.withColumn("most", most).where(F.col("share") == F.col("most")).select("uid", "label", "span_first", "span_last", "share")
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,7 +101,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held = materialize(votes(rows, templates(docs.sparkSession)), "votes")
     every = held.where(F.col("template") == SELF).select("uid", "doc_id", F.col("diagonal").alias("n_words"))
     met = held.where(F.col("template") != SELF)
-    base = met.where("fixed").where(F.size("t_set") == F.col("t_len") - 1).groupBy("uid").agg(
+    base = met.where("fixed").where(F.size("t_set") == F.col("places")).groupBy("uid").agg(
         F.count("*").alias("n_base"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"), F.collect_set("label").alias("fixed_labels")
     )
     own = merged(met.where("not fixed")).groupBy("uid").agg(

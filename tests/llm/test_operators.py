@@ -15,7 +15,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from factloom.llm import best_fit_packing, dart_minhash, exact_dedup, hilbert_shards, license_scan, pii_crf, sampled_pieces, string_kernel_lang, topk_nra, url_filter
+from factloom.llm import best_fit_packing, dart_minhash, exact_dedup, hilbert_shards, license_scan, license_texts, pii_crf, sampled_pieces, string_kernel_lang, topk_nra, url_filter
 
 SMALL = "/root/testdata/sf0.001"
 FIELDS = "doc_id long, text string, lang string, source string, n_chars long, uid string, digest string, n long"
@@ -198,6 +198,70 @@ def test_license_scan(name, request):
         assert next(r["labels"] for r in out if r["doc_id"] == 18) == "mit"
 
 
+def by_hand(words):
+    """Labels and best share of the method for one text, by loops over all templates, diagonals and tiles."""
+    gram, spans = license_scan.GRAM, set()
+    for label, text in license_texts.LICENSES:
+        own = text.lower().split()
+        places = len(own) - gram + 1
+        least = 1.0 if places <= license_scan.SHORT else license_scan.LEAST_SHARE
+        found = defaultdict(set)
+        for p in range(len(words) - gram + 1):
+            for t in range(places):
+                if words[p : p + gram] == own[t : t + gram]:
+                    found[p - t].add(t)
+        chain = []
+        for d in [*sorted(found), None]:
+            if chain and (d is None or d - chain[-1] > license_scan.MERGE):
+                for shift in (0, license_scan.DRIFT // 2):
+                    tiles = defaultdict(list)
+                    for c in chain:
+                        tiles[(c - chain[0] + shift) // license_scan.DRIFT].append(c)
+                    for own_diagonals in tiles.values():
+                        share = len(set().union(*(found[c] for c in own_diagonals))) / places
+                        if share >= least:
+                            at = [c + t for c in own_diagonals for t in found[c]]
+                            spans.add((min(at), max(at) + gram - 1, label, share))
+                chain = []
+            if d is not None:
+                chain.append(d)
+    labels, best, place, end = set(), 0.0, [], -1
+    for s in [*sorted(spans), None]:
+        if place and (s is None or s[0] > end):
+            most = max(p[3] for p in place)
+            labels |= {p[2] for p in place if p[3] == most}
+            best, place = max(best, most), []
+        if s is not None:
+            place.append(s)
+            end = max(end, s[1])
+    return labels, best
+
+
+def test_license_labels_against_loops(spark):
+    r = np.random.default_rng(6)
+    mit, bsd, short = (license_texts.LICENSES[i][1].split() for i in (0, 2, 15))
+    texts = []
+    for own in (mit, bsd, short):
+        less = [w for i, w in enumerate(own) if i % 17 != 5]
+        more = [w for i, w in enumerate(own) for w in ([w, "extra"] if i % 23 == 7 else [w])]
+        shuffled = list(own)
+        r.shuffle(shuffled)
+        half = own[len(own) // 2 :] + own[: len(own) // 2]
+        far = own[: len(own) // 2] + ["gap"] * 60 + own[len(own) // 2 :]
+        texts += [own, less, more, shuffled, half, far, ["lead"] * 9 + own + ["mid"] * 40 + own, [w for w in own for w in [w] * 2]]
+    texts += ["nothing of the kind".split(), "licensed under cc by nc 4 0 .".split(), []]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x for x in license_scan.license_scan(docs).collect()}
+    for i, t in enumerate(texts):
+        labels, share = by_hand(WORD.findall(" ".join(t)))
+        base = set(filter(None, got[i]["base_labels"].split(",")))
+        assert set(filter(None, got[i]["labels"].split(","))) == labels | base
+        assert abs(got[i]["score"] - (1.0 if base else share)) < 1e-9
+    assert [got[i]["labels"] for i in range(16) if i % 8 in (0, 1, 2)] == ["mit"] * 3 + ["bsd"] * 3
+    assert got[3]["labels"] == "" and got[11]["labels"] == "" and got[25]["labels"] == "cc-by-nc"
+    assert len([s for s in got[6]["spans"] if s.startswith("mit:9:")]) >= 1
+
+
 @pytest.mark.parametrize("name", ["hard", "small", "empty"])
 def test_sampled_pieces_round_trip(name, request):
     docs = request.getfixturevalue(name)
