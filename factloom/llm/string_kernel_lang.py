@@ -124,13 +124,17 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFram
     """text, lang and rank of at most per_language different texts of each language, those with the smallest hash."""
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("text", "lang", F.xxhash64("text", "lang").alias("hash"))
-    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    languages = [r["lang"] for r in most.collect()]  # at most LANGUAGES
-    each = min(per_language, max(1, ROWS_IN_ALL // max(1, len(languages))))
-    # hashes are ranked first, with a limit on the map side as well; then only the few texts that they name are read
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("hash", 0.05).alias("texts"))
+    most = counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()  # at most LANGUAGES
+    if not most:
+        return known.select("lang", F.lit(0).alias("rank"), "text").where("false")
+    each = min(per_language, max(1, ROWS_IN_ALL // len(most)))
+    # below this hash a language has about four times as many different texts as are wanted, so ranking meets few rows
+    upto = {r["lang"]: min((1 << 63) - 1, -(1 << 63) + (1 << 64) * 4 * each // max(1, r["texts"])) for r in most}
+    bound = F.create_map(*[F.lit(x) for lang, top in upto.items() for x in (lang, top)])[F.col("lang")]
+    # hashes are ranked first; then only the few texts that they name are read
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
-    hashes = known.where(F.col("lang").isin(languages)).select("lang", "hash").distinct()
-    chosen = hashes.withColumn("rank", rank).where(F.col("rank") <= each)
+    chosen = known.where(F.col("hash") <= bound).select("lang", "hash").distinct().withColumn("rank", rank).where(F.col("rank") <= each)
     return known.join(F.broadcast(chosen), ["lang", "hash"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))  # at most ROWS_IN_ALL rows
 
 
