@@ -6,8 +6,13 @@
 4. pii: personal data are replaced by their kinds; no document goes.
 5. packing: every document's tokens are placed in sequences; the result has a row for each piece.
 
-Every stage but the last returns the columns of documents.  Its result is written as Parquet in the shared folder and
+Every stage but the last returns the columns of documents, whatever their names: extra columns pass through as they
+are, and no column of a stage's own is left behind.  A stage's result is written as Parquet in the shared folder and
 read again by the next stage.
+
+Cases: a null or empty text, or one without letters, goes in the first stage; a null lang or source changes nothing; a
+null doc_id is kept like any other; of repeated rows one stays; texts of any length are read whole; where no row has a
+language to learn from, all texts with letters stay; an empty table gives no pieces.
 """
 
 from __future__ import annotations
