@@ -6,6 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,11 @@ from pyspark.sql import functions as F
 _written: list[tuple[SparkSession, str]] = []
 
 
+@lru_cache
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"stages-{application}-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
@@ -24,9 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = tempfile.mkdtemp(prefix="stages-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return _own_dir(spark.sparkContext.applicationId)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
