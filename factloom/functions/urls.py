@@ -16,12 +16,34 @@ def host(url: Column) -> Column:
     return F.regexp_replace(origin(url), r"^[a-z0-9+.-]*://(?:[^@]*@)?|:[0-9]*\z", "")
 
 
+#: Scheme, host, port, path and query of a web address; what stands before an @ and after a # is left out.
+PARTS = r"(?is)^\s*(https?)://(?:[^/?#]*@)?([^/?#:@]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?.*\z"
+#: Parameters that say where a visitor came from and change no resource.
+TRACKING = r"^(?i:utm_\w+|fbclid|gclid|mc_cid|mc_eid|igshid|ref_src)(?:=|\z)"
+
+
 def normalise(url: Column) -> Column:
-    """Lower-case origin; no fragment, campaign parameter or slash at the end."""
-    rest = F.regexp_replace(url, ORIGIN, "")
-    for pattern in (r"(?s)#.*\z", r"utm_[^=&]*=[^&]*&?", r"[?&]+\z", r"/+\z"):
-        rest = F.regexp_replace(rest, pattern, "")
-    return F.concat(origin(url), rest)
+    """A web address without what does not change the resource: fragment, default port, tracking parameters, slashes at
+    the end of the path, letter case of scheme and host.  Another scheme stays as it is, trimmed."""
+    part = lambda n: F.regexp_extract(url, PARTS, n)
+    scheme, port = F.lower(part(1)), part(3)
+    usual = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
+    path = F.regexp_replace(part(4), r"/+\z", "")
+    query = F.array_join(F.filter(F.split(part(5), "&"), lambda p: (p != "") & ~p.rlike(TRACKING)), "&")
+    told = F.concat(
+        scheme, F.lit("://"), F.lower(part(2)), F.when(usual, "").otherwise(F.concat(F.lit(":"), port)),
+        F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)),
+    )
+    return F.when(scheme == "", F.trim(url)).otherwise(told)
+
+
+def key(url: Column) -> Column:
+    """What names the same resource: the normal address without scheme and leading www."""
+    return F.regexp_replace(normalise(url), r"^https?://(?:www\.)?", "")
+
+
+def node_id(url: Column) -> Column:
+    return F.concat(F.lit("n-"), F.substring(F.sha2(key(url), 256), 1, 16))
 
 
 def estate(url: Column) -> Column:

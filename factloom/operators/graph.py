@@ -25,23 +25,41 @@ def edges_of(links: DataFrame) -> DataFrame:
     return links.where("source != target").groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
-def without_chrome(links: DataFrame, share: float = 0.5) -> DataFrame:
-    """links (estate, page_id, target) without the targets that at least that share of an estate's pages link to."""
-    pages = links.groupBy("estate").agg(F.count_distinct("page_id").alias("pages"))
-    common = links.groupBy("estate", "target").agg(F.count_distinct("page_id").alias("n")).join(pages, "estate").where((F.col("pages") > 1) & (F.col("n") >= share * F.col("pages")))
-    return links.join(common.select("estate", "target"), ["estate", "target"], "left_anti")
-
-
-def ancestors(tree: DataFrame, depth: int) -> DataFrame:
-    """node, root, level and path (root first) of a table (node, parent), at most depth steps up; a loop ends there."""
-    up = tree.select(F.col("node").alias("_n"), F.col("parent").alias("_p"))
-    out = tree.select("node", F.col("parent").alias("at"), F.array("node").alias("path"))
-    for _ in range(depth):
-        open_ = F.col("at").isNotNull() & ~F.array_contains("path", F.coalesce("at", F.lit("")))
-        out = out.join(up, F.col("at") == F.col("_n"), "left").select(
-            "node", F.when(open_, F.col("_p")).alias("at"), F.when(open_, F.concat(F.array("at"), "path")).otherwise(F.col("path")).alias("path")
-        )
-    return out.select("node", F.element_at("path", 1).alias("root"), (F.size("path") - 1).alias("level"), F.array_join("path", "/").alias("path"))
+def without_chrome(links: DataFrame, pages: DataFrame, share: float = 0.5) -> DataFrame:
+    """links (estate, page_id, target) without the targets that at least that share of an estate's linking pages link to.
+
+    pages: estate and page_id of the pages that link.  A target's pages and its estate's are counted once, and the
+    few targets over the share are what is joined.
+    """
+    of = pages.groupBy("estate").agg(F.count("*").alias("pages"))
+    each = links.select("estate", "target", "page_id").distinct().groupBy("estate", "target").agg(F.count("*").alias("n"))
+    common = each.where("n > 1").join(of, "estate").where((F.col("pages") > 1) & (F.col("n") >= share * F.col("pages")))
+    alone = each.where("n = 1").join(of, "estate").where((F.col("pages") > 1) & (1 >= share * F.col("pages")))
+    return links.join(common.unionByName(alone).select("estate", "target"), ["estate", "target"], "left_anti")
+
+
+def ancestors(tree: DataFrame) -> DataFrame:
+    """node, root, level and path (root first) of a table (node, parent) of any depth; a loop ends where it closes.
+
+    Each round a node takes over the way of the node that its own way has reached, so ways double in length and the
+    rounds grow with the logarithm of the depth.  A parent without a row of its own is a root.
+    """
+    every = tree.select("node", "parent").unionByName(tree.select(F.col("parent").alias("node"), F.lit(None).cast(dict(tree.dtypes)["parent"]).alias("parent")).where("node IS NOT NULL"))
+    way = every.groupBy("node").agg(F.max("parent").alias("at")).select("node", "at", F.array("node").alias("path"))
+    rounds = 0
+    while True:
+        if rounds and way.sparkSession.sparkContext.getCheckpointDir():
+            way = way.checkpoint()
+        if not way.where("at IS NOT NULL").limit(1).count():
+            break
+        rounds += 1
+        up = way.select(F.col("node").alias("_n"), F.col("at").alias("_at"), F.col("path").alias("_path"))
+        met = way.join(up, F.col("at") == F.col("_n"), "left")
+        closed = F.arrays_overlap("path", "_path")  # a loop: the way ends at what is not on it yet
+        longer = F.when(F.col("at").isNull(), F.col("path")).otherwise(F.concat(F.array_except("_path", "path"), "path"))
+        way = met.select("node", F.when(F.col("at").isNotNull() & ~closed, F.col("_at")).alias("at"), longer.alias("path"))
+    own = tree.select("node").distinct()
+    return way.join(own, "node").select("node", F.element_at("path", 1).alias("root"), (F.size("path") - 1).alias("level"), F.array_join("path", "/").alias("path"))
 
 
 #: An anchor up to its href and the value in double quotes, single quotes or none, as the reference reads it.

@@ -50,18 +50,24 @@ def best_names(left: DataFrame, right: DataFrame, name: str, least: float = 0.85
 def verbatim(docs: DataFrame, passages: DataFrame, doc_id: str, passage_id: str, words: int = 4) -> DataFrame:
     """Pairs of a document and a passage (both: text) that it holds word for word, spacing apart.
 
-    The hash of a passage's first words is joined with the rolling hashes of the documents (of the first word alone
-    for passages of fewer words), and what meets is verified on the texts.
+    The hash of a passage's first words is joined with the rolling hashes of the documents; only passages of fewer
+    words are looked for by their first word.  Hashes travel with ids alone: texts are joined to the pairs that meet,
+    to be verified there.
     """
     split = lambda c: F.split(T.squash(c), " ")
     blank = F.lit(" ")
     p = passages.select(passage_id, F.concat(blank, T.squash(F.col("text")), blank).alias("passage"), split(F.col("text")).alias("_w")).where("passage != '  '")
-    first = F.when(F.size("_w") >= words, F.array_join(F.slice("_w", 1, words), " ")).otherwise(F.get("_w", F.lit(0)))
-    d = docs.select(doc_id, F.concat(blank, T.squash(F.col("text")), blank).alias("squashed"), split(F.col("text")).alias("_d"))
-    runs = F.transform("_d", lambda _, i: F.xxhash64(F.array_join(F.slice("_d", i + 1, F.lit(words)), " ")))
-    anchors = F.array_union(runs, F.transform("_d", lambda w: F.xxhash64(w)))
-    met = d.select(doc_id, "squashed", F.explode(anchors).alias("_anchor")).join(p.select(passage_id, "passage", F.xxhash64(first).alias("_anchor")), "_anchor")
-    return met.where(F.contains("squashed", "passage")).select(doc_id, passage_id).distinct()
+    short = F.size("_w") < words
+    first = F.when(short, F.get("_w", F.lit(0))).otherwise(F.array_join(F.slice("_w", 1, words), " "))
+    p = p.select(passage_id, "passage", F.xxhash64(short, first).alias("_anchor"))
+    d = docs.select(doc_id, split(F.col("text")).alias("_d"))
+    run = lambda n, few: F.transform("_d", lambda _, i: F.xxhash64(F.lit(few), F.array_join(F.slice("_d", i + 1, F.lit(n)), " ")))
+    anchors = F.array_distinct(run(words, False))
+    if passages.where(F.size(split(F.col("text"))) < words).limit(1).count():
+        anchors = F.array_union(anchors, run(1, True))
+    met = d.select(doc_id, F.explode(anchors).alias("_anchor")).join(p.select(passage_id, "_anchor"), "_anchor").select(doc_id, passage_id).distinct()
+    texts = docs.select(doc_id, F.concat(blank, T.squash(F.col("text")), blank).alias("squashed"))
+    return met.join(p.select(passage_id, "passage"), passage_id).join(texts, doc_id).where(F.contains("squashed", "passage")).select(doc_id, passage_id).distinct()
 
 
 def label_then_code(asked: DataFrame, known: DataFrame) -> DataFrame:

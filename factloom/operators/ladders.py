@@ -2,44 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def rival_groups(facts: DataFrame, keys: list[str], value: str, source: str) -> DataFrame:
     """For each key: facts, values, sources, and whether two facts differ in value and in source.
 
-    Counts of distinct (value, source) pairs tell it without a self-join: a pair has a rival where
-    pairs - pairs of its value - pairs of its source + 1 > 0.
+    Pairs of a value and a source that pairwise share one of them all share one and the same, so there are rivals
+    where the facts that state both have several values and several sources: one aggregate, no self-join.
     """
-    pairs = facts.groupBy(*keys, value, source).agg(F.count("*").alias("n"))
-    by_value = pairs.groupBy(*keys, value).agg(F.count("*").alias("n_value"))
-    by_source = pairs.groupBy(*keys, source).agg(F.count("*").alias("n_source"))
-    whole = pairs.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.sum("n").alias("n_facts"), F.count_distinct(value).alias("n_values"), F.count_distinct(source).alias("n_sources"))
-    met = pairs.join(by_value, [*keys, value]).join(by_source, [*keys, source]).join(whole, keys)
-    rival = (F.col("n_pairs") - F.col("n_value") - F.col("n_source") + 1) > 0
-    return met.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("n_facts", "n_values", "n_sources")], F.bool_or(rival).alias("conflicting"))
+    v, s = (F.when(F.col(value).isNotNull() & F.col(source).isNotNull(), F.col(c)) for c in (value, source))
+    return facts.groupBy(*keys).agg(
+        F.count("*").alias("n_facts"), F.count_distinct(value).alias("n_values"), F.count_distinct(source).alias("n_sources"),
+        F.coalesce((F.min(v) != F.max(v)) & (F.min(s) != F.max(s)), F.lit(False)).alias("conflicting"),
+    )
 
 
-def reconcile_claims(claims: DataFrame, keys: list[str], value: str, klass: str) -> DataFrame:
-    """One verdict for each key from claims of class official, secondary or unverified.
+def rivals(facts: DataFrame, keys: list[str], value: str, source: str) -> DataFrame:
+    """facts with ``rivals``: how many other facts of the key differ in value and in source, without joining pairs.
 
-    UNSUPPORTED without a verified claim, SECONDARY_ONLY without an official one, OFFICIAL_CONFLICT with several
-    official values, OFFICIAL_CONTESTED if a secondary value differs, CORROBORATED if one agrees, else OFFICIAL.
+    All of the key's facts less those of its value, less those of its source, and those of both counted back.
     """
-    each = claims.where(F.col(klass) != "unverified").groupBy(*keys, F.lower(F.trim(value)).alias("v")).agg(
-        F.count_if(F.col(klass) == "official").alias("official"), F.count_if(F.col(klass) == "secondary").alias("secondary")
-    )
-    told = F.col("official") > 0
+    told = F.when(F.col(value).isNotNull() & F.col(source).isNotNull(), 1)
+    n = lambda *by: F.count(told).over(Window.partitionBy(*keys, *by))
+    return facts.withColumn("rivals", F.when(told == 1, n() - n(value) - n(source) + n(value, source)).otherwise(F.lit(0)))
+
+
+def reconcile_claims(claims: DataFrame, keys: list[str], value: str, klass: str, order: str) -> DataFrame:
+    """One verdict for each key from claims of class official, secondary, lead or unverified.
+
+    UNSUPPORTED without a verified claim (LEADS_ONLY if there are leads), SECONDARY_ONLY without an official one,
+    OFFICIAL_CONFLICT with several official values, OFFICIAL_CONTESTED if a secondary value differs, CORROBORATED if
+    one agrees, else OFFICIAL.  Values are compared in lower case and trimmed, but what is returned is what a source
+    said: of the value that stands the official claim first in that order, and of a conflict all of them.
+    """
+    kind = F.col(klass)
+    each = claims.groupBy(*keys, F.lower(F.trim(value)).alias("v")).agg(
+        F.count_if(kind == "official").alias("official"), F.count_if(kind == "secondary").alias("secondary"), F.count_if(kind == "lead").alias("leads"),
+        F.min_by(value, F.when(kind == "official", F.col(order))).alias("said"),
+    )
+    told, other = F.col("official") > 0, (F.col("official") == 0) & (F.col("secondary") > 0)
     got = each.groupBy(*keys).agg(
-        F.count_if(told).alias("n_official"), F.count_if(~told).alias("n_other"), F.count_if(told & (F.col("secondary") > 0)).alias("n_agreed"), F.min(F.when(told, F.col("v"))).alias("v")
-    )
-    every = claims.select(*keys).distinct().join(got, keys, "left")
+        F.count_if(told).alias("n_official"), F.count_if(other).alias("n_other"), F.count_if(told & (F.col("secondary") > 0)).alias("n_agreed"), F.sum("leads").alias("n_leads"),
+        F.min(F.when(told, F.col("said"))).alias("said"), F.array_join(F.sort_array(F.collect_list(F.when(told, F.col("said")))), " | ").alias("rivals"),
+    )
     state = (
-        F.when(F.col("n_official").isNull(), "UNSUPPORTED").when(F.col("n_official") == 0, "SECONDARY_ONLY").when(F.col("n_official") > 1, "OFFICIAL_CONFLICT")
+        F.when((F.col("n_official") == 0) & (F.col("n_other") == 0), F.when(F.col("n_leads") > 0, "LEADS_ONLY").otherwise("UNSUPPORTED"))
+        .when(F.col("n_official") == 0, "SECONDARY_ONLY").when(F.col("n_official") > 1, "OFFICIAL_CONFLICT")
         .when(F.col("n_other") > 0, "OFFICIAL_CONTESTED").when(F.col("n_agreed") > 0, "CORROBORATED").otherwise("OFFICIAL")
     )
-    return every.select(*keys, state.alias("state"), F.when(F.col("n_official") == 1, F.col("v")).alias("value"))
+    return got.select(*keys, state.alias("state"), F.when(F.col("n_official") == 1, F.col("said")).alias("value"), F.when(F.col("n_official") > 1, F.col("rivals")).alias("conflict"))
 
 
 def merge_dated(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:

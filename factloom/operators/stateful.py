@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,21 +14,23 @@ def fold(df: DataFrame, key: str, order: list[str | Column], make: Callable[[],
     """df with a column that a step function, made anew for each key, returns row by row in that order.
 
     Rows of a key stand together and sorted in one partition and are read in batches, so a key may be of any length:
-    only the step's own state is held.
+    only the step's own state is held.  Values come as Python's own (whole numbers stay whole, null is None and a key
+    like any other).  A step per row is what the order asks for: each decision depends on the one before.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` {kind}"
+    arrow = {"boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "string": pa.string()}[kind]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, step = object(), None
         for b in batches:
             got = []
-            for k, *values in zip(b[key], *[b[c] for c in inputs], strict=True):
+            for k, *values in zip(b.column(key).to_pylist(), *[b.column(c).to_pylist() for c in inputs], strict=True):
                 if k != now:
                     now, step = k, make()
                 got.append(step(*values))
-            yield b.assign(**{out: got})
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, arrow)], names=[*b.schema.names, out])
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def sliding_limiter(limit: int, window: int) -> Callable[[], Callable[[int], bool]]:
@@ -71,19 +73,19 @@ def token_bucket(capacity: float, per: int) -> Callable[[], Callable[[int], bool
     return make
 
 
-def budget(most: int) -> Callable[[], Callable[[float], bool | None]]:
+def budget(most: int) -> Callable[[], Callable[[int | None], bool | None]]:
     """Takes a size if it fits into what is left; one that does not fit is passed over and takes nothing, a null size too."""
 
-    def make() -> Callable[[float], bool | None]:
+    def make() -> Callable[[int | None], bool | None]:
         used = 0
 
-        def step(size: float) -> bool | None:
+        def step(size: int | None) -> bool | None:
             nonlocal used
-            if pd.isna(size):
+            if size is None:
                 return None
             if used + size > most:
                 return False
-            used += int(size)
+            used += size
             return True
 
         return step
@@ -91,23 +93,23 @@ def budget(most: int) -> Callable[[], Callable[[float], bool | None]]:
     return make
 
 
-def batches(most: int, limit: int | None = None) -> Callable[[], Callable[[float], int | None]]:
+def batches(most: int, limit: int | None = None) -> Callable[[], Callable[[int | None], int | None]]:
     """The number of a size's batch: a batch closes when the next would not fit; over the budget but within the limit
     (the budget, if none is given) a size has a batch of its own, over the limit it is -1; a null size has none."""
     sent = most if limit is None else limit
 
-    def make() -> Callable[[float], int | None]:
+    def make() -> Callable[[int | None], int | None]:
         used, n, batch = 0, 0, 0
 
-        def step(size: float) -> int | None:
+        def step(size: int | None) -> int | None:
             nonlocal used, n, batch
-            if pd.isna(size):
+            if size is None:
                 return None
             if size > sent:
                 return -1
             if n and used + size > most:
                 used, n, batch = 0, 0, batch + 1
-            used, n = used + int(size), n + 1
+            used, n = used + size, n + 1
             return batch
 
         return step

@@ -38,15 +38,17 @@ def a9_rival_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ladders.rival_groups(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_returnflag"], "l_linestatus", "l_suppkey")
 
 
-@query("""WITH c AS (SELECT l_partkey, lower(l_returnflag) AS v, CASE l_suppkey % 5 WHEN 0 THEN 'official' WHEN 1 THEN 'secondary' WHEN 2 THEN 'secondary' ELSE 'unverified' END AS k FROM lineitem),
-e AS (SELECT l_partkey, v, count(*) FILTER (k = 'official') AS o, count(*) FILTER (k = 'secondary') AS s FROM c WHERE k <> 'unverified' GROUP BY 1, 2),
-g AS (SELECT l_partkey, count(*) FILTER (o > 0) AS n_o, count(*) FILTER (o = 0) AS n_x, count(*) FILTER (o > 0 AND s > 0) AS n_a, min(CASE WHEN o > 0 THEN v END) AS v FROM e GROUP BY 1)
-SELECT l_partkey, CASE WHEN n_o IS NULL THEN 'UNSUPPORTED' WHEN n_o = 0 THEN 'SECONDARY_ONLY' WHEN n_o > 1 THEN 'OFFICIAL_CONFLICT' WHEN n_x > 0 THEN 'OFFICIAL_CONTESTED' WHEN n_a > 0 THEN 'CORROBORATED' ELSE 'OFFICIAL' END AS state,
-  CASE WHEN n_o = 1 THEN v END AS value FROM (SELECT DISTINCT l_partkey FROM c) LEFT JOIN g USING (l_partkey)""")
+@query("""WITH c AS (SELECT l_partkey, l_orderkey * 10 + l_linenumber AS ord, CASE WHEN l_quantity > 25 THEN ' ' || lower(l_returnflag) ELSE l_returnflag END AS said, CASE l_suppkey % 7 WHEN 0 THEN 'official' WHEN 1 THEN 'secondary' WHEN 2 THEN 'lead' ELSE 'unverified' END AS k FROM lineitem),
+e AS (SELECT l_partkey, lower(trim(said)) AS v, count(*) FILTER (k = 'official') AS o, count(*) FILTER (k = 'secondary') AS s, count(*) FILTER (k = 'lead') AS l, (list(said ORDER BY ord, said) FILTER (k = 'official'))[1] AS said FROM c GROUP BY 1, 2),
+g AS (SELECT l_partkey, count(*) FILTER (o > 0) AS n_o, count(*) FILTER (o = 0 AND s > 0) AS n_x, count(*) FILTER (o > 0 AND s > 0) AS n_a, sum(l) AS n_l, min(CASE WHEN o > 0 THEN said END) AS said, string_agg(CASE WHEN o > 0 THEN said END, ' | ' ORDER BY said) AS rivals FROM e GROUP BY 1)
+SELECT l_partkey, CASE WHEN n_o = 0 AND n_x = 0 THEN CASE WHEN n_l > 0 THEN 'LEADS_ONLY' ELSE 'UNSUPPORTED' END WHEN n_o = 0 THEN 'SECONDARY_ONLY' WHEN n_o > 1 THEN 'OFFICIAL_CONFLICT' WHEN n_x > 0 THEN 'OFFICIAL_CONTESTED' WHEN n_a > 0 THEN 'CORROBORATED' ELSE 'OFFICIAL' END AS state,
+  CASE WHEN n_o = 1 THEN said END AS value, CASE WHEN n_o > 1 THEN rivals END AS conflict FROM g""")
 def x7_reconcile_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = F.col("l_suppkey") % 5
-    claims = table(spark, sf_dir, "lineitem").withColumn("klass", F.when(by == 0, "official").when(by <= 2, "secondary").otherwise("unverified"))
-    return ladders.reconcile_claims(claims, ["l_partkey"], "l_returnflag", "klass")
+    by = F.col("l_suppkey") % 7
+    said = F.when(F.col("l_quantity") > 25, F.concat(F.lit(" "), F.lower("l_returnflag"))).otherwise(F.col("l_returnflag"))
+    klass = F.when(by == 0, "official").when(by == 1, "secondary").when(by == 2, "lead").otherwise("unverified")
+    claims = table(spark, sf_dir, "lineitem").select("l_partkey", said.alias("said"), klass.alias("klass"), F.struct(F.col("l_orderkey") * 10 + F.col("l_linenumber"), said).alias("ord"))
+    return ladders.reconcile_claims(claims, ["l_partkey"], "said", "klass", "ord")
 
 
 @query("""WITH a AS (SELECT o_orderkey, epoch_us(o_orderdate) AS value FROM orders WHERE o_orderkey % 3 <> 0),
@@ -78,7 +80,7 @@ def x14_label_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH o AS (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id AS seq, value, CASE event_type WHEN 'click' THEN 'ADD' WHEN 'view' THEN 'AMEND' WHEN 'purchase' THEN 'SUPERSEDE' ELSE 'RETIRE' END AS kind, value > 5 AS active FROM events),
-base AS (SELECT p_partkey AS k, CAST(p_size AS DOUBLE) AS value FROM part WHERE p_partkey % 2 = 0 AND p_partkey < 100),
+base AS (SELECT p_partkey AS k, CAST(p_size AS DOUBLE) AS value FROM part),
 live AS (SELECT * FROM o WHERE active AND kind <> 'RETIRE'),
 made AS (SELECT k, min(m) AS made FROM (SELECT k, -1 AS m FROM base UNION ALL SELECT k, seq FROM live WHERE kind <> 'AMEND') GROUP BY 1),
 fits AS (SELECT live.* FROM live JOIN made USING (k) WHERE kind <> 'AMEND' OR seq > made),
@@ -127,26 +129,45 @@ def j22_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: field, cue, type; of a field the first cue that a text has counts.
 CUES = (("licence", "license", "TEXT"), ("licence", "licensed under", "TEXT"), ("contact", "contact", "TEXT"), ("call", "call ", "INTEGER"), ("link", "http", "URL"), ("mail", "@", "TEXT"))
+URL = r"""'(?i)https?://[^\s<>"'')\]]+'"""
+WHITE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _CUE_ROWS = ", ".join(f"('{f}', {i}, '{c}', '{t}')" for i, (f, c, t) in enumerate(CUES))
 
 
-@query(f"""WITH c(field, ord, cue, kind) AS (VALUES {_CUE_ROWS}), m AS (SELECT doc_id, field, ord, cue, kind, instr(lower(text), cue) AS pos FROM documents, c WHERE instr(lower(text), cue) > 0)
-SELECT doc_id, field, cue, CAST(pos AS INTEGER) AS pos, CAST(round(least(0.95, 0.4 + CASE WHEN kind IN ('DATE', 'URL', 'INTEGER') THEN 0.2 ELSE 0 END + CASE WHEN contains(cue, ' ') THEN 0.1 ELSE 0 END), 2) AS DOUBLE) AS confidence
-FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, field ORDER BY ord) = 1""")
+_WINDOW = "substr(t, pos, 200)"
+
+
+@query(f"""WITH c(field, ord, cue, kind) AS (VALUES {_CUE_ROWS}),
+d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^{WHITE}|{WHITE}$', '', 'g') AS t FROM documents),
+m AS (SELECT doc_id, field, ord, cue, kind, t, instr(lower(t), cue) AS pos FROM d, c WHERE instr(lower(t), cue) > 0),
+v AS (SELECT *, regexp_replace(regexp_replace(split_part(regexp_replace({_WINDOW}, '([.;])({WHITE})', '\\1' || chr(1)), chr(1), 1), '^{WHITE}', ''), '{WHITE}$', '') AS clause FROM m),
+f AS (SELECT *, CASE kind WHEN 'URL' THEN nullif(rtrim(coalesce(nullif(regexp_extract({_WINDOW}, {URL}), ''), regexp_extract(t, {URL})), '.,);'), '')
+  WHEN 'INTEGER' THEN CAST(CAST(replace(nullif(regexp_extract({_WINDOW}, '\\b([0-9][0-9,]{{0,9}})\\b'), ''), ',', '') AS BIGINT) AS VARCHAR) ELSE CASE WHEN length(clause) >= 8 THEN clause END END AS value FROM v)
+SELECT doc_id, field, kind AS value_type, value, cue, CAST(pos AS INTEGER) AS pos, CAST(round(least(0.95, 0.4 + CASE WHEN kind IN ('DATE', 'URL', 'INTEGER') THEN 0.2 ELSE 0 END + CASE WHEN contains(cue, ' ') THEN 0.1 ELSE 0 END), 2) AS DOUBLE) AS confidence
+FROM f WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, field ORDER BY ord) = 1""")
 def x4_cue_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed facts with values, of the 18 fields and of those in CUES; the SQL says only where the cues of CUES stand."""
+    """Typed facts with values of the fields in CUES: what a corpus without notices holds."""
     own = {(field, kind): tuple(c for f, c, _ in CUES if f == field) for field, _, kind in CUES}
-    return cues.typed_facts(table(spark, sf_dir, "documents"), cues.FIELDS + tuple((*of, c) for of, c in own.items()))
+    facts = cues.typed_facts(table(spark, sf_dir, "documents"), tuple((*of, c) for of, c in own.items()))
+    return facts.select("doc_id", "field", "value_type", "value", "cue", "pos", "confidence")
+
+
+@query(None)
+def x4_notice_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed facts with values of the 18 fields of a notice."""
+    return cues.typed_facts(table(spark, sf_dir, "documents"))
 
 
-@query("""SELECT doc_id, CAST(greatest(1, 1 + ceil((length(coalesce(text, '')) - 320) / 160.0)) AS BIGINT) AS n_windows FROM documents""")
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, CAST(start AS INTEGER) AS start, substr(t, start + 1, 320) AS piece FROM (SELECT doc_id, t, unnest(generate_series(0, greatest(0, length(t) - 161), 160)) AS start FROM d)""")
 def n8_text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.windows(F.coalesce("text", F.lit("")))).cast("long").alias("n_windows"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.windows(F.coalesce("text", F.lit("")))).alias("w")).select("doc_id", "w.start", "w.piece")
 
 
-@query("""SELECT doc_id, CAST(length(list_distinct(regexp_extract_all(regexp_replace(coalesce(text, ''), '([0-9]),([0-9])', '\\1\\2', 'g'), '[0-9]+'))) AS BIGINT) AS n_figures FROM documents""")
+@query("""SELECT doc_id, array_to_string(list_distinct_in_order, ' ') AS figures FROM (SELECT doc_id, list_filter(f, lambda x, i: list_position(f, x) = i) AS list_distinct_in_order
+FROM (SELECT doc_id, regexp_extract_all(regexp_replace(coalesce(text, ''), '([0-9]),([0-9])', '\\1\\2', 'g'), '[0-9]+') AS f FROM documents))""")
 def f22_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.figures(F.coalesce("text", F.lit("")))).cast("long").alias("n_figures"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.figures(F.coalesce("text", F.lit(""))), " ").alias("figures"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(greatest(0, year(l_shipdate) - year(o_orderdate) - CASE WHEN month(l_shipdate) * 100 + day(l_shipdate) < month(o_orderdate) * 100 + day(o_orderdate) THEN 1 ELSE 0 END) AS INTEGER) AS years

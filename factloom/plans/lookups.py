@@ -12,7 +12,7 @@ from .facts import r3_diagnostic
 from .registry import QUERIES, query, table
 
 
-@query("""WITH r AS (SELECT c_custkey, 'Brand#' || CAST(c_custkey % 60 AS VARCHAR) AS label, CAST(c_custkey % 55 AS INTEGER) AS code FROM customer), k AS (SELECT p_partkey, p_brand, p_size FROM part WHERE p_partkey % 7 = 0),
+@query("""WITH r AS (SELECT c_custkey, 'Brand#' || CAST(c_custkey % 60 AS VARCHAR) AS label, CAST(c_custkey % 55 AS INTEGER) AS code FROM customer), k AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey <= 4 THEN p_partkey + 50 ELSE p_size END AS p_size FROM part),
 l AS (SELECT p_brand, min(p_partkey) AS by_label FROM k GROUP BY 1), c AS (SELECT p_size, min(p_partkey) AS by_code, count(*) AS n FROM k GROUP BY 1)
 SELECT c_custkey, CASE WHEN by_label IS NOT NULL THEN 'LABEL' WHEN n = 1 THEN 'CODE' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'NONE' END AS tier, CASE WHEN by_label IS NOT NULL THEN by_label WHEN n = 1 THEN by_code END AS found
 FROM r LEFT JOIN l ON label = p_brand LEFT JOIN c ON code = p_size""")

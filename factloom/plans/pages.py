@@ -10,15 +10,21 @@ from factloom.operators import graph as G
 
 from .registry import query, table
 
-_NORMAL = r"""lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*')) || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({u}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '(?s)#.*\z', ''), 'utm_[^=&]*=[^&]*&?', '', 'g'), '[?&]+\z', ''), '/+\z', '')"""
+_P = r"'(?is)^\s*(https?)://(?:[^/?#]*@)?([^/?#:@]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?.*\z'"
+_NORMAL = (
+    r"""CASE WHEN NOT regexp_matches({u}, '(?is)^\s*https?://') THEN trim({u}) ELSE lower(regexp_extract({u}, P, 1)) || '://' || lower(regexp_extract({u}, P, 2))
+|| CASE WHEN regexp_extract({u}, P, 3) = '' OR lower(regexp_extract({u}, P, 1)) || regexp_extract({u}, P, 3) IN ('http80', 'https443') THEN '' ELSE ':' || regexp_extract({u}, P, 3) END
+|| CASE WHEN rtrim(regexp_extract({u}, P, 4), '/') = '' THEN '/' ELSE rtrim(regexp_extract({u}, P, 4), '/') END
+|| regexp_replace('?' || array_to_string(list_filter(string_split(regexp_extract({u}, P, 5), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(?i:utm_\w+|fbclid|gclid|mc_cid|mc_eid|igshid|ref_src)(?:=|\z)')), '&'), '^\?\z', '') END"""
+).replace("P,", _P + ",")
 _HOST = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*')), '^[a-z0-9+.-]*://(?:[^@]*@)?|:[0-9]*\z', '', 'g')"
 
 
-@query(rf"""SELECT page_id, {_NORMAL.format(u='url')} AS node, {_HOST} AS host, regexp_extract({_HOST}, '([^.]+\.[^.]+)\z', 1) AS estate,
+@query(rf"""SELECT page_id, {_NORMAL.format(u='url')} AS node, regexp_replace({_NORMAL.format(u='url')}, '^https?://(?:www\.)?', '') AS key, 'n-' || substr(sha256(regexp_replace({_NORMAL.format(u='url')}, '^https?://(?:www\.)?', '')), 1, 16) AS node_id, {_HOST} AS host, regexp_extract({_HOST}, '([^.]+\.[^.]+)\z', 1) AS estate,
 CASE WHEN '.' || {_HOST} LIKE '%.example.org' THEN 'official' WHEN '.' || {_HOST} LIKE '%.example.com' THEN 'reviewed' ELSE 'unknown' END AS trust FROM pages""")
 def f15_normal_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", U.normalise(u).alias("node"), U.host(u).alias("host"), U.estate(u).alias("estate"), U.trust(u).alias("trust"))
+    return table(spark, sf_dir, "pages").select("page_id", U.normalise(u).alias("node"), U.key(u).alias("key"), U.node_id(u).alias("node_id"), U.host(u).alias("host"), U.estate(u).alias("estate"), U.trust(u).alias("trust"))
 
 
 LINKS = rf"""h AS (SELECT page_id, url, generate_subscripts(hrefs, 1) - 1 AS pos, unnest(hrefs) AS href FROM (SELECT page_id, url, regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1) AS hrefs FROM pages)),
@@ -44,7 +50,7 @@ c AS (SELECT estate, target FROM e JOIN p USING (estate) GROUP BY 1, 2, pages HA
 SELECT e.estate, e.page_id, e.target FROM e ANTI JOIN c ON e.estate = c.estate AND e.target = c.target""")
 def g6_without_chrome(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = G.page_links(table(spark, sf_dir, "pages")).select(U.estate(F.col("url")).alias("estate"), "page_id", "target")
-    return G.without_chrome(links).select("estate", "page_id", "target")
+    return G.without_chrome(links, links.select("estate", "page_id").distinct()).select("estate", "page_id", "target")
 
 
 _RANK = {"official": 0, "reviewed": 1, "unknown": 2}
@@ -84,4 +90,4 @@ def g13_tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
         .union(table(spark, sf_dir, "supplier").select(name("s", "s_suppkey"), name("n", "s_nationkey")))
         .union(spark.range(1).select(F.lit("world"), F.lit(None).cast("string")))
     )
-    return G.ancestors(tree, 3)
+    return G.ancestors(tree)

@@ -33,17 +33,18 @@ def k9_engagement_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     one = _of(kind, 0) * D.decay((F.col("ref") - F.col("at")) / 3.6e9, _of(kind, 1)) * _of(kind, 2)
     scores = e.where(kind.isin(*KINDS)).crossJoin(F.broadcast(ref)).groupBy("user_id").agg(F.round(F.sum(one), 4).alias("score"), F.count("*").alias("hits"))
-    top = scores.agg(F.greatest(F.max("score"), F.lit(FLOOR)).alias("top"))
+    top = scores.agg(F.greatest(F.max("score"), F.lit(FLOOR)).alias("top"), F.sum("hits").alias("every"))  # of the same columns, so that the scores are made once
     norm = F.round(100 * F.col("score") / F.col("top"), 2)
     band = F.when(F.col("normalised") >= STRONG, "STRONG").when(F.col("normalised") >= MODERATE, "MODERATE").otherwise("WEAK")
-    return scores.crossJoin(F.broadcast(top)).withColumn("normalised", norm).select("user_id", "score", "hits", "normalised", band.alias("band"))
+    return scores.crossJoin(F.broadcast(top)).withColumn("normalised", norm).select("user_id", "score", "hits", "normalised", F.when(F.col("every") > 0, band).alias("band"))
 
 
 def affinity(items: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bounded item table whose affinity is over LEAST_AFFINITY."""
+    """Pairs (a, b) of items whose affinity is over LEAST_AFFINITY: an equal region alone reaches it, so regions are joined."""
     a, b = items.toDF("a", "a_region", "a_group"), items.toDF("b", "b_region", "b_group")
-    value = 0.35 * (F.col("a_region") == F.col("b_region")).cast("int") + 0.15 * (F.col("a_group") == F.col("b_group")).cast("int")
-    return a.join(F.broadcast(b), F.col("a") != F.col("b")).select("a", "b", F.round(value, 2).alias("affinity")).where(F.col("affinity") > LEAST_AFFINITY)
+    value = 0.35 + 0.15 * (F.col("a_group") == F.col("b_group")).cast("int")
+    met = a.join(b, (F.col("a_region") == F.col("b_region")) & (F.col("a") != F.col("b")))
+    return met.select("a", "b", F.round(value, 2).alias("affinity")).where(F.col("affinity") > LEAST_AFFINITY)
 
 
 AFFINITY = "aff AS (SELECT x.n_nationkey AS a, y.n_nationkey AS b, round(0.35 * CAST(x.n_regionkey = y.n_regionkey AS INT) + 0.15 * CAST(x.n_nationkey % 3 = y.n_nationkey % 3 AS INT), 2) AS affinity FROM nation x, nation y WHERE x.n_nationkey <> y.n_nationkey)"
@@ -58,7 +59,7 @@ def j19_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return affinity(_items(spark, sf_dir)).withColumn("affinity", F.col("affinity").cast("double"))
 
 
-@query(f"""WITH {AFFINITY}, d AS (SELECT c_nationkey AS n, CAST(count(*) AS DOUBLE) AS direct FROM customer WHERE c_acctbal > 9000 AND c_nationkey % 2 = 0 GROUP BY 1), m AS (SELECT max(direct) AS top FROM d),
+@query(f"""WITH {AFFINITY}, d AS (SELECT c_nationkey - c_nationkey % 2 AS n, CAST(count(*) AS DOUBLE) AS direct FROM customer GROUP BY 1), m AS (SELECT max(direct) AS top FROM d),
 t AS (SELECT b AS n, sum(direct * affinity * {DAMPING}) AS moved FROM d JOIN aff ON a = d.n WHERE affinity > {LEAST_AFFINITY} GROUP BY 1)
 SELECT n_nationkey, round(CAST(CASE WHEN direct IS NULL THEN least(coalesce(moved, 0), {CAP} * top) ELSE direct + coalesce(moved, 0) END AS DOUBLE), 4) AS score FROM nation LEFT JOIN d ON d.n = n_nationkey LEFT JOIN t ON t.n = n_nationkey, m""")
 def a15_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,7 +63,12 @@ def kind_of(content: Column) -> Column:
     return F.when(F.substring(content, 1, 4) == F.lit(b"%PDF"), "pdf").otherwise("html")
 
 
-def unreadable(text: Column, least: float = 0.5) -> Column:
-    """Whether fewer than that share of the words hold a vowel: the mark of a wrong encoding."""
-    words = F.regexp_count(text, F.lit(r"[A-Za-z]{2,}"))
-    return (words > 0) & (F.regexp_count(text, F.lit(r"(?i)\b(?=[a-z]*[aeiouy])[a-z]{2,}\b")) < least * words)
+def unreadable(text: Column, least_words: int = 40, most: float = 0.2) -> Column:
+    """Whether too many words have no vowel: the mark of a font without an encoding.
+
+    Only words of three letters and more that are not all capitals count (capitals are abbreviations), and a text
+    with fewer than least_words of them is not judged.
+    """
+    words = F.filter(F.regexp_extract_all(text, F.lit(r"[A-Za-z]{3,}"), F.lit(0)), lambda w: w != F.upper(w))
+    bare = F.size(F.filter(words, lambda w: ~w.rlike("(?i)[aeiouy]")))
+    return (F.size(words) >= least_words) & (bare > most * F.size(words))

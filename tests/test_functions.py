@@ -39,7 +39,10 @@ def test_text(spark):
 
 
 def test_urls(spark):
-    assert values(spark, ["HTTP://A.Example.com/x/?utm_source=f&b=1#t", "https://a.b/", None], urls.normalise) == ["http://a.example.com/x/?b=1", "https://a.b", None]
+    assert values(spark, ["HTTP://A.Example.com/x/?utm_source=f&b=1#t", "https://a.b/", None], urls.normalise) == ["http://a.example.com/x?b=1", "https://a.b/", None]
+    odd = ["https://U@H.org:443//p/?A=%41&gclid=1&q=&UTM_x=2", "http://h:8080", "ftp://H/x/ ", "http://www.h.org/a"]
+    assert values(spark, odd, urls.normalise) == ["https://h.org//p?A=%41&q=", "http://h:8080/", "ftp://H/x/", "http://www.h.org/a"]
+    assert values(spark, odd[3:], urls.key) == ["h.org/a"]
     assert values(spark, ["http://u@WWW.a.example.org:80/p"], urls.host) == ["www.a.example.org"]
 
 
@@ -89,6 +92,12 @@ def test_sources(spark):
     assert ok.count() == 0 and rejects.first()["problems"] == ["has id"]
 
 
+def test_unreadable(spark):
+    few, many = "brwn fxjmps " * 10, "the brown fox jumps over " * 10
+    texts = [few, "Brwn fxjmps the lzy dg " * 12, many, "CRPF NTPC SSC " * 40, many + "xkcd " * 9, many + "xkcd " * 14, None]
+    assert values(spark, texts, records.unreadable) == [False, True, False, False, False, True, None]
+
+
 def test_streams(spark, tmp_path):
     for n, rows in enumerate([[(1, 1, 10), (2, 1, 10)], [(1, 2, 20), (1, 3, 15)]]):
         spark.createDataFrame(rows, "user_id long, seq long, at long").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")

@@ -13,6 +13,10 @@ from factloom.plans.catalog import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
+#: How Spark names the types of DuckDB that queries return.
+KINDS = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+
+
 @pytest.fixture(scope="module")
 def tables():
     con = duckdb.connect()
@@ -38,4 +42,6 @@ def test_query_says_what_its_sql_says(spark, tables, name):
     want = tables.execute(QUERIES[name].sql)
     columns = [d[0] for d in want.description]
     assert sorted(columns) == sorted(got.columns)
+    kinds = {d[0]: KINDS.get(str(d[1]), str(d[1])) for d in want.description}
+    assert {c: t for c, t in got.dtypes} == kinds
     assert rows(got.columns, got.collect()) == rows(columns, want.fetchall())
