@@ -47,6 +47,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SIGN = re.compile(r"[0-9@+]")
 TOKEN = re.compile(r"[A-Za-z0-9._%+@()-]+")
+_TOKEN_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+@()-")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -93,17 +94,18 @@ def _octet(part: str) -> bool:
 
 
 def runs_of(text: str) -> Iterator[list[tuple[int, int]]]:
-    """The runs of tokens that are not plain: their places."""
+    """The runs of tokens that are not plain: their places.  Only what stands around a sign is looked at."""
     run: list[tuple[int, int]] = []
-    for m in TOKEN.finditer(text):
-        if run and not text[run[-1][1] : m.start()].isspace():
-            yield run
-            run = []
-        if _SIGN.search(text, m.start(), m.end()):
-            run.append(m.span())
-        elif run:
+    at = 0
+    while m := _SIGN.search(text, at):
+        start = m.start()
+        while start > at and text[start - 1] in _TOKEN_SIGNS:
+            start -= 1
+        at = TOKEN.match(text, m.start()).end()
+        if run and not text[run[-1][1] : start].isspace():
             yield run
             run = []
+        run.append((start, at))
     if run:
         yield run
 
