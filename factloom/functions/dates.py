@@ -48,3 +48,14 @@ def age(born: Column, at: Column) -> Column:
 
 def decay(hours: Column, half_life: Column) -> Column:
     return F.pow(F.lit(2.0), -hours / half_life)
+
+
+def stage(opens: Column, closes: Column, held: Column, now: Column) -> Column:
+    """Where a cycle stands by its own dates, any of which may be missing."""
+    after_close = F.when(held.isNotNull(), "PRE_EXAM").otherwise("APPLICATION_CLOSED")
+    return F.when(now > held, "POST_EXAM").when(now > closes, after_close).when(now >= opens, "APPLICATION_OPEN").otherwise("BEFORE_NOTIFICATION")
+
+
+def days_until(at: Column, now: Column) -> Column:
+    """Whole days, rounded half up; negative once past."""
+    return F.floor((micros(at) - micros(now)) / 86_400_000_000 + 0.5).cast("long")

@@ -73,3 +73,73 @@ def name_score(a: Column, b: Column, common: tuple[str, ...] = ()) -> Column:
         .when(shared == least, F.when(shared >= 2, F.lit(0.9)).otherwise(F.lit(0.5)))
         .otherwise(0.4 * shared / most)
     )
+
+
+def clock(c: Column) -> Column:
+    """The first time of day as HH:MM: 24-hour, or 12-hour with am or pm; null if none is stated."""
+    low = F.lower(c)
+    part = lambda n: F.regexp_extract(low, r"\b([0-9]{1,2})[:.]([0-9]{2})(?:\s*(am|pm|a\.m\.|p\.m\.))?", n)
+    h, m, half = part(1).try_cast("int"), part(2).try_cast("int"), F.substring(part(3), 1, 1)
+    hour = F.when(half == "p", F.when(h < 12, h + 12).otherwise(h)).when((half == "a") & (h == 12), 0).otherwise(h)
+    return F.when((hour <= 23) & (m <= 59), F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.lpad(m.cast("string"), 2, "0")))
+
+
+def western(n: Column) -> Column:
+    """A whole number with a comma before every three digits."""
+    return F.format_number(n, 0)
+
+
+def lakhs(n: Column) -> Column:
+    """A whole number as it is grouped in India: the last three digits, then twos."""
+    digits = n.cast("string")
+    head, tail = F.substring(digits, F.lit(1), F.greatest(F.lit(0), F.length(digits) - 3)), F.right(digits, F.lit(3))
+    even = F.when(F.length(head) % 2 == 1, F.concat(F.lit("0"), head)).otherwise(head)
+    twos = F.array_join(F.regexp_extract_all(even, F.lit("([0-9]{2})"), F.lit(1)), ",")
+    return F.when(head == "", tail).otherwise(F.concat(F.regexp_replace(twos, "^0", ""), F.lit(","), tail))
+
+
+ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
+
+
+def number_of(c: Column) -> Column:
+    """A number printed in figures or as a Roman numeral up to ten; null if it is neither."""
+    roman = F.create_map(*[F.lit(x) for pair in ROMAN.items() for x in pair])
+    bare = F.lower(F.trim(c))
+    return F.coalesce(F.when(bare.rlike("^[0-9]+$"), bare.try_cast("int")), F.when(bare.isin(*ROMAN), roman[bare]))
+
+
+#: Words for a level of education, the highest last; the first pattern that fits counts.
+LEVELS = (
+    (r"\bbelow (class )?12", "BELOW_CLASS_12"), (r"final[- ]year|appearing|pursuing", "GRADUATION_APPEARING"), (r"\b(master|post[- ]?graduat|mba\b|phd\b)", "POST_GRADUATION"),
+    (r"\b(bachelor|graduat|degree|bba\b|llb\b)", "GRADUATION"), (r"\b(12th|class 12|xii\b|intermediate)", "CLASS_12"), (r"\b(10th|class 10|matric)", "CLASS_10"),
+)
+
+
+def level(c: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for pattern, name in reversed(LEVELS):
+        out = F.when(F.lower(c).rlike(pattern), name).otherwise(out)
+    return out
+
+
+CATEGORIES = {"GENERAL": ("general", "ur", "unreserved"), "OBC": ("obc", "bc"), "SC": ("sc",), "ST": ("st",), "EWS": ("ews",)}
+
+
+def category_codes(label: Column) -> Column:
+    """The codes of the categories that a printed label names, sorted."""
+    parts = F.transform(F.split(F.lower(label), r"[,/()&]"), lambda p: F.trim(p))
+    held = [F.when(F.arrays_overlap(parts, F.array(*map(F.lit, words))), F.lit(code)) for code, words in sorted(CATEGORIES.items())]
+    return F.array_compact(F.array(*held))
+
+
+def penalty(c: Column) -> Column:
+    """Marks taken off for a wrong answer: 0 where none is stated to be, a figure or a fraction (four decimals), else null."""
+    low = F.lower(c)
+    flat = F.regexp_extract(low, r"(?:negative|deduct\w*|minus)[^0-9/]*([0-9]+\.[0-9]+)", 1).try_cast("double")
+    top, bottom = (F.regexp_extract(low, r"(?:negative|deduct\w*|minus)[^0-9/]*([0-9]+)\s*/\s*([0-9]+)", i).try_cast("double") for i in (1, 2))
+    return F.when(low.rlike(r"no (?:negative|penalty)"), 0.0).when(~low.rlike("negative|deduct|minus"), F.lit(None)).otherwise(F.coalesce(flat, F.when(bottom > 0, F.round(top / bottom, 4))))
+
+
+def distinctive(c: Column, common: tuple[str, ...]) -> Column:
+    """The words of a name that are not common to its kind, in order."""
+    return F.array_except(F.filter(F.split(F.lower(squash(c)), " "), lambda w: w != ""), F.array(*map(F.lit, common)))

@@ -71,3 +71,9 @@ def trust(url: Column, levels: tuple = TRUST) -> Column:
     for suffix, level in reversed(levels):
         out = F.when(F.concat(F.lit("."), host(url)).endswith(suffix), level).otherwise(out)
     return out
+
+
+def redacted(url: Column) -> Column:
+    """A URL without what may identify a person: user, values of its query and fragment."""
+    bare = F.regexp_replace(F.regexp_replace(url, r"://[^/?#@]*@", "://"), r"#.*\z", "")
+    return F.regexp_replace(bare, r"([?&][^=&]*)=[^&]*", "$1=*")
