@@ -62,16 +62,17 @@ def minutes(c: Column) -> Column:
     return F.when(h.isNotNull() | m.isNotNull(), F.coalesce(h, F.lit(0)) * 60 + F.coalesce(m, F.lit(0)))
 
 
-def name_score(a: Column, b: Column, common: tuple[str, ...] = ()) -> Column:
-    """How far two names (arrays of words) agree: 1 equal, 0 none shared, 0.9 or 0.5 if one holds the other, else a part."""
+def name_score(a: Column, b: Column, common: tuple[str, ...] = (), one: float = 0.5, share: float = 0.4) -> Column:
+    """How far two names (arrays of words) agree: 1 equal, 0 none shared, 0.9 (or ``one``, by one word alone) if one holds
+    the other, else a part."""
     own = [F.array_except(x, F.array(*map(F.lit, common)).cast("array<string>")) for x in (a, b)]
     shared = F.size(F.array_intersect(*own))
     least, most = (f(F.size(own[0]), F.size(own[1])) for f in (F.least, F.greatest))
     return (
         F.when(shared == 0, F.lit(0.0))
         .when((shared == least) & (shared == most), F.lit(1.0))
-        .when(shared == least, F.when(shared >= 2, F.lit(0.9)).otherwise(F.lit(0.5)))
-        .otherwise(0.4 * shared / most)
+        .when(shared == least, F.when(shared >= 2, F.lit(0.9)).otherwise(F.lit(one)))
+        .otherwise(share * shared / most)
     )
 
 
