@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -79,3 +79,69 @@ def page_links(pages: DataFrame) -> DataFrame:
     found = F.transform(F.regexp_extract_all("html", F.lit(_HREF), F.lit(0)), lambda a: F.concat(*[F.regexp_extract(a, _HREF, i) for i in (1, 2, 3)]))
     at = pages.select("page_id", "url", F.posexplode(found).alias("pos", "raw")).withColumn("href", _unescape("raw"))
     return at.select("page_id", "url", "pos", "href", U.normalise(U.resolve(F.col("href"), F.col("url"))).alias("target"))
+
+
+def provenance(edges: DataFrame, hops: int = 8) -> DataFrame:
+    """node and chain (the way by which it was first reached, root first, at most ``hops`` steps) of every target.
+
+    edges: source, target, ord.  Of a node's edges the first counts.  Ways double in length each round, so eight hops
+    take three joins; a way ends where it meets a node again.
+    """
+    if hops & (hops - 1):
+        raise ValueError("hops is a power of two")
+    way = edges.groupBy(F.col("target").alias("node")).agg(F.min_by("source", "ord").alias("up")).select("node", F.array("up").alias("ups"))
+    for _ in range(hops.bit_length() - 1):
+        more = way.select(F.col("node").alias("_n"), F.col("ups").alias("_more"))
+        way = way.join(more, F.element_at("ups", -1) == F.col("_n"), "left").select("node", F.concat("ups", F.coalesce("_more", F.slice("ups", 1, 0))).alias("ups"))
+    again = F.exists(F.sequence(F.lit(1), F.size("ups")), lambda i: F.array_contains(F.concat(F.array("node"), F.slice("ups", F.lit(1), i - 1)), F.element_at("ups", i)))
+    ends = F.element_at(F.filter(F.sequence(F.lit(1), F.size("ups")), lambda i: F.array_contains(F.concat(F.array("node"), F.slice("ups", F.lit(1), i - 1)), F.element_at("ups", i))), 1)
+    return way.select("node", F.reverse(F.when(again, F.slice("ups", F.lit(1), ends)).otherwise(F.col("ups"))).alias("chain"))
+
+
+def walk(links: DataFrame, roots: DataFrame, depth: int = 2, pages: int = 25, nodes: int = 600) -> DataFrame:
+    """What a walk of each run reaches: run, node, depth, place (in queue order) and opened.
+
+    links: run, source, target, pos; roots: run, node.  Level by level: of a level the nodes within the run's budget of
+    pages are opened in queue order, their links are followed in page order, and of what they lead to for the first
+    time as much is recorded as the run's budget of nodes allows.  A level is one join over the links of the opened.
+    """
+    queue = Window.partitionBy("run").orderBy("_from", "pos", "node")
+    seen = roots.select("run", "node", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("place"), F.lit(True).alias("opened"))
+    level, opened = seen, roots.groupBy("run").agg(F.lit(1).cast("long").alias("_opened"), F.lit(1).cast("long").alias("_held"))
+    for d in range(1, depth + 1):
+        out = level.where("opened").select("run", F.col("node").alias("source"), F.col("place").alias("_from")).join(links, ["run", "source"])
+        first = out.groupBy("run", F.col("target").alias("node")).agg(F.min(F.struct("_from", "pos")).alias("x")).select("run", "node", "x.*")
+        new = first.join(seen.select("run", "node"), ["run", "node"], "left_anti").join(opened, "run")
+        new = new.withColumn("_nth", F.row_number().over(queue).cast("long")).withColumn("place", F.col("_held") + F.col("_nth")).where(F.col("place") <= nodes)
+        level = new.select("run", "node", F.lit(d).alias("depth"), "place", ((F.col("_opened") + F.col("_nth") <= pages) & F.lit(d < depth)).alias("opened"))
+        seen = seen.unionByName(level)
+        opened = seen.groupBy("run").agg(F.count_if("opened").alias("_opened"), F.count("*").alias("_held"))
+    return seen
+
+
+def flat_topics(tree: DataFrame, most: int = 40) -> DataFrame:
+    """topic and its number of subtopics: a node whose children are all leaves, and every leaf whose siblings are not all leaves."""
+    leaf = tree.join(tree.select(F.col("parent").alias("node")).where("node IS NOT NULL").distinct(), "node", "left_anti").select("node", F.lit(True).alias("leaf"))
+    own = tree.join(leaf, "node", "left").withColumn("leaf", F.coalesce("leaf", F.lit(False)))
+    kids = own.where("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n"), F.bool_and("leaf").alias("flat"))
+    whole = kids.where("flat").select("node", F.least(F.col("n"), F.lit(most)).cast("long").alias("subtopics"))
+    mixed = kids.where("NOT flat").select(F.col("node").alias("parent"))
+    alone = own.where("leaf AND parent IS NULL").select("node").unionByName(own.where("leaf").join(mixed, "parent", "left_semi").select("node"))
+    return whole.unionByName(alone.select("node", F.lit(0).cast("long").alias("subtopics"))).withColumnRenamed("node", "topic")
+
+
+def fold_rules(tree: DataFrame) -> DataFrame:
+    """node and state of a tree of rule groups (node, parent, op ALL / ANY, state of leaves): three-valued, bottom up.
+
+    ALL: FAIL beats UNKNOWN beats OK; ANY the other way round; a group without members is UNKNOWN.  One aggregate a level.
+    """
+    rank = F.create_map(*[F.lit(x) for pair in (("FAIL", 0), ("UNKNOWN", 1), ("OK", 2)) for x in pair])
+    placed = tree.join(ancestors(tree.select("node", "parent")).select("node", "level"), "node")
+    deepest = placed.agg(F.max("level").alias("d")).first()["d"]
+    done = placed.where("false").select("node", "parent", F.lit(0).alias("r"))
+    for d in range(deepest if deepest is not None else -1, -1, -1):
+        got = done.groupBy(F.col("parent").alias("node")).agg(F.min("r").alias("low"), F.max("r").alias("high"))
+        here = placed.where(F.col("level") == d).join(got, "node", "left")
+        r = F.when(F.col("state").isNotNull(), rank[F.col("state")]).when(F.col("op") == "ALL", F.col("low")).otherwise(F.col("high"))
+        done = done.unionByName(here.select("node", "parent", F.coalesce(r, F.lit(1)).alias("r")))
+    return done.select("node", F.element_at(F.array(F.lit("FAIL"), F.lit("UNKNOWN"), F.lit("OK")), F.col("r") + 1).alias("state"))

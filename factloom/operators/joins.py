@@ -90,3 +90,16 @@ def most_specific(asked: DataFrame, rules: DataFrame) -> DataFrame:
     rest = rules.groupBy("category").agg(F.min(F.when(F.col("post") == "", F.col("rule"))).alias("_general"), F.min("rule").alias("_first"))
     met = asked.join(own, ["category", "post"], "left").join(rest, "category", "left")
     return met.select(*asked.columns, F.coalesce("_own", "_general", "_first").alias("rule"))
+
+
+def containing(items: DataFrame, queries: DataFrame, item: str, wanted: str, width: int = 3) -> DataFrame:
+    """Pairs of an item and a query text that it contains, without meeting every pair.
+
+    A query is looked for at its first letters (up to width) among the runs of letters that an item has, and what
+    meets is verified.  Blank queries find nothing.
+    """
+    q = queries.select(wanted).where(F.length(wanted) > 0).distinct().withColumn("_gram", F.substring(wanted, 1, width))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(item) - n + 1)), lambda i: F.substring(item, i, F.lit(n)))
+    grams = F.array_distinct(F.flatten(F.array(*[runs(n) for n in range(1, width + 1)])))
+    met = items.select(item).distinct().withColumn("_gram", F.explode(grams)).join(q, "_gram")
+    return met.where(F.contains(item, wanted)).select(item, wanted)

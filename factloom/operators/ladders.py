@@ -86,3 +86,54 @@ def apply_overlays(base: DataFrame, overlays: DataFrame, key: str) -> DataFrame:
     return base.join(last, key, "full").select(
         key, F.when(F.col("n_applied").isNotNull(), F.col("new")).otherwise(F.col("value")).alias("value"), F.coalesce("n_applied", F.lit(0)).alias("n_applied"), F.coalesce("superseded", F.lit(False)).alias("superseded")
     )
+
+
+def apply_revisions(base: DataFrame, revisions: DataFrame, key: str) -> DataFrame:
+    """base (key, value) after revisions (key, kind ADD / AMEND / RETIRE, value, seq) in order; what is retired is gone.
+
+    AMEND needs a row that stands; after a RETIRE only an ADD brings one back.
+    """
+    every = base.select(key, "value", F.lit(-1).cast("long").alias("seq"), F.lit("ADD").alias("kind")).unionByName(revisions.select(key, "value", "seq", "kind"))
+    retired = F.max(F.when(F.col("kind") == "RETIRE", F.col("seq"))).over(Window.partitionBy(key))
+    since = every.withColumn("_gone", retired).where(F.col("_gone").isNull() | (F.col("seq") > F.col("_gone")))
+    made = since.withColumn("_made", F.min(F.when(F.col("kind") == "ADD", F.col("seq"))).over(Window.partitionBy(key)))
+    return made.where((F.col("seq") >= F.col("_made")) & (F.col("kind") != "RETIRE")).groupBy(key).agg(F.max_by("value", "seq").alias("value"), F.count("*").alias("n_applied"))
+
+
+#: States of a field or section, the weakest first.
+STATES = ("INFRASTRUCTURE_FAILURE", "EXTRACTION_FAILED", "NEEDS_REVIEW", "SOURCE_NOT_FOUND_AFTER_SEARCH", "NOT_YET_PUBLISHED", "NOT_APPLICABLE", "VERIFIED_AVAILABLE")
+
+
+def weakest(sections: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each section (keys, field, state) the state of its weakest field, and how many of its fields are verified."""
+    rank = F.create_map(*[F.lit(x) for i, s in enumerate(STATES) for x in (s, i)])
+    return sections.groupBy(*keys).agg(F.min_by("state", rank[F.col("state")]).alias("state"), F.count_if(F.col("state") == STATES[-1]).alias("verified"), F.count("*").alias("fields"))
+
+
+def gate(records: DataFrame, key: str, **blockers: Column) -> DataFrame:
+    """PASS where nothing blocks a record; else BLOCK, with what does, in order."""
+    told = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(True)), F.lit(name)) for name, test in blockers.items()]))
+    return records.select(key, F.when(F.size(told) == 0, "PASS").otherwise("BLOCK").alias("decision"), F.array_join(told, ",").alias("blockers"))
+
+
+def fact_state(flagged: Column, superseded: Column, official: Column, url: Column, page: Column, quote: Column, claim: Column) -> Column:
+    """How far a fact is verified by its provenance: only a quote that states the claim verifies it."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    web = F.coalesce(url.rlike("^https?://"), F.lit(False))
+    return (
+        F.when(~web & blank(quote), "UNVERIFIED").when(flagged, "UNSUPPORTED").when(superseded, "SUPERSEDED").when(~official, "UNDER_VERIFICATION")
+        .when(~web | (page.isNull() & blank(quote)), "UNVERIFIED").when(F.coalesce(F.contains(quote, claim), F.lit(False)), "VERIFIED").otherwise("UNSUPPORTED")
+    )
+
+
+def reviewed(fields: DataFrame, reviews: DataFrame, keys: list[str]) -> DataFrame:
+    """fields (keys, status, cited) after a person's decisions (keys, decision, reviewer).
+
+    A decision without a reviewer is none.  WITHHOLD leaves a gap that no later approval fills; APPROVE holds for a
+    cited reading that was found or is for review.
+    """
+    signed = reviews.where(F.coalesce(F.trim("reviewer"), F.lit("")) != "")
+    said = signed.groupBy(*keys).agg(F.count_if(F.col("decision") == "WITHHOLD").alias("_no"), F.count_if(F.col("decision") == "APPROVE").alias("_yes"))
+    can = F.col("cited") & F.col("status").isin("NEEDS_REVIEW", "FOUND")
+    status = F.when(F.col("_no") > 0, "NOT_EXTRACTED").when((F.col("_yes") > 0) & can, "FOUND").otherwise(F.col("status"))
+    return fields.join(said, keys, "left").select(*keys, status.alias("status"))

@@ -141,3 +141,49 @@ def in_batches(sizes: Column, budget: int, limit: int | None = None) -> Column:
         return F.struct(used.alias("used"), n.alias("n"), batch.alias("batch"), F.concat(acc["out"], F.array(F.when(over, -1).otherwise(batch))).alias("out"))
 
     return F.aggregate(F.transform(sizes, lambda s: s.cast("long")), start, step, lambda acc: acc["out"])
+
+
+def debounced(interval: int) -> Callable[[], Callable[[int], bool]]:
+    """Whether a check is made: not while the last one that was made is no older than the interval."""
+
+    def make() -> Callable[[int], bool]:
+        last: int | None = None
+
+        def step(at: int) -> bool:
+            nonlocal last
+            if last is not None and at - last <= interval:
+                return False
+            last = at
+            return True
+
+        return step
+
+    return make
+
+
+#: Waits in microseconds before the second and the third attempt of a job.
+BACKOFF = (5_000_000, 20_000_000)
+
+
+def job_queue() -> Callable[[], Callable[[int, str, int, bool], int | None]]:
+    """When a job of an exclusive key starts: first come, first served, one at a time.
+
+    A request whose fingerprint is queued or running is answered by that job (null).  A job that fails is tried again
+    after each wait of BACKOFF, and then given up; its key is taken all the while.
+    """
+
+    def make() -> Callable[[int, str, int, bool], int | None]:
+        free, until = 0, {}
+
+        def step(at: int, fingerprint: str, takes: int, fails: bool) -> int | None:
+            nonlocal free
+            if until.get(fingerprint, -1) > at:
+                return None
+            start = max(at, free)
+            free = start + takes + (sum(BACKOFF) + len(BACKOFF) * takes if fails else 0)
+            until[fingerprint] = free
+            return start
+
+        return step
+
+    return make
