@@ -1,6 +1,6 @@
 """All named queries: importing this module fills the registry."""
 
-from . import facts, lookups, pages, ranking, reads, reconcile, state, store, verdicts, walks, words  # noqa: F401
+from . import facts, lookups, notices, pages, ranking, reads, reconcile, state, store, verdicts, walks, words  # noqa: F401
 from .registry import QUERIES
 
 __all__ = ["QUERIES"]
