@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType
 
@@ -72,3 +72,48 @@ def unreadable(text: Column, least_words: int = 40, most: float = 0.2) -> Column
     words = F.filter(F.regexp_extract_all(text, F.lit(r"[A-Za-z]{3,}"), F.lit(0)), lambda w: w != F.upper(w))
     bare = F.size(F.filter(words, lambda w: ~w.rlike("(?i)[aeiouy]")))
     return (F.size(words) >= least_words) & (bare > most * F.size(words))
+
+
+#: What ends one block of a page and begins the next.
+BLOCK = r"(?i)</?(?:p|li|div|article|nav|ul|ol|table|tr|h[1-6]|br|section)\b[^>]*>"
+
+
+def blocks(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Blocks of a page that have text, in order: pos (of all blocks), text and links."""
+    keys = [c for c in pages.columns if c != html]
+    bare = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", " ")
+    each = pages.select(*keys, F.posexplode(F.split(bare, BLOCK)).alias("pos", "_b"))
+    return each.select(*keys, "pos", visible_text(F.col("_b")).alias("text"), F.regexp_count("_b", F.lit(r"(?i)<a[\s/]")).alias("links")).where("text != ''")
+
+
+def links_in_context(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Anchors of a page in order, with their text and the heading they stand under (null: none)."""
+    keys = [c for c in pages.columns if c != html]
+    parts = F.regexp_extract_all(html, F.lit(r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]\s*>|<a[\s/][^>]*>.*?</a\s*>"), F.lit(0))
+    each = pages.select(*keys, F.posexplode(parts).alias("pos", "_p"))
+    under = F.last(F.when(F.col("_p").rlike(r"(?i)^<h[1-6]"), visible_text(F.col("_p"))), ignorenulls=True).over(Window.partitionBy(*keys).orderBy("pos"))
+    return each.select(*keys, "pos", "_p", visible_text(F.col("_p")).alias("text"), under.alias("heading")).where(F.col("_p").rlike(r"(?i)^<a")).drop("_p")
+
+
+def headed_rows(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Cells of tables whose first row is a header: row (from 1), header and value."""
+    rows = table_rows(pages, html)
+    keys = [c for c in pages.columns if c != html]
+    head = rows.where("row = 0").select(*keys, F.col("cells").alias("_head"))
+    met = rows.where("row > 0").join(head, keys)
+    return met.select(*keys, "row", F.explode(F.arrays_zip(F.col("_head").alias("header"), F.col("cells").alias("value"))).alias("x")).select(*keys, "row", "x.*")
+
+
+def numbered_rows(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows of a table that a text prints as numbered lines: ordinal, name and count.
+
+    A line is a row where its number goes on from the row before (the first is 1 or 2); totals, headings and numbers
+    out of the run are none.
+    """
+    line = texts.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "l"))
+    form = r"^\s*([0-9]{1,4})[.)]\s+(.*?)\s+([0-9][0-9,]*)\s*$"
+    part = lambda n: F.regexp_extract("l", form, n)
+    rows = line.where(F.col("l").rlike(form)).select(key, "pos", part(1).cast("int").alias("ordinal"), part(2).alias("name"), F.replace(part(3), F.lit(","), F.lit("")).cast("long").alias("n"))
+    w = Window.partitionBy(key).orderBy("pos")
+    run = rows.withColumn("_shift", F.col("ordinal") - F.row_number().over(w)).withColumn("_first", F.first("_shift").over(w))
+    return run.where((F.col("_shift") == F.col("_first")) & F.col("_first").isin(0, 1)).select(key, "ordinal", "name", "n")
