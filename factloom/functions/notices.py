@@ -122,3 +122,70 @@ def milestones(text: Column) -> Column:
         return F.transform(F.regexp_extract_all(c, F.lit(DATE), F.lit(0)), lambda d, i: F.struct(kind(F.array_join(F.slice(pieces, F.lit(1), i + 1), " ")).alias("kind"), _iso(d).alias("date")))
 
     return F.filter(F.flatten(F.transform(clause, read)), lambda m: m["kind"].isNotNull())
+
+
+def relaxations(text: Column) -> Column:
+    """(category, years) of every relaxation of age that a text states, in order; a list such as ``SC/ST`` is one for each."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"\b([a-z]{2,6}(?:/[a-z]{2,6})*)\s*:?\s*(?:by )?([0-9]{1,2}) years\b"), F.lit(0))
+    part = lambda f, n: F.regexp_extract(f, r"^([a-z/]+)\s*:?\s*(?:by )?([0-9]{1,2})", n)
+    each = F.transform(found, lambda f: F.transform(F.split(part(f, 1), "/"), lambda c: F.struct(F.upper(c).alias("category"), part(f, 2).cast("int").alias("years"))))
+    return F.flatten(each)
+
+
+def fee_rules(text: Column) -> Column:
+    """(group, amount, exempt) of every fee that a text states for a group."""
+    found = F.regexp_extract_all(text, F.lit(r"(?i)\b(?:rs\.?\s*[0-9][0-9,]*|no fee) for [A-Za-z/]+"), F.lit(0))
+    return F.transform(found, lambda f: F.struct(
+        F.upper(F.regexp_extract(f, r"(?i) for ([A-Za-z/]+)", 1)).alias("group"), F.get(amounts(f), F.lit(0)).cast("long").alias("amount"), f.rlike("(?i)^no fee").alias("exempt"),
+    ))
+
+
+def papers(text: Column) -> Column:
+    """(paper, questions, marks, minutes, penalty) of every paper of a scheme; a rule of the stage holds for papers without one."""
+    line = F.filter(F.split(text, r"\n"), lambda x: x.rlike(r"(?i)^\s*paper\b"))
+    rule = F.regexp_extract(text, r"(?is)all papers[^.]*?negative[^.]*?([0-9]+)\s*/\s*([0-9]+)", 0)
+    share = lambda c: F.round(F.regexp_extract(c, r"(?i)([0-9]+)\s*/\s*[0-9]+", 1).try_cast("double") / F.regexp_extract(c, r"(?i)[0-9]+\s*/\s*([0-9]+)", 1).try_cast("double"), 4)
+    n = lambda x, noun: F.regexp_extract(x, rf"(?i)([0-9]+)\s+{noun}", 1).try_cast("int")
+    return F.transform(line, lambda x: F.struct(
+        F.trim(F.regexp_extract(x, r"(?i)^\s*paper\s+([ivx0-9]+)", 1)).alias("paper"), n(x, "questions").alias("questions"), n(x, "marks").alias("marks"),
+        (F.coalesce(n(x, "hours?"), F.lit(0)) * 60 + F.coalesce(n(x, "min"), F.lit(0))).alias("minutes"), F.coalesce(share(F.regexp_extract(x, r"(?i)negative.*", 0)), share(rule)).alias("penalty"),
+    ))
+
+
+def outline(text: Column) -> Column:
+    """(node, parent) of a syllabus of headings (a line that ends in a colon) and bullets, in order."""
+    line = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    start = F.struct(F.lit("").alias("under"), F.array().cast("array<struct<node:string,parent:string>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        head, bullet = x.endswith(":"), x.rlike(r"^[-*•]\s")
+        node = F.when(head, F.regexp_replace(x, r"\s*:$", "")).otherwise(F.regexp_replace(x, r"^[-*•]\s+", ""))
+        row = F.struct(node.alias("node"), F.when(head, F.lit(None).cast("string")).otherwise(F.nullif(acc["under"], F.lit(""))).alias("parent"))
+        return F.struct(F.when(head, node).otherwise(acc["under"]).alias("under"), F.when(head | bullet, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(line, start, step, lambda acc: acc["out"])
+
+
+def steps(text: Column) -> Column:
+    """(step, what) of a procedure told by markers or by numbered headings: the reading with more steps, of equal ones the markers."""
+    read = lambda form: F.transform(F.regexp_extract_all(text, F.lit(form), F.lit(0)), lambda s: F.struct(F.regexp_extract(s, form, 1).cast("int").alias("step"), F.trim(F.regexp_extract(s, form, 2)).alias("what")))
+    marked, headed = read(r"(?i)\bstep\s+([0-9]+)\s*[:.-]\s*([^.\n]+)"), read(r"(?m)^([0-9]+)\)\s+([^.\n]+)")
+    return F.when(F.size(marked) >= F.greatest(F.size(headed), F.lit(2)), marked).when(F.size(headed) >= 2, headed).otherwise(F.slice(marked, 1, 0))
+
+
+def released(text: Column, what: str) -> Column:
+    """The date that belongs to a release: the first after the cue in its sentence, with a word of release and no other cue between."""
+    low = F.lower(text)
+    own = F.regexp_extract(low, rf"\b(?:{what})\b(?:(?!\b(?:admit card|result|answer key)\b)[^.;\n])*?\b(?:released?|available|declared|issued)\b(?:(?!\b(?:admit card|result|answer key)\b)[^;\n])*?({DATE})", 1)
+    return F.when(own != "", _iso(own))
+
+
+def whole_cell(cell: Column) -> Column:
+    """What a whole cell is: DATE, SPAN (two dates), SEASON (months and a year), or null."""
+    c = F.lower(F.trim(cell))
+    return F.when(c.rlike(rf"^{DATE}$"), F.when(c.rlike(rf"^{_MONTH},? [0-9]{{4}}$"), "SEASON").otherwise("DATE")).when(c.rlike(rf"^{DATE}\s*(?:to|-|–)\s*{DATE}$"), "SPAN").when(c.rlike(rf"^{_MONTH}\s*(?:to|-|/)\s*{_MONTH},? [0-9]{{4}}$"), "SEASON")
+
+
+def without_numbering(text: Column) -> Column:
+    """Lines without the numbers that only list them."""
+    return F.regexp_replace(text, r"(?m)^\s*\(?[0-9]{1,2}[.)]\s+", "")

@@ -106,3 +106,79 @@ def x40_vetted(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _notices(spark, sf_dir).select("o_orderkey", N.bound_count(F.col("text"), "vacancies|posts").alias("posts"), N.age_band(F.col("text")).alias("age"), N.revision(F.col("change")).alias("r"))
     posts = F.when(F.col("posts").isNull(), "NOT_EXTRACTED").when(F.coalesce(F.col("r.kind") == "VACANCIES", F.lit(False)), "NEEDS_REVIEW").otherwise("FOUND")
     return n.select("o_orderkey", posts.alias("posts_state"), F.when((F.col("age.high") - F.col("age.low")).between(5, 25), "FOUND").otherwise("NOT_EXTRACTED").alias("age_state"))
+
+
+SCHEME = """s AS (SELECT p_partkey, p_partkey AS p, CAST(p_size AS INTEGER) AS z FROM part)"""
+
+
+def _schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, z, s = F.col("p_partkey"), F.col("p_size"), lambda x: x.cast("string")
+    rules = F.concat(
+        F.lit("Age relaxation: SC/ST "), s(5 + z % 3), F.lit(" years, OBC: by "), s(2 + z % 2), F.lit(" years. Fee Rs. "), T.western(100 * z), F.lit(" for General, no fee for SC/ST.\nAs printed on 120 pages."),
+    )
+    scheme = F.concat(
+        F.lit("Scheme\nPaper I: "), s(50 + z), F.lit(" questions, "), s(100 + z), F.lit(" marks, 2 hours "), s(z % 30), F.lit(" min\nPaper II: 40 questions, 80 marks, 1 hour; negative marking 1/"), s(1 + z % 4),
+        F.when(p % 2 == 0, "\nIn all papers there is negative marking of 1/3 of a mark.").otherwise(""),
+    )
+    syllabus = F.concat(F.lit("General:\n- Numbers\n* Words "), s(z), F.lit("\nsome prose of it\nScience :\n- Light "), s(p % 7), F.lit("\n"))
+    how = F.when(p % 3 == 0, F.concat(F.lit("Step 1: Register online. Step 2: Pay "), s(z), F.lit(". Step 3: Submit."))).when(p % 3 == 1, F.concat(F.lit("How to apply\n1) Register\n2) Pay "), s(z))).otherwise("Apply. Step 1: none other.")
+    news = F.concat(
+        F.lit("Result of the last year stands. Admit card for Paper I will be "), F.when(p % 2 == 0, "released").otherwise("ready"), F.lit(" on "), s(1 + z % 28), F.lit("/05/2024; result to be declared on June "), s(1 + p % 28), F.lit(", 2024."),
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", rules.alias("rules"), scheme.alias("scheme"), syllabus.alias("syllabus"), how.alias("how"), news.alias("news"))
+
+
+def _each(df: DataFrame, found) -> DataFrame:
+    return df.select("p_partkey", F.explode(found).alias("x")).select("p_partkey", "x.*")
+
+
+@query(f"WITH {SCHEME} SELECT p_partkey, unnest(['SC', 'ST', 'OBC']) AS category, unnest([5 + z % 3, 5 + z % 3, 2 + z % 2]) AS years FROM s")
+def x31_relaxations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each(_schemes(spark, sf_dir), N.relaxations(F.col("rules")))
+
+
+@query(f"""WITH {SCHEME} SELECT p_partkey, 'GENERAL' AS "group", CAST(100 * z AS BIGINT) AS amount, false AS exempt FROM s UNION ALL SELECT p_partkey, 'SC/ST', NULL, true FROM s""")
+def x32_fee_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each(_schemes(spark, sf_dir), N.fee_rules(F.col("rules")))
+
+
+@query(f"""WITH {SCHEME} SELECT p_partkey, 'I' AS paper, 50 + z AS questions, 100 + z AS marks, 120 + z % 30 AS minutes, CASE WHEN p % 2 = 0 THEN 0.3333::DOUBLE END AS penalty FROM s UNION ALL SELECT p_partkey, 'II', 40, 80, 60, round(1.0::DOUBLE / (1 + z % 4), 4) FROM s""")
+def x29_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each(_schemes(spark, sf_dir), N.papers(F.col("scheme")))
+
+
+@query(f"""WITH {SCHEME} SELECT p_partkey, unnest(['General', 'Numbers', 'Words ' || z, 'Science', 'Light ' || p % 7]) AS node, unnest([NULL, 'General', 'General', NULL, 'Science']) AS parent FROM s""")
+def x30_syllabus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each(_schemes(spark, sf_dir), N.outline(F.col("syllabus")))
+
+
+@query(f"""WITH {SCHEME}, t AS (SELECT p_partkey, CASE p % 3 WHEN 0 THEN ['Register online', 'Pay ' || z, 'Submit'] WHEN 1 THEN ['Register', 'Pay ' || z] ELSE [] END AS w FROM s) SELECT p_partkey, CAST(generate_subscripts(w, 1) AS INTEGER) AS step, unnest(w) AS what FROM t""")
+def x33_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each(_schemes(spark, sf_dir), N.steps(F.col("how")))
+
+
+@query(f"""WITH {SCHEME} SELECT p_partkey, CASE WHEN p % 2 = 0 THEN '2024-05-' || lpad(CAST(1 + z % 28 AS VARCHAR), 2, '0') END AS admit_card, '2024-06-' || lpad(CAST(1 + p % 28 AS VARCHAR), 2, '0') AS result FROM s""")
+def x34_release_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _schemes(spark, sf_dir).select("p_partkey", N.released(F.col("news"), "admit card").alias("admit_card"), N.released(F.col("news"), "result").alias("result"))
+
+
+@query(f"""WITH {SCHEME} SELECT p_partkey, CAST(NULL AS INTEGER) AS posts, 120 AS pages, true AS attributed FROM s""")
+def x39_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A figure counts for a field only where it stands with the field's own noun: pages are no posts, years no posts."""
+    rules = F.col("rules")
+    posts, pages = N.bound_count(rules, "vacancies|posts"), N.bound_count(rules, "pages")
+    return _schemes(spark, sf_dir).select("p_partkey", posts.alias("posts"), pages.alias("pages"), (posts.isNull() & pages.isNotNull()).alias("attributed"))
+
+
+@query("""SELECT o_orderkey, (['DATE', 'SPAN', 'SEASON', 'SEASON', NULL])[o_orderkey % 5 + 1] AS kind FROM orders""")
+def f6_whole_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, d = F.col("o_orderkey") % 5, F.col("o_orderdate")
+    day = F.date_format(d, "dd.MM.yyyy")
+    cell = F.when(k == 0, F.concat(F.lit(" "), day)).when(k == 1, F.concat(day, F.lit(" to "), F.date_format(F.date_add(d, 20), "d MMMM yyyy"))).when(k == 2, F.date_format(d, "MMMM yyyy")).when(k == 3, "May-June 2024").otherwise(F.concat(F.lit("by "), day))
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.whole_cell(cell).alias("kind"))
+
+
+@query(r"SELECT doc_id, regexp_replace('1. ' || coalesce(lang, '-') || chr(10) || '(2) ' || doc_id || chr(10) || 'of 3. kind', '(?m)^\s*\(?[0-9]{1,2}[.)]\s+', '', 'g') AS plain FROM documents")
+def f30_list_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("1. "), F.coalesce("lang", F.lit("-")), F.lit("\n(2) "), F.col("doc_id").cast("string"), F.lit("\nof 3. kind"))
+    return table(spark, sf_dir, "documents").select("doc_id", N.without_numbering(text).alias("plain"))

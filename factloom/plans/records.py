@@ -201,3 +201,30 @@ def g11_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("lead"), F.lit(True).alias("known"))
     g = h.groupBy("lead").agg(F.count("*").alias("signals"), F.count_distinct("via").alias("ways"))
     return g.join(known, "lead", "left").select("lead", "signals", "ways", F.coalesce("known", F.lit(False)).alias("resolved"))
+
+
+@query("""WITH c AS (SELECT l_partkey, max(l_returnflag) FILTER (l_suppkey % 7 = 0) AS official, max(l_returnflag) FILTER (l_suppkey % 7 = 1) AS reviewed FROM lineitem GROUP BY 1)
+SELECT l_partkey, CASE WHEN reviewed IS NULL THEN 'NO_SECONDARY' WHEN official IS NULL THEN 'SECONDARY_ONLY' WHEN official = reviewed THEN 'CORROBORATED' ELSE 'CONTRADICTED' END AS cross_check, official AS stated FROM c""")
+def x38_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reviewed secondary sources say beside the official ones: they corroborate or contradict, and never state."""
+    of = lambda n: F.max(F.when(F.col("l_suppkey") % 7 == n, F.col("l_returnflag")))
+    c = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(of(0).alias("official"), of(1).alias("reviewed"))
+    check = F.when(F.col("reviewed").isNull(), "NO_SECONDARY").when(F.col("official").isNull(), "SECONDARY_ONLY").when(F.col("official") == F.col("reviewed"), "CORROBORATED").otherwise("CONTRADICTED")
+    return c.select("l_partkey", check.alias("cross_check"), F.col("official").alias("stated"))
+
+
+@query("""WITH v AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS version FROM events), p AS (SELECT user_id, event_type, count(*) // 2 AS pinned FROM events GROUP BY 1, 2)
+SELECT user_id, event_type, count(event_id) AS replayed, max(event_id) AS last FROM p LEFT JOIN v USING (user_id, event_type) WHERE version <= pinned GROUP BY 1, 2""")
+def s22_manifest_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a manifest pinned at half of its versions replays: the versions up to it, whatever came later."""
+    v = S.versions(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], ["event_id"], "event_id")
+    pinned = F.floor(F.count("*").over(Window.partitionBy("user_id", "event_type")) / 2)
+    return v.withColumn("pinned", pinned).where("version <= pinned").groupBy("user_id", "event_type").agg(F.count("*").alias("replayed"), F.max("event_id").alias("last"))
+
+
+@query(rf"""WITH n AS (SELECT page_id AS run, regexp_extract({_HOST}, '([^.]+\.[^.]+)\z', 1) AS estate, len(regexp_extract_all(html, '(?i)<a\s')) AS links FROM pages), l AS (SELECT estate, max(run) AS run FROM n GROUP BY 1)
+SELECT n.estate, n.run, CAST(links AS INTEGER) AS links FROM n JOIN l ON n.estate = l.estate AND n.run = l.run""")
+def w16_latest_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored walks of each estate, of which the latest is loaded."""
+    n = table(spark, sf_dir, "pages").select(F.col("page_id").alias("run"), U.estate(F.col("url")).alias("estate"), F.regexp_count("html", F.lit(r"(?i)<a\s")).alias("links"))
+    return S.last_write(n, ["estate"], ["run"]).select("estate", "run", "links")
