@@ -199,21 +199,44 @@ def _marked(universe: DataFrame, rules: DataFrame, names: list[str], verdicts: b
 def _host_universe(urls: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for h in b["host"].unique():
-                yield _frame(host_suffixes(h)[0])
+            hosts = b["host"].unique().tolist()
+            for part in _portions(hosts, [""] * len(hosts)):
+                yield _frame(np.unique(np.concatenate([host_suffixes(h)[0] for h in hosts[part]]), axis=0))
 
     return urls.select("host").mapInPandas(run, "h1 long, h2 long").distinct()
 
 
-def _keys_of(host: str, path: str, hosts: Cascade, every: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The keys of a URL whose host a rule names: hashes, lengths, and lengths of their hosts."""
-    suffixes, long = every or host_suffixes(host)
-    named = hosts.listed(suffixes)
-    if not named.any() or not path:
-        return np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    prefixes, deep = path_prefixes(path)
-    keys = joined(suffixes[named][:, None, :], prefixes[None, :, :]).reshape(-1, 2)
-    return keys, (long[named][:, None] + deep[None, :]).ravel(), np.repeat(long[named], len(deep))
+#: Characters of URLs whose keys a task makes at once.
+PORTION = 1 << 20
+
+
+def _portions(hosts: list[str], paths: list[str]) -> Iterator[slice]:
+    start = held = 0
+    for i, (h, p) in enumerate(zip(hosts, paths, strict=True)):
+        held += len(h) + len(p)
+        if held >= PORTION:
+            yield slice(start, i + 1)
+            start, held = i + 1, 0
+    if start < len(hosts):
+        yield slice(start, len(hosts))
+
+
+def _keys_of(hosts: list[str], paths: list[str], named: Cascade) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of URLs whose hosts a rule names: their URL's number, hashes, lengths, and lengths of their hosts."""
+    suffixes, long = zip(*map(host_suffixes, hosts), strict=True) if hosts else ((), ())
+    ends = np.cumsum([0, *map(len, long)])
+    hit = named.listed(np.concatenate([np.zeros((0, 2), np.uint64), *suffixes]))
+    some = np.add.reduceat(np.append(hit, False), ends[:-1]) > 0 if hosts else np.zeros(0, bool)
+    owner, keys, n, of_host = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in np.flatnonzero(some):
+        if paths[i]:
+            mine = hit[ends[i] : ends[i + 1]]
+            prefixes, deep = path_prefixes(paths[i])
+            keys.append(joined(suffixes[i][mine][:, None, :], prefixes[None, :, :]).reshape(-1, 2))
+            n.append((long[i][mine][:, None] + deep[None, :]).ravel())
+            of_host.append(np.repeat(long[i][mine], len(deep)))
+            owner.append(np.full(len(keys[-1]), i))
+    return tuple(map(np.concatenate, (owner, keys, n, of_host)))
 
 
 def _judge(told: Broadcast) -> Callable[..., Column]:
@@ -221,14 +244,17 @@ def _judge(told: Broadcast) -> Callable[..., Column]:
 
     @F.pandas_udf("n int, h int, verdict string")
     def judge(host: pd.Series, path: pd.Series, best: pd.DataFrame) -> pd.DataFrame:
-        found, hit = told.value, []
-        for h, p in zip(host, path, strict=True):
-            keys, n, of_host = _keys_of(h, p, found["hosts"])
+        found, hosts, paths = told.value, host.tolist(), path.tolist()
+        n, h, verdict = np.zeros(len(hosts), np.int32), np.zeros(len(hosts), np.int32), np.full(len(hosts), None, dtype=object)
+        for part in _portions(hosts, paths):
+            owner, keys, long, of_host = _keys_of(hosts[part], paths[part], found["hosts"])
             allow, block = found["allow"].listed(keys), found["block"].listed(keys)
             at = np.flatnonzero(allow | block)
-            i = max(at, key=lambda i: (n[i], of_host[i]), default=None)
-            hit.append((0, 0, None) if i is None else (int(n[i]), int(of_host[i]), "allow" if allow[i] else "block"))
-        new = pd.DataFrame(hit, columns=["n", "h", "verdict"])
+            at = at[np.lexsort((of_host[at], long[at], owner[at]))]  # a URL's best key is its last
+            last = at[np.append(owner[at][1:] != owner[at][:-1], True)] if len(at) else at
+            row = owner[last] + part.start
+            n[row], h[row], verdict[row] = long[last], of_host[last], np.where(allow[last], "allow", "block")
+        new = pd.DataFrame({"n": n, "h": h, "verdict": verdict})
         old = best.reset_index(drop=True)
         # of equal keys that allows (a key on both lists is in one part or, told twice, in two)
         better = (new["n"] > old["n"]) | ((new["n"] == old["n"]) & ((new["h"] > old["h"]) | ((new["h"] == old["h"]) & (new["verdict"] == "allow"))))
@@ -255,8 +281,10 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, max_b
 
         def every_key(batches: Iterator[pd.DataFrame], named=named) -> Iterator[pd.DataFrame]:
             for b in batches:
-                for h, p in b[["host", "path"]].drop_duplicates().itertuples(index=False):
-                    yield _frame(_keys_of(h, p, named.value)[0])
+                own = b[["host", "path"]].drop_duplicates()
+                hosts, paths = own["host"].tolist(), own["path"].tolist()
+                for part in _portions(hosts, paths):
+                    yield _frame(np.unique(_keys_of(hosts[part], paths[part], named.value)[1], axis=0))
 
         keys = _marked(rows.select("host", "path").mapInPandas(every_key, "h1 long, h2 long"), own, ["h1", "h2"], True)
         cascades = {"hosts": hosts, "allow": build_cascade(keys, "allow"), "block": build_cascade(keys, "block")}
