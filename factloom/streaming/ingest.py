@@ -32,13 +32,14 @@ def limited(stream: DataFrame, capacity: float, seconds: float) -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tokens, stamp = state.get if state.exists else (capacity, -1)
         calls = allowed = 0
-        for at in sorted(pd.concat(list(batches))["at"]):  # one user's rows of one micro-batch
-            if stamp >= 0:
-                tokens = min(capacity, tokens + max(0, at - stamp) / 1e6 * capacity / seconds)
-            stamp = max(stamp, at)
-            calls += 1
-            if tokens >= 1:
-                tokens, allowed = tokens - 1, allowed + 1
+        for batch in batches:  # a user's rows come in portions, each read in its own order; what is late refills nothing
+            for at in sorted(batch["at"]):
+                if stamp >= 0:
+                    tokens = min(capacity, tokens + max(0, at - stamp) / 1e6 * capacity / seconds)
+                stamp = max(stamp, at)
+                calls += 1
+                if tokens >= 1:
+                    tokens, allowed = tokens - 1, allowed + 1
         state.update((float(tokens), int(stamp)))
         yield pd.DataFrame({"user_id": [key[0]], "calls": [calls], "allowed": [allowed]})
 
