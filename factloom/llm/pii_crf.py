@@ -118,7 +118,7 @@ def shapes(token: str) -> tuple[str, ...]:
     return _shapes(token) if len(token) <= 64 else _shapes.__wrapped__(token)
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=4096)
 def _shapes(token: str) -> tuple[str, ...]:
     core = token.strip(".")
     fine, coarse, digits = [], [], 0

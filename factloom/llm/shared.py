@@ -89,8 +89,9 @@ def whole_text(column: Column | str = "text") -> list[Column]:
 def only_kept(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that judged (doc_id, text_hash, text_check, kept) keeps, with all their columns, whatever their names.
 
-    A row is known by its id and whole text.  Only the narrow table of what goes is joined with docs.  Of rows with
-    one id and one text of which judged keeps one, exactly one stays: they are rare, and read again only if they occur.
+    A row is known by its id and whole text.  Only the narrow table of what goes is joined with docs, by a sort-merge join
+    whatever its size, so that the plan is the same for small and large inputs and a hot key is split.  Of rows with one
+    id and one text of which judged keeps one, exactly one stays: they are rare, and read again only if they occur.
     """
     names = ["doc_id", "text_hash", "text_check"]
     told = judged.groupBy(*names).agg(F.count("*").alias("n"), F.max("kept").alias("any"))
@@ -100,9 +101,9 @@ def only_kept(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id", text_c
         mine = [docs[id_col].cast("long"), *whole_text(docs[text_col])]
         return mine[0].eqNullSafe(other["doc_id"]) & (mine[1] == other["text_hash"]) & (mine[2] == other["text_check"])
 
-    rest = docs.join(told, same(told), "left_anti")
+    rest = docs.join(told.hint("merge"), same(told), "left_anti")
     again = told.where("any")
     if not again.limit(1).count():
         return rest
-    some = docs.join(again, same(again), "left_semi").select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), *whole_text(text_col))
+    some = docs.join(again.hint("merge"), same(again), "left_semi").select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), *whole_text(text_col))
     return rest.unionByName(some.dropDuplicates(names).select("row.*"))

@@ -113,7 +113,7 @@ class Model:
 
     def scores(self, bits: np.ndarray, norms: np.ndarray) -> np.ndarray:
         """bits: rows of presence at self.slots; norms: roots of how many slots each whole text hits."""
-        return (bits.astype(np.float32) @ self.landmarks.T / norms[:, None] / self.norms[None, :]) @ self.weights[:-1] + self.weights[-1]
+        return (bits.astype(np.float32) @ self.landmarks.astype(np.float32).T / norms[:, None] / self.norms[None, :]) @ self.weights[:-1] + self.weights[-1]
 
 
 def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -191,7 +191,7 @@ def solve(got: pd.DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE) -
             twice = np.flatnonzero(texts[i] > 1)
             shares = [_unpacked([packed[r] for r in rows[at : at + ROWS_AT_ONCE]], twice).sum(axis=1) for at in range(0, len(rows), ROWS_AT_ONCE)]
             bounds[i] = np.quantile(np.concatenate(shares) / norms[rows] ** 2, LEFT_OUT)
-    return Model(languages, slots, own, norms[first].astype(np.float32), weights.astype(np.float32), hit, bounds)
+    return Model(languages, slots, own.astype(np.uint8), norms[first].astype(np.float32), weights.astype(np.float32), hit, bounds)
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
