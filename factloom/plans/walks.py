@@ -29,9 +29,9 @@ def g4_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAGES, _NODES = 4, 120
 WALK = f"""l AS (SELECT n_regionkey AS run, 'r' || n_regionkey AS source, 'n' || n_nationkey AS target, n_nationkey AS pos FROM nation UNION ALL SELECT n_regionkey, 'n' || n_nationkey, 'c' || c_custkey, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey),
 w0 AS (SELECT r_regionkey AS run, 'r' || r_regionkey AS node, 0 AS depth, 1 AS place, true AS opened FROM region),
-w1 AS (SELECT run, target AS node, 1 AS depth, 1 + row_number() OVER (PARTITION BY run ORDER BY pos, target) AS place FROM l JOIN w0 USING (run) WHERE l.source = w0.node QUALIFY place <= {_NODES}),
+w1 AS (SELECT * FROM (SELECT run, target AS node, 1 AS depth, 1 + row_number() OVER (PARTITION BY run ORDER BY pos, target) AS place FROM l JOIN w0 USING (run) WHERE l.source = w0.node) WHERE place <= {_NODES}),
 o1 AS (SELECT *, place <= {_PAGES} AS opened FROM w1), h AS (SELECT run, count(*) AS held FROM (SELECT run FROM w0 UNION ALL SELECT run FROM o1) GROUP BY 1),
-w2 AS (SELECT run, target AS node, 2 AS depth, held + row_number() OVER (PARTITION BY run ORDER BY o1.place, pos, target) AS place FROM l JOIN o1 USING (run) JOIN h USING (run) WHERE l.source = o1.node AND opened QUALIFY place <= {_NODES}),
+w2 AS (SELECT * FROM (SELECT run, target AS node, 2 AS depth, held + row_number() OVER (PARTITION BY run ORDER BY o1.place, pos, target) AS place FROM l JOIN o1 USING (run) JOIN h USING (run) WHERE l.source = o1.node AND opened) WHERE place <= {_NODES}),
 w AS (SELECT * FROM w0 UNION ALL SELECT * FROM o1 UNION ALL SELECT *, false FROM w2)"""
 
 
