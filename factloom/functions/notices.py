@@ -110,12 +110,8 @@ def milestones(text: Column) -> Column:
     clause = F.split(F.lower(text), r"[;\n]|\.\s")
 
     def kind(before: Column) -> Column:
-        out = F.lit(None).cast("string")
-        at = F.lit(0)
-        for pattern, name in EVENTS:
-            here = F.length(F.regexp_extract(before, rf"(?s)\A.*(?:{pattern})", 0))
-            out, at = F.when(here > at, name).otherwise(out), F.greatest(at, here)
-        return out
+        ends = F.array(*[F.struct(F.length(F.regexp_extract(before, rf"(?s)\A.*(?:{pattern})", 0)).alias("at"), F.lit(name).alias("kind")) for pattern, name in EVENTS])
+        return F.array_max(F.filter(ends, lambda e: e["at"] > 0))["kind"]
 
     def read(c: Column) -> Column:
         pieces = F.split(c, DATE)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -68,7 +68,12 @@ _HREF = r"""(?i)<a[\s/][^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
 
 @F.pandas_udf(StringType())
 def _unescape(c: pd.Series) -> pd.Series:
-    return c.map(lambda s: html.unescape(s).strip())
+    return c.map(lambda s: (html.unescape(s) if "&" in s else s).strip())
+
+
+def has_links(html: Column) -> Column:
+    """Whether a page has an anchor with an href, without reading them all."""
+    return html.rlike(_HREF)
 
 
 def page_links(pages: DataFrame) -> DataFrame:

@@ -89,14 +89,14 @@ def x37_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x36_notice_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first value printed of each field of a notice (eligibility X31, fees X32, dates): one pass over its text."""
     text = F.col("text")
-    on = lambda kind: F.get(F.filter(N.milestones(text), lambda m: m["kind"] == kind), F.lit(0))["date"]
-    age = N.age_band(text)
+    read = _notices(spark, sf_dir).select("o_orderkey", "text", N.milestones(text).alias("m"), N.age_band(text).alias("age"))
+    on = lambda kind: F.get(F.filter("m", lambda m: m["kind"] == kind), F.lit(0))["date"]
     fields = {
-        "posts": N.bound_count(text, "vacancies|posts").cast("string"), "age": F.concat_ws("-", age["low"].cast("string"), age["high"].cast("string")),
+        "posts": N.bound_count(text, "vacancies|posts").cast("string"), "age": F.concat_ws("-", F.col("age.low").cast("string"), F.col("age.high").cast("string")),
         "fee": F.get(N.amounts(text), F.lit(0)).cast("long").cast("string"), "last_date": on("APPLICATION_END"), "exam_date": on("EXAM"),
     }
     each = F.filter(F.array(*[F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in fields.items()]), lambda x: F.coalesce(x["value"], F.lit("")) != "")
-    return _notices(spark, sf_dir).select("o_orderkey", F.explode(each).alias("x")).select("o_orderkey", "x.*")
+    return read.select("o_orderkey", F.explode(each).alias("x")).select("o_orderkey", "x.*")
 
 
 @query(f"""WITH {WRITTEN}, f AS (SELECT o_orderkey, posts, low, high, o % 7 = 1 AS contested FROM n)

@@ -49,8 +49,10 @@ def g2_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 c AS (SELECT estate, target FROM e JOIN p USING (estate) GROUP BY 1, 2, pages HAVING pages > 1 AND count(DISTINCT page_id) >= 0.5 * pages)
 SELECT e.estate, e.page_id, e.target FROM e ANTI JOIN c ON e.estate = c.estate AND e.target = c.target""")
 def g6_without_chrome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = G.page_links(table(spark, sf_dir, "pages")).select(U.estate(F.col("url")).alias("estate"), "page_id", "target")
-    return G.without_chrome(links, links.select("estate", "page_id").distinct()).select("estate", "page_id", "target")
+    pages = table(spark, sf_dir, "pages")
+    links = G.page_links(pages).select(U.estate(F.col("url")).alias("estate"), "page_id", "target")
+    linking = pages.where(G.has_links(F.col("html"))).select(U.estate(F.col("url")).alias("estate"), "page_id")
+    return G.without_chrome(links, linking).select("estate", "page_id", "target")
 
 
 _RANK = {"official": 0, "reviewed": 1, "unknown": 2}
