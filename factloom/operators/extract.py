@@ -30,11 +30,11 @@ def passages(t: Column) -> Column:
     return F.transform(T.windows(t, WIDTH, STEP), lambda w: F.struct(w["start"].alias("start"), F.concat(lead(w["start"]), w["piece"], tail(w["start"])).alias("piece")))
 
 
-def extract(docs: DataFrame, fields: tuple[Field, ...], doc_id: str, text: str) -> DataFrame:
-    """doc_id, field, value, start, score, confidence and piece: of each field the best passage that holds a value.
+def best_passages(docs: DataFrame, fields: tuple[Field, ...], doc_id: str, text: str) -> DataFrame:
+    """doc_id, field, place, start, score, piece and value (blank: none) of the BEST passages of each document and field.
 
     A passage scores 1, 0.6 more for each word of support and 1.2 less for each against, and not below 0; it must hold
-    the anchor.  The BEST passages of a document are tried in order of their scores, then places.
+    the anchor.
     """
     cut = docs.select(doc_id, F.explode(passages(F.col(text))).alias("w")).select(doc_id, "w.start", "w.piece")
     n = lambda pattern: F.regexp_count("piece", F.lit(pattern))
@@ -44,7 +44,12 @@ def extract(docs: DataFrame, fields: tuple[Field, ...], doc_id: str, text: str)
     ]
     scored = cut.select(doc_id, "start", "piece", F.explode(F.array_compact(F.array(*each))).alias("x")).select(doc_id, "start", "piece", "x.*")
     w = Window.partitionBy(doc_id, "field").orderBy(F.desc("score"), "start")
-    top = scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= BEST)
+    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= BEST)
+
+
+def extract(docs: DataFrame, fields: tuple[Field, ...], doc_id: str, text: str) -> DataFrame:
+    """doc_id, field, value, start, score, confidence and piece: of each field the first of the best passages that holds a value."""
+    top = best_passages(docs, fields, doc_id, text)
     first = top.where("value != ''").groupBy(doc_id, "field").agg(F.min_by(F.struct("value", "start", "score", "piece"), "place").alias("x")).select(doc_id, "field", "x.*")
     return first.select(doc_id, "field", "value", "start", F.round("score", 2).alias("score"), F.round(F.least(F.lit(1.0), F.col("score") / 3), 4).alias("confidence"), "piece")
 

@@ -199,18 +199,39 @@ def x11_merge_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("name", F.when(F.col("there"), F.col("met")).alias("met"), action.alias("action"))
 
 
-@query("""WITH w AS (SELECT p_partkey, p_type AS code_a, CASE WHEN p_size > 25 THEN p_type WHEN p_size > 12 THEN '' ELSE 'PROMO' END AS code_b, string_split(p_name, ' ') AS a, list_distinct(string_split(CASE WHEN p_size % 3 = 0 THEN p_name || ' old' WHEN p_size % 3 = 1 THEN 'hot gear' ELSE p_name END, ' ')) AS b FROM part),
-s AS (SELECT *, len(list_intersect(a, b)) AS shared, len(a) AS la, len(b) AS lb FROM w)
-SELECT p_partkey, round(CASE WHEN code_b <> '' THEN CASE WHEN code_a = code_b THEN 1.0 ELSE 0.0 END WHEN shared = 0 THEN 0.0 WHEN shared = la AND shared = lb THEN 1.0 WHEN shared = least(la, lb) THEN CASE WHEN shared >= 2 THEN 0.9 ELSE 0.5 END ELSE 0.4 * shared / greatest(la, lb) END, 4)::DOUBLE AS stage, round(CASE WHEN shared = 0 THEN 0.0 WHEN shared = la AND shared = lb THEN 1.0 WHEN shared = least(la, lb) THEN CASE WHEN shared >= 2 THEN 0.9 ELSE 0.55 END ELSE round(0.8 * shared / greatest(la, lb), 3) END, 4)::DOUBLE AS topic FROM s""")
-def j13_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far two stages (their codes decide where both have one) and two topics are the same."""
+IDENTITY = """w AS (SELECT p_partkey, p_type AS code_a, CASE WHEN p_size > 25 THEN p_type WHEN p_size > 12 THEN '' ELSE 'PROMO' END AS code_b, string_split(p_name, ' ') AS a, list_distinct(string_split(CASE WHEN p_size % 3 = 0 THEN p_name || ' old' WHEN p_size % 3 = 1 THEN 'hot gear' ELSE p_name END, ' ')) AS b FROM part),
+s AS (SELECT *, len(list_intersect(a, b)) AS shared, len(a) AS la, len(b) AS lb FROM w)"""
+
+
+def _identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, name = F.col("p_size"), F.col("p_name")
     other = F.when(size % 3 == 0, F.concat(name, F.lit(" old"))).when(size % 3 == 1, "hot gear").otherwise(name)
     code = F.when(size > 25, F.col("p_type")).when(size > 12, "").otherwise("PROMO")
-    a, b = T.words(name), T.words(other)
-    stage = F.when(code != "", (code == F.col("p_type")).cast("double")).otherwise(T.name_score(a, b))
-    topic = T.name_score(a, b, one=0.55, share=0.8)
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(stage, 4).alias("stage"), F.round(topic, 3).alias("topic"))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_type", code.alias("code"), T.words(name).alias("a"), T.words(other).alias("b"))
+
+
+@query(f"""WITH {IDENTITY} SELECT p_partkey, round(CASE WHEN code_b <> '' THEN CASE WHEN code_a = code_b THEN 1.0 ELSE 0.0 END WHEN shared = 0 THEN 0.0 WHEN shared = la AND shared = lb THEN 1.0 WHEN shared = least(la, lb) THEN CASE WHEN shared >= 2 THEN 0.9 ELSE 0.5 END ELSE 0.4 * shared / greatest(la, lb) END, 4)::DOUBLE AS stage FROM s""")
+def j13_stage_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far two stages are the same: their codes decide where both have one, else their words."""
+    by_code = F.when(F.col("code") != "", (F.col("code") == F.col("p_type")).cast("double"))
+    return _identity(spark, sf_dir).select("p_partkey", F.round(F.coalesce(by_code, T.name_score(F.col("a"), F.col("b"))), 4).alias("stage"))
+
+
+@query(f"""WITH {IDENTITY} SELECT p_partkey, round(CASE WHEN shared = 0 THEN 0.0 WHEN shared = la AND shared = lb THEN 1.0 WHEN shared = least(la, lb) THEN CASE WHEN shared >= 2 THEN 0.9 ELSE 0.55 END ELSE 0.8 * shared / greatest(la, lb) END, 3)::DOUBLE AS topic FROM s""")
+def j14_topic_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _identity(spark, sf_dir).select("p_partkey", F.round(T.name_score(F.col("a"), F.col("b"), one=0.55, share=0.8), 3).alias("topic"))
+
+
+@query("""WITH n AS (SELECT p_brand, p_name, count(*) AS n FROM part GROUP BY 1, 2), c AS (SELECT p_brand, arg_min(p_name, (-n, p_name)) AS canon FROM n GROUP BY 1),
+s AS (SELECT p_partkey, canon, len(list_intersect(string_split(p_name, ' '), string_split(canon, ' '))) AS shared FROM part JOIN c USING (p_brand))
+SELECT p_partkey, canon, CASE shared WHEN 2 THEN 'SAME' WHEN 1 THEN 'RELATED' ELSE 'OTHER' END AS judged FROM s""")
+def x24_designations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The designation that most of a brand's parts bear, and whether each part's is that, related to it or another."""
+    p = table(spark, sf_dir, "part")
+    names = p.groupBy("p_brand", "p_name").agg(F.count("*").alias("n"))
+    canon = names.groupBy("p_brand").agg(F.min(F.struct((-F.col("n")).alias("n"), "p_name"))["p_name"].alias("canon"))
+    score = T.name_score(T.words(F.col("p_name")), T.words(F.col("canon")))
+    return p.join(canon, "p_brand").select("p_partkey", "canon", F.when(score == 1, "SAME").when(score > 0, "RELATED").otherwise("OTHER").alias("judged"))
 
 
 @query(f"SELECT status, reason, count(*) AS n FROM ({QUERIES['x5_validate_facts'].sql}) GROUP BY 1, 2")

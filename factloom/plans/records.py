@@ -228,3 +228,33 @@ def w16_latest_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored walks of each estate, of which the latest is loaded."""
     n = table(spark, sf_dir, "pages").select(F.col("page_id").alias("run"), U.estate(F.col("url")).alias("estate"), F.regexp_count("html", F.lit(r"(?i)<a\s")).alias("links"))
     return S.last_write(n, ["estate"], ["run"]).select("estate", "run", "links")
+
+
+@query("""SELECT o_orderkey, '{"key":' || o_orderkey || ',"status":"' || o_orderstatus || '","lines":[' || coalesce(string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey), '') || ']}' AS staged FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus""")
+def w19_staged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as the JSON lines of a staging artifact."""
+    own = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list("l_partkey")).alias("lines"))
+    met = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").join(own, "o_orderkey", "left")
+    record = F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.coalesce("lines", F.array().cast("array<bigint>")).alias("lines"))
+    return met.select("o_orderkey", F.to_json(record).alias("staged"))
+
+
+#: The contract's fields: name, the column that holds it, and whether a record needs it.
+CONTRACT = (("name", "c_name", True), ("segment", "c_mktsegment", True), ("balance", "c_acctbal", False))
+
+
+@query("""WITH f AS (SELECT c_nationkey, unnest(['name', 'segment', 'balance']) AS field, unnest([c_name <> '', c_mktsegment <> 'HOUSEHOLD', c_acctbal >= 0]) AS held FROM customer)
+SELECT c_nationkey, field, field <> 'balance' AS required, count(*) FILTER (held) AS held, count(*) FILTER (NOT held) AS missing FROM f GROUP BY 1, 2""")
+def d2_contract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test = {"name": F.col("c_name") != "", "segment": F.col("c_mktsegment") != "HOUSEHOLD", "balance": F.col("c_acctbal") >= 0}
+    each = F.array(*[F.struct(F.lit(name).alias("field"), F.lit(needed).alias("required"), test[name].alias("held")) for name, _, needed in CONTRACT])
+    f = table(spark, sf_dir, "customer").select("c_nationkey", F.explode(each).alias("x")).select("c_nationkey", "x.*")
+    return f.groupBy("c_nationkey", "field", "required").agg(F.count_if("held").alias("held"), F.count_if(~F.col("held")).alias("missing"))
+
+
+@query("""WITH b AS (SELECT page_id % 50 AS slot, min(page_id) AS first FROM pages WHERE url LIKE '%/en/%' GROUP BY 1) SELECT page_id, coalesce(first, page_id) AS since FROM pages LEFT JOIN b ON slot = page_id % 50""")
+def j25_carried_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the first page that the snapshot before (the English ones) had in their slot, their own where it had none."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") % 50).alias("slot"))
+    before = p.where(F.col("url").like("%/en/%")).groupBy("slot").agg(F.min("page_id").alias("since"))
+    return records.carried(p.withColumn("since", F.lit(None).cast("long")), before, "slot", "since", F.col("page_id")).select("page_id", "since")

@@ -9,7 +9,7 @@ from factloom.functions.dates import micros
 from factloom.functions.text import figures
 from factloom.operators import stateful
 
-from .registry import query, table
+from .registry import QUERIES, query, table
 
 _HOUR = 3_600_000_000
 
@@ -65,6 +65,12 @@ def k4_sliding_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.fold(e, "user_id", ["at", "event_id"], stateful.sliding_limiter(3, 24 * _HOUR), ["at"], "allowed", "boolean")
 
 
+@query(f"SELECT user_id, count(*) FILTER (allowed) AS allowed, count(*) FILTER (NOT allowed) AS denied FROM ({QUERIES['k4_sliding_limiter'].sql}) GROUP BY 1")
+def n15_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls that a sliding window lets through and denies; only those let through count in it."""
+    return k4_sliding_limiter(spark, sf_dir).groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("denied"))
+
+
 _REFILL = f"least(4.0::DOUBLE, f.tokens + CAST(n.t_us - f.t_us AS DOUBLE) * 4.0::DOUBLE / {48 * _HOUR}::DOUBLE)"
 
 

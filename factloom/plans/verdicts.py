@@ -195,9 +195,21 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.extract(docs, FIELDS, "doc_id", "text")
 
 
+@query(f"WITH {FOUND} SELECT doc_id, field, CAST(place AS INTEGER) AS place, start, round(score, 2) AS score FROM p")
+def n6_best_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return X.best_passages(docs, FIELDS, "doc_id", "text").select("doc_id", "field", "place", "start", F.round("score", 2).alias("score"))
+
+
+@query(f"WITH {FOUND} SELECT doc_id, count(*) AS found, 3 - count(*) AS missing FROM e GROUP BY 1")
+def x2_extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of all the fields each document gave, of those that gave any."""
+    return _found(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("found"), (F.lit(len(FIELDS)) - F.count("*")).alias("missing"))
+
+
 @query(f"WITH {FOUND} SELECT doc_id, field, value, start, round(score, 2) AS score, round(least(1.0, score / 3), 4) AS confidence FROM e")
 def x1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All fields of all documents (X2), each by its best passage (N6)."""
+    """All fields of all documents, each by its best passage."""
     return _found(spark, sf_dir).drop("piece")
 
 
