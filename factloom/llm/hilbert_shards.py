@@ -143,13 +143,14 @@ def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     group = ["text_hash", "text_check", "size"]
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hilbert"))
     groups = placed.groupBy(*group).agg(F.count("*").alias("n"), first.alias("first")).where("n > 1")
-    # a group has one row on the right side, so a hot group is split on the left by adaptive execution
-    together = placed.join(groups.select(*group, F.col("first.hilbert").alias("of_group")), group, "left").withColumn("hilbert", F.coalesce("of_group", "hilbert"))
+    # a group has one row on the right side, a table of its own, so adaptive execution can split a hot group on the left
+    groups = materialize(groups.select(*group, F.col("first.hilbert").alias("of_group")), "groups")
+    together = placed.join(groups, group, "left").withColumn("hilbert", F.coalesce("of_group", "hilbert"))
     order = ["hilbert", "text_hash", "text_check", "doc_id"]
     columns = ["doc_id", "size", "text_crc32", "hilbert"]
     ordered = materialize(together.repartitionByRange(input_partitions(docs), *order).sortWithinPartitions(*order).select(*columns), "ordered")
-    discard(narrow)
-    discard(placed)
+    for table in (narrow, placed, groups):
+        discard(table)
     return _cut(ordered, shards)
 
 
