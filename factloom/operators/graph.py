@@ -25,17 +25,19 @@ def edges_of(links: DataFrame) -> DataFrame:
     return links.where("source != target").groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
-def without_chrome(links: DataFrame, pages: DataFrame, share: float = 0.5) -> DataFrame:
+def without_chrome(links: DataFrame, share: float = 0.5) -> DataFrame:
     """links (estate, page_id, target) without the targets that at least that share of an estate's linking pages link to.
 
-    pages: estate and page_id of the pages that link.  A target's pages and its estate's are counted once, and the
-    few targets over the share are what is joined.
+    Pages are read once: the narrow links are dealt by target, and what is counted and what is kept both read that exchange.
+    Keys are never null there, so that no reader of it asks for other rows than the next; a null target is none to count.
     """
-    of = pages.groupBy("estate").agg(F.count("*").alias("pages"))
-    each = links.select("estate", "target", "page_id").distinct().groupBy("estate", "target").agg(F.count("*").alias("n"))
-    common = each.where("n > 1").join(of, "estate").where((F.col("pages") > 1) & (F.col("n") >= share * F.col("pages")))
-    alone = each.where("n = 1").join(of, "estate").where((F.col("pages") > 1) & (1 >= share * F.col("pages")))
-    return links.join(common.unionByName(alone).select("estate", "target"), ["estate", "target"], "left_anti")
+    keys = [F.coalesce(c, F.lit("")).alias(c) for c in ("estate", "target")]
+    dealt = links.select("page_id", *keys).repartition("estate", "target")
+    of = dealt.select("estate", "page_id").distinct().groupBy("estate").agg(F.count("*").alias("pages"))
+    each = dealt.distinct().groupBy("estate", "target").agg(F.count("*").alias("n"))
+    common = each.join(of, "estate").where((F.col("pages") > 1) & (F.col("n") >= share * F.col("pages")) & (F.col("target") != ""))
+    kept = dealt.join(common.select("estate", "target"), ["estate", "target"], "left_anti")
+    return kept.select("estate", "page_id", F.nullif("target", F.lit("")).alias("target"))
 
 
 def ancestors(tree: DataFrame) -> DataFrame:
@@ -62,8 +64,15 @@ def ancestors(tree: DataFrame) -> DataFrame:
     return way.join(own, "node").select("node", F.element_at("path", 1).alias("root"), (F.size("path") - 1).alias("level"), F.array_join("path", "/").alias("path"))
 
 
-#: An anchor up to its href and the value in double quotes, single quotes or none, as the reference reads it.
-_HREF = r"""(?i)<a[\s/][^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
+#: An anchor up to its href, and the value in double quotes, single quotes or none, as the reference reads it.
+_BEFORE = r"<a[\s/][^>]*?\bhref\s*=\s*"
+_HREF = rf"""(?i){_BEFORE}(?:"[^"]*"|'[^']*'|[^\s>]+)"""
+
+
+def _value(anchor: Column) -> Column:
+    bare = F.regexp_replace(anchor, rf"(?i)\A{_BEFORE}", "")
+    quoted = bare.startswith('"') | bare.startswith("'")
+    return F.when(quoted, F.substring(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare)
 
 
 @F.pandas_udf(StringType())
@@ -71,18 +80,13 @@ def _unescape(c: pd.Series) -> pd.Series:
     return c.map(lambda s: (html.unescape(s) if "&" in s else s).strip())
 
 
-def has_links(html: Column) -> Column:
-    """Whether a page has an anchor with an href, without reading them all."""
-    return html.rlike(_HREF)
-
-
 def page_links(pages: DataFrame) -> DataFrame:
     """page_id, pos, href and the absolute, normalised target of every anchor with an href, in page order.
 
     Any letter case, blanks at the equals sign, either quotes or none; entities in the value are resolved.
     """
-    found = F.transform(F.regexp_extract_all("html", F.lit(_HREF), F.lit(0)), lambda a: F.concat(*[F.regexp_extract(a, _HREF, i) for i in (1, 2, 3)]))
-    at = pages.select("page_id", "url", F.posexplode(found).alias("pos", "raw")).withColumn("href", _unescape("raw"))
+    found = F.regexp_extract_all("html", F.lit(_HREF), F.lit(0))
+    at = pages.select("page_id", "url", F.posexplode(found).alias("pos", "raw")).withColumn("href", _unescape(_value(F.col("raw"))))
     return at.select("page_id", "url", "pos", "href", U.normalise(U.resolve(F.col("href"), F.col("url"))).alias("target"))
 
 

@@ -10,9 +10,10 @@ def rival_groups(facts: DataFrame, keys: list[str], value: str, source: str) ->
     """For each key: facts, values, sources, and whether two facts differ in value and in source.
 
     Pairs of a value and a source that pairwise share one of them all share one and the same, so there are rivals
-    where the facts that state both have several values and several sources: one aggregate, no self-join.
+    where the facts that state both have several values and several sources: one aggregate, no self-join.  Whether
+    there are several is told by 64-bit hashes, which aggregate without sorting.
     """
-    v, s = (F.when(F.col(value).isNotNull() & F.col(source).isNotNull(), F.col(c)) for c in (value, source))
+    v, s = (F.when(F.col(value).isNotNull() & F.col(source).isNotNull(), F.xxhash64(c)) for c in (value, source))
     return facts.groupBy(*keys).agg(
         F.count("*").alias("n_facts"), F.count_distinct(value).alias("n_values"), F.count_distinct(source).alias("n_sources"),
         F.coalesce((F.min(v) != F.max(v)) & (F.min(s) != F.max(s)), F.lit(False)).alias("conflicting"),
@@ -35,13 +36,16 @@ def reconcile_claims(claims: DataFrame, keys: list[str], value: str, klass: str,
     UNSUPPORTED without a verified claim (LEADS_ONLY if there are leads), SECONDARY_ONLY without an official one,
     OFFICIAL_CONFLICT with several official values, OFFICIAL_CONTESTED if a secondary value differs, CORROBORATED if
     one agrees, else OFFICIAL.  Values are compared in lower case and trimmed, but what is returned is what a source
-    said: of the value that stands the official claim first in that order, and of a conflict all of them.
+    said: of the value that stands the official claim first in that order (a number), and of a conflict all of them.
     """
     kind = F.col(klass)
-    each = claims.groupBy(*keys, F.lower(F.trim(value)).alias("v")).agg(
-        F.count_if(kind == "official").alias("official"), F.count_if(kind == "secondary").alias("secondary"), F.count_if(kind == "lead").alias("leads"),
-        F.min_by(value, F.when(kind == "official", F.col(order))).alias("said"),
-    )
+    # rows of one wording first, by counts and numbers alone, which aggregate without sorting
+    worded = claims.groupBy(*keys, F.lower(F.trim(value)).alias("v"), F.col(value).alias("w")).agg(
+        F.count_if(kind == "official").alias("official"), F.count_if(kind == "secondary").alias("secondary"), F.count_if(kind == "lead").alias("leads"), F.min(F.when(kind == "official", F.col(order))).alias("at")
+    ).repartition(*keys)  # what follows needs no other exchange
+    each = worded.groupBy(*keys, "v").agg(
+        *[F.sum(c).alias(c) for c in ("official", "secondary", "leads")], F.min_by("w", F.when(F.col("at").isNotNull(), F.struct("at", "w"))).alias("said")
+    )
     told, other = F.col("official") > 0, (F.col("official") == 0) & (F.col("secondary") > 0)
     got = each.groupBy(*keys).agg(
         F.count_if(told).alias("n_official"), F.count_if(other).alias("n_other"), F.count_if(told & (F.col("secondary") > 0)).alias("n_agreed"), F.sum("leads").alias("n_leads"),

@@ -47,7 +47,7 @@ def x7_reconcile_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = F.col("l_suppkey") % 7
     said = F.when(F.col("l_quantity") > 25, F.concat(F.lit(" "), F.lower("l_returnflag"))).otherwise(F.col("l_returnflag"))
     klass = F.when(by == 0, "official").when(by == 1, "secondary").when(by == 2, "lead").otherwise("unverified")
-    claims = table(spark, sf_dir, "lineitem").select("l_partkey", said.alias("said"), klass.alias("klass"), F.struct(F.col("l_orderkey") * 10 + F.col("l_linenumber"), said).alias("ord"))
+    claims = table(spark, sf_dir, "lineitem").select("l_partkey", said.alias("said"), klass.alias("klass"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
     return ladders.reconcile_claims(claims, ["l_partkey"], "said", "klass", "ord")
 
 
