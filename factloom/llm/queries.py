@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, dart_minhash, exact_dedup, hilbert_shards, license_scan, pii_crf, sampled_pieces, string_kernel_lang, topk_nra, url_filter
+from . import best_fit_packing, dart_minhash, exact_dedup, hilbert_shards, license_scan, periodic_runs, pii_crf, sampled_pieces, string_kernel_lang, topk_nra, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,10 +53,15 @@ def op10_string_kernel_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return string_kernel_lang.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_kolpakov_kucherov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.find_runs(_table(spark, sf_dir, "documents"), rewrite=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_exact_dedup, op2_dart_minhash, op3_license_scan, op4_sampled_pieces, op5_url_filter,
         op6_hilbert_shards, op7_topk_nra, op8_pii_crf, op9_best_fit_packing, op10_string_kernel_lang,
+        op11_kolpakov_kucherov,
     )
     return {f.__name__: f for f in every}
 
