@@ -16,7 +16,8 @@ its digits or signs can be what it is called.
 
 Cases: null text is empty; texts without digits or signs have no spans; very long texts, tokens and runs of digits or
 of address characters are searched in linear time; repeated rows are judged row by row; an empty table gives none;
-other columns of any name are ignored.
+other columns of any name are ignored; a null doc_id is kept, and ids beside it stay whole.  Rows are judged
+one by one without a shuffle, so a lost executor costs its own tasks only.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -384,14 +386,16 @@ def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
     field = field or train(training_table())
     told = docs.sparkSession.sparkContext.broadcast(field)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = all_spans(told.value, b["text"].tolist())
-            rows = {f"n_{k}": [sum(s[0] == k for s in base) for base, _ in found] for k in KINDS}
-            sha = [hashlib.sha256(_told(base).encode()).hexdigest() for base, _ in found]
-            yield pd.DataFrame({"doc_id": b["doc_id"], **rows, "base_sha256": sha, "spans": [_told(every) for _, every in found]})
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # ids stay in Arrow: pandas would make doubles of them beside a null
+            found = all_spans(told.value, b.column("text").to_pylist())
+            counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
+            sha = pa.array([hashlib.sha256(_told(base).encode()).hexdigest() for base, _ in found], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, sha, pa.array([_told(every) for _, every in found], pa.string())], names=names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(
         run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
     )
 
