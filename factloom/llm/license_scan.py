@@ -18,7 +18,9 @@ template: those with the greatest share stay.
 Votes are aggregated by (document, template, diagonal), so a phrase that all documents hold makes no hot group.
 
 Cases: null or empty texts and texts without words have n_words 0 and empty labels; overlapping places all count;
-repeated rows are judged row by row; other columns of any name are ignored; an empty table gives none.
+repeated rows are judged row by row; other columns of any name are ignored; an empty table gives none.  A text of any
+length is read whole, in time that grows in proportion.  All steps are joins and aggregations over written votes, so a
+lost executor costs recomputed tasks only.
 """
 
 from __future__ import annotations
@@ -60,11 +62,14 @@ def templates(spark: SparkSession, base: dict[str, str] = BASE, notices: tuple[t
 
 def votes(rows: DataFrame, marks: DataFrame) -> DataFrame:
     """Of rows with uid, doc_id and words: a row for each (uid, template, diagonal) with its votes' template positions and places."""
-    grams = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1)))
-    at = rows.select("uid", "doc_id", "words", F.posexplode(F.concat(grams, F.array(F.lit(SELF).cast("long")))).alias("pos", "gram"))
-    stands = lambda i, w: F.get("words", F.col("pos") + i) == F.col(w)
-    same = stands(0, "w1") & stands(1, "w2") & (F.col("w3").isNull() | stands(2, "w3"))
-    met = at.join(F.broadcast(marks), (F.col("gram") == F.col("t_hash")) & (same | ((F.col("template") == SELF) & (F.col("pos") == F.size("words")))))
+    word = lambda i: F.get("words", i)
+    gram = lambda w, i: F.struct(i.alias("pos"), F.xxhash64(w, word(i + 1)).alias("gram"), w.alias("d1"), word(i + 1).alias("d2"), word(i + 2).alias("d3"))
+    none = F.lit(None).cast("string")
+    mark = F.struct(F.size("words").alias("pos"), F.lit(SELF).cast("long").alias("gram"), none.alias("d1"), none.alias("d2"), none.alias("d3"))
+    # each row carries its own three words and no more, so the rows of a text are as long as the text, thrice
+    at = rows.select("uid", "doc_id", F.explode(F.concat(F.transform("words", gram), F.array(mark))).alias("at")).select("uid", "doc_id", "at.*")
+    same = (F.col("d1") == F.col("w1")) & (F.col("d2") == F.col("w2")) & (F.col("w3").isNull() | (F.col("d3") == F.col("w3")))
+    met = at.join(F.broadcast(marks), (F.col("gram") == F.col("t_hash")) & (same | (F.col("template") == SELF)))
     return met.groupBy("uid", "template", "label", "fixed", "places", (F.col("pos") - F.col("t_pos")).cast("long").alias("diagonal")).agg(
         F.first("doc_id").alias("doc_id"),
         F.collect_set("t_pos").alias("t_set"),
