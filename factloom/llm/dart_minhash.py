@@ -19,7 +19,7 @@ Every comparison is the exact (weighted) Jaccard similarity of whole texts.  Com
 Cases: null text is empty; a text of 1 to 4 words is one shingle; a text without words is alone in its class; a null
 doc_id sorts after others; rows that share a doc_id but not the text are separate rows; repeated rows share a class; of
 every class exactly one row is kept, that with the smallest doc_id, also where ids repeat; an empty table gives none;
-other columns of any name are ignored, and keep_one() returns them as they are.
+other columns of any name are ignored, and keep_one() returns them as they are.  Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -237,7 +237,7 @@ def _by_prefix(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
-def links_and_nodes(docs: DataFrame, least: float = LEAST, weighting: str = WEIGHTING) -> tuple[DataFrame, DataFrame, DataFrame]:
+def links_and_nodes(docs: DataFrame, least: float = LEAST, weighting: str = WEIGHTING) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """rows (signatures), nodes (distinct shingle bags: digest, first, rep, size, bands) and the components of their links (node, comp)."""
     rows = materialize(signatures(docs, weighting).withColumn("uid", F.monotonically_increasing_id()), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "uid"))
@@ -267,29 +267,39 @@ def links_and_nodes(docs: DataFrame, least: float = LEAST, weighting: str = WEIG
     more = materialize(_similar(_by_prefix(still, sets, least), sets, least), "links")
     discard(sets)
     if more.limit(1).count():
-        comp = components(links.union(more))
-    return rows, nodes, comp
+        links = links.union(more)
+        comp = components(links)
+    return rows, nodes, comp, links
 
 
-def _judged(docs: DataFrame, least: float, weighting: str) -> DataFrame:
-    rows, nodes, comp = links_and_nodes(docs, least, weighting)
+def _judged(docs: DataFrame, least: float, weighting: str, counted: bool = False) -> DataFrame:
+    rows, nodes, comp, links = links_and_nodes(docs, least, weighting)
     classed = nodes.select("digest", "first", "size").join(comp.withColumnRenamed("node", "digest"), "digest", "left")
     linked = classed.where("comp is not null")
     whole = linked.groupBy("comp").agg(F.sum("size").alias("class_size"), F.min("first").alias("first"))
     special = linked.select("digest", "comp").join(whole, "comp").select("digest", "class_size", "first")
     special = special.union(classed.where("comp is null and size > 1").select("digest", F.col("size").alias("class_size"), "first"))
+    if counted:
+        ends = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("end"))
+        degree = ends.select("end.*").distinct().groupBy(F.col("a").alias("digest")).agg(F.count("*").alias("n_links"))
+        special = special.join(degree, "digest", "left")
     own = F.col("class_size").isNull()
     return rows.drop("bands").join(special, "digest", "left").select(
         "doc_id", "text_hash", "text_check", "n_shingles",
         F.when(own, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
         (own | (F.col("uid") == F.col("first.uid"))).alias("kept"),
+        *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if counted else []),
     )
 
 
 def near_dedup(docs: DataFrame, least: float = LEAST, weighting: str = WEIGHTING) -> DataFrame:
-    """One row for each row of docs: doc_id, text_hash, n_shingles, class_id (smallest doc_id of the class), class_size, kept."""
-    return _judged(docs, least, weighting).drop("text_check")
+    """One row for each row of docs: doc_id, text_hash, n_shingles, class_id (smallest doc_id of the class), class_size, kept, n_links.
+
+    n_links counts the other texts that the row's text was compared with and is similar to: the links that its class
+    stands on, not all similar pairs.  Copies of one text share their links.
+    """
+    return _judged(docs, least, weighting, counted=True).drop("text_check")
 
 
 def keep_one(docs: DataFrame, least: float = LEAST, weighting: str = WEIGHTING) -> DataFrame:

@@ -21,7 +21,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dart_minhash.near_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+    return dart_minhash.near_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links", "kept")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
