@@ -48,7 +48,8 @@ BLOCK = 4096
 ISLANDS = 2
 EPOCHS = 2
 POPULATION = 4
-OFFSPRING = 10
+#: A search goes on until so many offspring in succession are no better than the best packing, and makes so many at least.
+OFFSPRING = 12
 #: A bin less full than this share of a sequence is packed again with those of other blocks.
 OPEN = 0.97
 _ODD = re.compile(r"\s\s")
@@ -207,9 +208,9 @@ def evolve(sizes: list[int], room: int, seed: int, elites: list[Packing], popula
         loose = sorted(range(len(sizes)), key=lambda i: -sizes[i] * r.uniform(0.8, 1.0))
         people.append(best_fit(loose, sizes, [], [], room))
     people.sort(key=quality, reverse=True)
-    for _ in range(offspring):
-        if len(people) < 2 or is_best(people[0], least, room):
-            break
+    idle = 0
+    while idle < offspring and len(people) > 1 and not is_best(people[0], least, room):
+        idle, top = idle + 1, len(people[0][0])
         a, b = sorted(r.sample(range(len(people)), 2))
         if r.random() < 0.7:
             did.crossovers += 1
@@ -221,6 +222,8 @@ def evolve(sizes: list[int], room: int, seed: int, elites: list[Packing], popula
             did.taken += 1
             people[-1] = child
             people.sort(key=quality, reverse=True)
+            if len(people[0][0]) < top:
+                idle = 0
     return people[0]
 
 
