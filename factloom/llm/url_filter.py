@@ -11,9 +11,9 @@ parts for each of its suffixes that a rule names, and not for each of its suffix
 running hash over the labels and parts, so time and memory follow a URL's length.
 
 Building: each level is one pass over the surviving keys; a task sets bits in its own array and sends the words that
-are not zero, which are combined by bitwise or.  Only bit arrays reach the driver, never keys.  Rules are dealt by
-hash into as many parts as it takes that the arrays of one part stay under MAX_BYTES; a part's arrays are broadcast
-for one pass over the URLs and freed, so no list is too long and there is no other way for long ones.
+are not zero, which are combined by bitwise or.  Only bit arrays reach the driver, never keys.  Rules are halved by
+hash until every level of a part, counted before it is made, stays under MAX_BYTES; a part's arrays are broadcast
+for one pass over the URLs, so no list is too long, no corpus too large, and there is no other way for long ones.
 
 Cases: a null url, or one without ``://``, has empty host and path, no rule and the default verdict; an empty path
 fits no rule (rules' paths start with ``/``); the longest key wins, of equally long ones that with the longer host; a
@@ -24,6 +24,7 @@ and empty lists give empty cascades.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -41,8 +42,8 @@ DEFAULT = "allow"
 BITS_PER_KEY = 10
 HASHES = 4
 LEAST_BITS = 512
-#: Most bytes of bit arrays that are broadcast at once.
-MAX_BYTES = 256 << 20
+#: Most bytes of a level's bit array; a part of the rules has three cascades, whose later levels are shorter than their first.
+MAX_BYTES = 64 << 20
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,13 +84,13 @@ def joined(host: np.ndarray, path: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _positions(h1: np.ndarray, h2: np.ndarray, level: int, bits: int) -> np.ndarray:
-    """HASHES bit positions of each key; every level mixes anew."""
+def _positions(h1: np.ndarray, h2: np.ndarray, level: int, bits: int, hashes: int = HASHES) -> np.ndarray:
+    """Bit positions of each key; every level mixes anew."""
     a, b = h1.astype(np.uint64), h2.astype(np.uint64)
     with np.errstate(over="ignore"):
         b = (b ^ np.uint64(level + 1) * _ODD) | np.uint64(1)
         a = a ^ (b >> np.uint64(17)) * np.uint64(0xBF58476D1CE4E5B9)
-        steps = a[:, None] + b[:, None] * np.arange(1, HASHES + 1, dtype=np.uint64)[None, :]
+        steps = a[:, None] + b[:, None] * np.arange(1, hashes + 1, dtype=np.uint64)[None, :]
         steps ^= steps >> np.uint64(31)
         steps *= np.uint64(0x94D049BB133111EB)
         steps ^= steps >> np.uint64(29)
@@ -98,13 +99,14 @@ def _positions(h1: np.ndarray, h2: np.ndarray, level: int, bits: int) -> np.ndar
 
 @dataclass
 class Cascade:
-    """Bit arrays of the levels, 64 bits a word."""
+    """Bit arrays of the levels, 64 bits a word, and how many bits a key has in the first one (HASHES in the others)."""
 
     levels: list[np.ndarray]
+    hashes: int = HASHES
 
     def passes(self, level: int, keys: np.ndarray) -> np.ndarray:
         words = self.levels[level]
-        at = _positions(keys[:, 0], keys[:, 1], level, len(words) * 64)
+        at = _positions(keys[:, 0], keys[:, 1], level, len(words) * 64, HASHES if level else self.hashes)
         return ((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
 
     def listed(self, keys: np.ndarray) -> np.ndarray:
@@ -127,10 +129,20 @@ def _frame(keys: np.ndarray, **more: object) -> pd.DataFrame:
     return pd.DataFrame({"h1": keys[:, 0].astype(np.int64), "h2": keys[:, 1].astype(np.int64), **more})
 
 
-def build_cascade(keys: DataFrame, listed: str) -> Cascade:
-    """The cascade of the keys (h1, h2) for which the boolean column ``listed`` holds, over all the keys."""
+class TooLong(Exception):
+    """A level's array would be longer than it may be."""
+
+
+def build_cascade(keys: DataFrame, listed: str, max_bytes: int = MAX_BYTES) -> Cascade:
+    """The cascade of the keys (h1, h2) for which the boolean column ``listed`` holds, over all the keys.
+
+    The first level has so many bits a key that it wrongly passes about as many keys of the universe as are listed,
+    however large the universe is; so all levels follow the list's length, times the logarithm of the universe's.  No
+    level over max_bytes is made or fetched, unless it encodes one key: TooLong is raised.
+    """
     spark, alive, first = keys.sparkSession, keys.select("h1", "h2", F.col(listed).alias("in_list")), True
     levels: list[np.ndarray] = []
+    hashes = HASHES
     while True:
         level, encodes = len(levels), len(levels) % 2 == 0
         some = alive.where(F.col("in_list") == encodes)
@@ -138,14 +150,22 @@ def build_cascade(keys: DataFrame, listed: str) -> Cascade:
         if not n:
             if not first:
                 discard(alive)
-            return Cascade(levels)
-        words = max(LEAST_BITS, n * BITS_PER_KEY) // 64 + 1
+            return Cascade(levels, hashes)
+        per_key, used = BITS_PER_KEY, HASHES
+        if first:
+            per_key = max(BITS_PER_KEY, 1.45 * math.log2(max(alive.count() / n, 1)))
+            hashes = used = max(HASHES, round(per_key * math.log(2))) if per_key > BITS_PER_KEY else HASHES
+        words = max(LEAST_BITS, int(n * per_key)) // 64 + 1
+        if 8 * words > max_bytes and n > 1:
+            if not first:
+                discard(alive)
+            raise TooLong(f"level {level} of {n} keys")
 
-        def set_bits(batches: Iterator[pd.DataFrame], level: int = level, words: int = words) -> Iterator[pd.DataFrame]:
+        def set_bits(batches: Iterator[pd.DataFrame], level: int = level, words: int = words, used: int = used) -> Iterator[pd.DataFrame]:
             own = np.zeros(words, dtype=np.uint64)
             for b in batches:
                 h = _hashes(b)
-                at = _positions(h[:, 0], h[:, 1], level, words * 64).ravel()
+                at = _positions(h[:, 0], h[:, 1], level, words * 64, used).ravel()
                 np.bitwise_or.at(own, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
             full = np.flatnonzero(own)
             yield pd.DataFrame({"at": full, "word": own[full].astype(np.int64)})
@@ -158,12 +178,12 @@ def build_cascade(keys: DataFrame, listed: str) -> Cascade:
         told = spark.sparkContext.broadcast(Cascade([array]))
         skip = level
 
-        def survive(batches: Iterator[pd.DataFrame], level: int = skip, encodes: bool = encodes, told=told) -> Iterator[pd.DataFrame]:
+        def survive(batches: Iterator[pd.DataFrame], level: int = skip, encodes: bool = encodes, used: int = used, told=told) -> Iterator[pd.DataFrame]:
             # what the level encodes, and of the rest what it passes wrongly
             only = told.value.levels[0]
             for b in batches:
                 h = _hashes(b)
-                at = _positions(h[:, 0], h[:, 1], level, len(only) * 64)
+                at = _positions(h[:, 0], h[:, 1], level, len(only) * 64, used)
                 passed = ((only[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
                 yield b[(b["in_list"] == encodes).to_numpy() | passed]
 
@@ -263,36 +283,48 @@ def _judge(told: Broadcast) -> Callable[..., Column]:
     return judge
 
 
+def _cascades(rows: DataFrame, universe: DataFrame, own: DataFrame, max_bytes: int) -> dict[str, Cascade]:
+    """The cascades of hosts, allowed and blocked keys of some rules (own), over the URLs (rows) and their host suffixes."""
+    suffixes = _marked(universe, own, ["g1", "g2"], False)
+    try:
+        hosts = build_cascade(suffixes, "block", max_bytes)
+    finally:
+        discard(suffixes)
+    named = rows.sparkSession.sparkContext.broadcast(hosts)
+
+    def every_key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            urls = b[["host", "path"]].drop_duplicates()
+            hosts, paths = urls["host"].tolist(), urls["path"].tolist()
+            for part in _portions(hosts, paths):
+                yield _frame(np.unique(_keys_of(hosts[part], paths[part], named.value)[1], axis=0))
+
+    keys = _marked(rows.select("host", "path").mapInPandas(every_key, "h1 long, h2 long"), own, ["h1", "h2"], True)
+    try:
+        return {"hosts": hosts, "allow": build_cascade(keys, "allow", max_bytes), "block": build_cascade(keys, "block", max_bytes)}
+    finally:
+        discard(keys)
+
+
 def url_filter(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, max_bytes: int = MAX_BYTES) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages.  rules: key (host and path that ends in /), verdict."""
     spark, url = pages.sparkSession, F.col("url").cast("string")
     best = F.struct(F.lit(0).alias("n"), F.lit(0).alias("h"), F.lit(None).cast("string").alias("verdict"))
     rows = materialize(pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), best.alias("best")), "urls")
     told_rules = materialize(hashed_rules(rules), "rules")
-    # each listed key costs its bits in two lists and a host's, and what the levels after the first add, under a third
-    parts = max(1, -(-told_rules.count() * BITS_PER_KEY * 4 // (8 * max_bytes)))
     universe = materialize(_host_universe(rows), "suffixes")
-    for part in range(parts):
+    todo = [(1, 0)]  # parts of the rules by their hash: of how many, which
+    while todo:
+        parts, part = todo.pop()
         own = told_rules.where(F.pmod(F.xxhash64("g1", "g2", "h1", "h2"), F.lit(parts)) == part)
-        suffixes = _marked(universe, own, ["g1", "g2"], False)
-        hosts = build_cascade(suffixes, "block")
-        discard(suffixes)
-        named = spark.sparkContext.broadcast(hosts)
-
-        def every_key(batches: Iterator[pd.DataFrame], named=named) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                own = b[["host", "path"]].drop_duplicates()
-                hosts, paths = own["host"].tolist(), own["path"].tolist()
-                for part in _portions(hosts, paths):
-                    yield _frame(np.unique(_keys_of(hosts[part], paths[part], named.value)[1], axis=0))
-
-        keys = _marked(rows.select("host", "path").mapInPandas(every_key, "h1 long, h2 long"), own, ["h1", "h2"], True)
-        cascades = {"hosts": hosts, "allow": build_cascade(keys, "allow"), "block": build_cascade(keys, "block")}
-        discard(keys)
+        try:
+            cascades = _cascades(rows, universe, own, max_bytes)
+        except TooLong:
+            todo += [(2 * parts, part + parts), (2 * parts, part)]
+            continue
         told = spark.sparkContext.broadcast(cascades)
-
         judged = rows.withColumn("best", _judge(told)("host", "path", "best"))
-        rows = materialize(judged, "urls") if part < parts - 1 else judged
+        rows = materialize(judged, "urls") if todo else judged
     h, n = F.col("best.h"), F.col("best.n")
     rule = F.concat(F.right("host", h), F.left("path", n - h))
     return rows.select(
