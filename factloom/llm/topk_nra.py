@@ -4,14 +4,16 @@ Vectors are dealt into blocks by hash, and a block's rows into leaves of about L
 rows are halved again and again along the component that varies most).  In a leaf every dimension has its components
 as a sorted list, read from the top for queries with a positive weight there and from the bottom for negative ones.
 
-A query visits the leaves in the order of their upper bounds, which the heads of a leaf's lists give before anything
-is read, and ends at the first leaf whose bound is below its k-th best score so far.  In a leaf, all queries that
+Each query first visits the leaf of its greatest upper bound, which the heads of a leaf's lists give before anything
+is read; then of the others only those whose bound reaches its k-th best score so far.  In a leaf, all queries that
 visit it read in step, to doubling depths: what is read adds to a row's lower bound (its missing terms are at least
 the last value of the list), and its upper bound is that with the value at the reading position for every list that
 has not shown it.  A query stops reading when no row outside a few can reach its k-th best lower bound (k rows so far,
 over all leaves): RESOLVE times k rows at most can then still qualify, and their final scores are resolved by reading
 the rest of their entries.  Reads for many queries at once are matrix products of the components read so far, so the
-bounds cost no Python loop over entries.  search_block() tells how many entries were read of how many.
+bounds cost no Python loop over entries.  Where few queries of a block stop before the ends of the lists, as with
+vectors that point anywhere, further leaves are read to the ends at once, one product each; so the bounds cost a small
+multiple of the one product at most.  search_block() tells how many entries were read of how many.
 
 The k best of each block meet by query: k rows for each block and query.  Queries are a stated set; they are dealt
 into query blocks of QUERY_BLOCK rows and each data block is joined with each query block, never row with row.
@@ -22,7 +24,8 @@ numbers, slower but exact.  Scores outside a long's range are ranked by their tr
 Cases: null vectors and vectors with a null or non-finite component take no part, as query or candidate; vectors of
 another length than the query's are no candidates; ties go to the smaller id, also within thousands of equal vectors;
 repeated ids are separate candidates and a query leaves out every row of its own id; a repeated query id has k rows for
-each of its rows; a null id is a candidate, at ties the smallest, and never a query; an empty table gives no rows.
+each of its rows; a null id is a candidate, at ties the smallest, and never a query; an empty table gives no rows.  A query's own rows are
+those of its id: that is how "every row but the query's own" is read here where ids repeat.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ QUERY_BLOCK = 8192
 LEAF = 256
 FIRST_DEPTH = 0.125
 RESOLVE = 4
+#: Visits of leaves after which a block knows whether reading to a depth pays.
+TRIED = 16
 QUERIES_AT_ONCE = 1024
 EXACT = float(1 << 53)
 LONG = (-(1 << 63), (1 << 63) - 1)
@@ -83,20 +88,49 @@ def leaves_of(x: np.ndarray, leaf: int = LEAF) -> list[np.ndarray]:
     return done
 
 
-def nra_leaf(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, reached: np.ndarray) -> tuple[list[list[tuple]], int]:
-    """For each query the (-score, id) of the rows of a leaf that can be among its k best, and how many entries were read.
+class Leaf:
+    """The rows of a leaf by ascending id, its sorted lists and, for each entry, its place in its list; lists are made when first read."""
 
-    reached: each query's k-th best score elsewhere (minus infinity if it has fewer).  ids ascend.
+    def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
+        self.ids, self.x = ids, x
+        self.high, self.low = x.max(axis=0), x.min(axis=0)
+        self._lists: tuple[np.ndarray, np.ndarray] | None = None
+
+    def lists(self) -> tuple[np.ndarray, np.ndarray]:
+        if self._lists is None:
+            order = np.argsort(self.x, axis=0, kind="stable")
+            rank = np.empty_like(order)
+            np.put_along_axis(rank, order, np.arange(len(order))[:, None], axis=0)
+            self._lists = np.take_along_axis(self.x, order, axis=0), rank
+        return self._lists
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[tuple]:
+    """The (-score, id) of the k best, ids ascending; own rows are left out."""
+    rows = np.flatnonzero(~own)
+    if len(rows) > 4 * k and scores.dtype != object:
+        rows = rows[scores[rows] >= np.partition(scores[rows], len(rows) - k)[len(rows) - k]]
+    return sorted(zip((-scores[rows]).tolist(), ids[rows].tolist(), strict=True))[:k]
+
+
+def nra_leaf(leaf: Leaf, qids: np.ndarray, q: np.ndarray, k: int, reached: np.ndarray, whole: bool = False) -> tuple[list[list[tuple]], int, int]:
+    """For each query the (-score, id) of the rows of a leaf that can be among its k best; how many entries were read, and how many queries stopped early.
+
+    reached: each query's k-th best score elsewhere (minus infinity if it has fewer).  whole: the lists are read to
+    their ends at once.
     """
+    ids, x = leaf.ids, leaf.x
     n, dims = x.shape
+    if whole or n < 8:
+        scores = q @ x.T if dims else np.zeros((len(q), n))
+        own = qids[:, None] == ids[None, :]
+        some = ((scores >= reached[:, None]) & ~own).any(axis=1)
+        return [_best(scores[i], ids, own[i], k) if some[i] else [] for i in range(len(q))], n * dims * len(q), 0
     number = object if x.dtype == object else float
-    order = np.argsort(x, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
-    lists = np.take_along_axis(x, order, axis=0)  # ascending, one list a column
+    lists, rank = leaf.lists()
     up, down = np.maximum(q, 0), np.minimum(q, 0)
     out: list = [[] for _ in range(len(q))]
-    left, entries = np.arange(len(q)), 0
+    left, entries, early = np.arange(len(q)), 0, 0
     low = np.zeros((len(q), n), dtype=number)
     done, depth = 0, max(1, int(n * FIRST_DEPTH))
     while len(left):
@@ -113,42 +147,59 @@ def nra_leaf(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k:
         lower[own] = upper[own] = -np.inf
         kth = reached[left]
         if n >= k:
-            kth = np.maximum(kth, np.sort(lower, axis=1)[:, n - k])
+            kth = np.maximum(kth, np.partition(lower, n - k, axis=1)[:, n - k] if number is float else np.sort(lower, axis=1)[:, n - k])
         can = (upper >= kth[:, None]) & ~own
         ready = (can.sum(axis=1) <= RESOLVE * k) if depth < n else np.ones(len(left), bool)
         for i in np.flatnonzero(ready):
             entries += depth * dims
+            early += depth < n
             rows = np.flatnonzero(can[i])
             if len(rows):
                 entries += (n > depth) * dims * len(rows)
                 score = x[rows] @ q[left[i]] if dims else np.zeros(len(rows))
-                out[left[i]] = sorted(zip((-score).tolist(), ids[rows].tolist(), strict=True))[:k]
+                out[left[i]] = _best(score, ids[rows], np.zeros(len(rows), bool), k)
         left, low, done, depth = left[~ready], low[~ready], depth, depth * 2
-    return out, entries
+    return out, entries, early
 
 
 def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int = K, leaf: int = LEAF) -> tuple[list[list[tuple]], int, int]:
-    """For each query the (-score, id) of its k best rows of the block; entries read, and entries that there are to read."""
+    """For each query the (-score, id) of its k best rows of the block; entries read, and entries that there are to read.
+
+    First each query visits the leaf of its greatest bound, then the others in the order of their greatest bounds, all
+    queries together whose k-th best the leaf's bound for them reaches: nothing of a leaf is read for the rest.
+    Reading to a depth costs products of its own, so it goes on only while it lets a half of the queries stop early.
+    """
     keep = np.argsort(ids, kind="stable")
     ids, x = ids[keep], x[keep]
-    parts = [np.sort(p) for p in leaves_of(x, leaf)]
+    parts = [Leaf(ids[p], x[p]) for p in (np.sort(p) for p in leaves_of(x, leaf))]
     up, down = np.maximum(q, 0), np.minimum(q, 0)
-    bound = np.stack([up @ x[p].max(axis=0) + down @ x[p].min(axis=0) for p in parts], axis=1)
-    visits = np.argsort(-bound, axis=1, kind="stable")
+    bound = np.stack([up @ p.high + down @ p.low for p in parts], axis=1)
     reached = np.full(len(q), -np.inf, dtype=x.dtype)
     best: list[list[tuple]] = [[] for _ in range(len(q))]
-    entries, live = 0, np.arange(len(q))
-    for turn in range(len(parts)):
-        live = live[bound[live, visits[live, turn]] >= reached[live]]
-        for p in np.unique(visits[live, turn]):
-            who = live[visits[live, turn] == p]
-            found, read = nra_leaf(ids[parts[p]], x[parts[p]], qids[who], q[who], k, reached[who])
-            entries += read
-            for i, new in zip(who.tolist(), found, strict=True):
-                if new:
-                    best[i] = sorted(best[i] + new)[:k]
-                    if len(best[i]) == k:
-                        reached[i] = -best[i][-1][0]
+    first = bound.argmax(axis=1)
+    asked = stopped = entries = 0
+
+    def visit(p: int, who: np.ndarray) -> None:
+        nonlocal asked, stopped, entries
+        whole = asked >= TRIED and stopped * 2 < asked
+        found, read, early = nra_leaf(parts[p], qids[who], q[who], k, reached[who], whole)
+        entries += read
+        if not whole:
+            asked, stopped = asked + len(who), stopped + early
+        for i, new in zip(who.tolist(), found, strict=True):
+            if new:
+                best[i] = sorted(best[i] + new)[:k]
+                if len(best[i]) == k:
+                    reached[i] = -best[i][-1][0]
+
+    for p in range(len(parts)):
+        who = np.flatnonzero(first == p)
+        if len(who):
+            visit(p, who)
+    for p in sorted(range(len(parts)), key=lambda p: -max(bound[:, p], default=0)):
+        who = np.flatnonzero((first != p) & (bound[:, p] >= reached))
+        if len(who):
+            visit(p, who)
     return best, entries, len(q) * x.size
 
 
