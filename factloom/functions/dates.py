@@ -5,39 +5,73 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-_NAME = "(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+# The one grammar of written dates: a form is an order of parts, with what may stand between them.
+MONTH = f"(?:{'|'.join(MONTHS)})[a-z]*"
+_PARTS = {"day": "[0-9]{1,2}", "nth": "[0-9]{1,2}(?:st|nd|rd|th)?", "number": "[0-9]{1,2}", "month": MONTH, "year": "[0-9]{4}", "short": "(?:[0-9]{4}|[0-9]{2})"}
+
+
+def _form(told: str, between: str) -> str:
+    """A pattern without groups: the named parts in their order, ``between`` each two."""
+    return r"\b" + between.join(_PARTS[p] for p in told.split()) + r"\b"
+
+
+_NUMERIC, _NAMED, _LED = _form("day number short", "[./-]"), _form("nth month year", r"[.,]?\s+"), _form("month nth year", r"[.,]?\s+")
+ISO, SEASON = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b", _form("month year", r",?\s+")
+#: Forms of a date, the longest first, so that what one form takes no other reads again.
+DATE = f"(?:{'|'.join((ISO, _form('day number year', '[./-]'), _NAMED, _LED, SEASON))})"
+
+
+def iso(found: Column) -> Column:
+    """A written date in ISO form, to the day or else the month, from its numbers and the name of its month; day and month change places where the month is over 12."""
+    number = F.regexp_extract_all(found, F.lit("[0-9]+"), F.lit(0))
+    named = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(F.regexp_extract(found, MONTH, 0), 1, 3))
+    n = lambda i: F.get(number, F.lit(i))
+    year, two = F.element_at(number, -1), lambda c: F.lpad(c.cast("string"), 2, "0")
+    year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
+    a, b = n(0).try_cast("int"), n(1).try_cast("int")
+    return (
+        F.when(F.length(n(0)) == 4, F.when(F.size(number) == 3, F.concat_ws("-", number)).otherwise(F.concat_ws("-", year, two(named))))
+        .when(named > 0, F.concat_ws("-", year, two(named), two(n(0))))
+        .otherwise(F.concat_ws("-", year, two(F.when(b > 12, a).otherwise(b)), two(F.when(b > 12, b).otherwise(a))))
+    )
 
 
-def micros(c: Column) -> Column:
-    return F.unix_micros(c.cast("timestamp"))
+def dates(text: Column) -> Column:
+    """All dates of a text in order, in ISO form (to the month where no day is stated); what is no day of the calendar goes."""
+    found = F.transform(F.regexp_extract_all(F.lower(text), F.lit(DATE), F.lit(0)), iso)
+    return F.filter(found, lambda d: F.when(F.length(d) == 10, F.try_to_date(d, "yyyy-MM-dd").isNotNull()).otherwise(True))
 
 
-def _year(c: Column) -> Column:
-    return F.when(F.length(c) == 2, F.concat(F.lit("20"), c)).otherwise(c)
+def _days(text: Column) -> list[tuple[Column, Column]]:
+    """The first match of each form with a day, and the day; day before month where both are numbers."""
+    out = []
+    for form in (_NUMERIC, _NAMED, _LED):
+        found = F.regexp_extract(text, f"(?i){form}", 0)
+        low = F.lower(found)
+        if form == _NUMERIC:
+            n = F.regexp_extract_all(low, F.lit("[0-9]+"), F.lit(0))
+            day, month, year = (F.get(n, F.lit(i)) for i in range(3))
+            year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
+            told = F.when(found != "", F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")))
+        else:
+            told = F.when(found != "", iso(low))
+        out.append((found, F.try_to_date(told, "yyyy-MM-dd")))
+    return out
 
 
-def _month(c: Column) -> Column:
-    number = F.array_position(F.array(*map(F.lit, _MONTHS)), c)
-    return F.lpad(number.cast("string"), 2, "0")
+def micros(c: Column) -> Column:
+    return F.unix_micros(c.cast("timestamp"))
 
 
-def _date(year: Column, month: Column, day: Column) -> Column:
-    return F.try_to_date(F.concat_ws("-", _year(year), month, F.lpad(day, 2, "0")), "yyyy-MM-dd")
+def first_date(text: Column) -> Column:
+    """The first d/m/y, else d Month y, else Month d y; a match that is no date counts as none; two-digit years are of this century."""
+    return F.coalesce(*[day for _, day in _days(text)])
 
 
-def first_date(text: Column) -> Column:
-    """The first match of d/m/y, else of d Month y, else of Month d y; a match that is no date counts as none; two-digit years are of this century."""
-    low = F.lower(text)
-    part = lambda pattern, n: F.regexp_extract(low, pattern, n)
-    slashed = r"\b([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4}|[0-9]{2})\b"
-    day_first = rf"\b([0-9]{{1,2}})(?:st|nd|rd|th)?\s+{_NAME}[,.]?\s+([0-9]{{4}})\b"
-    month_first = rf"\b{_NAME}[.]?\s+([0-9]{{1,2}})(?:st|nd|rd|th)?,?\s+([0-9]{{4}})\b"
-    return F.coalesce(
-        _date(part(slashed, 3), F.lpad(part(slashed, 2), 2, "0"), part(slashed, 1)),
-        _date(part(day_first, 3), _month(part(day_first, 2)), part(day_first, 1)),
-        _date(part(month_first, 3), _month(part(month_first, 1)), part(month_first, 2)),
-    )
+def first_written(text: Column) -> Column:
+    """What first_date() reads, as it is written."""
+    return F.coalesce(*[F.when(day.isNotNull(), found) for found, day in _days(text)])
 
 
 def age(born: Column, at: Column) -> Column:

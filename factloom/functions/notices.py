@@ -5,42 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions.dates import DATE, MONTH, dates, iso
 from factloom.functions.text import squash
 
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-_MONTH = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
-#: Forms of a date, the longest first, so that what one form takes no other reads again.
-DATE = (
-    rf"(?:\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\b|\b[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-][0-9]{{4}}\b|\b[0-9]{{1,2}}(?:st|nd|rd|th)?\s+{_MONTH},?\s+[0-9]{{4}}\b"
-    rf"|\b{_MONTH}\s+[0-9]{{1,2}}(?:st|nd|rd|th)?,?\s+[0-9]{{4}}\b|\b{_MONTH},?\s+[0-9]{{4}}\b)"
-)
-
-
-def _number(c: Column) -> Column:
-    return F.lpad((F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(c, 1, 3))).cast("string"), 2, "0")
-
-
-def _iso(found: Column) -> Column:
-    """A date as DATE finds it, in ISO form to the day or the month; day and month change places where the month is over 12."""
-    part = lambda pattern, n: F.regexp_extract(found, pattern, n)
-    two = lambda c: F.lpad(c, 2, "0")
-    numeric, named, led, month = r"^([0-9]{1,2})[./-]([0-9]{1,2})[./-]([0-9]{4})$", rf"^([0-9]{{1,2}})[a-z]*\s+({_MONTH}),?\s+([0-9]{{4}})$", rf"^({_MONTH})\s+([0-9]{{1,2}})[a-z]*,?\s+([0-9]{{4}})$", rf"^({_MONTH}),?\s+([0-9]{{4}})$"
-    a, b = part(numeric, 1).try_cast("int"), part(numeric, 2).try_cast("int")
-    day, mon = F.when(b > 12, b).otherwise(a), F.when(b > 12, a).otherwise(b)
-    return (
-        F.when(found.rlike(r"^[0-9]{4}-"), found)
-        .when(found.rlike(numeric), F.concat_ws("-", part(numeric, 3), two(mon.cast("string")), two(day.cast("string"))))
-        .when(found.rlike(named), F.concat_ws("-", part(named, 3), _number(part(named, 2)), two(part(named, 1))))
-        .when(found.rlike(led), F.concat_ws("-", part(led, 3), _number(part(led, 1)), two(part(led, 2))))
-        .otherwise(F.concat_ws("-", part(month, 2), _number(part(month, 1))))
-    )
-
-
-def dates(text: Column) -> Column:
-    """All dates of a text in order, in ISO form (to the month where no day is stated); what is no day of the calendar goes."""
-    found = F.transform(F.regexp_extract_all(F.lower(text), F.lit(DATE), F.lit(0)), _iso)
-    return F.filter(found, lambda d: F.when(F.length(d) == 10, F.try_to_date(d, "yyyy-MM-dd").isNotNull()).otherwise(True))
-
+__all__ = ["DATE", "dates"]
 
 AMOUNT = r"(?i)(?:\brs\.?|₹|\binr)\s*([0-9][0-9,]*(?:\.[0-9]{1,2})?)"
 
@@ -83,7 +51,7 @@ def revision(text: Column) -> Column:
     count = r"(?:vacanc\w+|posts)[^.]*?(?:revised|increased|reduced)\s+from\s+([0-9,]+)\s+to\s+([0-9,]+)"
     part = lambda pattern, n: F.regexp_extract(low, pattern, n)
     kind = F.when(low.rlike(moved), F.when(low.rlike(r"\b(?:exam|tier|prelim|written|conduct)"), "EXAM_DATE").otherwise("LAST_DATE")).when(low.rlike(count), "VACANCIES")
-    old, new = (F.when(kind == "VACANCIES", F.replace(part(count, n), F.lit(","), F.lit(""))).when(kind.isNotNull(), _iso(part(moved, n))) for n in (1, 2))
+    old, new = (F.when(kind == "VACANCIES", F.replace(part(count, n), F.lit(","), F.lit(""))).when(kind.isNotNull(), iso(part(moved, n))) for n in (1, 2))
     return F.struct(kind.alias("kind"), old.alias("old"), new.alias("new"))
 
 
@@ -115,7 +83,7 @@ def milestones(text: Column) -> Column:
 
     def read(c: Column) -> Column:
         pieces = F.split(c, DATE)
-        return F.transform(F.regexp_extract_all(c, F.lit(DATE), F.lit(0)), lambda d, i: F.struct(kind(F.array_join(F.slice(pieces, F.lit(1), i + 1), " ")).alias("kind"), _iso(d).alias("date")))
+        return F.transform(F.regexp_extract_all(c, F.lit(DATE), F.lit(0)), lambda d, i: F.struct(kind(F.array_join(F.slice(pieces, F.lit(1), i + 1), " ")).alias("kind"), iso(d).alias("date")))
 
     return F.filter(F.flatten(F.transform(clause, read)), lambda m: m["kind"].isNotNull())
 
@@ -173,13 +141,13 @@ def released(text: Column, what: str) -> Column:
     """The date that belongs to a release: the first after the cue in its sentence, with a word of release and no other cue between."""
     low = F.lower(text)
     own = F.regexp_extract(low, rf"\b(?:{what})\b(?:(?!\b(?:admit card|result|answer key)\b)[^.;\n])*?\b(?:released?|available|declared|issued)\b(?:(?!\b(?:admit card|result|answer key)\b)[^;\n])*?({DATE})", 1)
-    return F.when(own != "", _iso(own))
+    return F.when(own != "", iso(own))
 
 
 def whole_cell(cell: Column) -> Column:
     """What a whole cell is: DATE, SPAN (two dates), SEASON (months and a year), or null."""
     c = F.lower(F.trim(cell))
-    return F.when(c.rlike(rf"^{DATE}$"), F.when(c.rlike(rf"^{_MONTH},? [0-9]{{4}}$"), "SEASON").otherwise("DATE")).when(c.rlike(rf"^{DATE}\s*(?:to|-|–)\s*{DATE}$"), "SPAN").when(c.rlike(rf"^{_MONTH}\s*(?:to|-|/)\s*{_MONTH},? [0-9]{{4}}$"), "SEASON")
+    return F.when(c.rlike(rf"^{DATE}$"), F.when(c.rlike(rf"^{MONTH},? [0-9]{{4}}$"), "SEASON").otherwise("DATE")).when(c.rlike(rf"^{DATE}\s*(?:to|-|–)\s*{DATE}$"), "SPAN").when(c.rlike(rf"^{MONTH}\s*(?:to|-|/)\s*{MONTH},? [0-9]{{4}}$"), "SEASON")
 
 
 def without_numbering(text: Column) -> Column:

@@ -18,7 +18,9 @@ def host(url: Column) -> Column:
 
 #: Scheme, host, port, path and query of a web address; what stands before an @ and after a # is left out.
 PARTS = r"(?is)^\s*(https?)://(?:[^/?#]*@)?([^/?#:@]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?.*\z"
-#: Parameters that say where a visitor came from and change no resource.
+#: A web address in running text: scheme, host and port, and what follows up to a blank or a closing sign.
+WEB_ADDRESS = r"(?i)https?://[^\s<>\"')\]/?#]+(?:[/?#][^\s<>\"')\]]*)?"
+#: Fixed values, since the identity of a resource depends on them: parameters that say where a visitor came from.
 TRACKING = r"^(?i:utm_\w+|fbclid|gclid|mc_cid|mc_eid|igshid|ref_src)(?:=|\z)"
 
 

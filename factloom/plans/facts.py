@@ -152,10 +152,31 @@ def x4_cue_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.select("doc_id", "field", "value_type", "value", "cue", "pos", "confidence")
 
 
-@query(None)
+#: A notice of each order in several printed forms; some have no count, no last date, or a cue without a value.
+_HELD = "o_orderdate + INTERVAL 90 DAY"
+
+
+@query(f"""WITH n AS (SELECT o_orderkey, o_custkey AS c, o_orderkey AS o, CAST(o_orderdate AS DATE) AS last, CAST({_HELD} AS DATE) AS held, 1 + o_custkey % 9000 AS posts FROM orders),
+f AS (
+  SELECT o_orderkey, 'exam_name' AS field, 'TEXT' AS value_type, CASE WHEN o % 2 = 0 THEN 'Name of the exam: Test ' || o || '.' ELSE 'title of the exam - Test ' || o || ';' END AS value, CASE WHEN o % 2 = 0 THEN 'name of the exam' ELSE 'title of the exam' END AS cue FROM n
+  UNION ALL SELECT o_orderkey, 'vacancies', 'INTEGER', CAST(posts AS VARCHAR), CASE c % 3 WHEN 1 THEN 'total vacancies' ELSE 'number of posts' END FROM n WHERE c % 3 > 0
+  UNION ALL SELECT o_orderkey, 'application_last_date', 'DATE', strftime(last, '%Y-%m-%d'), CASE o % 4 WHEN 0 THEN 'last date' WHEN 1 THEN 'closing date' ELSE 'apply by' END FROM n WHERE o % 4 < 3
+  UNION ALL SELECT o_orderkey, 'exam_date', 'DATE', strftime(held, '%Y-%m-%d'), CASE WHEN o % 2 = 0 THEN 'held on' ELSE 'exam date' END FROM n
+  UNION ALL SELECT o_orderkey, 'official_website', 'URL', 'https://b' || c || '.example.org/n?o=' || o, 'official site' FROM n WHERE c % 5 > 0
+)
+SELECT o_orderkey, field, value_type, value, cue, CAST(round(0.4 + CASE value_type WHEN 'TEXT' THEN 0 ELSE 0.2 END + CASE WHEN contains(cue, ' ') THEN 0.1 ELSE 0 END, 2) AS DOUBLE) AS confidence FROM f""")
 def x4_notice_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed facts with values of the 18 fields of a notice."""
-    return cues.typed_facts(table(spark, sf_dir, "documents"))
+    """Typed facts of the 18 fields, from a notice of each order in several printed forms."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    last, held, posts = F.col("o_orderdate"), F.expr(_HELD), 1 + c % 9000
+    says = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    name = F.when(o % 2 == 0, says("Name of the exam: Test ", o.cast("string"), ". ")).otherwise(says("title of the exam - Test ", o.cast("string"), "; "))
+    count = F.when(c % 3 == 1, says("Total vacancies: ", F.format_number(posts, 0), ". ")).when(c % 3 == 2, says("The NUMBER OF POSTS is ", posts.cast("string"), ". ")).otherwise("Number of  posts not yet known. ")
+    closes = F.when(o % 4 == 0, says("Last date ", F.date_format(last, "dd/MM/yyyy"), ". ")).when(o % 4 == 1, says("The closing date is ", F.date_format(last, "d MMMM yyyy"), ". ")).when(o % 4 == 2, says("Apply by ", F.date_format(last, "MMM d, yyyy"), ". ")).otherwise("")
+    takes = F.when(o % 2 == 0, says("It is held on ", F.date_format(held, "d-M-yyyy"), ". ")).otherwise(says("Exam date ", F.date_format(held, "dd.MM.yyyy"), ". "))
+    site = F.when(c % 5 > 0, says("Official site: https://b", c.cast("string"), ".example.org/n?o=", o.cast("string"), ". ")).otherwise("")
+    notices = table(spark, sf_dir, "orders").select("o_orderkey", says("Notice ", o.cast("string"), ". ", name, takes, closes, count, site, "Admit card and result: later.").alias("text"))
+    return cues.typed_facts(notices, key="o_orderkey").select("o_orderkey", "field", "value_type", "value", "cue", "confidence")
 
 
 @query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)

@@ -71,12 +71,14 @@ def test_facts_have_values(spark):
     ]
     got = cues.typed_facts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["field"], r["value"], r["cue"], r["confidence"]) for r in got} == {
-        (1, "vacancies", "1250", "vacanc(?:y|ies)", 0.6), (1, "application_last_date", "2026-04-01", "last date", 0.7),
+        (1, "vacancies", "1250", "total vacancies", 0.7), (1, "application_last_date", "2026-04-01", "last date", 0.7),
         (2, "exam_date", "2025-05-05", "held on", 0.7), (2, "official_website", "https://a.example.org/x", "official website", 0.7),
         (3, "application_last_date", "2027-06-05", "last date", 0.7), (4, "application_last_date", "2027-08-07", "closing date", 0.7),
     }
     assert all(r["value"] and r["raw_value"] in r["evidence"] for r in got if r["value_type"] != "URL") and all(len(r["evidence"]) <= 200 for r in got)
     assert len(cues.FIELDS) == 18
+    ids = spark.createDataFrame([(2**53 + 1, "last date 1/2/2030"), (None, "last date 1/2/2030"), (3, "")], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in cues.typed_facts(ids).collect()} == {2**53 + 1, None}
     out = QUERIES["x4_cue_facts"].run(spark, SF)
     assert "value" in out.columns and out.count() > 0 and out.where("value IS NULL").count() == 0
 
