@@ -328,7 +328,7 @@ def n3_version_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH c AS (SELECT conv_id, turn, role, CASE WHEN lag(role) OVER w IS DISTINCT FROM role THEN 1 ELSE 0 END AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
 i AS (SELECT conv_id, turn, role, sum(new) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS UNBOUNDED PRECEDING) AS island FROM c)
 SELECT conv_id, CAST(island AS BIGINT) AS island, role, min(turn) AS first_turn, count(*) AS n FROM i GROUP BY 1, 2, 3""")
-def n10_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def n10_role_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     new = (~F.lag("role").over(w).eqNullSafe(F.col("role"))).cast("int")
     island = F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -337,6 +337,6 @@ def n10_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS BIGINT) AS upto FROM lineitem")
-def n12_running_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+def n12_running_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     upto = F.sum(F.col("l_quantity").cast("long")).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", upto.alias("upto"))
