@@ -11,6 +11,8 @@ from pyspark.sql.types import StringType
 
 from factloom.functions import urls as U
 
+from .stored import place, stored
+
 
 def merge_nodes(seen: DataFrame, rank: dict[str, int]) -> DataFrame:
     """One node for each normalised URL: strongest trust, known role before unknown, least depth, first page, readings."""
@@ -44,17 +46,14 @@ def ancestors(tree: DataFrame) -> DataFrame:
     """node, root, level and path (root first) of a table (node, parent) of any depth; a loop ends where it closes.
 
     Each round a node takes over the way of the node that its own way has reached, so ways double in length and the
-    rounds grow with the logarithm of the depth.  A parent without a row of its own is a root.
+    rounds grow with the logarithm of the depth; each round's ways are stored.  A parent without a row of its own is a root.
     """
     every = tree.select("node", "parent").unionByName(tree.select(F.col("parent").alias("node"), F.lit(None).cast(dict(tree.dtypes)["parent"]).alias("parent")).where("node IS NOT NULL"))
     way = every.groupBy("node").agg(F.max("parent").alias("at")).select("node", "at", F.array("node").alias("path"))
-    rounds = 0
     while True:
-        if rounds and way.sparkSession.sparkContext.getCheckpointDir():
-            way = way.checkpoint()
+        way = stored(way, "ways")
         if not way.where("at IS NOT NULL").limit(1).count():
             break
-        rounds += 1
         up = way.select(F.col("node").alias("_n"), F.col("at").alias("_at"), F.col("path").alias("_path"))
         met = way.join(up, F.col("at") == F.col("_n"), "left")
         closed = F.arrays_overlap("path", "_path")  # a loop: the way ends at what is not on it yet
@@ -107,25 +106,47 @@ def provenance(edges: DataFrame, hops: int = 8) -> DataFrame:
     return way.select("node", F.reverse(F.when(again, F.slice("ups", F.lit(1), ends)).otherwise(F.col("ups"))).alias("chain"))
 
 
-def walk(links: DataFrame, roots: DataFrame, depth: int = 2, pages: int = 25, nodes: int = 600) -> DataFrame:
-    """What a walk of each run reaches: run, node, depth, place (in queue order) and opened.
+#: What ends a node's part in a walk, in the order in which it is looked at.
+OPENED, LEVEL_LIMIT, PAGE_LIMIT, FILE_LIMIT = "OPENED", "DEPTH_LIMIT", "PAGE_BUDGET", "FILE_BUDGET"
+
+
+def walk(links: DataFrame, roots: DataFrame, depth: int = 2, pages: int = 25, nodes: int = 600, files: int = 40) -> DataFrame:
+    """What a walk of each run reaches: run, node, depth, place (in queue order), file, opened and state.
+
+    links: run, source, target, pos and, if there are files, file (the target is a document) and listed (it is an item
+    of a repository); roots: run, node.  Level by level: of a level the pages within the run's budget are opened in
+    queue order, and their links are followed in page order; of what they lead to for the first time as much is
+    recorded as the run's budget of nodes allows.  Files have a budget of their own: those that a repository lists are fetched
+    first, in queue order, and loose ones only with what is left when the walk has ended.
 
-    links: run, source, target, pos; roots: run, node.  Level by level: of a level the nodes within the run's budget of
-    pages are opened in queue order, their links are followed in page order, and of what they lead to for the first
-    time as much is recorded as the run's budget of nodes allows.  A level is one join over the links of the opened.
+    A level is one join over the links of the opened, and it is stored.  A run's frontier is cut to its budget by a group
+    limit before it is numbered, so no task sorts more of a run than a partition's share and the budgets.
     """
-    queue = Window.partitionBy("run").orderBy("_from", "pos", "node")
-    seen = roots.select("run", "node", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("place"), F.lit(True).alias("opened"))
-    level, opened = seen, roots.groupBy("run").agg(F.lit(1).cast("long").alias("_opened"), F.lit(1).cast("long").alias("_held"))
+    spark, queue = links.sparkSession, Window.partitionBy("run").orderBy("_from", "pos", "node")
+    for name in ("file", "listed"):
+        if name not in links.columns:
+            links = links.withColumn(name, F.lit(False))
+    seen = roots.select("run", "node", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("place"), F.lit(False).alias("file"), F.lit(False).alias("listed"), F.lit(True).alias("opened"))
+    at = place(spark, "walk")
+    seen.write.parquet(f"{at}/level=0")
     for d in range(1, depth + 1):
+        before = spark.read.schema(seen.schema).parquet(*[f"{at}/level={i}" for i in range(d)])
+        level = spark.read.schema(seen.schema).parquet(f"{at}/level={d - 1}")
+        spent = before.groupBy("run").agg(F.count_if("opened").alias("_opened"), F.count("*").alias("_held"))
         out = level.where("opened").select("run", F.col("node").alias("source"), F.col("place").alias("_from")).join(links, ["run", "source"])
-        first = out.groupBy("run", F.col("target").alias("node")).agg(F.min(F.struct("_from", "pos")).alias("x")).select("run", "node", "x.*")
-        new = first.join(seen.select("run", "node"), ["run", "node"], "left_anti").join(opened, "run")
-        new = new.withColumn("_nth", F.row_number().over(queue).cast("long")).withColumn("place", F.col("_held") + F.col("_nth")).where(F.col("place") <= nodes)
-        level = new.select("run", "node", F.lit(d).alias("depth"), "place", ((F.col("_opened") + F.col("_nth") <= pages) & F.lit(d < depth)).alias("opened"))
-        seen = seen.unionByName(level)
-        opened = seen.groupBy("run").agg(F.count_if("opened").alias("_opened"), F.count("*").alias("_held"))
-    return seen
+        first = out.groupBy("run", F.col("target").alias("node")).agg(F.min(F.struct("_from", "pos")).alias("x"), F.bool_or("file").alias("file"), F.bool_or("listed").alias("listed"))
+        new = first.select("run", "node", "x.*", "file", "listed").join(before.select("run", "node"), ["run", "node"], "left_anti")
+        new = new.withColumn("_nth", F.row_number().over(queue)).where(F.col("_nth") <= nodes).join(spent, "run")
+        new = new.withColumn("place", F.col("_held") + F.col("_nth")).where(F.col("place") <= nodes)
+        page = F.sum((~F.col("file")).cast("long")).over(queue.rowsBetween(Window.unboundedPreceding, 0))
+        opened = ~F.col("file") & (F.col("_opened") + page <= pages) & F.lit(d < depth)
+        new.select("run", "node", F.lit(d).alias("depth"), "place", "file", "listed", opened.alias("opened")).write.parquet(f"{at}/level={d}")
+    every = spark.read.schema(seen.schema).parquet(*[f"{at}/level={i}" for i in range(depth + 1)])
+    # at most ``nodes`` rows of a run are left
+    turn = F.row_number().over(Window.partitionBy("run", "file").orderBy(F.desc("listed"), "place"))
+    fetched = F.col("file") & (turn <= files)
+    state = F.when(F.col("opened") | fetched, OPENED).when(F.col("file"), FILE_LIMIT).when(F.col("depth") >= depth, LEVEL_LIMIT).otherwise(PAGE_LIMIT)
+    return every.select("run", "node", "depth", "place", "file", (F.col("opened") | fetched).alias("opened"), state.alias("state"))
 
 
 def flat_topics(tree: DataFrame, most: int = 40) -> DataFrame:
@@ -142,15 +163,25 @@ def flat_topics(tree: DataFrame, most: int = 40) -> DataFrame:
 def fold_rules(tree: DataFrame) -> DataFrame:
     """node and state of a tree of rule groups (node, parent, op ALL / ANY, state of leaves): three-valued, bottom up.
 
-    ALL: FAIL beats UNKNOWN beats OK; ANY the other way round; a group without members is UNKNOWN.  One aggregate a level.
+    ALL: FAIL beats UNKNOWN beats OK; ANY the other way round; a group without members is UNKNOWN.  A level reads the
+    states of the level below it and no others, and is stored, so the work of a level does not grow with the depth.
     """
+    spark = tree.sparkSession
     rank = F.create_map(*[F.lit(x) for pair in (("FAIL", 0), ("UNKNOWN", 1), ("OK", 2)) for x in pair])
-    placed = tree.join(ancestors(tree.select("node", "parent")).select("node", "level"), "node")
+    placed = stored(tree.join(ancestors(tree.select("node", "parent")).select("node", "level"), "node"), "placed")
     deepest = placed.agg(F.max("level").alias("d")).first()["d"]
-    done = placed.where("false").select("node", "parent", F.lit(0).alias("r"))
-    for d in range(deepest if deepest is not None else -1, -1, -1):
-        got = done.groupBy(F.col("parent").alias("node")).agg(F.min("r").alias("low"), F.max("r").alias("high"))
-        here = placed.where(F.col("level") == d).join(got, "node", "left")
+    if deepest is None:
+        return tree.select("node", "state").where("false")
+    at, below = place(spark, "states"), None
+    for d in range(deepest, -1, -1):
+        here = placed.where(F.col("level") == d)
+        if below is None:
+            here = here.withColumns({"low": F.lit(None).cast("int"), "high": F.lit(None).cast("int")})
+        else:
+            here = here.join(below.groupBy(F.col("parent").alias("node")).agg(F.min("r").alias("low"), F.max("r").alias("high")), "node", "left")
         r = F.when(F.col("state").isNotNull(), rank[F.col("state")]).when(F.col("op") == "ALL", F.col("low")).otherwise(F.col("high"))
-        done = done.unionByName(here.select("node", "parent", F.coalesce(r, F.lit(1)).alias("r")))
+        told = here.select("node", "parent", F.coalesce(r, F.lit(1)).alias("r"))
+        told.write.parquet(f"{at}/level={d}")
+        below = spark.read.schema(told.schema).parquet(f"{at}/level={d}")
+    done = spark.read.schema(told.schema).parquet(*[f"{at}/level={d}" for d in range(deepest + 1)])
     return done.select("node", F.element_at(F.array(F.lit("FAIL"), F.lit("UNKNOWN"), F.lit("OK")), F.col("r") + 1).alias("state"))

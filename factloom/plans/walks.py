@@ -25,14 +25,16 @@ def g4_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.provenance(e, 8).select(F.col("node").alias("event_id"), F.array_join(F.transform("chain", lambda x: x.cast("string")), ">").alias("chain"))
 
 
-#: A walk of each region: from it to its nations, from those to their customers.
-_PAGES, _NODES = 4, 120
-WALK = f"""l AS (SELECT n_regionkey AS run, 'r' || n_regionkey AS source, 'n' || n_nationkey AS target, n_nationkey AS pos FROM nation UNION ALL SELECT n_regionkey, 'n' || n_nationkey, 'c' || c_custkey, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey),
-w0 AS (SELECT r_regionkey AS run, 'r' || r_regionkey AS node, 0 AS depth, 1 AS place, true AS opened FROM region),
-w1 AS (SELECT * FROM (SELECT run, target AS node, 1 AS depth, 1 + row_number() OVER (PARTITION BY run ORDER BY pos, target) AS place FROM l JOIN w0 USING (run) WHERE l.source = w0.node) WHERE place <= {_NODES}),
+#: A walk of each region: from it to its nations, from those to their customers and, as files, their suppliers; a rich one is an item of a repository.
+_PAGES, _NODES, _FILES = 4, 120, 3
+WALK = f"""l AS (SELECT n_regionkey AS run, 'r' || n_regionkey AS source, 'n' || n_nationkey AS target, n_nationkey AS pos, false AS file, false AS listed FROM nation UNION ALL SELECT n_regionkey, 'n' || n_nationkey, 'c' || c_custkey, c_custkey, false, false FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT n_regionkey, 'n' || n_nationkey, 's' || s_suppkey, s_suppkey, true, s_acctbal > 5000 FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+w0 AS (SELECT r_regionkey AS run, 'r' || r_regionkey AS node, 0 AS depth, 1 AS place, false AS file, false AS listed, true AS opened FROM region),
+w1 AS (SELECT * FROM (SELECT run, target AS node, 1 AS depth, 1 + row_number() OVER (PARTITION BY run ORDER BY pos, target) AS place, false AS file, false AS listed FROM l JOIN w0 USING (run) WHERE l.source = w0.node) WHERE place <= {_NODES}),
 o1 AS (SELECT *, place <= {_PAGES} AS opened FROM w1), h AS (SELECT run, count(*) AS held FROM (SELECT run FROM w0 UNION ALL SELECT run FROM o1) GROUP BY 1),
-w2 AS (SELECT * FROM (SELECT run, target AS node, 2 AS depth, held + row_number() OVER (PARTITION BY run ORDER BY o1.place, pos, target) AS place FROM l JOIN o1 USING (run) JOIN h USING (run) WHERE l.source = o1.node AND opened) WHERE place <= {_NODES}),
-w AS (SELECT * FROM w0 UNION ALL SELECT * FROM o1 UNION ALL SELECT *, false FROM w2)"""
+w2 AS (SELECT * FROM (SELECT run, target AS node, 2 AS depth, held + row_number() OVER (PARTITION BY run ORDER BY o1.place, pos, target) AS place, l.file, l.listed FROM l JOIN o1 USING (run) JOIN h USING (run) WHERE l.source = o1.node AND opened) WHERE place <= {_NODES}),
+u AS (SELECT *, row_number() OVER (PARTITION BY run, file ORDER BY listed DESC, place) AS turn FROM (SELECT * FROM w0 UNION ALL SELECT * FROM o1 UNION ALL SELECT *, false FROM w2)),
+w AS (SELECT run, node, depth, place, file, opened OR (file AND turn <= {_FILES}) AS opened, CASE WHEN opened OR (file AND turn <= {_FILES}) THEN 'OPENED' WHEN file THEN 'FILE_BUDGET' WHEN depth = 2 THEN 'DEPTH_LIMIT' ELSE 'PAGE_BUDGET' END AS state FROM u)"""
 
 
 def _walk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,19 +44,21 @@ def _walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = n.select(F.col("n_regionkey").alias("run"), name("r", "n_regionkey").alias("source"), name("n", "n_nationkey").alias("target"), F.col("n_nationkey").cast("long").alias("pos")).union(
         c.join(n, "n_nationkey").select("n_regionkey", name("n", "n_nationkey"), name("c", "c_custkey"), "c_custkey")
     )
+    links = links.withColumns({"file": F.lit(False), "listed": F.lit(False)})
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey", "s_acctbal").join(n, "n_nationkey")
+    links = links.union(s.select("n_regionkey", name("n", "n_nationkey"), name("s", "s_suppkey"), "s_suppkey", F.lit(True), F.col("s_acctbal") > 5000))
     roots = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("run"), name("r", "r_regionkey").alias("node"))
-    return G.walk(links, roots, 2, _PAGES, _NODES)
+    return G.walk(links, roots, 2, _PAGES, _NODES, _FILES)
 
 
-@query(f"WITH {WALK} SELECT run, node, CAST(depth AS INTEGER) AS depth, CAST(place AS BIGINT) AS place, opened FROM w")
+@query(f"WITH {WALK} SELECT run, node, CAST(depth AS INTEGER) AS depth, CAST(place AS BIGINT) AS place, file, opened, state FROM w")
 def g5_bounded_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _walk(spark, sf_dir)
 
 
-@query(f"WITH {WALK} SELECT run, CASE WHEN depth = 2 THEN 'DEPTH_LIMIT' ELSE 'PAGE_BUDGET' END AS reason, count(*) AS n FROM w WHERE NOT opened GROUP BY 1, 2")
+@query(f"WITH {WALK} SELECT run, state AS reason, count(*) AS n FROM w WHERE NOT opened GROUP BY 1, 2")
 def g7_skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = _walk(spark, sf_dir).where("NOT opened")
-    return left.groupBy("run", F.when(F.col("depth") == 2, "DEPTH_LIMIT").otherwise("PAGE_BUDGET").alias("reason")).agg(F.count("*").alias("n"))
+    return _walk(spark, sf_dir).where("NOT opened").groupBy("run", F.col("state").alias("reason")).agg(F.count("*").alias("n"))
 
 
 SEARCH = f"""{WALK}, k AS (SELECT n_regionkey AS run, 'c' || c_custkey AS node, c_mktsegment AS role, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey),

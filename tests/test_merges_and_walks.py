@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +101,33 @@ def test_walks_keep_their_budgets(spark):
     assert max(r["depth"] for r in got) == 2
 
 
+def test_each_budget_of_a_walk_decides(spark):
+    kinds = {"p": (False, False), "q": (True, True), "f": (True, False)}
+    links = [("w", "r", f"{k}{i}", n, *kinds[k]) for n, (k, i) in enumerate((k, i) for i in range(4) for k in "fpq")] + [("w", "p0", f"deep{i}", i, False, False) for i in range(5)]
+    roots = spark.createDataFrame([("w", "r")], "run string, node string")
+    df = spark.createDataFrame(links, "run string, source string, target string, pos int, file boolean, listed boolean")
+    by = lambda **how: {r["node"]: r["state"] for r in graph.walk(df, roots, 2, **how).collect()}
+    whole = by(pages=9, nodes=99, files=99)
+    assert len(whole) == 18 and {n for n, s in whole.items() if s != "OPENED"} == {f"deep{i}" for i in range(5)} and whole["deep0"] == "DEPTH_LIMIT"
+    files = by(pages=9, nodes=99, files=5)  # items of repositories first, then loose files in queue order
+    assert {n for n, s in files.items() if s == "OPENED" and n[0] in "fq"} == {"q0", "q1", "q2", "q3", "f0"} and files["f1"] == "FILE_BUDGET"
+    pages = by(pages=2, nodes=99, files=99)
+    assert {n for n, s in pages.items() if s == "PAGE_BUDGET"} == {"p1", "p2", "p3"} and pages["p0"] == "OPENED"
+    assert len(by(pages=9, nodes=7, files=99)) == 7
+
+
+def test_trees_of_depth_fifty_are_planned_in_seconds(spark):
+    rows = [(f"n{i}", f"n{i - 1}" if i else None, ("ALL", "ANY")[i % 2], None) for i in range(50)] + [("leaf", "n49", None, "FAIL"), *[(f"ok{i}", f"n{i}", None, "OK") for i in range(0, 50, 7)]]
+    began = time.perf_counter()
+    got = {r["node"]: r["state"] for r in graph.fold_rules(spark.createDataFrame(rows, "node string, parent string, op string, state string")).collect()}
+    want = "FAIL"
+    for i in range(49, -1, -1):
+        both = [want, *(["OK"] if i % 7 == 0 else [])]
+        want = min(both) if i % 2 == 0 else max(both)  # FAIL < OK
+        assert got[f"n{i}"] == want
+    assert time.perf_counter() - began < 90
+
+
 def test_provenance_ends_at_roots_hops_and_loops(spark):
     edges = [(f"n{i}", f"n{i + 1}", 0) for i in range(12)] + [("late", "n1", 5), ("x", "y", 0), ("y", "z", 0), ("z", "x", 0)]
     got = {r["node"]: r["chain"] for r in graph.provenance(spark.createDataFrame(edges, "source string, target string, ord int")).collect()}
