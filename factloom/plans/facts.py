@@ -51,16 +51,17 @@ def x7_reconcile_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ladders.reconcile_claims(claims, ["l_partkey"], "said", "klass", "ord")
 
 
-@query("""WITH a AS (SELECT o_orderkey, epoch_us(o_orderdate) AS value FROM orders WHERE o_orderkey % 3 <> 0),
-b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN epoch_us(o_orderdate) + 86400000000 ELSE epoch_us(o_orderdate) END AS new_value, o_orderkey % 11 = 0 AS revises FROM orders WHERE o_orderkey % 4 <> 0),
+@query("""WITH a AS (SELECT o_orderkey, epoch_us(o_orderdate) AS value FROM orders WHERE o_orderpriority IS DISTINCT FROM '1-URGENT'),
+b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN epoch_us(o_orderdate) + 86400000000 ELSE epoch_us(o_orderdate) END AS new_value, o_orderkey % 11 = 0 AS revises FROM orders WHERE o_orderpriority IS NULL OR o_orderpriority <> '5-LOW'),
 m AS (SELECT o_orderkey, value, new_value, CASE WHEN a.o_orderkey IS NULL THEN 'ADDED' WHEN new_value IS NULL THEN 'UNCHANGED' WHEN value = new_value THEN 'CONFIRMED' WHEN revises THEN 'SUPERSEDED' ELSE 'CONFLICTED' END AS state FROM a FULL JOIN b USING (o_orderkey))
 SELECT o_orderkey, state, CASE WHEN state IN ('ADDED', 'SUPERSEDED') THEN new_value WHEN state = 'CONFLICTED' THEN NULL ELSE value END AS effective, state = 'CONFLICTED' AS needs_review FROM m""")
 def x10_merge_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", D.micros(F.col("o_orderdate")).alias("value"))
-    key = F.col("o_orderkey")
+    """All orders: urgent ones are announced for the first time, those of low priority are not announced again, the others are on both sides."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", D.micros(F.col("o_orderdate")).alias("value"))
+    key, by = F.col("o_orderkey"), F.col("o_orderpriority")
     moved = F.when(key % 7 == 0, F.lit(None)).when(key % 5 == 0, F.col("value") + 86_400_000_000).otherwise(F.col("value"))
-    new = o.where("o_orderkey % 4 != 0").select("o_orderkey", moved.alias("value"), (key % 11 == 0).alias("revises"))
-    return ladders.merge_dated(o.where("o_orderkey % 3 != 0"), new, "o_orderkey")
+    new = o.where(by.isNull() | (by != "5-LOW")).select("o_orderkey", moved.alias("value"), (key % 11 == 0).alias("revises"))
+    return ladders.merge_dated(o.where(~by.eqNullSafe(F.lit("1-URGENT"))).drop("o_orderpriority"), new, "o_orderkey")
 
 
 @query("""SELECT p_partkey, CASE WHEN new IS NULL THEN 'KEPT' WHEN old IS NULL OR old = 0 THEN 'ADDED' WHEN old = new THEN 'CONFIRMED' ELSE 'UNDER_REVIEW' END AS decision

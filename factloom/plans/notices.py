@@ -162,12 +162,14 @@ def x34_release_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _schemes(spark, sf_dir).select("p_partkey", N.released(F.col("news"), "admit card").alias("admit_card"), N.released(F.col("news"), "result").alias("result"))
 
 
-@query(f"""WITH {SCHEME} SELECT p_partkey, CAST(NULL AS INTEGER) AS posts, 120 AS pages, true AS attributed FROM s""")
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 < 2 THEN p_size END AS posts, CASE p_size % 4 WHEN 0 THEN 120 WHEN 2 THEN p_size END AS pages, p_size % 4 < 2 AS attributed FROM part""")
 def x39_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A figure counts for a field only where it stands with the field's own noun: pages are no posts, years no posts."""
-    rules = F.col("rules")
-    posts, pages = N.bound_count(rules, "vacancies|posts"), N.bound_count(rules, "pages")
-    return _schemes(spark, sf_dir).select("p_partkey", posts.alias("posts"), pages.alias("pages"), (posts.isNull() & pages.isNotNull()).alias("attributed"))
+    n = F.col("p_size").cast("string")
+    forms = [F.concat(n, F.lit(" posts, printed on 120 pages")), F.concat(F.lit("Total vacancies: "), n), F.concat(F.lit("See "), n, F.lit(" pages on posts")), F.concat(F.lit("Aged "), n, F.lit(" years; posts are told later"))]
+    text = F.element_at(F.array(*forms), (F.col("p_size") % 4 + 1).cast("int"))
+    told = table(spark, sf_dir, "part").select("p_partkey", "p_size", N.bound_count(text, "vacancies|posts").alias("posts"), N.bound_count(text, "pages").alias("pages"))
+    return told.select("p_partkey", "posts", "pages", F.coalesce(F.col("posts") == F.col("p_size"), F.lit(False)).alias("attributed"))
 
 
 @query("""SELECT o_orderkey, (['DATE', 'SPAN', 'SEASON', 'SEASON', NULL])[o_orderkey % 5 + 1] AS kind FROM orders""")

@@ -33,13 +33,24 @@ def s4_latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.exact_or_latest(asked, rows, "k", "wanted", "y")
 
 
-_SCHEMAS = ("customer", "documents", "events", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
 
 
-@query(f"SELECT table_name, column_name, CAST(ordinal_position AS INTEGER) AS place FROM information_schema.columns WHERE table_name IN {_SCHEMAS}")
+_WIDTHS = {"customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")}
+_SCANNED = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, {i} AS place, count({c}) AS filled, approx_distinct AS distinct_values FROM {t}, (SELECT count(DISTINCT {c}) AS approx_distinct FROM {t}) GROUP BY approx_distinct" for t, cs in _WIDTHS.items() for i, c in enumerate(cs, 1))
+
+
+@query(_SCANNED)
 def s5_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(t, c, i) for t in _SCHEMAS for i, c in enumerate(table(spark, sf_dir, t).columns, 1)]
-    return spark.createDataFrame(rows, "table_name string, column_name string, place int")
+    """What a scan finds in each column of some tables: its place, how many rows have a value, and how many values there are."""
+    out = None
+    for name in _WIDTHS:
+        t = table(spark, sf_dir, name)
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("place"), F.col(c).cast("string").alias("v")) for i, c in enumerate(t.columns, 1)]))
+        # first each value once, in the map step too, then two plain counts
+        values = t.select(cells.alias("x")).select("x.*").groupBy("column_name", "place", "v").agg(F.count("v").alias("n"))
+        found = values.groupBy("column_name", "place").agg(F.sum("n").alias("filled"), F.count("v").alias("distinct_values")).select(F.lit(name).alias("table_name"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query("SELECT 'order' AS kind, o_orderkey AS id FROM orders UNION ALL SELECT 'event', event_id FROM events")
@@ -105,9 +116,10 @@ def p5_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where(F.col("p_name").ilike("SMALL%") & ~F.col("p_type").ilike("%promo%")).select("p_partkey", "p_name")
 
 
-@query("SELECT p.page_id FROM pages p WHERE regexp_matches(url, '(?i)/(de|fr)/|news') AND page_id > 0")
+@query("SELECT o_orderkey, o_orderpriority AS headline, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE regexp_matches(o_orderpriority, '(?i)urgent|high') AND o_orderdate >= TIMESTAMP '1997-06-01'")
 def p6_keyword_since(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").where(F.col("url").rlike("(?i)/(de|fr)/|news") & (F.col("page_id") > 0)).select("page_id")
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").rlike("(?i)urgent|high") & (F.col("o_orderdate") >= F.lit("1997-06-01").cast("timestamp_ntz")))
+    return o.select("o_orderkey", F.col("o_orderpriority").alias("headline"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 
 
 @query("SELECT page_id, least(greatest(coalesce(try_cast(nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS INTEGER), 1), 1), 5) AS page FROM pages")

@@ -184,14 +184,15 @@ def j11_best_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.best_names(a, b, "name").withColumn("score", F.round("score", 4))
 
 
-@query(f"""WITH {NAMES}, l AS (SELECT name, CASE WHEN good = 1 THEN b END AS match FROM g), o AS (SELECT lower(p_type) || ' ' || p_name AS name, max(p_size) AS size FROM part GROUP BY 1), i AS (SELECT p_name || ' ' || p_type AS name, max(p_size) AS size FROM part WHERE p_brand <> 'Brand#3' GROUP BY 1 UNION ALL SELECT p_name, 0 FROM part WHERE p_size > 45 GROUP BY 1)
+@query(f"""WITH {NAMES}, l AS (SELECT name, CASE WHEN good = 1 THEN b END AS match FROM g), o AS (SELECT lower(p_type) || ' ' || p_name AS name, max(p_size) AS size FROM part GROUP BY 1), i AS (SELECT p_name || ' ' || p_type AS name, max(CASE p_brand WHEN 'Brand#3' THEN p_size + 1 ELSE p_size END) AS size FROM part GROUP BY 1 UNION ALL SELECT p_name, 0 FROM part WHERE p_size > 45 GROUP BY 1)
 SELECT o.name, i.name AS met, CASE WHEN i.name IS NULL THEN 'UNCHANGED' WHEN o.size = i.size OR i.size = 0 THEN 'CONFIRMED' ELSE 'CONFLICTED' END AS action FROM o LEFT JOIN l ON l.name = o.name LEFT JOIN i ON i.name = l.match""")
 def x11_merge_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     old = p.groupBy(F.concat_ws(" ", F.lower("p_type"), "p_name").alias("name")).agg(F.max("p_size").alias("size"))
     both, short = F.concat_ws(" ", "p_name", "p_type"), p.where("p_size > 45").select("p_name").distinct()
     b = p.select(both.alias("name")).union(short)
-    new = p.where("p_brand != 'Brand#3'").groupBy(both.alias("met")).agg(F.max("p_size").alias("new")).union(short.select("p_name", F.lit(0)))
+    changed = F.when(F.col("p_brand") == "Brand#3", F.col("p_size") + 1).otherwise(F.col("p_size"))  # one brand's posts come with another figure
+    new = p.groupBy(both.alias("met")).agg(F.max(changed).alias("new")).union(short.select("p_name", F.lit(0)))
     pairs = J.best_names(old, b, "name").select("name", F.col("match").alias("met"))
     met = old.join(pairs, "name", "left").join(new.withColumn("there", F.lit(True)), "met", "left")
     decision = F.when(F.col("new") == 0, "KEPT").otherwise(ladders.figure(F.col("size"), F.col("new")))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions.dates import micros
 from factloom.operators import graph as G
+from factloom.operators.stored import place, stored
+from factloom.operators.versions import Versions
 from factloom.operators import snapshots as S
 from factloom.operators import stateful
 
@@ -174,7 +176,36 @@ def w15_compare_and_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("event_id", F.coalesce((F.col("claim.user_id") == F.col("user_id")) & (F.col("nth") == 1), F.lit(False)).alias("finished"))
 
 
-@query("SELECT user_id, event_type, count(*) AS version, max(event_id) AS latest FROM events GROUP BY 1, 2")
+#: Manifests of users' events: three versions, one for each ten days; of a user and type each has the last event and how many there were.
+MANIFESTS = "m AS (SELECT user_id, event_type, least(3, 1 + (day(ts) - 1) // 10) AS version, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1, 2, 3)"
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> Versions:
+    """The manifests, saved one after the other."""
+    days = F.least(F.lit(3), F.lit(1) + F.floor((F.dayofmonth("ts") - 1) / 10)).cast("int")
+    told = stored(table(spark, sf_dir, "events").groupBy("user_id", "event_type", days.alias("part")).agg(F.count("*").alias("n"), F.max("event_id").alias("last")), "parts")
+    saved = Versions(spark, place(spark, "manifests"))
+    for part in range(1, 4):
+        saved.save(told.where(F.col("part") == part).drop("part"))
+    return saved
+
+
+@query(f"WITH {MANIFESTS} SELECT CAST(version AS INTEGER) AS version, count(*) AS entries, CAST(sum(n) AS BIGINT) AS events, max(last) AS last FROM m GROUP BY 1")
 def w17_manifest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Append-only manifests: the number and the id of the latest version of each (S22 reads it)."""
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("version"), F.max("event_id").alias("latest"))
+    """Append-only manifests as they are read back from where they were saved."""
+    return manifests(spark, sf_dir).every().groupBy(F.col("version").cast("int").alias("version")).agg(F.count("*").alias("entries"), F.sum("n").alias("events"), F.max("last").alias("last"))
+
+
+@query(f"WITH {MANIFESTS} SELECT user_id, event_type, CAST(max(version) AS INTEGER) AS version, arg_max(n, version) AS n, arg_max(last, version) AS last FROM m WHERE version <= 2 GROUP BY 1, 2")
+def s22_replayed_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was held when the second of three versions was the latest."""
+    return manifests(spark, sf_dir).replay(["user_id", "event_type"], upto=2).select("user_id", "event_type", F.col("version").cast("int").alias("version"), "n", "last")
+
+
+@query(f"WITH {WALK} SELECT run, CAST(2 AS INTEGER) AS version, count(*) AS nodes, count(*) FILTER (opened) AS opened, CAST(max(place) AS BIGINT) AS last_place FROM w GROUP BY 1")
+def w16_stored_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks as they are loaded from where they were stored: the latest of two."""
+    saved, whole = Versions(spark, place(spark, "walks")), _walk(spark, sf_dir)
+    saved.save(whole.where("depth < 2"))
+    saved.save(whole)
+    return saved.load().groupBy("run", "version").agg(F.count("*").alias("nodes"), F.count_if("opened").alias("opened"), F.max("place").alias("last_place"))
