@@ -14,10 +14,25 @@ def squash(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, WHITE, " "))
 
 
-def windows(c: Column, width: int = 320, step: int = 160) -> Column:
-    """Overlapping windows of a text, each (start, piece); a text up to width has one."""
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(c) - width + step - 1), F.lit(step))
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.substring(c, s + 1, F.lit(width)).alias("piece")))
+def in_blocks(c: Column, step: int, read) -> Column:
+    """read(blocks) of a text's consecutive blocks of ``step`` characters; the text is cut once, however often blocks are read."""
+    blocks = F.regexp_extract_all(c, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    return F.when(c.isNotNull(), F.get(F.transform(F.array(blocks), read), F.lit(0)))
+
+
+def joined(blocks: Column, first: Column, last: int) -> Column:
+    """The blocks from first on, ``last`` of them or as many as there are, as one text."""
+    return F.concat(*[F.coalesce(F.get(blocks, first + i), F.lit("")) for i in range(last)])
+
+
+def windows(c: Column, step: int = 160) -> Column:
+    """Overlapping windows of a text, two steps wide, each (start, piece); a text up to that width has one."""
+
+    def read(blocks: Column) -> Column:
+        each = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(blocks) - 2))
+        return F.transform(each, lambda i: F.struct((i * step).alias("start"), joined(blocks, i, 2).alias("piece")))
+
+    return in_blocks(c, step, read)
 
 
 def sentences(c: Column) -> Column:
