@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 
+from .stored import stored
+
 
 def latest_before(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
     """left with the value of the last row of right with the same keys not after it (null: none).
@@ -32,15 +34,34 @@ def wildcard_counts(left: DataFrame, right: DataFrame, key: str, tag: str) -> Da
 
 
 def best_names(left: DataFrame, right: DataFrame, name: str, least: float = 0.85) -> DataFrame:
-    """For each distinct name of left: the best name of right that shares a word, its score and the verdict.
+    """For each distinct name of left: the best name of right, its score and the verdict.
 
-    UNCHANGED: none reaches least; CONFLICTED: several do; else MATCHED.  Only names that share a word meet.
+    UNCHANGED: none reaches least (the score is 0); CONFLICTED: several do; else MATCHED.  Only two kinds of pairs can
+    reach it: names of the same words, and names of which one holds all words of the other, two or more.  The former
+    meet by their words, the latter by the two rarest words of the shorter name; so a word that most names have makes no pairs.
     """
+    if least <= 0.5:
+        raise ValueError("pairs that share one word or a part of their words are not looked for")
     words = lambda df, out: df.select(F.col(name).alias(out)).distinct().withColumn(f"{out}_words", T.words(F.col(out)))
-    a, b = words(left, "a"), words(right, "b")
-    met = a.withColumn("w", F.explode("a_words")).join(b.withColumn("w", F.explode("b_words")), "w").drop("w").dropDuplicates(["a", "b"])
-    scored = met.withColumn("score", T.name_score(F.col("a_words"), F.col("b_words")))
-    best = scored.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("s"), "b")).alias("best"), F.count_if(F.col("score") >= least).alias("good"))
+    a, b = stored(words(left, "a"), "names"), stored(words(right, "b"), "names")
+    each = a.select(F.explode("a_words").alias("w")).unionByName(b.select(F.explode("b_words").alias("w")))
+    often = stored(each.groupBy("w").agg(F.count("*").alias("df")), "words")
+
+    def rarest(df: DataFrame, out: str) -> DataFrame:
+        ranked = df.select(out, F.explode(f"{out}_words").alias("w")).join(often, "w")
+        two = ranked.groupBy(out).agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "w"))), 1, 2).alias("two"))  # a name's words
+        return two.where(F.size("two") == 2).select(out, F.array_join(F.array_sort(F.transform("two", lambda x: x["w"])), " ").alias("pair"))
+
+    def pairs(df: DataFrame, out: str) -> DataFrame:
+        own = F.array_sort(F.col(f"{out}_words"))
+        every = F.flatten(F.transform(own, lambda x, i: F.transform(F.slice(own, i + 2, F.size(own)), lambda y: F.concat(x, F.lit(" "), y))))
+        return df.select(out, F.explode(every).alias("pair"))
+
+    set_of = lambda c: F.array_join(F.array_sort(F.col(f"{c}_words")), " ")
+    equal = a.where(F.size("a_words") > 0).withColumn("w", set_of("a")).join(b.withColumn("w", set_of("b")), "w").select("a", "b")
+    met = equal.unionByName(rarest(a, "a").join(pairs(b, "b"), "pair").select("a", "b")).unionByName(rarest(b, "b").join(pairs(a, "a"), "pair").select("a", "b")).distinct()
+    scored = met.join(a, "a").join(b, "b").withColumn("score", T.name_score(F.col("a_words"), F.col("b_words"))).where(F.col("score") >= least)
+    best = scored.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("s"), "b")).alias("best"), F.count("*").alias("good"))
     verdict = F.when(F.coalesce("good", F.lit(0)) == 0, "UNCHANGED").when(F.col("good") > 1, "CONFLICTED").otherwise("MATCHED")
     return a.select("a").join(best, "a", "left").select(
         F.col("a").alias("name"), F.when(F.col("good") == 1, F.col("best.b")).alias("match"), F.coalesce(-F.col("best.s"), F.lit(0.0)).alias("score"), verdict.alias("verdict")

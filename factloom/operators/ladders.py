@@ -20,14 +20,33 @@ def rival_groups(facts: DataFrame, keys: list[str], value: str, source: str) ->
     )
 
 
-def rivals(facts: DataFrame, keys: list[str], value: str, source: str) -> DataFrame:
+def rivals(facts: DataFrame, keys: list[str], value: str, source: str, told: Column | None = None) -> DataFrame:
     """facts with ``rivals``: how many other facts of the key differ in value and in source, without joining pairs.
 
-    All of the key's facts less those of its value, less those of its source, and those of both counted back.
+    All of the key's facts less those of its value, less those of its source, and those of both counted back.  Facts
+    are counted by (key, value, source) first, in the map step too, and the other counts are sums of these; so a hot key
+    is no group of rows, and facts are read once more to be given their number.  Only facts that tell both (or, if
+    given, those of told) are counted and have rivals.
     """
-    told = F.when(F.col(value).isNotNull() & F.col(source).isNotNull(), 1)
-    n = lambda *by: F.count(told).over(Window.partitionBy(*keys, *by))
-    return facts.withColumn("rivals", F.when(told == 1, n() - n(value) - n(source) + n(value, source)).otherwise(F.lit(0)))
+    told = F.col(value).isNotNull() & F.col(source).isNotNull() if told is None else told
+    by = [*keys, value, source]
+    one = facts.where(told).groupBy(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)]).agg(F.count("*").alias("_n"))
+    names = [f"_{i}" for i in range(len(by))]
+    k, v, s = names[: len(keys)], names[-2], names[-1]
+
+    def with_sum(df: DataFrame, cols: list[str], name: str) -> DataFrame:
+        part = one.groupBy(*[F.col(c).alias(f"{c}_") for c in cols]).agg(F.sum("_n").alias(name))
+        same = F.lit(True)
+        for c in cols:
+            same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
+        return df.join(part, same).drop(*[f"{c}_" for c in cols])
+
+    counted = with_sum(with_sum(with_sum(one, k, "_all"), [*k, v], "_v"), [*k, s], "_s")
+    counted = counted.select(*names, (F.col("_all") - F.col("_v") - F.col("_s") + F.col("_n")).alias("rivals"))
+    same = told
+    for name, c in zip(names, by, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(name))
+    return facts.join(counted, same, "left").drop(*names).withColumn("rivals", F.coalesce("rivals", F.lit(0).cast("long")))
 
 
 def reconcile_claims(claims: DataFrame, keys: list[str], value: str, klass: str, order: str) -> DataFrame:

@@ -107,7 +107,7 @@ def inherited(tree: DataFrame, doc_id: str, rule: str) -> DataFrame:
 def key_of(title: Column) -> Column:
     """The labelled level of a heading, alike however it is printed: ``PAPER - II`` and ``Paper 2: History`` are ``paper 2``."""
     number = number_of(F.regexp_extract(title, _LABELLED, 2))
-    return F.concat_ws(" ", F.lower(F.regexp_extract(title, _LABELLED, 1)), F.coalesce(number.cast("string"), F.lower(F.regexp_extract(title, _LABELLED, 2))))
+    return F.trim(F.concat_ws(" ", F.lower(F.regexp_extract(title, _LABELLED, 1)), F.coalesce(number.cast("string"), F.lower(F.regexp_extract(title, _LABELLED, 2)))))
 
 
 def restated(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

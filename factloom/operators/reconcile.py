@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ladders import rivals
 from .stateful import fold
 
+
 SEP = "\u001f"
 
 
@@ -190,9 +192,7 @@ def validate_facts(facts: DataFrame, keys: list[str], order: str) -> DataFrame:
     f = facts.withColumn("_why", F.when(missing | F.col("source_url").isNull(), "required").when(bad_url, "url").when(bad_date, "date")).withColumn("_value", value)
     nth = F.row_number().over(Window.partitionBy(*keys, "value", "source_url", F.col("_why").isNull()).orderBy(order))
     f = f.withColumn("_why", F.coalesce("_why", F.when(nth > 1, "duplicate")))
-    told = F.when(F.col("_why").isNull(), 1)
-    n = lambda *by: F.count(told).over(Window.partitionBy(*keys, *by))
-    f = f.withColumn("_rivals", n() - n("_value") - n("source_url") + n("_value", "source_url"))
+    f = rivals(f, keys, "_value", "source_url", F.col("_why").isNull()).withColumnRenamed("rivals", "_rivals")
     status = (
         F.when(F.col("_why") == "duplicate", "duplicate").when(F.col("_why").isNotNull(), "rejected").when(F.col("_rivals") > 0, "conflicting")
         .when(F.col("reachable") & (F.col("confidence") >= 0.6), "validated").otherwise("pending")

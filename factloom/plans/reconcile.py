@@ -176,7 +176,7 @@ s AS (SELECT a, b, CASE WHEN shared = low AND shared = high THEN 1.0 WHEN shared
 g AS (SELECT a AS name, arg_min(b, (-score, b)) AS b, max(score) AS best, count(*) FILTER (score >= 0.85) AS good FROM s GROUP BY 1)"""
 
 
-@query(f"WITH {NAMES} SELECT name, CASE WHEN good = 1 THEN b END AS match, round(best, 4) AS score, CASE WHEN good = 0 THEN 'UNCHANGED' WHEN good > 1 THEN 'CONFLICTED' ELSE 'MATCHED' END AS verdict FROM g")
+@query(f"WITH {NAMES} SELECT name, CASE WHEN good = 1 THEN b END AS match, CASE WHEN good > 0 THEN round(best, 4) ELSE 0.0::DOUBLE END AS score, CASE WHEN good = 0 THEN 'UNCHANGED' WHEN good > 1 THEN 'CONFLICTED' ELSE 'MATCHED' END AS verdict FROM g")
 def j11_best_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     a = p.select(F.concat_ws(" ", F.lower("p_type"), "p_name").alias("name"))
