@@ -275,10 +275,10 @@ def o7_study_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.place(met, ["p_brand"], F.col("p_size") <= 40, F.col("first"), F.desc("p_retailprice"), F.col("p_partkey")).select("p_partkey", "place")
 
 
-@query("SELECT event_id, user_id FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 40) ORDER BY ts, event_id LIMIT 50")
+@query("SELECT event_id, user_id FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND ts >= TIMESTAMP '2024-01-29') ORDER BY ts, event_id LIMIT 50")
 def o8_queue_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    busy = e.where("event_type = 'purchase' AND value > 40").select("user_id")
+    busy = e.where((F.col("event_type") == "signup") & (F.col("ts") >= F.lit("2024-01-29").cast("timestamp_ntz"))).select("user_id")
     return e.where("event_type = 'error'").join(busy, "user_id", "left_anti").orderBy("ts", "event_id").limit(50).select("event_id", "user_id")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.functions import urls as U
-from factloom.operators import reads
+from factloom.operators import links, reads
 from factloom.operators import reconcile as R
 from factloom.operators import snapshots as S
 from factloom.sources import records
@@ -33,6 +33,20 @@ def s12_links_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.links_in_context(table(spark, sf_dir, "pages").select("page_id", "html"))
 
 
+_BASIC = "replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query(rf"""WITH f AS (SELECT page_id, 'Files of ' || page_id AS head, page_id || '/24 Posts Notice Addendum' AS row, html FROM pages), n AS (SELECT page_id, head, unnest(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1)) AS said FROM f)
+SELECT page_id, trim(regexp_replace({_BASIC.format(x="said")}, '{WHITE}', ' ', 'g')) AS text, head AS heading, CAST(NULL AS VARCHAR) AS row, CAST(NULL AS VARCHAR) AS table_heading, head AS context, false AS unlinked FROM n
+UNION ALL SELECT page_id, 'Notice', head, row, head, row, false FROM f UNION ALL SELECT page_id, 'Addendum', head, row, head, row, true FROM f UNION ALL SELECT page_id, 'Inner', head, 'Inner', head, 'Inner', false FROM f""")
+def s12_links_in_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link of every page, below a table of files with a table in it, with its row, heading and context, and rows' entries without a file."""
+    n = F.col("page_id").cast("string")
+    files = F.concat(F.lit("<h2>Files of "), n, F.lit('</h2><table><tr><th>No.</th><th>File</th></tr><tr><td>'), n, F.lit('/24 Posts</td><td><a href="/f/'), n, F.lit('.pdf">Notice</a> <a href="#">Addendum</a><table><tr><td><a href="in">Inner</a></td></tr></table></td></tr></table>'))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.concat(files, F.coalesce("html", F.lit(""))).alias("html"))
+    return links.links_in_rows(pages).select("page_id", "text", "heading", "row", "table_heading", "context", "unlinked")
+
+
 @query("""SELECT doc_id, 1 AS row, unnest(['Lang', 'Chars']) AS header, unnest([coalesce(lang, '-'), CAST(n_chars AS VARCHAR)]) AS value FROM documents""")
 def s13_headed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(F.lit("<table><tr><th>Lang</th><th>Chars</th></tr><tr><td>"), F.coalesce("lang", F.lit("-")), F.lit("</td><td><b>"), F.col("n_chars").cast("string"), F.lit("</b></td></tr></table>"))

@@ -232,9 +232,14 @@ def x6_verify_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(d.select("doc_id", "t"), "doc_id", "left").select(F.col("claim").alias("doc_id"), F.coalesce((F.col("span") != "") & F.contains("t", "span"), F.lit(False)).alias("verified"))
 
 
-@query(f"WITH {NAMES} SELECT DISTINCT name FROM w LEFT JOIN g USING (name) WHERE side = 'a' AND coalesce(good, 0) = 0")
+@query(r"""WITH t AS (SELECT DISTINCT CASE WHEN p_size > 30 THEN lower(p_brand) || ' ' || p_name ELSE lower(p_type) || ' ' || p_name END AS name FROM part), s AS (SELECT DISTINCT p_name || ' ' || p_type AS name FROM part),
+w AS (SELECT name, list_distinct(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda x: length(x) >= 2)) AS words FROM t), v AS (SELECT list_distinct(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda x: length(x) >= 2)) AS words FROM s)
+SELECT name FROM w WHERE NOT EXISTS (SELECT 1 FROM v WHERE len(list_intersect(w.words, v.words)) = least(len(w.words), len(v.words)) AND (len(w.words) = len(v.words) OR least(len(w.words), len(v.words)) >= 2) AND len(list_intersect(w.words, v.words)) > 0)""")
 def x13_unsupported_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return j11_best_names(spark, sf_dir).where("verdict = 'UNCHANGED'").select("name")
+    """Topics whose words no source has: those of large parts are named by their brand, which no source prints."""
+    p = table(spark, sf_dir, "part")
+    topics = p.select(F.concat_ws(" ", F.when(F.col("p_size") > 30, F.lower("p_brand")).otherwise(F.lower("p_type")), F.col("p_name")).alias("name"))
+    return J.best_names(topics, p.select(F.concat_ws(" ", "p_name", "p_type").alias("name")), "name").where("verdict = 'UNCHANGED'").select("name")
 
 
 @query("""WITH e AS (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id AS seq, value, CASE event_type WHEN 'click' THEN 'ADD' WHEN 'error' THEN 'RETIRE' ELSE 'AMEND' END AS kind FROM events UNION ALL SELECT p_partkey, -1, CAST(p_size AS DOUBLE), 'ADD' FROM part),
