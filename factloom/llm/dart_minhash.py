@@ -280,8 +280,8 @@ def _judged(docs: DataFrame, least: float, weighting: str, counted: bool = False
     special = linked.select("digest", "comp").join(whole, "comp").select("digest", "class_size", "first")
     special = special.union(classed.where("comp is null and size > 1").select("digest", F.col("size").alias("class_size"), "first"))
     if counted:
-        ends = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("end"))
-        degree = ends.select("end.*").distinct().groupBy(F.col("a").alias("digest")).agg(F.count("*").alias("n_links"))
+        both = links.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()  # dealt by both ends, so a leader's many links are spread
+        degree = both.select(F.explode(F.array("lo", "hi")).alias("digest")).groupBy("digest").agg(F.count("*").alias("n_links"))
         special = special.join(degree, "digest", "left")
     own = F.col("class_size").isNull()
     return rows.drop("bands").join(special, "digest", "left").select(
