@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 
 def fold(df: DataFrame, key: str, order: list[str | Column], make: Callable[[], Callable[..., object]], inputs: list[str], out: str, kind: str) -> DataFrame:
@@ -117,32 +116,6 @@ def batches(most: int, limit: int | None = None) -> Callable[[], Callable[[int |
     return make
 
 
-def within_budget(sizes: Column, budget: int) -> Column:
-    """For an array of sizes, which are taken in order: one that does not fit is passed over and takes nothing."""
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("taken"))
-
-    def step(acc: Column, size: Column) -> Column:
-        fits = acc["used"] + size <= budget
-        return F.struct((acc["used"] + F.when(fits, size).otherwise(0)).alias("used"), F.concat(acc["taken"], F.array(fits)).alias("taken"))
-
-    return F.aggregate(F.transform(sizes, lambda s: s.cast("long")), start, step, lambda acc: acc["taken"])
-
-
-def in_batches(sizes: Column, budget: int, limit: int | None = None) -> Column:
-    """For an array of sizes, the number of each one's batch: a batch closes when the next would not fit; over the budget
-    but within the limit (the budget, if none is given) a size has a batch of its own, over the limit it is -1."""
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, size: Column) -> Column:
-        over, fits = size > (budget if limit is None else limit), (acc["n"] == 0) | (acc["used"] + size <= budget)
-        batch = F.when(over | fits, acc["batch"]).otherwise(acc["batch"] + 1)
-        used = F.when(over, acc["used"]).when(fits, acc["used"] + size).otherwise(size)
-        n = F.when(over, acc["n"]).when(fits, acc["n"] + 1).otherwise(1)
-        return F.struct(used.alias("used"), n.alias("n"), batch.alias("batch"), F.concat(acc["out"], F.array(F.when(over, -1).otherwise(batch))).alias("out"))
-
-    return F.aggregate(F.transform(sizes, lambda s: s.cast("long")), start, step, lambda acc: acc["out"])
-
-
 def debounced(interval: int) -> Callable[[], Callable[[int], bool]]:
     """Whether a check is made: not while the last one that was made is no older than the interval."""
 

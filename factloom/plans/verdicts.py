@@ -18,7 +18,6 @@ from factloom.operators import snapshots as S
 from .facts import _CUE_ROWS, CUES, WHITE
 from .ranking import _KIND_ROWS, KINDS, _of
 from .reads import _HOST
-from .reconcile import NAMES, j11_best_names
 from .registry import query, table
 
 

@@ -55,10 +55,10 @@ def test_kleene(spark):
         assert rank[x] == min(rank[a], rank[b]) and rank[y] == max(rank[a], rank[b])
 
 
-def test_budget_folds(spark):
-    df = spark.createDataFrame([([5, 60, 50, 40, 5],), ([],)], "s array<int>")
-    assert [r[0] for r in df.select(stateful.within_budget(F.col("s"), 100)).collect()] == [[True, True, False, False, True][:3] + [False, True], []]
-    assert [r[0] for r in df.select(stateful.in_batches(F.col("s"), 55)).collect()] == [[0, -1, 0, 1, 1], []]
+def test_budget_folds():
+    taken, batch = stateful.budget(100)(), stateful.batches(55)()
+    assert [taken(s) for s in (5, 60, 50, 40, 5)] == [True, True, False, False, True][:3] + [False, True]
+    assert [batch(s) for s in (5, 60, 50, 40, 5)] == [0, -1, 0, 1, 1]
 
 
 def test_limiters_against_a_plain_loop(spark):
