@@ -116,6 +116,68 @@ def batches(most: int, limit: int | None = None) -> Callable[[], Callable[[int |
     return make
 
 
+#: A running job whose worker has not been heard of for so long is stale.
+STALE_US = 90_000_000
+#: How long a job that failed waits before each further attempt; there are no more attempts than waits.
+LEASE_WAITS_US = (5_000_000, 20_000_000, 60_000_000)
+
+
+class Lease:
+    """One job as its events go by (times in microseconds): which worker holds it, and what becomes of it if that worker is lost.
+
+    Only the worker that holds a job keeps it alive, ends it or gives it back; what a worker says that has lost it
+    changes nothing.  A stale job is queued again at once, one that failed after its wait, both within the attempts; then it has FAILED.
+    """
+
+    def __init__(self, stale: int = STALE_US, waits: tuple[int, ...] = LEASE_WAITS_US, held: tuple | None = None) -> None:
+        self.stale, self.waits = stale, waits
+        self.status, self.worker, self.retries, self.heard, self.not_before = held or ("NONE", "", 0, 0, 0)
+
+    @property
+    def held(self) -> tuple:
+        return self.status, self.worker, self.retries, self.heard, self.not_before
+
+    @property
+    def ends(self) -> int | None:
+        """When the lease of a running job ends unless its worker is heard of."""
+        return self.heard + self.stale if self.status == "RUNNING" else None
+
+    def expire(self, now: int) -> str:
+        """Give back a running job whose lease has ended: RECOVERED or, out of attempts, INTERRUPTED; else nothing."""
+        if self.ends is None or now <= self.ends:
+            return ""
+        self.worker = ""
+        if self.retries < len(self.waits):
+            self.status, self.retries, self.not_before = "QUEUED", self.retries + 1, 0
+            return "RECOVERED"
+        self.status = "FAILED"
+        return "INTERRUPTED"
+
+    def step(self, at: int, kind: str, worker: str) -> str:
+        """An event (SUBMIT, CLAIM, HEARTBEAT, FAIL or DONE): the status after it, the attempts so far, and what had expired before it."""
+        note, own = self.expire(at), self.status == "RUNNING" and self.worker == worker
+        if kind == "SUBMIT" and self.status not in ("QUEUED", "RUNNING"):
+            self.status, self.worker, self.retries, self.not_before = "QUEUED", "", 0, at
+        elif kind == "CLAIM" and self.status == "QUEUED" and at >= self.not_before:
+            self.status, self.worker, self.heard = "RUNNING", worker, at
+        elif kind == "HEARTBEAT" and own and self.status == "RUNNING":
+            self.heard = at
+        elif kind == "DONE" and own and self.status == "RUNNING":
+            self.status, self.worker = "SUCCEEDED", ""
+        elif kind == "FAIL" and own and self.status == "RUNNING":
+            self.worker = ""
+            if self.retries < len(self.waits):
+                self.status, self.not_before, self.retries = "QUEUED", at + self.waits[self.retries], self.retries + 1
+            else:
+                self.status = "FAILED"
+        return f"{self.status}:{self.retries}:{note}"
+
+
+def leases(stale: int = STALE_US, waits: tuple[int, ...] = LEASE_WAITS_US) -> Callable[[], Callable[[int, str, str], str]]:
+    """Lease.step() for fold()."""
+    return lambda: Lease(stale, waits).step
+
+
 def debounced(interval: int) -> Callable[[], Callable[[int], bool]]:
     """Whether a check is made: not while the last one that was made is no older than the interval."""
 

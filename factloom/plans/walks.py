@@ -176,6 +176,32 @@ def w15_compare_and_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("event_id", F.coalesce((F.col("claim.user_id") == F.col("user_id")) & (F.col("nth") == 1), F.lit(False)).alias("finished"))
 
 
+_STALE, _WAITS = 43_200_000_000, (600_000_000, 7_200_000_000)
+_KINDS = {"signup": "SUBMIT", "click": "CLAIM", "view": "HEARTBEAT", "purchase": "DONE", "error": "FAIL"}
+_KIND_SQL = "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{k}'" for e, k in _KINDS.items()) + " END"
+_LEASED = f"""WITH RECURSIVE n AS (SELECT event_id, user_id, epoch_us(ts) AS t, {_KIND_SQL} AS kind, CAST(event_id % 2 AS VARCHAR) AS hand, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, 'NONE' AS status, '' AS worker, 0 AS retries, CAST(0 AS BIGINT) AS heard, CAST(0 AS BIGINT) AS waits, '' AS note FROM n
+UNION ALL SELECT user_id, i, event_id,
+  CASE WHEN kind = 'SUBMIT' AND s NOT IN ('QUEUED', 'RUNNING') THEN 'QUEUED' WHEN kind = 'CLAIM' AND s = 'QUEUED' AND t >= w THEN 'RUNNING' WHEN own AND kind = 'DONE' THEN 'SUCCEEDED' WHEN own AND kind = 'FAIL' THEN CASE WHEN r < {len(_WAITS)} THEN 'QUEUED' ELSE 'FAILED' END ELSE s END,
+  CASE WHEN kind = 'CLAIM' AND s = 'QUEUED' AND t >= w THEN hand WHEN (own AND kind IN ('DONE', 'FAIL')) OR s <> 'RUNNING' THEN '' ELSE worker END,
+  CASE WHEN kind = 'SUBMIT' AND s NOT IN ('QUEUED', 'RUNNING') THEN 0 WHEN own AND kind = 'FAIL' AND r < {len(_WAITS)} THEN r + 1 ELSE r END,
+  CASE WHEN (kind = 'CLAIM' AND s = 'QUEUED' AND t >= w) OR (own AND kind = 'HEARTBEAT') THEN t ELSE heard END,
+  CASE WHEN kind = 'SUBMIT' AND s NOT IN ('QUEUED', 'RUNNING') THEN t WHEN own AND kind = 'FAIL' AND r < {len(_WAITS)} THEN t + CASE r {" ".join(f"WHEN {k} THEN {w}" for k, w in enumerate(_WAITS))} END ELSE w END, note
+FROM (SELECT *, s = 'RUNNING' AND worker = hand AS own FROM (SELECT n.user_id, n.i, n.event_id, n.t, n.kind, n.hand, f.worker, f.heard,
+    CASE WHEN gone THEN CASE WHEN f.retries < {len(_WAITS)} THEN 'QUEUED' ELSE 'FAILED' END ELSE f.status END AS s, CASE WHEN gone AND f.retries < {len(_WAITS)} THEN f.retries + 1 ELSE f.retries END AS r, CASE WHEN gone AND f.retries < {len(_WAITS)} THEN 0 ELSE f.waits END AS w,
+    CASE WHEN gone THEN CASE WHEN f.retries < {len(_WAITS)} THEN 'RECOVERED' ELSE 'INTERRUPTED' END ELSE '' END AS note
+  FROM (SELECT f.*, n.t AS now, f.status = 'RUNNING' AND n.t > f.heard + {_STALE} AS gone FROM f JOIN n ON n.user_id = f.user_id AND n.i = f.i + 1) f JOIN n ON n.user_id = f.user_id AND n.i = f.i + 1)))
+SELECT event_id, status || ':' || retries || ':' || note AS state FROM f WHERE i > 0"""
+
+
+@query(_LEASED)
+def k5_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as those of a job that two workers hold in turn: claims, signs of life, failures with waits, and leases that end."""
+    kind = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])[F.col("event_type")]
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", micros(F.col("ts")).alias("at"), kind.alias("kind"), (F.col("event_id") % 2).cast("string").alias("worker"))
+    return stateful.fold(e, "user_id", ["at", "event_id"], stateful.leases(_STALE, _WAITS), ["at", "kind", "worker"], "state", "string").select("event_id", "state")
+
+
 #: Manifests of users' events: three versions, one for each ten days; of a user and type each has the last event and how many there were.
 MANIFESTS = "m AS (SELECT user_id, event_type, least(3, 1 + (day(ts) - 1) // 10) AS version, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1, 2, 3)"
 
