@@ -10,7 +10,8 @@ from factloom.functions import urls as U
 from factloom.operators import links, reads
 from factloom.operators import reconcile as R
 from factloom.operators import snapshots as S
-from factloom.sources import records
+from factloom.operators.stored import place
+from factloom.sources import records, registry
 
 from .facts import WHITE
 from .reads import _HOST
@@ -33,6 +34,36 @@ def s12_links_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.links_in_context(table(spark, sf_dir, "pages").select("page_id", "html"))
 
 
+def _files(spark: SparkSession, sf_dir: str) -> str:
+    """Where parts are written as JSON lines; of some the line is cut off or has no key."""
+    key = F.col("p_partkey")
+    whole = F.to_json(F.struct(F.when(key % 13 != 0, key).alias("key"), F.col("p_name").alias("name"), F.struct(F.col("p_brand").alias("brand"), F.col("p_size").cast("int").alias("size")).alias("make")))
+    path = place(spark, "records")
+    table(spark, sf_dir, "part").select(F.when(key % 11 == 0, F.substring(whole, F.lit(1), F.length(whole) - 2)).otherwise(whole).alias("value")).write.text(path)
+    return path
+
+
+_JSON = "key long, name string, make struct<brand:string,size:int>"
+
+
+@query("""WITH f AS (SELECT p_partkey AS key, p_name AS name, p_brand AS brand, p_size AS size FROM part WHERE p_partkey % 13 <> 0 AND p_partkey % 11 <> 0),
+r AS (SELECT s_suppkey AS key, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS name FROM supplier UNION ALL SELECT CAST(-1 AS BIGINT), 'registered' FROM region WHERE r_regionkey = 0)
+SELECT coalesce(r.key, f.key) AS key, coalesce(r.name, f.name) AS name, brand, CAST(size AS INTEGER) AS size, CASE WHEN f.key IS NULL THEN 'REGISTRY' WHEN r.key IS NULL THEN 'FILE' ELSE 'BOTH' END AS origin FROM f FULL JOIN r ON f.key = r.key""")
+def s6_registry_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of JSON files, with a registry's rows over them."""
+    held, _ = registry.read_records(spark, _files(spark, sf_dir), _JSON, "key")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("name"))
+    extra = table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.lit(-1).cast("long").alias("key"), F.lit("registered").alias("name"))
+    return registry.with_registry(held, s.unionByName(extra), "key").select("key", "name", "make.brand", "make.size", "origin")
+
+
+@query("""SELECT CASE WHEN p_partkey % 11 = 0 THEN 'no JSON' ELSE 'no key' END AS reason, count(*) AS n FROM part WHERE p_partkey % 11 = 0 OR p_partkey % 13 = 0 GROUP BY 1""")
+def s6_rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of JSON files that are no records, by why."""
+    _, rejects = registry.read_records(spark, _files(spark, sf_dir), _JSON, "key")
+    return rejects.groupBy("reason").agg(F.count("*").alias("n"))
+
+
 _BASIC = "replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
 
 
