@@ -282,7 +282,7 @@ def _judged(docs: DataFrame, least: float, weighting: str, counted: bool = False
     if counted:
         both = links.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()  # dealt by both ends, so a leader's many links are spread
         degree = both.select(F.explode(F.array("lo", "hi")).alias("digest")).groupBy("digest").agg(F.count("*").alias("n_links"))
-        special = special.join(degree, "digest", "left")
+        special = materialize(special.join(degree, "digest", "left"), "classes")  # so that a text of many copies can be split where rows meet it
     own = F.col("class_size").isNull()
     return rows.drop("bands").join(special, "digest", "left").select(
         "doc_id", "text_hash", "text_check", "n_shingles",
