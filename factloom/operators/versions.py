@@ -12,19 +12,23 @@ class Versions:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def numbers(self) -> list[int]:
-        """The numbers of the versions that were saved whole, ascending."""
-        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+    def _named(self) -> dict[int, bool]:
+        """Every number that was begun, and whether its version was saved whole."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        folder = path(self.path)
         store = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not store.exists(folder):
-            return []
+            return {}
         named = [f.getPath() for f in store.listStatus(folder) if f.getPath().getName().startswith("version=")]
-        done = [p for p in named if store.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(p.getName().split("=")[1]) for p in done)
+        return {int(p.getName().split("=")[1]): store.exists(path(p, "_SUCCESS")) for p in named}
+
+    def numbers(self) -> list[int]:
+        """The numbers of the versions that were saved whole, ascending."""
+        return sorted(n for n, whole in self._named().items() if whole)
 
     def save(self, rows: DataFrame) -> int:
         """Write rows as the next version and return its number; an existing version is never written again."""
-        number = max(self.numbers(), default=0) + 1
+        number = max(self._named(), default=0) + 1  # one that was begun and never finished keeps its number
         rows.write.mode("error").parquet(f"{self.path}/version={number}")
         return number
 
