@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import dates as D
+from factloom.operators.affinity import affinities
 
 from .registry import query, table
 
@@ -70,3 +71,22 @@ def a15_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_nationkey").alias("n")).join(direct, "n", "left").join(moved, "n", "left").crossJoin(F.broadcast(top))
     m = F.coalesce("moved", F.lit(0.0))
     return met.select("n_nationkey", F.round(F.when(F.col("direct").isNull(), F.least(m, CAP * F.col("top"))).otherwise(F.col("direct") + m), 4).alias("score"))
+
+
+#: Suppliers as items: their nation is their authority, the rest follows from their number.
+_CATEGORY = ("CIVIL_SERVICES", "STATE_PSC", "STAFF_SELECTION", "BANKING", "OTHER", "OTHER", "OTHER")
+_CATEGORIES = "([" + ", ".join(f"'{c}'" for c in _CATEGORY) + "])"
+
+
+@query(f"""WITH i AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 > 0 THEN 'A' || s_nationkey END AS authority, {_CATEGORIES}[s_suppkey % 7 + 1] AS category, ['f' || s_suppkey % 3, 'f' || (3 + s_suppkey % 4), 'f' || (7 + s_nationkey % 2)] AS fields, CASE WHEN s_suppkey % 2 = 0 THEN 'GRADUATION' END AS level FROM supplier),
+p AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.authority = b.authority THEN 0.35 ELSE 0 END + CASE WHEN a.category IN ('CIVIL_SERVICES', 'STATE_PSC') AND b.category IN ('CIVIL_SERVICES', 'STATE_PSC') THEN CASE WHEN a.category = b.category THEN 0.5 ELSE 0.4 END WHEN a.category IN ('STAFF_SELECTION', 'BANKING') AND b.category IN ('STAFF_SELECTION', 'BANKING') THEN 0.4 ELSE 0 END
+  + 0.15 * least(2, len(list_intersect(a.fields, b.fields))) + CASE WHEN a.level = b.level THEN 0.05 ELSE 0 END AS s FROM i a JOIN i b ON a.id <> b.id)
+SELECT a, b, CAST(least(1.0, round(s, 2)) AS DOUBLE) AS affinity FROM p WHERE round(s, 2) > 0.3""")
+def j19_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of suppliers that are near by authority, category, fields and level; no other pair is built."""
+    k, n, text = F.col("s_suppkey"), F.col("s_nationkey"), lambda c: F.concat(F.lit("f"), c.cast("string"))
+    items = table(spark, sf_dir, "supplier").select(
+        k.alias("id"), F.when(k % 5 > 0, F.concat(F.lit("A"), n.cast("string"))).alias("authority"), F.element_at(F.array(*map(F.lit, _CATEGORY)), (k % 7 + 1).cast("int")).alias("category"),
+        F.array(text(k % 3), text(3 + k % 4), text(7 + n % 2)).alias("fields"), F.when(k % 2 == 0, "GRADUATION").alias("qualification"),
+    )
+    return affinities(items)
