@@ -1,15 +1,18 @@
 """Operator 12, extraction of main texts from pages by a suffix array over each host's token streams.
 
-A page's stream is its tags and words outside the main element, which stands in it as one sign that is like no other;
-the text of a part that its name tells to be a menu, header, footer, sidebar, notice, advert, form or comment is one
-sign ``#`` for each piece, since sites fill the same part with other words on every page (page_parts.py).
+A page's stream is its tags and words; the text of a part that its name tells to be a menu, header, footer, sidebar,
+notice, advert, form or comment is one sign ``#`` for each piece, since sites fill the same part with other words on every
+page (page_parts.py).  Of the main element the stream has tags and what links say, as signs of their own; its other
+text stands there as signs that are like no other, since the article's text stays whatever pages share.
 
 The streams of a host are put together and their suffixes sorted, by doubling the length that ranks compare.  From the
 common prefixes of neighbours follows for each token the longest stretch that begins there and stands on another page
 too, by the nearest suffix of another page to either side.  What stretches of LONG tokens or more cover is boilerplate.
-An exact check by names follows: it keeps the text of the main element, where a page has one, whatever pages share (copied
-articles stay), and drops parts that repetition cannot see, as on a host with one page.  Where a page has no main
-element, blocks outside of parts stay unless most of their words (COVERED) are boilerplate.
+In the main element, a list of LINKS links or more without other words goes as a menu that no name tells if most of it
+(COVERED) is boilerplate; a list that only this article holds (references, say) stays, and so does one that is all that the
+main element has.  An exact check by names follows: it keeps the other text of the main element, where a page has one,
+whatever pages share (copied articles stay), and drops parts that repetition cannot see, as on a host with one page.  Where
+a page has no main element, blocks outside of parts stay unless most of their words (COVERED) are boilerplate.
 
 Pages are dealt by host and block: a host with more than BLOCK_BYTES of text has several blocks, dealt by hash, so no
 task takes a whole hot host.  What stands on two pages of a block is found by the block's array.  Blocks of one host
@@ -17,7 +20,8 @@ then exchange the grams of LONG tokens that only one of their pages has, by an a
 step, so a stretch that stands once in each of two blocks is found as well and the result does not depend on the deal.
 Several small hosts share one array, in which their tokens differ.
 
-Pages with the same stream are one page: a copy is no evidence of boilerplate.
+Pages with the same stream are one page, and so are pages whose main elements begin with the same text: a copy is no
+evidence of boilerplate, nor is an article that was edited further down.
 
 Cases: null html is empty and gives an empty text; a null url has the empty host; broken markup is read to its end
 (unclosed tags, comments, quotes and scripts); very long pages are read whole; repeated rows are judged row by row;
@@ -29,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +45,8 @@ from .url_filter import host_of
 
 LONG = 12
 COVERED = 0.8
+#: Least number of links of a list in the main element that can be a menu.
+LINKS = 3
 BLOCK_BYTES = 2 << 20
 #: Characters of pages whose array a task builds at once, unless one block is larger.
 PORTION = 2 << 20
@@ -104,7 +111,7 @@ def repeated(x: np.ndarray, page: np.ndarray, long: int = LONG) -> np.ndarray:
 
 
 def gram_hashes(stream: list[str | None], known: dict[str, int], long: int = LONG) -> np.ndarray:
-    """64-bit hashes of the grams of a stream that hold no main element, one for each place; 0 where there is none."""
+    """64-bit hashes of the grams of a stream that hold no sign like no other, one for each place; 0 where there is none."""
     n = len(stream)
     out = np.zeros(n, dtype=np.uint64)
     if n < long:
@@ -120,9 +127,10 @@ def gram_hashes(stream: list[str | None], known: dict[str, int], long: int = LON
     return out
 
 
-def _signature(stream: list[str | None]) -> int:
-    told = "\0".join("\1" if t is None else t for t in stream).encode("utf-8", "surrogatepass")
-    return int.from_bytes(hashlib.blake2b(told, digest_size=8).digest(), "little", signed=True)
+def _signature(page: Page) -> int:
+    """The same for copies of a page and for pages of one article."""
+    told = "\0".join("\1" if t is None else t for t in page.stream) if page.lead is None else "\2" + page.lead
+    return int.from_bytes(hashlib.blake2b(told.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def boilerplate(groups: list[tuple[list[Page], np.ndarray]], long: int = LONG) -> list[np.ndarray]:
@@ -135,7 +143,7 @@ def boilerplate(groups: list[tuple[list[Page], np.ndarray]], long: int = LONG) -
             tokens.extend(-1 if t is None else numbers.setdefault(t, len(numbers)) for t in p.stream)
             tokens.append(-1)
             ends.append(len(tokens))
-            page_of.append(signs.setdefault((g, _signature(p.stream)), len(signs)))
+            page_of.append(signs.setdefault((g, _signature(p)), len(signs)))
             hosts.append(g)
     x, sizes = np.array(tokens, dtype=np.int64), np.diff(ends)
     x = np.where(x >= 0, np.repeat(hosts, sizes) * max(len(numbers), 1) + x, len(groups) * max(len(numbers), 1) + np.arange(len(x)))
@@ -152,13 +160,27 @@ def boilerplate(groups: list[tuple[list[Page], np.ndarray]], long: int = LONG) -
     return out
 
 
+def _menus(page: Page, covered: np.ndarray, least: float) -> set[int]:
+    """The places of the main element's blocks that are lists of links which pages of other articles hold too."""
+    out: set[int] = set()
+    if page.lead is None:
+        return out
+    for listed, run in groupby(enumerate(page.blocks), lambda at: at[1].links is not None):
+        if listed:
+            places, blocks = zip(*run, strict=True)
+            if sum(b.links for b in blocks) >= LINKS and covered[blocks[0].first : blocks[-1].end].mean() >= least:
+                out.update(places)
+    return out
+
+
 def main_text(page: Page, has_main: bool, covered: np.ndarray, least: float = COVERED) -> tuple[str, int, int]:
     """The kept blocks' text, how many signs or words went as boilerplate, and how many blocks or parts by their names alone."""
     kept, by_name = [], 0
-    for b in page.blocks:
+    menus = _menus(page, covered, least) if has_main else ()
+    for at, b in enumerate(page.blocks):
         if has_main:
-            stays = b.main
-            by_name += not stays and not covered[b.first : b.end].any()
+            stays = b.main and at not in menus
+            by_name += not b.main and not covered[b.first : b.end].any()
         else:
             stays = covered[b.first : b.end].mean() < least if b.end > b.first else True
         if stays:
@@ -177,13 +199,13 @@ def _grams(dealt: DataFrame) -> DataFrame:
                 known.clear()
             host, block, gram, page = [], [], [], []
             for h, k, source in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-                stream = page_parts(source)[0].stream
-                own = np.unique(gram_hashes(stream, known))
+                told = page_parts(source)[0]
+                own = np.unique(gram_hashes(told.stream, known))
                 own = own[own != 0].view(np.int64)
                 host += [h] * len(own)
                 block += [k] * len(own)
                 gram.append(own)
-                page.append(np.full(len(own), _signature(stream), dtype=np.int64))
+                page.append(np.full(len(own), _signature(told), dtype=np.int64))
             flat = [np.concatenate([np.zeros(0, np.int64), *c]) for c in (gram, page)]
             yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(block, pa.int32()), *map(pa.array, flat)], names=["host", "block", "gram", "page"])
 

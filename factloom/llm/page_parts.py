@@ -3,7 +3,8 @@
 Tags are read by one pattern, in linear time; scripts, styles and other raw elements are skipped up to their end.  An
 element is chrome if it is a menu, header, footer, sidebar, notice, advert, form, script, style or reader comment by
 its name, its role, or a word of one of its classes or its id; a header is one only outside the main element.  An article (else a main element) is the page's main
-element; a page that has neither has none.
+element; a page that has neither has none.  A menu that no name tells, inside the main element, is a list of links that
+other articles hold too: the stream has what links of the main element say, for the array to find it.
 """
 
 from __future__ import annotations
@@ -36,13 +37,18 @@ class Block:
     main: bool
     first: int
     end: int
+    #: In the main element: how many links hold its words, if every word of it stands in one and none in a heading.
+    links: int | None = None
 
 
 @dataclass
 class Page:
     blocks: list[Block] = field(default_factory=list)
-    #: Tags and words outside the main element; a named part's text is one "#"; None stands for the main element.
+    #: Tags and words; a named part's text outside the main element is one "#".  Inside it tags and words of links are
+    #: signs of their own, and None stands for where it begins and for all other text, with the tags in it.
     stream: list[str | None] = field(default_factory=list)
+    #: The first block of the main element with words outside of links; pages that share it hold one article.
+    lead: str | None = None
 
 
 #: Elements that hold the text itself: a class that only mentions a part does not make them one.
@@ -50,6 +56,11 @@ _SOLID = frozenset("html body main article".split())
 #: A compound that ends in one of these names the text of a part that its own element names, or none.
 _CONTENT = frozenset("content body text article story entry copy".split())
 _HEADERS = frozenset("header masthead".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_HREF = re.compile(r"\bhref\b", re.I)
+_WORD = re.compile(r"[^\W_]")
+#: Begins the signs of the main element, which are like none outside of it.
+INSIDE = "\2"
 
 
 def is_part(name: str, attributes: str) -> tuple[bool, bool, str]:
@@ -82,12 +93,18 @@ def read_page(source: str, main_names: tuple[str, ...]) -> Page:
     parts = mains = 0
     words: list[str] = []  # of the block at hand
     block_main, first = False, 0
+    link = heading = loose = False  # inside of a link or heading; whether the block has words outside of links
+    opened = told_of = links = 0  # links so far, the last that said a word, and those that did in the block
+    bare = 0  # in the main element: where the last None ends, if only tags have followed
     stream = page.stream
 
     def flush() -> None:
         nonlocal words
         if words:
-            page.blocks.append(Block(" ".join(words), block_main, first, len(stream)))
+            told = block_main and loose
+            page.blocks.append(Block(" ".join(words), block_main, first, first if told else len(stream), links if block_main and links and not loose else None))
+            if told and page.lead is None:
+                page.lead = page.blocks[-1].text
             words = []
 
     def close(down_to: int) -> None:
@@ -100,7 +117,7 @@ def read_page(source: str, main_names: tuple[str, ...]) -> Page:
     glue = False  # whether the next text goes on without white space after the last
 
     def text(raw: str) -> None:
-        nonlocal block_main, first, glue
+        nonlocal block_main, first, glue, loose, links, told_of, bare
         if not raw:
             return
         told = entities.unescape(raw) if "&" in raw else raw
@@ -114,7 +131,7 @@ def read_page(source: str, main_names: tuple[str, ...]) -> Page:
             glue = False
             return
         if not words:
-            block_main, first = mains > 0, len(stream)
+            block_main, first, loose, links = mains > 0, len(stream), False, 0
         if words and glue and not told[0].isspace():
             words[-1] += own[0]
             if len(own) > 1:
@@ -124,6 +141,20 @@ def read_page(source: str, main_names: tuple[str, ...]) -> Page:
         glue = not told[-1].isspace()
         if not mains:
             stream.extend(own)
+            loose = True
+        elif (link and not heading) or not _WORD.search(told):
+            stream.extend(INSIDE + w for w in own)
+            bare = 0
+            if link and told_of != opened:
+                links, told_of = links + 1, opened
+        else:
+            loose = True
+            if bare:
+                del stream[bare:]
+                first = min(first, bare)
+            else:
+                stream.append(None)
+                bare = len(stream)
 
     at, size = 0, len(source)
     while at < size:
@@ -141,9 +172,14 @@ def read_page(source: str, main_names: tuple[str, ...]) -> Page:
         inline = name in INLINE
         if not inline:
             flush()
-            glue = False
+            glue = link = False
+            if name in _HEADINGS:
+                heading = not ends
         elif name == "br":
             glue = False
+        elif name == "a":
+            link = not ends and bool(_HREF.search(attributes))
+            opened += link
         if ends:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
@@ -153,14 +189,19 @@ def read_page(source: str, main_names: tuple[str, ...]) -> Page:
                     break
             if not mains:
                 stream.append(f"</{name}>")
+            elif not parts:
+                stream.append(f"{INSIDE}</{name}>")
             continue
         if not inline:
             _close_implied(stack, name, close)
         part, header, mark = is_part(name, attributes)
         part |= name in CHROME or ((header or name == "header") and not mains)
         main = not part and not parts and (name in main_names or ("main" in main_names and bool(re.search(r"\brole\s*=\s*[\"']?main\b", attributes, re.I))))
-        if not mains:
+        if main or not mains:
             stream.append(None if main else f"<{name}{mark}>")
+            bare = len(stream)
+        elif not parts:
+            stream.append(f"{INSIDE}<{name}{mark}>")
         if name in RAW:
             at = _RAW_END[name].search(source, at).end()
         elif name not in VOID:

@@ -127,3 +127,43 @@ def test_articles_of_the_smallest_table(spark):
     assert df.count() == len(got)
     counts = hsa.extract(df.withColumn("url", F.lit("http://same.example/")), counts=True)
     assert counts.agg(F.min("n_repeated")).first()[0] > 20  # menus and adverts of one site's pages
+
+
+def listed(*names):
+    return "<ul class=x>" + "".join(f"<li><a href='/{n}'>{n}</a></li>" for n in names) + "</ul>"
+
+
+MENU, REFS = listed("start", "politics", "sport", "weather", "contact"), listed("Adams", "Baker", "Clark", "Davis", "Evans")
+COPIED = "<p>A paragraph that <a href=/a>two</a> articles <a href=/b>of one</a> site quote, <a href=/c>with links</a>, is text of both.</p>"
+
+
+def articles():
+    def row(i, inner, host="menus.example"):
+        return i, f"http://{host}/{i}", f"<body><p>top {i}</p><article>{inner}</article></body>", "x", "y", 1
+
+    told = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [row(i, f"<h1>Title {i}</h1><p>{told(i)}</p>{MENU}<p>end {i}</p>") for i in range(40)]
+    rows += [row(40 + i, f"<h1>One title</h1>{REFS}<p>{told(40 + i)}</p>") for i in range(2)]
+    rows += [row(50, f"<h1>Title 50</h1><p>{told(50)}</p>{listed('Fox', 'Gray', 'Hill', 'Irwin')}"), row(51, MENU)]
+    rows += [row(52 + i, f"<h2><a href=/t>Same heading of some words in a link, on two pages here</a></h2><p>{told(52 + i)}</p>{COPIED}") for i in range(2)]
+    rows += [row(54 + i, f"<p>{told(54 + i)}</p>{COPIED}<p><a href=/d>A paragraph all of whose many words stand in one link is no list of any links.</a></p>") for i in range(2)]
+    return [*rows, row(60, f"<h1>Title 60</h1>{MENU}", "other.example")]
+
+
+def test_menus_without_a_name_inside_articles_are_found_by_the_array_alone(spark):
+    df = spark.createDataFrame(articles(), FIELDS).repartition(3)
+    plain = {i: "\n".join(b.text for b in pp.page_parts(source)[0].blocks if b.main) for i, _, source, *_ in articles()}
+    menu = "\nstart\npolitics\nsport\nweather\ncontact"
+    want = {i: t.replace(menu, "") if i < 40 else t for i, t in plain.items()}
+    assert all(menu in plain[i] for i in range(40)) and "Adams" in want[40] and "Fox" in want[50] and menu in want[60]
+    for size in (hsa.BLOCK_BYTES, 4_000, 700):
+        assert {r["page_id"]: r["text"] for r in hsa.extract(df, block_bytes=size).collect()} == want
+    page, main = pp.page_parts(articles()[0][2])  # switched off, the array leaves the menu
+    assert hsa.main_text(page, main, np.zeros(len(page.stream), dtype=bool))[0] == plain[0]
+
+
+def test_links_of_blocks():
+    links = lambda source: [b.links for b in pp.page_parts(f"<article>{source}</article>")[0].blocks]
+    assert links("<p><a href=x>a</a> | <a href=y>b <i>c</i></a></p><p>no <a href=x>a</a></p><p><a name=x>a</a></p>***") == [2, None, None, None]
+    assert links("<h2><a href=x>a</a></h2><p><a href=x>a<p>b</p>") == [None, 1, None]
+    assert [b.links for b in pp.page_parts("<p><a href=x>a</a></p>")[0].blocks] == [None]
