@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 # The one grammar of written dates: a form is an order of parts, with what may stand between them.
 MONTH = f"(?:{'|'.join(MONTHS)})[a-z]*"
@@ -24,17 +26,23 @@ DATE = f"(?:{'|'.join((ISO, _form('day number year', '[./-]'), _NAMED, _LED, SEA
 
 def iso(found: Column) -> Column:
     """A written date in ISO form, to the day or else the month, from its numbers and the name of its month; day and month change places where the month is over 12."""
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+
+    def told(parts: Column) -> Column:
+        number, named = parts["number"], parts["named"]
+        n = lambda i: F.get(number, F.lit(i))
+        year = F.element_at(number, -1)
+        year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
+        a, b = n(0).try_cast("int"), n(1).try_cast("int")
+        return (
+            F.when(F.length(n(0)) == 4, F.when(F.size(number) == 3, F.concat_ws("-", number)).otherwise(F.concat_ws("-", year, two(named))))
+            .when(named > 0, F.concat_ws("-", year, two(named), two(n(0))))
+            .otherwise(F.concat_ws("-", year, two(F.when(b > 12, a).otherwise(b)), two(F.when(b > 12, b).otherwise(a))))
+        )
+
     number = F.regexp_extract_all(found, F.lit("[0-9]+"), F.lit(0))
     named = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(F.regexp_extract(found, MONTH, 0), 1, 3))
-    n = lambda i: F.get(number, F.lit(i))
-    year, two = F.element_at(number, -1), lambda c: F.lpad(c.cast("string"), 2, "0")
-    year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
-    a, b = n(0).try_cast("int"), n(1).try_cast("int")
-    return (
-        F.when(F.length(n(0)) == 4, F.when(F.size(number) == 3, F.concat_ws("-", number)).otherwise(F.concat_ws("-", year, two(named))))
-        .when(named > 0, F.concat_ws("-", year, two(named), two(n(0))))
-        .otherwise(F.concat_ws("-", year, two(F.when(b > 12, a).otherwise(b)), two(F.when(b > 12, b).otherwise(a))))
-    )
+    return once(F.struct(number.alias("number"), named.alias("named")), told)
 
 
 def dates(text: Column) -> Column:
@@ -43,35 +51,42 @@ def dates(text: Column) -> Column:
     return F.filter(found, lambda d: F.when(F.length(d) == 10, F.try_to_date(d, "yyyy-MM-dd").isNotNull()).otherwise(True))
 
 
-def _days(text: Column) -> list[tuple[Column, Column]]:
-    """The first match of each form with a day, and the day; day before month where both are numbers."""
-    out = []
-    for form in (_NUMERIC, _NAMED, _LED):
-        found = F.regexp_extract(text, f"(?i){form}", 0)
-        low = F.lower(found)
-        if form == _NUMERIC:
-            n = F.regexp_extract_all(low, F.lit("[0-9]+"), F.lit(0))
-            day, month, year = (F.get(n, F.lit(i)) for i in range(3))
-            year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
-            told = F.when(found != "", F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")))
-        else:
-            told = F.when(found != "", iso(low))
-        out.append((found, F.try_to_date(told, "yyyy-MM-dd")))
-    return out
+def _numeric(low: Column) -> Column:
+    """A day before a month, both as numbers, in ISO form."""
+
+    def told(n: Column) -> Column:
+        day, month, year = (F.get(n, F.lit(i)) for i in range(3))
+        year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
+        return F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
+
+    return once(F.regexp_extract_all(low, F.lit("[0-9]+"), F.lit(0)), told)
+
+
+def _first_of(text: Column, form: str) -> Column:
+    """day and written of the first match of a form; null if there is none or it is no date."""
+    told = _numeric if form == _NUMERIC else iso
+    day = lambda found: F.when(found != "", F.try_to_date(told(F.lower(found)), "yyyy-MM-dd"))
+    both = once(F.regexp_extract(text, f"(?i){form}", 0), lambda found: F.struct(day(found).alias("day"), found.alias("written")))
+    return once(both, lambda x: F.when(x["day"].isNotNull(), x))
 
 
 def micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+def first_day(text: Column) -> Column:
+    """day and written of the first d/m/y, else d Month y, else Month d y; a match that is no date counts as none; two-digit
+    years are of this century.  A form is read only where those before it have no date."""
+    return F.coalesce(*[_first_of(text, form) for form in (_NUMERIC, _NAMED, _LED)])
+
+
 def first_date(text: Column) -> Column:
-    """The first d/m/y, else d Month y, else Month d y; a match that is no date counts as none; two-digit years are of this century."""
-    return F.coalesce(*[day for _, day in _days(text)])
+    return first_day(text)["day"]
 
 
 def first_written(text: Column) -> Column:
     """What first_date() reads, as it is written."""
-    return F.coalesce(*[F.when(day.isNotNull(), found) for found, day in _days(text)])
+    return first_day(text)["written"]
 
 
 def age(born: Column, at: Column) -> Column:

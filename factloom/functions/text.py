@@ -14,6 +14,17 @@ def squash(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, WHITE, " "))
 
 
+def trimmed(c: Column) -> Column:
+    """Without white space at the ends; a text that has none there is not searched."""
+    ends = F.concat(F.left(c, F.lit(1)), F.right(c, F.lit(1)))
+    return F.when(ends.rlike(WHITE), F.regexp_replace(c, rf"^{WHITE}|{WHITE}\z", "")).otherwise(c)
+
+
+def once(c: Column, read) -> Column:
+    """read(c), where c is computed once however often it is read, in the steps of a transform too; there a column of an earlier select is not."""
+    return F.get(F.transform(F.array(c), read), F.lit(0))
+
+
 def in_blocks(c: Column, step: int, read) -> Column:
     """read(blocks) of a text's consecutive blocks of ``step`` characters; the text is cut once, however often blocks are read."""
     blocks = F.regexp_extract_all(c, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))

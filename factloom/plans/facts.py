@@ -11,7 +11,7 @@ from factloom.functions import text as T
 from factloom.operators import cues, ladders
 from factloom.operators import joins as J
 
-from .registry import query, table
+from .registry import dealt, query, table
 
 
 @query("SELECT o_orderkey, c_name, c_mktsegment FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")
@@ -176,7 +176,7 @@ def x4_notice_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     closes = F.when(o % 4 == 0, says("Last date ", F.date_format(last, "dd/MM/yyyy"), ". ")).when(o % 4 == 1, says("The closing date is ", F.date_format(last, "d MMMM yyyy"), ". ")).when(o % 4 == 2, says("Apply by ", F.date_format(last, "MMM d, yyyy"), ". ")).otherwise("")
     takes = F.when(o % 2 == 0, says("It is held on ", F.date_format(held, "d-M-yyyy"), ". ")).otherwise(says("Exam date ", F.date_format(held, "dd.MM.yyyy"), ". "))
     site = F.when(c % 5 > 0, says("Official site: https://b", c.cast("string"), ".example.org/n?o=", o.cast("string"), ". ")).otherwise("")
-    notices = table(spark, sf_dir, "orders").select("o_orderkey", says("Notice ", o.cast("string"), ". ", name, takes, closes, count, site, "Admit card and result: later.").alias("text"))
+    notices = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey").select("o_orderkey", says("Notice ", o.cast("string"), ". ", name, takes, closes, count, site, "Admit card and result: later.").alias("text"))
     return cues.typed_facts(notices, key="o_orderkey").select("o_orderkey", "field", "value_type", "value", "cue", "confidence")
 
 

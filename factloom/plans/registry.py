@@ -31,3 +31,8 @@ def query(sql: str | None = None) -> Callable[[Run], Run]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a small file over all tasks, for steps that cost much more a row than reading it; a file of a few MB is one task otherwise."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
