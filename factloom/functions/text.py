@@ -83,9 +83,14 @@ def cell_count(c: Column) -> Column:
 
 def minutes(c: Column) -> Column:
     """Minutes of a duration such as ``2 hours 30 minutes``; null if none is stated."""
-    h = F.regexp_extract(F.lower(c), r"([0-9]+)\s*h(?:ou)?rs?", 1).try_cast("int")
-    m = F.regexp_extract(F.lower(c), r"([0-9]+)\s*min", 1).try_cast("int")
-    return F.when(h.isNotNull() | m.isNotNull(), F.coalesce(h, F.lit(0)) * 60 + F.coalesce(m, F.lit(0)))
+
+    def told(low: Column) -> Column:
+        n = lambda unit: F.regexp_extract(low, r"([0-9]+)\s*" + unit, 1).try_cast("int")
+        both = F.struct(n("h(?:ou)?rs?").alias("h"), n("min").alias("m"))
+        read = once(both, lambda t: F.when(t["h"].isNotNull() | t["m"].isNotNull(), F.coalesce(t["h"], F.lit(0)) * 60 + F.coalesce(t["m"], F.lit(0))))
+        return F.when(low.rlike(r"[0-9]\s*(?:h(?:ou)?r|min)"), read)
+
+    return once(F.lower(c), told)
 
 
 def name_score(a: Column, b: Column, common: tuple[str, ...] = (), one: float = 0.5, share: float = 0.4) -> Column:
@@ -161,10 +166,14 @@ def category_codes(label: Column) -> Column:
 
 def penalty(c: Column) -> Column:
     """Marks taken off for a wrong answer: 0 where none is stated to be, a figure or a fraction (four decimals), else null."""
-    low = F.lower(c)
-    flat = F.regexp_extract(low, r"(?:negative|deduct\w*|minus)[^0-9/]*([0-9]+\.[0-9]+)", 1).try_cast("double")
-    top, bottom = (F.regexp_extract(low, r"(?:negative|deduct\w*|minus)[^0-9/]*([0-9]+)\s*/\s*([0-9]+)", i).try_cast("double") for i in (1, 2))
-    return F.when(low.rlike(r"no (?:negative|penalty)"), 0.0).when(~low.rlike("negative|deduct|minus"), F.lit(None)).otherwise(F.coalesce(flat, F.when(bottom > 0, F.round(top / bottom, 4))))
+
+    def told(low: Column) -> Column:
+        flat = F.regexp_extract(low, r"(?:negative|deduct\w*|minus)[^0-9/]*([0-9]+\.[0-9]+)", 1).try_cast("double")
+        top, bottom = (F.regexp_extract(low, r"(?:negative|deduct\w*|minus)[^0-9/]*([0-9]+)\s*/\s*([0-9]+)", i).try_cast("double") for i in (1, 2))
+        held = F.when(low.rlike(r"no (?:negative|penalty)"), 0.0).when(~low.rlike("negative|deduct|minus"), F.lit(None)).otherwise(F.coalesce(flat, F.when(bottom > 0, F.round(top / bottom, 4))))
+        return F.when(low.contains("negative") | low.contains("penalty") | low.contains("deduct") | low.contains("minus"), held)
+
+    return once(F.lower(c), told)
 
 
 def distinctive(c: Column, common: tuple[str, ...]) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from factloom.functions.text import number_of, squash
+from factloom.functions.text import number_of, once, squash
 
 from .stored import stored
 
@@ -20,18 +20,28 @@ _ROMAN, _ITEM, _BULLET = r"^[IVX]{1,5}[.)]\s+", r"^[0-9]{1,3}[.)]\s+", r"^[-*•
 LEAST = 2
 
 
+def _squashed(line: Column) -> Column:
+    """squash(line); a line of printed ASCII with single blanks inside is as it should be."""
+    return F.when(line.rlike(r"[^ -~]|  |^ | \z"), squash(line)).otherwise(line)
+
+
 def _clause(line: Column) -> Column:
     """Level and title by the parts of a clause's number; null for another line."""
-    number = F.regexp_extract(line, _CLAUSE, 1)
-    return F.when(number != "", F.struct((F.regexp_count(number, F.lit(r"\.")) + 1).alias("level"), F.regexp_replace(line, _CLAUSE, "").alias("title")))
+    read = lambda number: F.when(number != "", F.struct((F.regexp_count(number, F.lit(r"\.")) + 1).alias("level"), F.regexp_replace(line, _CLAUSE, "").alias("title")))
+    return once(F.regexp_extract(line, _CLAUSE, 1), read)
 
 
 def _heading(line: Column) -> Column:
     """Level and title by what a line is: a labelled level, a title before a list (it ends in a colon), a Roman heading, an item, a bullet."""
-    label = F.lower(F.regexp_extract(line, _LABELLED, 1))
-    level = F.when(label.isin(*LEVELS[0]), 1).when(label.isin(*LEVELS[1]), 2).when(label.isin(*LEVELS[2]), 3).when(line.endswith(":"), 4).when(line.rlike(_ROMAN), 5).when(line.rlike(_ITEM), 6).when(line.rlike(_BULLET), 7)
-    bare = F.when(level > 4, F.regexp_replace(line, f"{_ROMAN}|{_ITEM}|{_BULLET}", "")).otherwise(F.regexp_replace(line, r"\s*:$", ""))
-    return F.when(level.isNotNull(), F.struct(level.alias("level"), bare.alias("title")))
+
+    def level_of(label: Column) -> Column:
+        return F.when(label.isin(*LEVELS[0]), 1).when(label.isin(*LEVELS[1]), 2).when(label.isin(*LEVELS[2]), 3).when(line.endswith(":"), 4).when(line.rlike(_ROMAN), 5).when(line.rlike(_ITEM), 6).when(line.rlike(_BULLET), 7)
+
+    def read(level: Column) -> Column:
+        bare = F.when(level > 4, F.regexp_replace(line, f"{_ROMAN}|{_ITEM}|{_BULLET}", "")).otherwise(F.when(line.endswith(":"), F.regexp_replace(line, r"\s*:$", "")).otherwise(line))
+        return F.when(level.isNotNull(), F.struct(level.alias("level"), bare.alias("title")))
+
+    return once(once(F.lower(F.regexp_extract(line, _LABELLED, 1)), level_of), read)
 
 
 def _indented(line: Column, raw: Column) -> Column:
@@ -65,21 +75,22 @@ def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     A document without LEAST entries of any has no outline.
     """
     raw = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(x) != "")
-    own = docs.select(F.col(doc_id), raw.alias("_raw"))
-
-    def read(form, *more) -> Column:
-        each = F.transform("_raw", lambda x: F.struct(form(squash(x), *([x] if more else [])).alias("e"), x.alias("raw")))
-        return F.transform(F.filter(each, lambda y: y["e"].isNotNull() & (y["e"]["title"] != "")), lambda y: F.struct(y["e"]["level"].alias("level"), y["e"]["title"].alias("title"), y["raw"].alias("raw")))
-
-    forms = own.select(doc_id, read(_clause).alias("c"), read(_heading).alias("h"), read(_indented, True).alias("i"))
-    n = lambda c: F.size(c)
-    best = F.greatest(n("c"), n("h"))
-    steps = F.array_max(F.transform("i", lambda x: x["level"])) > F.array_min(F.transform("i", lambda x: x["level"]))
-    by_blanks = steps & (best * 2 < n("i"))
-    structure = F.when(by_blanks & (n("i") >= LEAST), "INDENTED").when((n("c") >= n("h")) & (n("c") >= LEAST), "CLAUSES").when(n("h") >= LEAST, "HEADINGS")
-    chosen = F.when(structure == "INDENTED", F.col("i")).when(structure == "CLAUSES", F.col("c")).otherwise(F.col("h"))
-    held = forms.select(doc_id, structure.alias("structure"), chosen.alias("lines")).where("structure IS NOT NULL")
-    placed = held.withColumn("ways", _ways_up(F.transform("lines", lambda x: x["level"])))
+    forms = {"c": lambda line, x: _clause(line), "h": lambda line, x: _heading(line), "i": _indented}
+    each = F.transform(raw, lambda x: once(_squashed(x), lambda line: F.struct(*[form(line, x).alias(f) for f, form in forms.items()], x.alias("raw"))))
+
+    def entries(lines: Column, f: str) -> Column:
+        held = F.filter(lines, lambda y: y[f].isNotNull() & (y[f]["title"] != ""))
+        return F.transform(held, lambda y: F.struct(y[f]["level"].alias("level"), y[f]["title"].alias("title"), y["raw"].alias("raw")))
+
+    def chosen(read: Column) -> Column:
+        n = {f: F.size(read[f]) for f in forms}
+        levels = F.transform(read["i"], lambda x: x["level"])
+        by_blanks = (F.greatest(n["c"], n["h"]) * 2 < n["i"]) & (n["i"] >= LEAST) & (F.array_max(levels) > F.array_min(levels))
+        held = lambda name, f: F.struct(F.lit(name).alias("structure"), read[f].alias("lines"))
+        return F.when(by_blanks, held("INDENTED", "i")).when((n["c"] >= n["h"]) & (n["c"] >= LEAST), held("CLAUSES", "c")).when(n["h"] >= LEAST, held("HEADINGS", "h"))
+
+    best = once(once(each, lambda lines: F.struct(*[entries(lines, f).alias(f) for f in forms])), chosen)
+    placed = docs.select(F.col(doc_id), best.alias("_best")).select(doc_id, "_best.structure", "_best.lines", _ways_up(F.transform("_best.lines", lambda x: x["level"])).alias("ways"))
     titles = lambda way: F.transform(F.reverse(way), lambda k: F.get("lines", k)["title"])
     entry = lambda x, k: F.struct((k + 1).alias("n"), x["level"].alias("level"), x["title"].alias("title"), F.size(F.get("ways", k)).alias("depth"), (F.get(F.get("ways", k), F.lit(0)) + 1).alias("parent"), titles(F.get("ways", k)).alias("up"), x["raw"].alias("raw"))
     return placed.select(doc_id, "structure", F.explode(F.transform("lines", entry)).alias("x")).select(doc_id, "structure", "x.*")
@@ -106,8 +117,8 @@ def inherited(tree: DataFrame, doc_id: str, rule: str) -> DataFrame:
 
 def key_of(title: Column) -> Column:
     """The labelled level of a heading, alike however it is printed: ``PAPER - II`` and ``Paper 2: History`` are ``paper 2``."""
-    number = number_of(F.regexp_extract(title, _LABELLED, 2))
-    return F.trim(F.concat_ws(" ", F.lower(F.regexp_extract(title, _LABELLED, 1)), F.coalesce(number.cast("string"), F.lower(F.regexp_extract(title, _LABELLED, 2)))))
+    number = once(F.regexp_extract(title, _LABELLED, 2), lambda told: F.coalesce(number_of(told).cast("string"), F.lower(told)))
+    return F.trim(F.concat_ws(" ", F.lower(F.regexp_extract(title, _LABELLED, 1)), number))
 
 
 def restated(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

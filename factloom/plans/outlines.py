@@ -9,7 +9,7 @@ from factloom.functions import text as T
 from factloom.operators import outline as O
 from factloom.operators.stored import stored
 
-from .registry import query, table
+from .registry import dealt, query, table
 
 #: Outlines of depth six: (structure, level, what is printed, title); {z} is the part's size, {p} its key.
 _FORMS = (
@@ -34,7 +34,7 @@ def _filled(c: str) -> Column:
 def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p_partkey and text: one of the forms, by the part's key."""
     text = [_filled("\n".join(printed for _, printed, _ in lines)) for _, lines in _FORMS]
-    return table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*text), (F.col("p_partkey") % len(_FORMS) + 1).cast("int")).alias("text"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", F.element_at(F.array(*text), (F.col("p_partkey") % len(_FORMS) + 1).cast("int")).alias("text"))
 
 
 _ROWS = ", ".join(f"({k}, '{s}', {n}, {level}, '{title}')" for k, (s, lines) in enumerate(_FORMS) for n, (level, title) in enumerate([(lv, t) for lv, _, t in lines if lv], 1))
@@ -71,8 +71,8 @@ def _schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
         return text
 
     text = F.concat(filled(_SCHEME), F.when(p % 2 == 1, F.concat(F.lit("\n"), filled(_AGAIN))).otherwise(""))
-    lines = O.lines_of(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", "text")
-    said, n = F.col("raw"), lambda noun: F.regexp_extract("raw", rf"([0-9]+) {noun}", 1).try_cast("int")
+    lines = O.lines_of(dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", text.alias("text")), "p_partkey", "text")
+    said, n = F.col("raw"), lambda noun: F.when(F.contains("raw", F.lit(f" {noun}")), F.regexp_extract("raw", rf"([0-9]+) {noun}", 1).try_cast("int"))
     key = F.concat_ws(" / ", F.transform(F.concat("up", F.array("title")), O.key_of))
     return stored(lines.select("p_partkey", "n", "parent", key.alias("key"), n("questions").alias("questions"), n("marks").alias("marks"), T.minutes(said).alias("minutes"), T.penalty(said).alias("penalty")), "schemes")
 
