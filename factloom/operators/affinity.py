@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Tasks over which the pairs of a key are dealt.
+SHARES = 16
+
+
 @dataclass(frozen=True)
 class Cluster:
     """Categories that belong together: how much two items of it share, of one category and of two."""
@@ -35,7 +39,8 @@ def affinities(items: DataFrame, weights: Weights = Weights(), least: float = 0.
 
     An inverted index has, for each item, only keys that can bring a pair over the threshold: its authority, its cluster, and, where
     the fields that count can, each two of its fields, with its qualification if it takes that too.  So pairs that meet
-    are near, and no others are built.
+    are near, and no others are built.  Items that are alike in all terms meet as one; two that share several keys meet at
+    the first of them alone; a key's pairs are dealt over SHARES tasks.  Only what is returned is written out by items.
     """
     w = weights
     if min([w.authority, *[c.other for c in w.clusters]]) <= least or w.most_fields != 2:
@@ -57,11 +62,17 @@ def affinities(items: DataFrame, weights: Weights = Weights(), least: float = 0.
         more = F.when(F.coalesce("qualification", F.lit("")) != "", F.transform(two, lambda k: F.concat_ws("\u0001", k, F.col("qualification")))).otherwise(none)
     else:
         more = none
-    index = own.select("id", F.explode(F.array_union(keys, more)).alias("key"))
-    met = index.select(F.col("id").alias("a"), "key").join(index.select(F.col("id").alias("b"), "key"), "key").where("a <> b").select("a", "b").distinct()
-    side = lambda n: own.select(*[F.col(c).alias(n if c == "id" else f"{n}_{c}") for c in own.columns])
-    pairs = met.join(side("a"), "a").join(side("b"), "b")
-    return pairs.select("a", "b", F.round(_score(w), 2).alias("affinity")).where(F.col("affinity") > least)
+    terms = ["authority", "category", "cluster", "fields", "qualification"]
+    alike = own.groupBy(*terms).agg(F.collect_list("id").alias("ids")).withColumn("keys", F.array_union(keys, more))
+    side = lambda n: alike.select(F.explode("keys").alias("key"), *[F.col(c).alias(f"{n}_{c}") for c in [*terms, "ids", "keys"]])
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = F.pmod(F.xxhash64("a_authority", "a_category", "a_fields", "a_qualification"), F.lit(SHARES)).cast("int")
+    a = side("a").withColumn("share", share).repartition(tasks, "key", "share")
+    b = side("b").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).repartition(tasks, "key", "share")
+    met = a.join(b, ["key", "share"]).where(F.get(F.array_intersect("a_keys", "b_keys"), F.lit(0)) == F.col("key"))
+    near = met.select("a_ids", "b_ids", F.round(_score(w), 2).alias("affinity")).where(F.col("affinity") > least)
+    pairs = near.select(F.explode("a_ids").alias("a"), "b_ids", "affinity").select("a", F.explode("b_ids").alias("b"), "affinity")
+    return pairs.where("a <> b").select("a", "b", "affinity")
 
 
 def _score(w: Weights) -> Column:

@@ -33,3 +33,13 @@ def test_pairs_over_the_threshold(spark):
     assert got == want and len(want) > 300
     with pytest.raises(ValueError):
         affinities(df, Weights(authority=0.2))
+
+
+def test_items_that_are_alike_meet_as_one(spark):
+    rows = [(i, "A", "BANKING", ["u", "v"], "10") for i in range(300)] + [(300, "B", "STAFF_SELECTION", None, None), (None, "A", None, None, None)]
+    pairs = affinities(spark.createDataFrame(rows, "id int, authority string, category string, fields array<string>, qualification string"))
+    got = pairs.collect()
+    assert len(got) == len({(r["a"], r["b"]) for r in got}) == 300 * 299 + 2 * 300
+    assert {r["affinity"] for r in got if 300 not in (r["a"], r["b"])} == {1.0} and {r["affinity"] for r in got if 300 in (r["a"], r["b"])} == {0.4}
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1  # pairs of items are neither made distinct nor joined with their terms
